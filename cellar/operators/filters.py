@@ -214,7 +214,8 @@ def duplicates(df: DataFrame, chunk: int = 1 << 16) -> DataFrame:
     chunks = grouped.withColumn(
         "__chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / chunk).cast("int")))
     )
-    spread = chunks.repartition()  # round-robin: chunks of one hot row land on many tasks
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    spread = chunks.repartition(n_parts)  # round-robin: chunks of one hot row land on many tasks
     rows = spread.withColumn(
         "__i",
         F.explode(

@@ -46,6 +46,7 @@ def load_all() -> dict[str, Entry]:
         q_functions,
         q_jobs,
         q_ordered,
+        q_profile,
         q_sheet,
         q_sources,
         q_text,
