@@ -80,3 +80,15 @@ def as_double(c: Column) -> Column:
 def clean_nan(c: Column) -> Column:
     """NaN -> NULL so that pandas-style 'missing' covers both."""
     return F.when(F.isnan(c), F.lit(None)).otherwise(c)
+
+
+def round_num(c, decimals: int = 0) -> Column:
+    """Round half away from zero on the binary value, like pandas/NumPy and DuckDB.
+
+    Spark's ``round`` rounds the shortest decimal text of a double, so 70.695
+    (binary 70.69499999...) becomes 70.70 there but 70.69 in pandas. Scaling
+    first and rounding the product keeps the reference's results.
+    """
+    x = col(c).cast("double")
+    p = float(10**decimals)
+    return F.signum(x) * F.floor(F.abs(x) * F.lit(p) + F.lit(0.5)) / F.lit(p)

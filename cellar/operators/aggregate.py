@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellar.functions.safe import numeric_columns, require_columns, text_columns
+from cellar.functions.safe import round_num, numeric_columns, require_columns, text_columns
 
 _FUNCS = {
     "sum": lambda c: F.coalesce(F.sum(c), F.lit(0).cast("double")),
@@ -44,7 +44,7 @@ def groupby_multi(
         for f in funcs:
             e = _FUNCS[f](F.col(v))
             if decimals is not None and f != "count":
-                e = F.round(e.cast("double"), decimals)
+                e = round_num(e.cast("double"), decimals)
             aggs.append(e.alias(f"{v}_{f}"))
     return _drop_null_keys(df, keys).groupBy(*keys).agg(*aggs)
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellar.functions.safe import ne_keep_null, require_columns
+from cellar.functions.safe import round_num, ne_keep_null, require_columns
 
 # Above this many literal values an IN-list is turned into a broadcast semi join.
 ISIN_LITERAL_LIMIT = 1000
@@ -196,7 +196,7 @@ def summary(base: DataFrame, predicate: Column | str) -> DataFrame:
         "rows_before",
         "rows_after",
         (F.col("rows_before") - F.col("rows_after")).alias("rows_removed"),
-        F.round(F.try_divide(F.col("rows_after") * 100.0, F.col("rows_before")), 2).alias("pct_remaining"),
+        round_num(F.try_divide(F.col("rows_after") * 100.0, F.col("rows_before")), 2).alias("pct_remaining"),
         F.lit(len(base.columns)).cast("bigint").alias("n_columns"),
     )
 

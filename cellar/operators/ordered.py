@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellar.functions.safe import require_columns
+from cellar.functions.safe import round_num, require_columns
 
 SAMPLE_PER_BUCKET = 64
 MAX_SAMPLE_ROWS = 200_000
@@ -209,6 +209,7 @@ def running_totals(
     partition_by: Sequence[str] = (),
     decimals: int = 2,
     n_buckets: int | None = None,
+    total_decimals: int | None = None,
 ) -> DataFrame:
     """win_running_total, win_running_avg, win_pct_contribution in one pass.
 
@@ -234,9 +235,11 @@ def running_totals(
         s,
         df.columns,
         [
-            F.when(F.col(value).isNull(), F.lit(None)).otherwise(F.col("__rs")).alias(f"{value}_running_total"),
-            F.round(F.try_divide(F.col("__rs"), F.col("__rc")), decimals).alias(f"{value}_running_avg"),
-            F.round(F.try_divide(x * 100.0, total), decimals).alias(f"{value}_pct_contribution"),
+            F.when(F.col(value).isNull(), F.lit(None))
+            .otherwise(F.col("__rs") if total_decimals is None else round_num("__rs", total_decimals))
+            .alias(f"{value}_running_total"),
+            round_num(F.try_divide(F.col("__rs"), F.col("__rc")), decimals).alias(f"{value}_running_avg"),
+            round_num(F.try_divide(x * 100.0, total), decimals).alias(f"{value}_pct_contribution"),
         ],
     )
 
@@ -288,3 +291,56 @@ def pct_change(
     out = s.join(tot, on=[*partition_by, _BUCKET], how="left")
     prev = F.when(F.col("__rn") == 1, F.col("__carry")).otherwise(F.col("__prev_local"))
     return _finish(out, df.columns, [((F.try_divide(F.col("__ff"), prev) - 1) * 100).alias(name)])
+
+
+def _value_ranks(df: DataFrame, value: str, partition_by: Sequence[str], descending: bool) -> DataFrame:
+    """Distinct values per partition with dense rank and rows before (bucketed scan).
+
+    Ranks are computed on the distinct-value table, then joined back on value:
+    the raw rows are never sorted as one global sequence.
+    """
+    part = list(partition_by)
+    key = F.col(value).cast("double")
+    vc = (
+        df.filter(F.col(value).isNotNull())
+        .groupBy(*part, value)
+        .agg(F.count(F.lit(1)).alias("__cnt"))
+        .withColumn("__k", -key if descending else key)
+    )
+    s = prefix_scan(
+        vc,
+        ["__k"],
+        [Scan("count", F.lit(1), "__dense"), Scan("sum", F.col("__cnt"), "__cum")],
+        partition_by=part,
+    )
+    n = vc.groupBy(*part).agg(F.sum("__cnt").alias("__n")) if part else None
+    out = s.select(*part, value, "__cnt", "__dense", (F.col("__cum") - F.col("__cnt")).alias("__before"))
+    if part:
+        out = out.join(n, on=part, how="left")
+    else:
+        out = out.withColumn("__n", vc.select(F.sum("__cnt")).scalar())
+    return out
+
+
+def dense_rank(
+    df: DataFrame,
+    value: str,
+    ascending: bool = False,
+    partition_by: Sequence[str] = (),
+    name: str = "rank",
+) -> DataFrame:
+    """win_dense_rank: dense rank of ``value`` (desc by default); null value -> null rank."""
+    r = _value_ranks(df, value, partition_by, descending=not ascending)
+    r = r.select(*partition_by, value, F.col("__dense").cast("bigint").alias(name))
+    return df.join(r, on=[*partition_by, value], how="left")
+
+
+def percentile_rank(df: DataFrame, value: str, partition_by: Sequence[str] = (), name: str = "percentile", decimals: int = 1) -> DataFrame:
+    """win_percentile_rank: average rank of ties / non-null count x 100 (ascending).
+
+    pandas ``rank(pct=True)``; not ``percent_rank``.
+    """
+    r = _value_ranks(df, value, partition_by, descending=False)
+    avg_rank = F.col("__before") + (F.col("__cnt") + 1) / 2.0
+    r = r.select(*partition_by, value, round_num(avg_rank * 100.0 / F.col("__n"), decimals).alias(name))
+    return df.join(r, on=[*partition_by, value], how="left")

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from cellar.functions.safe import (
     numeric_columns,
+    round_num,
     require_columns,
     text_columns,
     type_class,
@@ -172,7 +173,7 @@ def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None, decimals:
     mode = _mode(vc, "mode")
     outl = _iqr_outliers(vc, quart)
     j = mom.join(quart, "column", "left").join(mode, "column", "left").join(outl, "column", "left")
-    r = lambda c: F.round(F.col(c), decimals)
+    r = lambda c: round_num(F.col(c), decimals)
     return j.filter(F.col("count") > 0).select(
         "column",
         F.col("count").cast("bigint").alias("count"),
@@ -185,7 +186,7 @@ def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None, decimals:
         r("max").alias("max"),
         r("q1").alias("q1"),
         r("q3").alias("q3"),
-        F.round(F.col("q3") - F.col("q1"), decimals).alias("iqr"),
+        round_num(F.col("q3") - F.col("q1"), decimals).alias("iqr"),
         r("skewness").alias("skewness"),
         r("kurtosis").alias("kurtosis"),
         F.coalesce(F.col("outliers"), F.lit(0)).cast("bigint").alias("outliers"),
@@ -223,7 +224,7 @@ def categorical_profile(df: DataFrame, cols: Sequence[str] | None = None) -> Dat
         F.col("unique").cast("bigint").alias("unique"),
         F.col("__top.v").alias("top_value"),
         (-F.col("__top.n")).cast("bigint").alias("top_frequency"),
-        F.round(F.try_divide(-F.col("__top.n") * 100.0, F.col("count")), 3).alias("top_percentage"),
+        round_num(F.try_divide(-F.col("__top.n") * 100.0, F.col("count")), 3).alias("top_percentage"),
     )
 
 
@@ -246,7 +247,7 @@ def missing(df: DataFrame, hide_zero: bool = False) -> DataFrame:
         F.struct(
             F.lit(f.name).alias("column"),
             F.col(f"__m{i}").cast("bigint").alias("missing_count"),
-            F.round(F.try_divide(F.col(f"__m{i}") * 100.0, F.col("__rows")), 2).alias("missing_pct"),
+            round_num(F.try_divide(F.col(f"__m{i}") * 100.0, F.col("__rows")), 2).alias("missing_pct"),
             F.lit(f.dataType.simpleString()).alias("data_type"),
         )
         for i, f in enumerate(df.schema.fields)
@@ -271,7 +272,7 @@ def overview(df: DataFrame) -> DataFrame:
         F.col("__rows").cast("bigint").alias("n_rows"),
         F.lit(k).cast("bigint").alias("n_columns"),
         total_missing.cast("bigint").alias("missing_cells"),
-        F.round(F.try_divide(total_missing * 100.0, F.col("__rows") * k), 2).alias("missing_pct"),
+        round_num(F.try_divide(total_missing * 100.0, F.col("__rows") * k), 2).alias("missing_pct"),
         complete.cast("bigint").alias("cols_complete"),
         (F.lit(k) - complete - fully).cast("bigint").alias("cols_partly_missing"),
         fully.cast("bigint").alias("cols_fully_missing"),
@@ -324,7 +325,7 @@ def corr_long(df: DataFrame, cols: Sequence[str] | None = None, decimals: int |
     rows = [F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(f"p{i}").alias("corr")) for i, (a, b) in enumerate(pairs)]
     out = wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     if decimals is not None:
-        out = out.withColumn("corr", F.round("corr", decimals))
+        out = out.withColumn("corr", round_num("corr", decimals))
     return out
 
 
@@ -349,7 +350,7 @@ def strong_correlations(df: DataFrame, cols: Sequence[str] | None = None, thresh
     lg = corr_long(df, cols, None)
     return (
         lg.filter(F.abs("corr") >= threshold)
-        .select("var1", "var2", F.round("corr", 3).alias("corr"), strength(F.abs("corr")).alias("strength"))
+        .select("var1", "var2", round_num("corr", 3).alias("corr"), strength(F.abs("corr")).alias("strength"))
         .orderBy(F.desc(F.abs("corr")), "var1", "var2")
     )
 
@@ -430,9 +431,9 @@ def profile_metrics(df: DataFrame) -> DataFrame:
     j = per.join(nd, "column", "left")
     return j.select(
         "column",
-        F.round(F.try_divide(F.col("nn") * 100.0, F.col("__rows")), 4).alias("completeness"),
-        F.round(F.coalesce(F.try_divide(F.coalesce(F.col("nd"), F.lit(0)) * 100.0, F.col("nn")), F.lit(0.0)), 4).alias("uniqueness"),
-        F.round(F.try_divide((F.col("nn") - F.col("empty")) * 100.0, F.col("__rows")), 4).alias("validity"),
+        round_num(F.try_divide(F.col("nn") * 100.0, F.col("__rows")), 4).alias("completeness"),
+        round_num(F.coalesce(F.try_divide(F.coalesce(F.col("nd"), F.lit(0)) * 100.0, F.col("nn")), F.lit(0.0)), 4).alias("uniqueness"),
+        round_num(F.try_divide((F.col("nn") - F.col("empty")) * 100.0, F.col("__rows")), 4).alias("validity"),
     )
 
 
@@ -456,7 +457,7 @@ def dataset_overview(df: DataFrame) -> DataFrame:
             F.col(f"nn{i}").cast("bigint").alias("non_null"),
             F.col(f"lo{i}").alias("min"),
             F.col(f"hi{i}").alias("max"),
-            F.round(F.col(f"m{i}"), 2).alias("mean"),
+            round_num(F.col(f"m{i}"), 2).alias("mean"),
         )
         for i, f in enumerate(fields)
     ]
