@@ -158,7 +158,7 @@ def q_narrow(spark, d):
 _PIPE_SQL = """(SELECT event_id AS "Event ID",
    CASE WHEN event_id % 11 = 0 THEN 'null' ELSE '  ' || event_type || '  ' END AS "event type",
    CASE WHEN event_id % 13 = 0 THEN 'junk' ELSE CAST(value AS VARCHAR) END AS "value ($)",
-   CASE WHEN event_id % 17 = 5 THEN 'bad' ELSE strftime(ts, '%Y-%m-%d') END AS "day",
+   CASE WHEN event_id % 17 = 15 THEN 'bad' ELSE strftime(ts, '%Y-%m-%d') END AS "day",
    CAST(NULL AS VARCHAR) AS empty_col,
    user_id FROM events)"""
 
@@ -178,7 +178,7 @@ def q_pipeline(spark, d):
         F.col("event_id").alias("Event ID"),
         F.when(F.col("event_id") % 11 == 0, F.lit("null")).otherwise(F.concat(F.lit("  "), F.col("event_type"), F.lit("  "))).alias("event type"),
         F.when(F.col("event_id") % 13 == 0, F.lit("junk")).otherwise(F.col("value").cast("string")).alias("value ($)"),
-        F.when(F.col("event_id") % 17 == 5, F.lit("bad")).otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("day"),
+        F.when(F.col("event_id") % 17 == 15, F.lit("bad")).otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("day"),
         F.lit(None).cast("string").alias("empty_col"),
         "user_id",
     )
