@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from cellar.functions.safe import datetime_columns, numeric_columns, text_columns
 from cellar.operators.profile import _moments_long, _wide_quantiles, corr_long, value_counts_long
+from cellar.session import materialize
 
 # ---------------------------------------------------------------------------
 # Finding texts ({} are filled from the metrics), thresholds,
@@ -151,7 +152,8 @@ def table_metrics(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     corr = corr.join(base.select(F.col("column").alias("var1"), F.col("pos").alias("p1")), "var1").join(
         base.select(F.col("column").alias("var2"), F.col("pos").alias("p2")), "var2"
     )
-    return trow, cm, corr
+    # three tiny tables read by ~35 rule branches: materialize them once
+    return materialize(trow), materialize(cm), materialize(corr)
 
 
 def findings(df: DataFrame) -> DataFrame:
@@ -186,7 +188,7 @@ def findings(df: DataFrame) -> DataFrame:
     side = F.when(g1 > 0, F.lit("right")).otherwise(F.lit("left"))
     sk = _listed(numc, F.abs(g1) > 1, F.concat(F.col("column"), F.lit(" ("), side, F.lit(")")))
     rules.append(_row(sk, st, 4, _fmt(MSG["skewed"], F.col("items")), F.col("n") > 0))
-    rows_n = trow.select("n_rows").scalar()
+    rows_n = F.lit(trow.select("n_rows").first()[0])
     ol = _listed(numc, F.col("outliers") > rows_n * 0.05, F.concat(F.col("column"), F.lit(" ("), F.col("outliers").cast("string"), F.lit(" outliers)")))
     rules.append(_row(ol, st, 5, _fmt(MSG["outliers"], F.col("items")), F.col("n") > 0))
 

@@ -99,12 +99,10 @@ def with_buckets(df: DataFrame, key_cols: Sequence[str], n_buckets: int | None =
     key = _key_struct(fields)
     if n <= 1:
         return df.withColumn(_BUCKET, F.lit(0))
-    total = df.count()
     want = min(MAX_SAMPLE_ROWS, n * SAMPLE_PER_BUCKET)
-    frac = 1.0 if total <= want else want / total
-    sample = df.select(key.alias("k"))
-    if frac < 1.0:
-        sample = sample.sample(withReplacement=False, fraction=min(1.0, frac * 1.2), seed=seed)
+    # uniform sample of exactly `want` rows in one pass: the rows with the smallest
+    # random tags (TakeOrderedAndProject keeps `want` rows per task, no full sort)
+    sample = df.select(key.alias("k"), F.rand(seed).alias("__r")).orderBy("__r").limit(want)
     keys = sorted(tuple(r["k"]) for r in sample.collect())
     if not keys:
         return df.withColumn(_BUCKET, F.lit(0))

@@ -62,3 +62,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver test table as a lazy DataFrame."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage of a small intermediate result with a reliable checkpoint.
+
+    Written to the shared ``spark.checkpoint.dir`` (so it survives executor
+    loss); used for metric tables that many later branches read.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

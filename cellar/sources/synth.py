@@ -1,0 +1,219 @@
+"""Seeded synthetic tables.
+
+Every random draw is a hash of (row id, draw salt, seed): independent of the
+number of partitions and of task retries, unlike ``rand(seed)``. Rows come
+from ``spark.range`` so generation is spread over all tasks.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cellar.functions.safe import round_num
+
+_TWO53 = float(2**53)
+
+# ---------------------------------------------------------------------------
+# Category lists, base amounts and multipliers of the generators.
+PRODUCTS = ["Laptop", "Smartphone", "Tablet", "Headphones", "Smart Watch", "Monitor", "Keyboard", "Mouse"]
+PRODUCT_BASE_PRICE = {"Laptop": 1200, "Smartphone": 800, "Tablet": 500, "Headphones": 150, "Smart Watch": 300, "Monitor": 400, "Keyboard": 100, "Mouse": 50}
+REGIONS = ["North America", "Europe", "Asia", "South America", "Africa"]
+SALES_CATEGORIES = ["Electronics", "Accessories", "Computing", "Mobile"]
+SALES_CHANNELS = ["Online", "Retail Store", "Partner", "Direct Sales"]
+DEPARTMENTS = ["Engineering", "Marketing", "Sales", "HR", "Finance", "Operations", "Customer Support"]
+POSITIONS = {
+    "Engineering": ["Software Engineer", "Senior Engineer", "Tech Lead", "Engineering Manager"],
+    "Marketing": ["Marketing Specialist", "Marketing Manager", "Content Creator", "Digital Marketer"],
+    "Sales": ["Sales Rep", "Senior Sales Rep", "Sales Manager", "Account Executive"],
+    "HR": ["HR Generalist", "HR Manager", "Recruiter", "HR Director"],
+    "Finance": ["Financial Analyst", "Senior Analyst", "Finance Manager", "Controller"],
+    "Operations": ["Operations Specialist", "Operations Manager", "Project Manager"],
+    "Customer Support": ["Support Specialist", "Senior Support", "Support Manager"],
+}
+BASE_SALARY = {"Engineering": 85000, "Marketing": 65000, "Sales": 70000, "HR": 60000, "Finance": 75000, "Operations": 68000, "Customer Support": 55000}
+FIRST_NAMES = ["Alice", "Bob", "Charlie", "Diana", "Edward", "Fiona", "George", "Hannah", "Ian", "Julia", "Kevin", "Linda", "Michael", "Nina", "Oliver", "Patricia"]
+LAST_NAMES = ["Smith", "Johnson", "Williams", "Brown", "Jones", "Garcia", "Miller", "Davis", "Rodriguez", "Martinez", "Hernandez", "Lopez", "Gonzalez", "Wilson"]
+SEGMENTS = ["Premium", "Standard", "Basic"]
+SEGMENT_MULTIPLIER = {"Premium": 3.0, "Standard": 1.5, "Basic": 1.0}
+ACQ_CHANNELS = ["Social Media", "Search Engine", "Email", "Referral", "Direct", "Advertising"]
+COUNTRIES = ["USA", "Canada", "UK", "Germany", "France", "Australia", "Japan", "Brazil"]
+FIN_CATEGORIES = ["Revenue", "Cost of Goods Sold", "Marketing", "Sales", "R&D", "Operations", "Administrative", "Other Income", "Taxes"]
+FIN_SUBCATEGORIES = {
+    "Revenue": ["Product Sales", "Service Revenue", "Subscription Revenue", "Licensing"],
+    "Cost of Goods Sold": ["Materials", "Labor", "Manufacturing Overhead"],
+    "Marketing": ["Digital Advertising", "Traditional Advertising", "Events", "Content Creation"],
+    "Sales": ["Salaries", "Commissions", "Travel", "Tools and Software"],
+    "R&D": ["Personnel", "Equipment", "Patents", "External Research"],
+    "Operations": ["Facilities", "Utilities", "Equipment Maintenance", "Insurance"],
+    "Administrative": ["Executive Salaries", "Legal", "Accounting", "Office Supplies"],
+    "Other Income": ["Investment Income", "Asset Sales", "Foreign Exchange"],
+    "Taxes": ["Corporate Tax", "Sales Tax", "Property Tax"],
+}
+FIN_BASE_AMOUNTS = {
+    "Revenue": (50000, 200000), "Cost of Goods Sold": (20000, 80000), "Marketing": (5000, 25000),
+    "Sales": (8000, 35000), "R&D": (10000, 40000), "Operations": (5000, 20000),
+    "Administrative": (3000, 15000), "Other Income": (0, 5000), "Taxes": (2000, 15000),
+}
+FIN_DEPARTMENTS = ["Corporate", "Product", "Sales", "Marketing", "Operations"]
+APPROVERS = ["John Smith", "Sarah Johnson", "Mike Davis", "Lisa Brown"]
+FIN_MONTHS = 24
+# ---------------------------------------------------------------------------
+
+
+def uniform(key: Column, salt: int, seed: int) -> Column:
+    """U[0,1) from a 64-bit hash of (key, salt, seed)."""
+    h = F.xxhash64(key, F.lit(salt), F.lit(seed))
+    return F.pmod(h, F.lit(2**53)).cast("double") / F.lit(_TWO53)
+
+
+def choice(values: list, u: Column) -> Column:
+    arr = F.array(*[F.lit(v) for v in values])
+    return F.element_at(arr, (F.floor(u * len(values)) + 1).cast("int"))
+
+
+def lookup(mapping: dict, key: Column) -> Column:
+    return F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])[key]
+
+
+def poisson(u: Column, lam: float, kmax: int = 40) -> Column:
+    """Poisson(lam) by inverse CDF: the smallest k with CDF(k) > u."""
+    out = F.lit(kmax)
+    cdf, p = [], math.exp(-lam)
+    acc = 0.0
+    for k in range(kmax):
+        acc += p
+        cdf.append(acc)
+        p *= lam / (k + 1)
+    for k in reversed(range(kmax)):
+        out = F.when(u < F.lit(cdf[k]), F.lit(k)).otherwise(out)
+    return out
+
+
+def gamma_k3(u1: Column, u2: Column, u3: Column, scale: float) -> Column:
+    """Gamma(3, scale) as a sum of three exponentials."""
+    eps = F.lit(1e-300)
+    return -F.lit(scale) * F.log(F.greatest(u1, eps) * F.greatest(u2, eps) * F.greatest(u3, eps))
+
+
+def sales(spark: SparkSession, n_records: int = 1000, seed: int = 42) -> DataFrame:
+    """src_synth_sales: price +-20 % around the product base, Poisson(3) quantity (>= 1),
+    revenue x1.2 in Nov/Dec, marketing spend 5-20 % of revenue; sorted by date."""
+    r = spark.range(n_records)
+    i = F.col("id")
+    days = (dt.date(2024, 12, 31) - dt.date(2023, 1, 1)).days + 1
+    product = choice(PRODUCTS, uniform(i, 1, seed))
+    price = lookup(PRODUCT_BASE_PRICE, product) * (0.8 + uniform(i, 2, seed) * 0.4)
+    qty = F.greatest(F.lit(1), poisson(uniform(i, 3, seed), 3.0))
+    date = F.date_add(F.lit(dt.date(2023, 1, 1)), F.floor(uniform(i, 4, seed) * days).cast("int"))
+    revenue = price * qty * F.when(F.month(date).isin(11, 12), F.lit(1.2)).otherwise(F.lit(1.0))
+    out = r.select(
+        i.alias("row_id"),
+        date.cast("timestamp_ntz").alias("Date"),
+        product.alias("Product"),
+        choice(SALES_CATEGORIES, uniform(i, 5, seed)).alias("Category"),
+        choice(REGIONS, uniform(i, 6, seed)).alias("Region"),
+        choice(SALES_CHANNELS, uniform(i, 7, seed)).alias("Sales_Channel"),
+        qty.alias("Quantity"),
+        round_num(price, 2).alias("Unit_Price"),
+        round_num(revenue, 2).alias("Revenue"),
+        round_num(3.5 + uniform(i, 8, seed) * 1.5, 1).alias("Customer_Satisfaction"),
+        round_num(revenue * (0.05 + uniform(i, 9, seed) * 0.15), 2).alias("Marketing_Spend"),
+    )
+    return out.orderBy("Date", "row_id").drop("row_id")
+
+
+def employees(spark: SparkSession, n_records: int = 500, seed: int = 42, as_of: dt.date | None = None) -> DataFrame:
+    """src_synth_employee: salary by department x1.3 (senior/lead) or x1.6 (manager/director) +-20 %."""
+    as_of = as_of or dt.date.today()
+    r = spark.range(n_records)
+    i = F.col("id")
+    dept = choice(DEPARTMENTS, uniform(i, 1, seed))
+    pos_arr = F.create_map(*[x for d, ps in POSITIONS.items() for x in (F.lit(d), F.array(*[F.lit(p) for p in ps]))])[dept]
+    position = F.element_at(pos_arr, (F.floor(uniform(i, 2, seed) * F.size(pos_arr)) + 1).cast("int"))
+    mult = F.when(position.contains("Senior") | position.contains("Lead"), 1.3).when(
+        position.contains("Manager") | position.contains("Director"), 1.6
+    ).otherwise(1.0)
+    salary = (lookup(BASE_SALARY, dept) * mult * (0.8 + uniform(i, 3, seed) * 0.4)).cast("int")
+    exp = F.greatest(F.lit(0), F.floor(gamma_k3(uniform(i, 4, seed), uniform(i, 5, seed), uniform(i, 6, seed), 2.0)).cast("int"))
+    hire = F.date_sub(F.lit(as_of), (30 + F.floor(uniform(i, 7, seed) * 1971)).cast("int"))
+    return r.select(
+        F.format_string("EMP%04d", i + 1).alias("Employee_ID"),
+        choice(FIRST_NAMES, uniform(i, 8, seed)).alias("First_Name"),
+        choice(LAST_NAMES, uniform(i, 9, seed)).alias("Last_Name"),
+        dept.alias("Department"),
+        position.alias("Position"),
+        hire.alias("Hire_Date"),
+        exp.alias("Years_Experience"),
+        salary.alias("Salary"),
+        round_num(2.5 + uniform(i, 10, seed) * 2.5, 1).alias("Performance_Rating"),
+        (10 + F.floor(uniform(i, 11, seed) * 111)).cast("int").alias("Training_Hours"),
+        F.floor(uniform(i, 12, seed) * 6).cast("int").alias("Remote_Work_Days"),
+        round_num(uniform(i, 13, seed) * 20, 1).alias("Bonus_Percentage"),
+    )
+
+
+def customers(spark: SparkSession, n_records: int = 800, seed: int = 42, as_of: dt.date | None = None) -> DataFrame:
+    """src_synth_customer: segment multiplier 3 / 1.5 / 1 drives value, order gap, engagement, tickets."""
+    as_of = as_of or dt.date.today()
+    r = spark.range(n_records)
+    i = F.col("id")
+    days_since = (1 + F.floor(uniform(i, 1, seed) * 1095)).cast("int")
+    seg = choice(SEGMENTS, uniform(i, 2, seed))
+    m = lookup(SEGMENT_MULTIPLIER, seg)
+    ltv = ((100 + uniform(i, 3, seed) * 1900) * m).cast("int")
+    gap = F.greatest(F.lit(1), (F.lit(30) / m + (uniform(i, 4, seed) * 20 - 10)).cast("int"))
+    orders = F.greatest(F.lit(1), (days_since / gap).cast("int"))
+    return r.select(
+        F.format_string("CUST%05d", i + 1).alias("Customer_ID"),
+        F.date_sub(F.lit(as_of), days_since).alias("Acquisition_Date"),
+        days_since.alias("Days_Since_Acquisition"),
+        seg.alias("Segment"),
+        choice(COUNTRIES, uniform(i, 5, seed)).alias("Country"),
+        choice(ACQ_CHANNELS, uniform(i, 6, seed)).alias("Acquisition_Channel"),
+        ltv.alias("Lifetime_Value"),
+        orders.alias("Total_Orders"),
+        round_num(ltv / orders, 2).alias("Avg_Order_Value"),
+        F.floor(uniform(i, 7, seed) * (gap * 2 + 1)).cast("int").alias("Days_Since_Last_Purchase"),
+        round_num(3.0 + uniform(i, 8, seed) * 2.0, 1).alias("Customer_Satisfaction"),
+        round_num((0.2 + uniform(i, 9, seed) * 0.8) * m, 2).alias("Engagement_Score"),
+        F.greatest(F.lit(0), (poisson(uniform(i, 10, seed), 2.0) * (1 / m)).cast("int")).alias("Support_Tickets"),
+        (uniform(i, 11, seed) < 0.5).alias("Newsletter_Subscriber"),
+        round_num(0.1 + uniform(i, 12, seed) * 0.8, 2).alias("Churn_Risk"),
+    )
+
+
+def financial(spark: SparkSession, seed: int = 42) -> DataFrame:
+    """src_synth_financial: 24 months x 33 subcategories = 792 rows; variance = amount - budget.
+
+    Month x subcategory is a ``sequence`` explode times a literal subcategory
+    array (both fixed and small), not a join.
+    """
+    subs = [(c, s) for c in FIN_CATEGORIES for s in FIN_SUBCATEGORIES[c]]
+    months = spark.range(FIN_MONTHS).select(F.add_months(F.lit(dt.date(2023, 1, 1)), F.col("id").cast("int")).alias("Date"))
+    sub_arr = F.array(*[F.struct(F.lit(c).alias("Category"), F.lit(s).alias("Subcategory"), F.lit(k).alias("k")) for k, (c, s) in enumerate(subs)])
+    grid = months.select("Date", F.explode(sub_arr).alias("x")).select("Date", "x.*")
+    key = F.concat_ws("|", F.col("Date").cast("string"), F.col("k").cast("string"))
+    lo = lookup({c: float(a) for c, (a, b) in FIN_BASE_AMOUNTS.items()}, F.col("Category"))
+    hi = lookup({c: float(b) for c, (a, b) in FIN_BASE_AMOUNTS.items()}, F.col("Category"))
+    amt = lo + uniform(key, 1, seed) * (hi - lo)
+    month = F.month("Date")
+    rev = F.col("Category") == "Revenue"
+    amt = F.when(month.isin(11, 12) & rev, amt * 1.3).when(month.isin(1, 2) & rev, amt * 0.8).otherwise(amt)
+    amt = F.when(F.col("Category").isin("Revenue", "Other Income"), amt).otherwise(-amt)
+    amount = round_num(amt, 2)
+    budget = round_num(amount * (0.9 + uniform(key, 2, seed) * 0.2), 2)
+    return grid.select(
+        "Date",
+        "Category",
+        "Subcategory",
+        amount.alias("Amount"),
+        budget.alias("Budget"),
+        round_num(amount - budget, 2).alias("Variance"),
+        choice(FIN_DEPARTMENTS, uniform(key, 3, seed)).alias("Department"),
+        F.concat(F.lit("CC"), (1000 + F.floor(uniform(key, 4, seed) * 9000)).cast("int").cast("string")).alias("Cost_Center"),
+        choice(APPROVERS, uniform(key, 5, seed)).alias("Approved_By"),
+    )
