@@ -99,10 +99,10 @@ def gamma_k3(u1: Column, u2: Column, u3: Column, scale: float) -> Column:
     return -F.lit(scale) * F.log(F.greatest(u1, eps) * F.greatest(u2, eps) * F.greatest(u3, eps))
 
 
-def sales(spark: SparkSession, n_records: int = 1000, seed: int = 42) -> DataFrame:
+def sales(spark: SparkSession, n_records: int = 1000, seed: int = 42, partitions: int | None = None) -> DataFrame:
     """src_synth_sales: price +-20 % around the product base, Poisson(3) quantity (>= 1),
     revenue x1.2 in Nov/Dec, marketing spend 5-20 % of revenue; sorted by date."""
-    r = spark.range(n_records)
+    r = spark.range(0, n_records, 1, partitions)
     i = F.col("id")
     days = (dt.date(2024, 12, 31) - dt.date(2023, 1, 1)).days + 1
     product = choice(PRODUCTS, uniform(i, 1, seed))
@@ -126,10 +126,10 @@ def sales(spark: SparkSession, n_records: int = 1000, seed: int = 42) -> DataFra
     return out.orderBy("Date", "row_id").drop("row_id")
 
 
-def employees(spark: SparkSession, n_records: int = 500, seed: int = 42, as_of: dt.date | None = None) -> DataFrame:
+def employees(spark: SparkSession, n_records: int = 500, seed: int = 42, partitions: int | None = None, as_of: dt.date | None = None) -> DataFrame:
     """src_synth_employee: salary by department x1.3 (senior/lead) or x1.6 (manager/director) +-20 %."""
     as_of = as_of or dt.date.today()
-    r = spark.range(n_records)
+    r = spark.range(0, n_records, 1, partitions)
     i = F.col("id")
     dept = choice(DEPARTMENTS, uniform(i, 1, seed))
     pos_arr = F.create_map(*[x for d, ps in POSITIONS.items() for x in (F.lit(d), F.array(*[F.lit(p) for p in ps]))])[dept]
@@ -156,10 +156,10 @@ def employees(spark: SparkSession, n_records: int = 500, seed: int = 42, as_of:
     )
 
 
-def customers(spark: SparkSession, n_records: int = 800, seed: int = 42, as_of: dt.date | None = None) -> DataFrame:
+def customers(spark: SparkSession, n_records: int = 800, seed: int = 42, partitions: int | None = None, as_of: dt.date | None = None) -> DataFrame:
     """src_synth_customer: segment multiplier 3 / 1.5 / 1 drives value, order gap, engagement, tickets."""
     as_of = as_of or dt.date.today()
-    r = spark.range(n_records)
+    r = spark.range(0, n_records, 1, partitions)
     i = F.col("id")
     days_since = (1 + F.floor(uniform(i, 1, seed) * 1095)).cast("int")
     seg = choice(SEGMENTS, uniform(i, 2, seed))
