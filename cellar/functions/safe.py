@@ -92,3 +92,28 @@ def round_num(c, decimals: int = 0) -> Column:
     x = col(c).cast("double")
     p = float(10**decimals)
     return F.signum(x) * F.floor(F.abs(x) * F.lit(p) + F.lit(0.5)) / F.lit(p)
+
+
+def has_substring(c: Column, s: str) -> Column:
+    """``c`` contains the literal ``s`` (LIKE '%s%', which plans as a fast contains)."""
+    esc = s.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
+    return c.like(f"%{esc}%")
+
+
+def compact(arr: Column, element_type: str = "string") -> Column:
+    """Drop nulls from an array of distinct values, keeping order.
+
+    ``array_compact`` is a lambda ``filter`` (interpreted, outside whole-stage
+    codegen); ``array_except(arr, [NULL])`` is code-generated.
+    """
+    return F.array_except(arr, F.array(F.lit(None).cast(element_type)))
+
+
+def explode_nonempty(arr: Column) -> Column:
+    """``explode`` without the inferred ``size(arr) > 0`` filter.
+
+    For ``explode`` the optimizer adds that filter below the projections and so
+    evaluates an expensive array expression twice; ``explode_outer`` (plus a
+    null filter by the caller) evaluates it once.
+    """
+    return F.explode_outer(arr)

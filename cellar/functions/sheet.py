@@ -119,14 +119,16 @@ def fn_trim(text) -> Column:
 def fn_title(text) -> Column:
     """Python ``str.title``: upper-case the first letter of each letter run, lower the rest.
 
-    ``initcap`` only looks at spaces ("Node.js"); Python gives "Node.Js".
+    ``initcap`` only starts a word after a space ("Node.js"); Python gives
+    "Node.Js". Every non-letter is first followed by a marker and a space, so
+    ``initcap`` starts a word after it, then the markers are removed again.
+    Lambda-free, so it stays inside whole-stage codegen.
     """
-    runs = F.regexp_extract_all(_c(text).cast("string"), F.lit(r"(\p{L}+|\P{L}+)"), 1)
-    cap = F.transform(
-        runs,
-        lambda w: F.when(w.rlike(r"^\p{L}"), F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30)))).otherwise(w),
-    )
-    return F.array_join(cap, "")
+    marked = F.regexp_replace(_c(text).cast("string"), r"([^\p{L}])", "$1" + TITLE_MARK + " ")
+    return F.regexp_replace(F.initcap(marked), TITLE_MARK + " ", "")
+
+
+TITLE_MARK = "\u0002"
 
 
 # ---------------------------------------------------------------- dates

@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellar.functions.safe import compact, has_substring
+
 from cellar.functions.sheet import fn_title
 
 # ---------------------------------------------------------------------------
@@ -79,37 +81,72 @@ WORD = r"\p{L}\p{N}_"
 _B = rf"(?<![{WORD}])"
 _E = rf"(?![{WORD}])"
 CATEGORY_LABELS = {c: c.replace("_", " ").title() for c in TECHNICAL_SKILLS}
+SEP = "\u0003"  # joins array items into one text; never part of a matched phrase
+
+
+def _title_each(items: Column) -> Column:
+    """Title-case every item of a string array without a lambda (join, title, split)."""
+    return F.split(fn_title(F.array_join(items, SEP)), SEP)
 
 
 def word_pattern(term: str) -> str:
-    """Whole-word, literal pattern for a vocabulary term."""
-    return _B + re.escape(term).replace("\\ ", " ") + _E
+    """Whole-word pattern for a vocabulary term: the literal first (fast scan),
+    then the boundary checks before and after it."""
+    lit = "\\Q" + term + "\\E"
+    return lit + rf"(?<![{WORD}]{lit})(?![{WORD}])"
+
+
+def is_single_word(term: str) -> bool:
+    return re.fullmatch(r"[a-z0-9_]+", term) is not None
+
+
+def tokens(lower_text: Column) -> Column:
+    """Distinct maximal runs of word characters (one regex split per text).
+
+    A term made only of word characters occurs as a whole word exactly when it
+    is one of these runs, so single-word vocabulary terms need no regex scan.
+    """
+    return F.array_distinct(F.split(lower_text, rf"[^{WORD}]+"))
+
 
+SINGLE_WORD_TERMS = sorted(
+    {t for ts in TECHNICAL_SKILLS.values() for t in ts if is_single_word(t)}
+    | {t for t in SOFT_SKILLS if is_single_word(t)}
+    | {k for ks in EDUCATION_LEVELS.values() for k in ks if is_single_word(k)}
+)
 
-def _has_term(lower_text: Column, term: str) -> Column:
+
+def vocabulary_hits(toks: Column) -> Column:
+    """The single-word vocabulary terms present in ``toks`` (hash-based intersection)."""
+    return F.array_intersect(F.array(*[F.lit(t) for t in SINGLE_WORD_TERMS]), toks)
+
+
+def _has_term(lower_text: Column, term: str, hits: Column | None = None) -> Column:
+    if hits is not None and is_single_word(term):
+        return F.array_contains(hits, F.lit(term))
     # the cheap substring test short-circuits the regex for absent terms
-    return F.contains(lower_text, F.lit(term)) & lower_text.rlike(word_pattern(term))
+    return has_substring(lower_text, term) & lower_text.rlike(word_pattern(term))
 
 
-def terms_found(lower_text: Column, terms: Sequence[str]) -> Column:
+def terms_found(lower_text: Column, terms: Sequence[str], hits: Column | None = None) -> Column:
     """array<string> of the terms present as whole words, in vocabulary order."""
-    return F.array_compact(F.array(*[F.when(_has_term(lower_text, t), F.lit(t)) for t in terms]))
+    return compact(F.array(*[F.when(_has_term(lower_text, t, hits), F.lit(t)) for t in terms]))
 
 
-def technical_skills(lower_text: Column) -> Column:
+def technical_skills(lower_text: Column, hits: Column | None = None) -> Column:
     """txt_tech_skills: map category -> array of skills found (lower-case keys)."""
-    return F.create_map(*[x for cat, skills in TECHNICAL_SKILLS.items() for x in (F.lit(cat), terms_found(lower_text, skills))])
+    return F.create_map(*[x for cat, skills in TECHNICAL_SKILLS.items() for x in (F.lit(cat), terms_found(lower_text, skills, hits))])
 
 
-def soft_skills(lower_text: Column) -> Column:
+def soft_skills(lower_text: Column, hits: Column | None = None) -> Column:
     """txt_soft_skills: array of soft skills found."""
-    return terms_found(lower_text, SOFT_SKILLS)
+    return terms_found(lower_text, SOFT_SKILLS, hits)
 
 
-def education_degrees(lower_text: Column) -> Column:
+def education_degrees(lower_text: Column, hits: Column | None = None) -> Column:
     """One entry per keyword hit, labelled by its level (the reference's list)."""
-    hits = [F.when(_has_term(lower_text, kw), F.lit(level)) for level, kws in EDUCATION_LEVELS.items() for kw in kws]
-    return F.array_compact(F.array(*hits))
+    found = [F.when(_has_term(lower_text, kw, hits), F.lit(level)) for level, kws in EDUCATION_LEVELS.items() for kw in kws]
+    return compact(F.array(*found))
 
 
 def highest_level(degrees: Column) -> Column:
@@ -122,15 +159,27 @@ def highest_level(degrees: Column) -> Column:
 
 def institutions(lower_text: Column) -> Column:
     """txt_institutions: distinct title-cased 'university of X', 'X university', ... (sorted)."""
-    found = [F.regexp_extract_all(lower_text, F.lit("(" + p.format(w=f"[{WORD}]") + ")"), 1) for p in INSTITUTION_PATTERNS]
-    return F.array_sort(F.array_distinct(F.transform(F.concat(*found), lambda m: fn_title(m))))
+    empty = F.array().cast("array<string>")
+    found = []
+    for p in INSTITUTION_PATTERNS:
+        word = "university" if "university" in p else p.rsplit(" ", 1)[-1]
+        extract = F.regexp_extract_all(lower_text, F.lit("(" + p.format(w=f"[{WORD}]") + ")"), 1)
+        found.append(F.when(has_substring(lower_text, word), extract).otherwise(empty))
+    return F.sort_array(F.array_distinct(_title_each(F.concat(*found))))
 
 
-def experience_years(text: Column) -> Column:
+def experience_years(text: Column, toks: Column | None = None) -> Column:
     """txt_experience_years: max stated years; else 2 x date ranges (at most 15); else 0."""
-    nums = F.concat(*[F.regexp_extract_all(text, F.lit("(?i)" + p), 1) for p in EXPERIENCE_PATTERNS])
-    stated = F.array_max(F.transform(nums, lambda s: s.try_cast("bigint")))
-    periods = sum((F.regexp_count(text, F.lit("(?i)" + p)) for p in JOB_PERIOD_PATTERNS), F.lit(0))
+    low = F.lower(text)
+    has_year = has_substring(low, "year")
+    empty = F.array().cast("array<string>")
+    nums = F.when(has_year, F.concat(*[F.regexp_extract_all(text, F.lit("(?i)" + p), 1) for p in EXPERIENCE_PATTERNS])).otherwise(empty)
+    stated = F.array_max(nums.try_cast("array<bigint>"))
+    month_range = F.regexp_count(text, F.lit("(?i)" + JOB_PERIOD_PATTERNS[0]))
+    if toks is not None:  # a month range needs a month name as a word: test the token set first
+        months = F.array(*[F.lit(m) for m in _MONTHS.split("|")])
+        month_range = F.when(F.arrays_overlap(toks, months), month_range).otherwise(F.lit(0))
+    periods = month_range + F.regexp_count(text, F.lit("(?i)" + JOB_PERIOD_PATTERNS[1]))
     fallback = F.when(periods > 0, F.least(periods * 2, F.lit(15))).otherwise(F.lit(0))
     return F.coalesce(stated, fallback).cast("bigint")
 
@@ -141,11 +190,12 @@ def _first(text: Column, pattern: str) -> Column:
 
 def contact_info(text: Column) -> Column:
     """txt_contact: first e-mail, phone, LinkedIn and GitHub match (null when absent)."""
+    low = F.lower(text)
     return F.struct(
-        _first(text, EMAIL_PATTERN.format(b=_B, e=_E)).alias("email"),
-        _first(text, PHONE_PATTERN).alias("phone"),
-        _first(text, LINKEDIN_PATTERN).alias("linkedin"),
-        _first(text, GITHUB_PATTERN).alias("github"),
+        F.when(has_substring(text, "@"), _first(text, EMAIL_PATTERN.format(b=_B, e=_E))).alias("email"),
+        F.when(text.rlike("[0-9]{3}"), _first(text, PHONE_PATTERN)).alias("phone"),
+        F.when(has_substring(low, "linkedin.com/in/"), _first(text, LINKEDIN_PATTERN)).alias("linkedin"),
+        F.when(has_substring(low, "github.com/"), _first(text, GITHUB_PATTERN)).alias("github"),
     )
 
 
@@ -156,8 +206,8 @@ def certifications(lower_text: Column) -> Column:
     sorted (the reference's set order is arbitrary), first 10.
     """
     pats = [p.format(w=WORD) for p in CERT_PATTERNS]
-    has_cd = F.contains(lower_text, F.lit("certified"))
-    has_cn = F.contains(lower_text, F.lit("certification"))
+    has_cd = has_substring(lower_text, "certified")
+    has_cn = has_substring(lower_text, "certification")
     empty = F.array().cast("array<string>")
     found = F.concat(
         F.when(has_cd, F.regexp_extract_all(lower_text, F.lit("(" + pats[0] + ")"), 1)).otherwise(empty),
@@ -165,12 +215,18 @@ def certifications(lower_text: Column) -> Column:
         F.when(has_cn, F.regexp_extract_all(lower_text, F.lit("(" + pats[2] + ")"), 1)).otherwise(empty),
         F.when(has_cn, F.regexp_extract_all(lower_text, F.lit("(" + pats[3] + ")"), 1)).otherwise(empty),
     )
-    titled = F.array_distinct(F.transform(found, lambda m: fn_title(F.regexp_replace(m, r"^\s+|\s+$", ""))))
-    kept = F.filter(
-        titled,
-        lambda c: (F.size(F.split(c, r"\s+")) <= CERT_MAX_WORDS) & (F.length(c) > CERT_MIN_CHARS),
-    )
-    return F.slice(F.array_sort(kept), 1, CERT_MAX_ITEMS)
+    # strip every phrase, title-case them all at once, then drop the phrases with
+    # more than 5 words or at most 5 characters — on the joined text, by regex
+    joined = F.regexp_replace(F.array_join(found, SEP), rf"\s*{SEP}\s*", SEP)
+    joined = F.regexp_replace(joined, r"^\s+|\s+$", "")
+    titled = fn_title(joined)
+    item = rf"(?<=^|{SEP})"
+    end = rf"(?={SEP}|$)"
+    too_long = item + rf"(?:[^{SEP}\s]+\s+){{{CERT_MAX_WORDS},}}[^{SEP}\s]+" + end
+    too_short = item + rf"[^{SEP}]{{0,{CERT_MIN_CHARS}}}" + end
+    kept = F.regexp_replace(F.regexp_replace(titled, too_long, ""), too_short, "")
+    parts = F.array_remove(F.array_distinct(F.split(kept, SEP)), "")
+    return F.when(F.size(found) > 0, F.slice(F.sort_array(parts), 1, CERT_MAX_ITEMS)).otherwise(F.array().cast("array<string>"))
 
 
 def all_skills(tech_map: Column, soft: Column) -> Column:
@@ -184,15 +240,18 @@ def analyze(df: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_i
     ``total_technical_skills`` counts skills (the reference counted categories
     and always reported 6); ``skills_diversity`` counts non-empty categories.
     """
-    low = F.lower(F.col(text_col))
-    base = df.select(
+    staged = df.select(*keep, F.col(text_col).alias("__text"), F.lower(F.col(text_col)).alias("__low"))
+    staged = staged.withColumn("__toks", tokens(F.col("__low")))
+    staged = staged.withColumn("__hits", vocabulary_hits(F.col("__toks")))
+    low, hits, text, toks = F.col("__low"), F.col("__hits"), F.col("__text"), F.col("__toks")
+    base = staged.select(
         *keep,
-        technical_skills(low).alias("technical_skills"),
-        soft_skills(low).alias("soft_skills"),
-        education_degrees(low).alias("degrees"),
+        technical_skills(low, hits).alias("technical_skills"),
+        soft_skills(low, hits).alias("soft_skills"),
+        education_degrees(low, hits).alias("degrees"),
         institutions(low).alias("institutions"),
-        experience_years(F.col(text_col)).alias("experience_years"),
-        contact_info(F.col(text_col)).alias("contact"),
+        experience_years(text, toks).alias("experience_years"),
+        contact_info(text).alias("contact"),
         certifications(low).alias("certifications"),
     )
     tech_sizes = [F.size(F.col("technical_skills")[c]) for c in TECHNICAL_SKILLS]
@@ -208,14 +267,14 @@ def analyze(df: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_i
 
 def skill_rows(analysis: DataFrame, key: str = "doc_id") -> DataFrame:
     """txt_skill_rows: long form (key, skill, category, type, count=1)."""
-    tech = analysis.select(key, F.explode("technical_skills").alias("category", "skills")).select(
+    tech = analysis.select(key, F.explode_outer("technical_skills").alias("category", "skills")).select(
         key,
-        F.explode("skills").alias("skill"),
+        F.explode_outer("skills").alias("skill"),
         F.col("category"),
-    )
+    ).filter(F.col("skill").isNotNull())
     labels = F.create_map(*[x for c, lab in CATEGORY_LABELS.items() for x in (F.lit(c), F.lit(lab))])
     tech = tech.select(key, "skill", labels[F.col("category")].alias("category"), F.lit("Technical").alias("type"))
-    soft = analysis.select(key, F.explode("soft_skills").alias("skill")).select(
+    soft = analysis.select(key, F.explode_outer("soft_skills").alias("skill")).filter(F.col("skill").isNotNull()).select(
         key, "skill", F.lit("Soft Skills").alias("category"), F.lit("Soft").alias("type")
     )
     return tech.unionByName(soft).withColumn("count", F.lit(1)).withColumn("label", fn_title(F.col("skill")))
@@ -275,10 +334,10 @@ def title_skills(title: Column) -> Column:
     for any_of, all_of, skills in TITLE_RULES:
         cond = None
         for w in any_of:
-            c = F.contains(t, F.lit(w))
+            c = has_substring(t, w)
             cond = c if cond is None else cond | c
         for w in all_of or ():
-            cond = cond & F.contains(t, F.lit(w))
+            cond = cond & has_substring(t, w)
         parts.append(F.when(cond, F.array(*[F.lit(s) for s in skills])).otherwise(F.array().cast("array<string>")))
     return F.concat(*parts)
 
@@ -297,7 +356,7 @@ def job_education(text: Column) -> Column:
     for level, words in JOB_EDUCATION_RULES:
         cond = None
         for w in words:
-            c = F.contains(low, F.lit(w))
+            c = has_substring(low, w)
             cond = c if cond is None else cond | c
         out = F.when(cond, F.lit(level)) if out is None else out.when(cond, F.lit(level))
     return out.otherwise(F.lit(DEFAULT_JOB_EDUCATION))
