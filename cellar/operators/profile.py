@@ -8,8 +8,9 @@ Plan shape used throughout:
   map-side, so a value that fills a third of the table costs one counter per
   task. Distinct counts, modes, top values, exact quantiles and IQR outlier
   counts are all read off this table, never off the raw rows again;
-* exact quantiles rank the distinct values with the bucketed prefix scan of
-  ``ordered.prefix_scan`` (no single task holds a whole column).
+* exact quantiles range-bucket the distinct values (``ordered.with_buckets``),
+  locate the buckets that hold the target ranks from per-bucket counts, and
+  sort only those buckets (no task ever holds a whole column).
 
 Results are small (one row per column) and are joined on ``column``.
 """
@@ -18,18 +19,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellar.functions.safe import (
     numeric_columns,
-    round_num,
     require_columns,
+    round_num,
     text_columns,
     type_class,
 )
-from cellar.operators.ordered import Scan, prefix_scan
+from cellar.operators.ordered import _BUCKET, with_buckets
 
 # Correlation strength labels by absolute r.
 STRENGTH_LADDER = ((0.9, "Very Strong"), (0.7, "Strong"), (0.5, "Moderate"), (0.3, "Weak"))
@@ -57,39 +58,55 @@ def value_counts_long(df: DataFrame, cols: Sequence[str], as_type: str = "double
     return long_values(df, cols, as_type).groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def exact_quantiles(vc: DataFrame, probs: Sequence[float], by: Sequence[str] = ("column",), broadcast_targets: bool = True) -> DataFrame:
+def exact_quantiles(
+    vc: DataFrame,
+    probs: Sequence[float],
+    by: Sequence[str] = ("column",),
+    broadcast_targets: bool = True,
+    n_buckets: int | None = None,
+) -> DataFrame:
     """Exact linear-interpolated quantiles (pandas / DuckDB ``quantile_cont``).
 
-    ``vc`` holds (by..., value, cnt). Ranks are cumulative counts over distinct
-    values per group; position h = (n-1)p picks values at floor(h) and ceil(h).
-    Targets (groups x probs rows) meet the ranked values in one join whose
-    condition is ``by`` equality plus a rank range.
+    ``vc`` holds (by..., value, cnt). Position h = (n-1)p picks the values at
+    ranks floor(h) and ceil(h). Instead of ranking every distinct value:
+
+    1. range buckets over (by, value) from a bounded sample; counts per bucket
+       and their running offsets form a small table (groups x buckets rows);
+    2. the buckets holding the target ranks are looked up in that table;
+    3. only the rows of those buckets are sorted (a window per bucket) to get
+       exact ranks, then joined to the targets.
     """
     by = list(by)
-    ranked = prefix_scan(vc, ["value"], [Scan("sum", F.col("cnt"), "__cum")], partition_by=by)
-    ranked = ranked.select(*by, "value", (F.col("__cum") - F.col("cnt")).alias("__start"), (F.col("__cum") - 1).alias("__end"))
-    n = vc.groupBy(*by).agg(F.sum("cnt").alias("__n"))
+    b = with_buckets(vc, by + ["value"], n_buckets)
+    tot = b.groupBy(*by, _BUCKET).agg(F.sum("cnt").alias("__bc"))
+    w_off = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(_BUCKET)
+    off = tot.select(*by, _BUCKET, "__bc", (F.sum("__bc").over(w_off.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__bc")).alias("__off"))
+    n = tot.groupBy(*by).agg(F.sum("__bc").alias("__n"))
     targets = (
         n.withColumn("p", F.explode(F.array(*[F.lit(float(x)) for x in probs])))  # groups x probs
         .withColumn("__h", (F.col("__n") - 1) * F.col("p"))
         .withColumn("__lo", F.floor("__h"))
         .withColumn("__hi", F.ceil("__h"))
     )
-    t = F.broadcast(targets) if broadcast_targets else targets
-    cond = [ranked[b] == targets[b] for b in by] + [
-        ((targets["__lo"] >= ranked["__start"]) & (targets["__lo"] <= ranked["__end"]))
-        | ((targets["__hi"] >= ranked["__start"]) & (targets["__hi"] <= ranked["__end"]))
-    ]
-    hit = ranked.join(t, on=cond, how="inner").select(
-        *[ranked[b] for b in by],
-        targets["p"],
-        targets["__h"],
-        targets["__lo"],
-        targets["__hi"],
-        ranked["value"],
-        ranked["__start"],
-        ranked["__end"],
+    # the small tables share lineage: join them through renamed columns
+    o = off.select(*[F.col(c).alias(f"__o_{c}") for c in by], F.col(_BUCKET).alias("__o_bkt"), "__bc", "__off")
+    in_bucket = lambda r: (F.col(r) >= F.col("__off")) & (F.col(r) < F.col("__off") + F.col("__bc"))
+    need = (
+        targets.join(o, on=[F.col(c) == F.col(f"__o_{c}") for c in by] + [in_bucket("__lo") | in_bucket("__hi")], how="inner")
+        .select(*[F.col(f"__o_{c}").alias(c) for c in by], F.col("__o_bkt").alias(_BUCKET), "__off")
+        .dropDuplicates()
+    )
+    need_j = F.broadcast(need) if broadcast_targets else need  # <= groups x probs x 2 rows
+    rows = b.join(need_j, on=by + [_BUCKET], how="inner")
+    w = Window.partitionBy(*by, _BUCKET).orderBy("value")
+    cum = F.col("__off") + F.sum("cnt").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = rows.select(*by, "value", "cnt", cum.alias("__cum")).select(
+        *[F.col(c).alias(f"__r_{c}") for c in by], "value", (F.col("__cum") - F.col("cnt")).alias("__start"), (F.col("__cum") - 1).alias("__end")
     )
+    t = F.broadcast(targets) if broadcast_targets else targets
+    covers = lambda r: (F.col(r) >= F.col("__start")) & (F.col(r) <= F.col("__end"))
+    cond = [F.col(f"__r_{c}") == F.col(c) for c in by] + [covers("__lo") | covers("__hi")]
+    hit = ranked.join(t, on=cond, how="inner").select(*by, "p", "__h", "__lo", "__hi", "value", "__start", "__end")
     lo_v = F.max(F.when((F.col("__lo") >= F.col("__start")) & (F.col("__lo") <= F.col("__end")), F.col("value")))
     hi_v = F.max(F.when((F.col("__hi") >= F.col("__start")) & (F.col("__hi") <= F.col("__end")), F.col("value")))
     agg = hit.groupBy(*by, "p").agg(lo_v.alias("__vlo"), hi_v.alias("__vhi"), F.first("__h").alias("__h"), F.first("__lo").alias("__flo"))
