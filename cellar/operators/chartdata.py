@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cellar.functions.safe import numeric_columns, require_columns, round_num
 from cellar.operators.ordered import Scan, prefix_scan
 from cellar.operators.profile import corr_long, exact_quantiles, long_values, value_counts_long
+from cellar.session import materialize
 
 
 def _bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
@@ -26,10 +27,10 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """ch_histogram: equal-width bins over [min, max] plus the column mean and median."""
     require_columns(df, [column])
     x = F.col(column).cast("double")
-    lo = df.select(F.min(x)).scalar()
-    hi = df.select(F.max(x)).scalar()
-    mean = df.select(F.avg(x)).scalar()
-    median = exact_quantiles(value_counts_long(df, [column]), [0.5]).select("q").scalar()
+    # one aggregate for min / max / mean: a single struct-valued scalar subquery
+    st = df.select(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"), F.avg(x).alias("m"))).scalar()
+    lo, hi, mean = st["lo"], st["hi"], st["m"]
+    median = exact_quantiles(materialize(value_counts_long(df, [column])), [0.5]).select("q").scalar()
     width = (hi - lo) / F.lit(bins)
     counts = df.filter(x.isNotNull()).groupBy(_bin(x, lo, hi, bins).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     return counts.select(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cellar.functions.safe import require_columns
 from cellar.operators.profile import exact_quantiles, value_counts_long
+from cellar.session import materialize
 
 
 def _stat(df: DataFrame, expr):
@@ -18,7 +19,7 @@ def _stat(df: DataFrame, expr):
 
 
 def _quantile(df: DataFrame, column: str, p: float):
-    vc = value_counts_long(df, [column])
+    vc = materialize(value_counts_long(df, [column]))  # read by the bucket sample and the query
     return exact_quantiles(vc, [p]).select("q").scalar()
 
 
@@ -26,8 +27,8 @@ def color_scale(df: DataFrame, column: str, reverse: bool = False, name: str | N
     """cf_color_scale / cf_color_scale_rev: (x - min) / (max - min + 1e-9), or 1 minus it."""
     require_columns(df, [column])
     x = F.col(column).cast("double")
-    lo = _stat(df, F.min(x))
-    hi = _stat(df, F.max(x))
+    st = _stat(df, F.struct(F.min(x).alias("lo"), F.max(x).alias("hi")))
+    lo, hi = st["lo"], st["hi"]
     norm = (x - lo) / (hi - lo + F.lit(1e-9))
     name = name or (f"{column}_scale_rev" if reverse else f"{column}_scale")
     return df.withColumn(name, (F.lit(1.0) - norm) if reverse else norm)

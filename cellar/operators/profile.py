@@ -31,6 +31,7 @@ from cellar.functions.safe import (
     type_class,
 )
 from cellar.operators.ordered import _BUCKET, with_buckets
+from cellar.session import materialize
 
 # Correlation strength labels by absolute r.
 STRENGTH_LADDER = ((0.9, "Very Strong"), (0.7, "Strong"), (0.5, "Moderate"), (0.3, "Weak"))
@@ -185,7 +186,7 @@ def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None, decimals:
     """
     cols = list(cols or numeric_columns(df))
     mom = _moments_long(df, cols)
-    vc = value_counts_long(df, cols)
+    vc = materialize(value_counts_long(df, cols))  # read by the bucket sample and the query
     quart = _wide_quantiles(vc, {0.25: "q1", 0.5: "median", 0.75: "q3"})
     mode = _mode(vc, "mode")
     outl = _iqr_outliers(vc, quart)
@@ -214,7 +215,7 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """agg_describe: count, mean, std, min, 25%, 50%, 75%, max per numeric column."""
     cols = list(cols or numeric_columns(df))
     mom = _moments_long(df, cols)
-    vc = value_counts_long(df, cols)
+    vc = materialize(value_counts_long(df, cols))  # read by the bucket sample and the query
     quart = _wide_quantiles(vc, {0.25: "q25", 0.5: "q50", 0.75: "q75"})
     return mom.join(quart, "column", "left").select(
         "column", F.col("count").cast("bigint").alias("count"), "mean", "std", "min", "q25", "q50", "q75", "max"
@@ -309,7 +310,7 @@ def general_info(df: DataFrame) -> DataFrame:
 def outlier_counts(df: DataFrame, cols: Sequence[str] | None = None, method: str = "iqr") -> DataFrame:
     """agg_outlier_count_iqr / agg_outlier_count_zscore, one row per column."""
     cols = list(cols or numeric_columns(df))
-    vc = value_counts_long(df, cols)
+    vc = materialize(value_counts_long(df, cols))  # read by the bucket sample and the query
     if method == "iqr":
         quart = _wide_quantiles(vc, {0.25: "q1", 0.75: "q3"})
         return _iqr_outliers(vc, quart)

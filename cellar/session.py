@@ -65,10 +65,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage of a small intermediate result with a reliable checkpoint.
+    """Compute an intermediate result once and cut its lineage.
 
-    Written to the shared ``spark.checkpoint.dir`` (so it survives executor
-    loss); used for metric tables that many later branches read.
+    The result is written as Parquet to a fresh folder under the shared
+    ``spark.checkpoint.dir`` (so it survives executor loss) and read back.
+    Unlike ``checkpoint()`` on an unpersisted plan, the input is computed once.
+    Used for tables that several later jobs read (metric tables, value counts).
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cellar-mat-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
