@@ -222,3 +222,21 @@ def q_ins_rec(spark, d):
 def q_ins_report(spark, d):
     # one Markdown text: a rows-only check (its lines are checked by ins_rows_orders)
     return FD.report(_orders_dirty(spark, d))
+
+
+def _group_query(key: str, label: str):
+    @register(key, f"SELECT * FROM ({findings_sql(_ORD_VIEW, _ORD_COLS)}) WHERE category = '{label}'")
+    def q(spark, d):
+        return _spark_rows(_orders_dirty(spark, d)).filter(F.col("category") == label)
+
+    return q
+
+
+# one query per finding group (ins_data_quality ... ins_business)
+for _key, _cat in [
+    ("ins_data_quality", "data_quality"),
+    ("ins_statistical", "statistical"),
+    ("ins_patterns", "patterns"),
+    ("ins_business", "business_insights"),
+]:
+    _group_query(_key, FD.CATEGORIES[_cat])
