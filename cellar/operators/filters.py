@@ -228,13 +228,22 @@ def duplicates(df: DataFrame, chunk: int = 1 << 16) -> DataFrame:
 def outliers_iqr(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     """flt_outliers_iqr: rows outside [Q1 - k*IQR, Q3 + k*IQR].
 
-    The quartiles are a scalar subquery (one aggregate row), so the big side is
-    filtered in place with no join at all.
+    Q1 and Q3 are exact distributed quantiles (no task holds the whole column),
+    delivered as one struct-valued scalar subquery, so the big side is filtered
+    in place with no join at all.
     """
+    from cellar.operators.profile import exact_quantiles, value_counts_long
+    from cellar.session import materialize
+
     require_columns(df, [column])
     c = F.col(column)
-    q = df.select(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    q1 = q.select(F.col("q")[0]).scalar()
-    q3 = q.select(F.col("q")[1]).scalar()
+    q = exact_quantiles(materialize(value_counts_long(df, [column])), [0.25, 0.75])
+    quart = q.agg(
+        F.struct(
+            F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
+            F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q3"),
+        )
+    ).scalar()
+    q1, q3 = quart["q1"], quart["q3"]
     iqr = q3 - q1
     return df.filter((c < q1 - F.lit(k) * iqr) | (c > q3 + F.lit(k) * iqr))

@@ -118,7 +118,7 @@ def q_scatter(spark, d):
 
 @register(
     "ch_trendline",
-    """SELECT regr_count(l_extendedprice, l_quantity) AS n_points, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope,
+    """SELECT CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n_points, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope,
               round(regr_intercept(l_extendedprice, l_quantity), 6) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2
        FROM lineitem HAVING regr_count(l_extendedprice, l_quantity) > 10""",
 )

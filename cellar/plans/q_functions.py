@@ -54,7 +54,7 @@ def q_logic(spark, d):
 @register(
     "fn_text",
     """SELECT p_partkey, p_name || '-' || CAST(p_size AS VARCHAR) AS cat, left(p_name, 3) AS l3, right(p_name, 4) AS r4,
-              substring(p_name, 2, 5) AS mid, length(p_name) AS len, upper(p_name) AS up, lower(p_brand) AS low,
+              substring(p_name, 2, 5) AS mid, CAST(length(p_name) AS INTEGER) AS len, upper(p_name) AS up, lower(p_brand) AS low,
               regexp_replace('  ' || p_type || ' ', '^\\s+|\\s+$', '', 'g') AS trimmed, right(p_name, 0) AS r0
        FROM part""",
 )
@@ -88,8 +88,8 @@ def q_title(spark, d):
 
 @register(
     "fn_dates",
-    """SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS dd,
-              year(CAST(CAST(o_orderdate AS DATE) AS VARCHAR)::TIMESTAMP) AS y_text
+    """SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, CAST(day(o_orderdate) AS INTEGER) AS dd,
+              CAST(year(CAST(CAST(o_orderdate AS DATE) AS VARCHAR)::TIMESTAMP) AS INTEGER) AS y_text
        FROM orders""",
 )
 def q_dates(spark, d):
@@ -107,8 +107,8 @@ def q_dates(spark, d):
     "fn_datedif",
     """SELECT l_orderkey, l_linenumber,
               CAST(floor(date_diff('microsecond', o_orderdate, l_shipdate) / 86400000000.0) AS BIGINT) AS days,
-              (year(l_shipdate) - year(o_orderdate)) * 12 + month(l_shipdate) - month(o_orderdate) AS months,
-              year(l_shipdate) - year(o_orderdate) AS years
+              CAST((year(l_shipdate) - year(o_orderdate)) * 12 + month(l_shipdate) - month(o_orderdate) AS INTEGER) AS months,
+              CAST(year(l_shipdate) - year(o_orderdate) AS INTEGER) AS years
        FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
 )
 def q_datedif(spark, d):

@@ -237,7 +237,7 @@ def _match_sql(src: str) -> str:
     return f"""SELECT doc_id, round(len({matched}) * 100.0 / {len(_REQS)}, 1) AS match_score,
                array_to_string({matched}, ',') AS matched_skills,
                array_to_string(list_filter({reqs}, lambda r: NOT list_contains({sk}, r)), ',') AS missing_skills,
-               {len(_REQS)} AS total_requirements, len({matched}) AS total_matches FROM {src}"""
+               {len(_REQS)} AS total_requirements, CAST(len({matched}) AS INTEGER) AS total_matches FROM {src}"""
 
 
 def _match_spark(a):
