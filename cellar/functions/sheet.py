@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cellar.functions.safe import round_num
 
@@ -134,11 +133,6 @@ TITLE_MARK = "\u0002"
 # ---------------------------------------------------------------- dates
 
 
-def _ts(x) -> Column:
-    c = _c(x)
-    return c
-
-
 def fn_today() -> Column:
     return F.current_date().cast("string")
 
@@ -192,5 +186,3 @@ def profit_margin_columns(columns: list[str]) -> tuple[str, str] | None:
     revenue = next((c for c in columns if "revenue" in c.lower() or "sales" in c.lower()), None)
     return (profit, revenue) if profit and revenue else None
 
-
-NUMERIC_RESULT = T.DoubleType()

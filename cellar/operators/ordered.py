@@ -31,6 +31,9 @@ from cellar.functions.safe import round_num, require_columns
 
 SAMPLE_PER_BUCKET = 64
 MAX_SAMPLE_ROWS = 200_000
+# Upper bound on range buckets: the CASE tree has log2(n) depth; beyond codegen
+# size limits Spark evaluates it interpreted, still O(log n) per row.
+MAX_BUCKETS = 16384
 
 _BUCKET = "__bkt"
 
@@ -45,7 +48,9 @@ class Scan:
 
 
 def _default_buckets(df: DataFrame) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")))
+    """One bucket per shuffle partition (the cluster sizes those to the data)."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+    return max(1, min(MAX_BUCKETS, n))
 
 
 def _zero(dt: T.DataType):
@@ -176,6 +181,8 @@ def prefix_scan(
             offs.append(F.first(t, ignorenulls=True).over(later).alias(f"__o{i}"))
     # totals has one row per (partition, bucket): about buckets + groups rows.
     offsets = totals.select(*grp, *offs)
+    if not part:  # at most one row per bucket: a proven bound, broadcast it
+        offsets = F.broadcast(offsets)
     joined = b.join(offsets, on=grp, how="left")
     out_cols = []
     for i, s in enumerate(scans):
