@@ -138,7 +138,7 @@ def table_metrics(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
                        F.lit(None).cast("string").alias("top_value"), F.lit(None).cast("bigint").alias("top_count"))
     if num:
         mom = _moments_long(df, num).select("column", F.col("count").alias("n_num"), "mean", "std", "skewness")
-        vcn = value_counts_long(df, num)
+        vcn = materialize(value_counts_long(df, num))  # read by the bucket sample and the metrics
         quart = _wide_quantiles(vcn, {0.25: "q1", 0.75: "q3"})
         fences = quart.select("column", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lf"), (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("hf"))
         outl = vcn.join(F.broadcast(fences), "column").groupBy("column").agg(
