@@ -92,6 +92,11 @@ def write_report(report: DataFrame, path: str) -> str:
 
 
 def write_documents(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> str:
-    """One file per document under ``key=<value>`` folders (the layout read_text_corpus reads)."""
+    """One file per document under ``key=<value>`` folders (the layout read_text_corpus reads).
+
+    Meant for round-trip checks and modest corpora: a file per document is the
+    semantics of a document folder, but billions of tiny files are not a good
+    storage layout — keep large corpora as Parquet ``(doc_id, text)`` tables.
+    """
     df.select(key, F.col(text).alias("value")).repartition(key).write.mode("overwrite").partitionBy(key).text(path)
     return path
