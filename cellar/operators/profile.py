@@ -54,9 +54,65 @@ def long_values(df: DataFrame, cols: Sequence[str], as_type: str = "double") ->
     return out
 
 
-def value_counts_long(df: DataFrame, cols: Sequence[str], as_type: str = "double") -> DataFrame:
-    """(column, value, cnt): one shuffle for all columns."""
-    return long_values(df, cols, as_type).groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
+def value_counts_long(df: DataFrame, cols: Sequence[str], as_type: str = "double", keep_nulls: bool = False) -> DataFrame:
+    """(column, value, cnt): one shuffle for all columns.
+
+    With ``keep_nulls`` the missing values (null, and NaN for doubles) form one
+    group with ``value`` null, so row and missing counts come from the same table.
+    """
+    if not keep_nulls:
+        return long_values(df, cols, as_type).groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    require_columns(df, cols)
+    items = []
+    for c in cols:
+        v = F.col(c).cast(as_type)
+        if as_type == "double":
+            v = F.when(~F.isnan(v), v)
+        items.append(F.struct(F.lit(c).alias("column"), v.alias("value")))
+    lv = df.select(F.explode(F.array(*items)).alias("__s")).select("__s.column", "__s.value")
+    return lv.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def moments_from_counts(vcn: DataFrame) -> DataFrame:
+    """The ``_moments_long`` row per column, computed from a value-count table
+    that keeps the null group — no second pass over the raw rows.
+
+    Two passes over the (small) count table: weighted count/mean/min/max, then
+    weighted central moments about that mean (numerically stable).
+    """
+    present = vcn.filter(F.col("value").isNotNull())
+    base = vcn.groupBy("column").agg(
+        F.sum("cnt").alias("__rows"),
+        F.sum(F.when(F.col("value").isNotNull(), F.col("cnt"))).alias("count"),
+        F.try_divide(F.sum(F.col("cnt") * F.col("value")), F.sum(F.when(F.col("value").isNotNull(), F.col("cnt")))).alias("mean"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+    )
+    d = F.col("value") - F.col("mean")
+    cen = (
+        present.join(F.broadcast(base.select("column", "mean")), "column")  # one row per column
+        .groupBy("column")
+        .agg(
+            F.sum(F.col("cnt") * d * d).alias("__s2"),
+            F.sum(F.col("cnt") * d * d * d).alias("__s3"),
+            F.sum(F.col("cnt") * d * d * d * d).alias("__s4"),
+        )
+    )
+    j = base.join(cen, "column", "left")
+    n = F.col("count").cast("double")
+    m2 = F.try_divide(F.col("__s2"), n)
+    return j.select(
+        F.col("__rows").cast("bigint").alias("__rows"),
+        "column",
+        F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"),
+        "mean",
+        F.when(n > 1, F.sqrt(F.try_divide(F.col("__s2"), n - 1))).alias("std"),
+        F.sqrt(m2).alias("std_pop"),
+        "min",
+        "max",
+        F.when(m2 > 0, F.try_divide(F.col("__s3"), n) / F.pow(m2, 1.5)).alias("skewness"),
+        F.when(m2 > 0, F.try_divide(F.col("__s4"), n) / (m2 * m2) - 3.0).alias("kurtosis"),
+    )
 
 
 def exact_quantiles(
@@ -185,8 +241,11 @@ def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None, decimals:
     forms, kurtosis in excess (Fisher) form — SciPy's defaults.
     """
     cols = list(cols or numeric_columns(df))
-    mom = _moments_long(df, cols)
-    vc = materialize(value_counts_long(df, cols))  # read by the bucket sample and the query
+    # one pass over the raw rows: value counts with the null group, read by the
+    # moments, the bucket sample, quantiles, mode and outliers
+    vcn = materialize(value_counts_long(df, cols, keep_nulls=True))
+    mom = moments_from_counts(vcn)
+    vc = vcn.filter(F.col("value").isNotNull())
     quart = _wide_quantiles(vc, {0.25: "q1", 0.5: "median", 0.75: "q3"})
     mode = _mode(vc, "mode")
     outl = _iqr_outliers(vc, quart)
