@@ -156,3 +156,16 @@ def q_distinct(spark, d):
 )
 def q_distinct_report(spark, d):
     return A.distinct_report(table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber"))
+
+
+def _sheet_fn(key: str, col: str):
+    @register(key, f"SELECT {col} FROM ({_SHEET_SQL})")
+    def q(spark, d):
+        return q_sheet(spark, d).select(col)
+
+    return q
+
+
+for _k, _c in [("agg_sheet_sum", "sheet_sum"), ("agg_sheet_average", "sheet_average"), ("agg_sheet_min", "sheet_min"),
+               ("agg_sheet_max", "sheet_max"), ("agg_sheet_count", "sheet_count")]:
+    _sheet_fn(_k, _c)

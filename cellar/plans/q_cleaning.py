@@ -283,3 +283,12 @@ def q_fill_mode(spark, d):
 )
 def q_fill_zero(spark, d):
     return CL.fill_zero(_fill_df(spark, d))
+
+
+@register(
+    "clean_dedupe_names",
+    "SELECT o_orderkey AS total, o_totalprice AS total_1, o_custkey AS total_2, o_orderstatus AS status FROM orders",
+)
+def q_dedupe(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey", "o_orderstatus")
+    return CL.clean_names(o.toDF("total", "total", " total ", "status"))

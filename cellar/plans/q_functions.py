@@ -140,3 +140,61 @@ def q_margin(spark, d):
 def q_today(spark, d):
     # non-deterministic by design: rows-only check
     return table(spark, d, "region").select("r_regionkey", X.fn_today().alias("today"), X.fn_now().alias("now"))
+
+
+# ---------------------------------------------------------------- one query per function ID
+# Each projects one function's column(s) from the grouped queries above (same
+# builders, same tables), so every SURVEY §2.9 ID has its own registered check.
+
+_PER_ID = {
+    "fn_round": ("fn_math", ["p_partkey", "r"]),
+    "fn_abs": ("fn_math", ["p_partkey", "a"]),
+    "fn_power": ("fn_math", ["p_partkey", "pw"]),
+    "fn_sqrt": ("fn_math", ["p_partkey", "sq"]),
+    "fn_if": ("fn_logic", ["p_partkey", "size_class", "parity"]),
+    "fn_and": ("fn_logic", ["p_partkey", "both_"]),
+    "fn_or": ("fn_logic", ["p_partkey", "either"]),
+    "fn_not": ("fn_logic", ["p_partkey", "neg"]),
+    "fn_concat": ("fn_text", ["p_partkey", "cat"]),
+    "fn_left": ("fn_text", ["p_partkey", "l3"]),
+    "fn_right": ("fn_text", ["p_partkey", "r4", "r0"]),
+    "fn_mid": ("fn_text", ["p_partkey", "mid"]),
+    "fn_len": ("fn_text", ["p_partkey", "len"]),
+    "fn_upper": ("fn_text", ["p_partkey", "up"]),
+    "fn_lower": ("fn_text", ["p_partkey", "low"]),
+    "fn_trim": ("fn_text", ["p_partkey", "trimmed"]),
+    "fn_year": ("fn_dates", ["o_orderkey", "y", "y_text"]),
+    "fn_month": ("fn_dates", ["o_orderkey", "m"]),
+    "fn_day": ("fn_dates", ["o_orderkey", "dd"]),
+    "fn_datedif_d": ("fn_datedif", ["l_orderkey", "l_linenumber", "days"]),
+    "fn_datedif_m": ("fn_datedif", ["l_orderkey", "l_linenumber", "months"]),
+    "fn_datedif_y": ("fn_datedif", ["l_orderkey", "l_linenumber", "years"]),
+}
+
+
+def _register_per_id() -> None:
+    from cellar.plans.registry import REGISTRY
+
+    for key, (group, cols) in _PER_ID.items():
+        base = REGISTRY[group]
+        sql = f"SELECT {', '.join(cols)} FROM ({base.sql})"
+
+        def fn(spark, d, _b=base.fn, _c=tuple(cols)):
+            return _b(spark, d).select(*_c)
+
+        register(key, sql)(fn)
+
+
+_register_per_id()
+
+
+@register("fn_today")
+def q_today_only(spark, d):
+    # current date as text: rows-only check
+    return table(spark, d, "region").select("r_regionkey", X.fn_today().alias("today"))
+
+
+@register("fn_now")
+def q_now_only(spark, d):
+    # current time to the second as text: rows-only check
+    return table(spark, d, "region").select("r_regionkey", X.fn_now().alias("now"))
