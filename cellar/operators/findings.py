@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellar.functions.safe import datetime_columns, numeric_columns, text_columns
-from cellar.operators.profile import _moments_long, _wide_quantiles, corr_long, value_counts_long
+from cellar.operators.profile import _wide_quantiles, corr_long, moments_from_counts, value_counts_long
 from cellar.session import materialize
 
 # ---------------------------------------------------------------------------
@@ -137,8 +137,11 @@ def table_metrics(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         cm = cm.select("*", F.lit(None).cast("boolean").alias("all_numeric"), F.lit(None).cast("bigint").alias("nunique"),
                        F.lit(None).cast("string").alias("top_value"), F.lit(None).cast("bigint").alias("top_count"))
     if num:
-        mom = _moments_long(df, num).select("column", F.col("count").alias("n_num"), "mean", "std", "skewness")
-        vcn = materialize(value_counts_long(df, num))  # read by the bucket sample and the metrics
+        # one pass over the raw rows: value counts with the null group feed the
+        # moments, the bucket sample, the quartiles and the outlier counts
+        vc_all = materialize(value_counts_long(df, num, keep_nulls=True))
+        mom = moments_from_counts(vc_all).select("column", F.col("count").alias("n_num"), "mean", "std", "skewness")
+        vcn = vc_all.filter(F.col("value").isNotNull())
         quart = _wide_quantiles(vcn, {0.25: "q1", 0.75: "q3"})
         fences = quart.select("column", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lf"), (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("hf"))
         outl = vcn.join(F.broadcast(fences), "column").groupBy("column").agg(
