@@ -97,3 +97,12 @@ def test_sink_all_tables_skips_empty_and_cuts_names(spark):
         base,
     )
     assert names == ["a" * 31]
+
+
+def test_materialize_uses_the_session_checkpoint_folder(spark):
+    from cellar.session import materialize
+
+    folder = spark.conf.get("spark.checkpoint.dir")
+    m = materialize(spark.range(10).withColumn("x", F.col("id") * 2))
+    assert m.count() == 10
+    assert all(folder.rstrip("/") in f for f in m.inputFiles())
