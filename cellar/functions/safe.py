@@ -83,11 +83,12 @@ def clean_nan(c: Column) -> Column:
 
 
 def round_num(c, decimals: int = 0) -> Column:
-    """Round half away from zero on the binary value, like pandas/NumPy and DuckDB.
+    """Round the binary value (scaled), half away from zero — DuckDB's rule.
 
     Spark's ``round`` rounds the shortest decimal text of a double, so 70.695
-    (binary 70.69499999...) becomes 70.70 there but 70.69 in pandas. Scaling
-    first and rounding the product keeps the reference's results.
+    (binary 70.69499999...) becomes 70.70 there but 70.69 in pandas and DuckDB.
+    Scaling first and rounding the product agrees with pandas except on exact
+    binary ties (x.5 after scaling), where pandas/NumPy round half to even.
     """
     x = col(c).cast("double")
     p = float(10**decimals)
