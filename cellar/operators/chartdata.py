@@ -68,14 +68,19 @@ def box(df: DataFrame, column: str, group: str | None = None, k: float = 1.5) ->
     Quartiles come from the exact distributed quantiles of the (group, value)
     count table; whiskers and outliers are read from the same table.
     """
-    by = [group] if group else ["__all"]
-    src = df if group else df.withColumn("__all", F.lit("all"))
     x = F.col(column).cast("double")
-    vc = (
-        src.filter(x.isNotNull() & ~F.isnan(x) & F.col(by[0]).isNotNull())
-        .groupBy(*by, x.alias("value"))
-        .agg(F.count(F.lit(1)).alias("cnt"))
-    )
+    if group:
+        by = [group]
+        vc = (
+            df.filter(x.isNotNull() & ~F.isnan(x) & F.col(group).isNotNull())
+            .groupBy(group, x.alias("value"))
+            .agg(F.count(F.lit(1)).alias("cnt"))
+        )
+    else:
+        # key on the unpivoted column name: it comes out of a generator, so the
+        # optimizer cannot fold the key away and turn the joins into cross joins
+        by = ["column"]
+        vc = value_counts_long(df, [column])
     q = exact_quantiles(vc, [0.25, 0.5, 0.75], by=by, broadcast_targets=group is None)
     quart = q.groupBy(*by).agg(
         F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
@@ -92,7 +97,7 @@ def box(df: DataFrame, column: str, group: str | None = None, k: float = 1.5) ->
         F.sum(F.when(~inside, F.col("cnt")).otherwise(0)).cast("bigint").alias("n_outliers"),
         F.sum("cnt").cast("bigint").alias("n"),
     )
-    return out.drop("__all") if not group else out
+    return out if group else out.drop("column")
 
 
 def series(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:

@@ -84,3 +84,15 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() >= 0
     assert "l_quantity_sum" in df.columns
+
+
+def test_no_query_plans_a_cross_join(spark):
+    """Every registered query plans without CartesianProduct / nested-loop joins."""
+    bad = []
+    for name, fn in entry.queries().items():
+        if name.startswith(("src_text", "sink_", "stream_")):  # writers: checked by their oracles
+            continue
+        plan = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
+            bad.append(name)
+    assert bad == []
