@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,24 +40,22 @@ def get_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder.
+    """Return the shared checkpoint folder that ``spark.checkpoint.dir`` names.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is.
-    Only when it is unset (local tests) a fresh scratch folder is created.
+    Only a ``local`` session, whose executors are the driver's own threads, may
+    go without: it gets a scratch folder. Anywhere else the setting is required,
+    because executors could not read a folder of the driver's machine.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if conf_dir:
-        if not current:
-            sc.setCheckpointDir(conf_dir)
-        return conf_dir
-    if current:
-        return current
-    local = tempfile.mkdtemp(prefix="cellar-ckpt-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", local)
-    sc.setCheckpointDir(local)
-    return local
+    if not conf_dir:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        conf_dir = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="cellar-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", conf_dir)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(conf_dir)
+    return conf_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +63,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the checkpoint folder, deleted when the driver ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cellar-{name}-{uuid.uuid4().hex}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute an intermediate result once and cut its lineage.
 
@@ -71,10 +78,9 @@ def materialize(df: DataFrame) -> DataFrame:
     ``spark.checkpoint.dir`` (so it survives executor loss) and read back.
     Unlike ``checkpoint()`` on an unpersisted plan, the input is computed once.
     Used for tables that several later jobs read (metric tables, value counts).
+    The folder is deleted when the driver ends.
     """
-    import uuid
-
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/cellar-mat-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "mat")
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
