@@ -15,13 +15,11 @@ from pyspark.sql import functions as F
 
 from cellar.llm.kernels import Words, chunks, mix, words
 from cellar.llm.support import documents
-from cellar.session import materialize
 
 LOG2_DIM = 20
 MAX_TRAIN = 16_000
-SHARDS = 4
 SCREEN = {"epochs": 2, "alpha": 0.3, "l2": 0.3}
-FIT = {"epochs": 30, "alpha": 1.0, "l2": 0.0}
+FIT = {"epochs": 30, "alpha": 1.0, "l2": 0.3}
 BETA = 1.0
 THRESHOLD = 0.7
 _SKIP = {1: np.uint64(0x9E3779B97F4A7C15), 2: np.uint64(0x3C6EF372FE94F82A)}
@@ -43,7 +41,7 @@ def _features(w: Words, log2_dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 def l1_strength(n: int) -> float:
     """The gradients of a coordinate without effect add up to about sqrt(n): this leaves it at zero."""
-    return max(1.0, n**0.5 / 10)
+    return max(3.0, n**0.5 / 8)
 
 
 def ftrl(rows: list[np.ndarray], y: np.ndarray, dim: int, epochs: int, alpha: float, l1: float, l2: float, beta: float = BETA):
@@ -88,41 +86,29 @@ def _rows(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
     return [flat[a:b] for a, b in zip(off[:-1], off[1:])], table.column("label").to_numpy()
 
 
-def _fit_task(dim: int, params: dict):
+def _fit_task(dim: int):
+    """Screen the coordinates with few epochs, then fit those left on rows that hold nothing else."""
+
     def task(table):
         rows, y = _rows(table)
-        w, b = ftrl(rows, y, dim, l1=l1_strength(len(y)), **params)
+        l1 = l1_strength(len(y))
+        live = ftrl(rows, y, dim, l1=l1, **SCREEN)[0] != 0
+        w, b = ftrl([x[live[x]] for x in rows], y, dim, l1=l1, **FIT)
         at = np.flatnonzero(w)
         return pa.table({"idx": pa.array(np.append(at, -1)), "w": pa.array(np.append(w[at], b))})
 
     return task
 
 
-def _restrict_task(live):
-    def task(batches):
-        ok = live.value
-        for b in batches:
-            x = b.column(b.schema.get_field_index("x"))
-            flat, off = x.flatten().to_numpy(zero_copy_only=False), x.offsets.to_numpy() - x.offsets[0].as_py()
-            hit = ok[flat]
-            cut = np.concatenate(([0], np.cumsum(hit)))[off].astype(np.int32)
-            short = pa.ListArray.from_arrays(pa.array(cut), pa.array(flat[hit]))
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_hash")), b.column(b.schema.get_field_index("label")), short], names=["doc_hash", "label", "x"])
-
-    return task
-
-
-def train(docs: DataFrame, labels: DataFrame, max_train=MAX_TRAIN, shards=SHARDS, log2_dim=LOG2_DIM) -> dict[int, float]:
+def train(docs: DataFrame, labels: DataFrame, max_train=MAX_TRAIN, log2_dim=LOG2_DIM) -> dict[int, float]:
     """Weights by feature index (-1: the bias) from ``labels(doc_id, label 0/1)``.
 
     At most about ``max_train`` labelled documents take part, chosen by the
-    hash of their id among all labelled rows. Two passes of the same learner:
-    ``shards`` tasks screen the coordinates with few epochs, and one task fits
-    those that any shard left above zero, on rows that hold nothing else. A
-    document with several labels counts with the largest; null ids and labels
-    are ignored. No labels: an empty table, and every score is 0.5.
+    hash of their id among all labelled rows, so one task holds their features
+    and learns in the order of the hashes. A document with several labels
+    counts with the largest; null ids and labels are ignored. No labels: an
+    empty table, and every score is 0.5.
     """
-    spark = docs.sparkSession
     lab = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
     n = lab.count()
     if not n:
@@ -132,13 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train=MAX_TRAIN, shards=SHARDS
     # about max_train narrow rows: the texts are not shuffled to find them
     t = docs.join(F.broadcast(lab.withColumnRenamed("doc_id", "lab_id")), F.col("doc_id") == F.col("lab_id"))
     t = t.select("text", F.col("label").cast("double").alias("label"), F.xxhash64(F.col("doc_id"), F.lit(5)).alias("doc_hash"))
-    t = materialize(t.mapInArrow(_feature_task(log2_dim), "label double, doc_hash long, x array<int>"))
-    parts = t.withColumn("shard", F.pmod("doc_hash", F.lit(shards))).groupBy("shard")
-    live = parts.applyInArrow(_fit_task(1 << log2_dim, SCREEN), "idx long, w double").where("idx >= 0").select("idx").distinct()
-    ok = np.zeros(1 << log2_dim, bool)
-    ok[live.toPandas()["idx"].to_numpy(dtype=np.int64)] = True  # at most 2**log2_dim rows
-    short = t.mapInArrow(_restrict_task(spark.sparkContext.broadcast(ok)), "doc_hash long, label double, x array<int>")
-    w = short.groupBy(F.lit(0).alias("all")).applyInArrow(_fit_task(1 << log2_dim, FIT), "idx long, w double").toPandas()
+    t = t.mapInArrow(_feature_task(log2_dim), "label double, doc_hash long, x array<int>")
+    w = t.groupBy(F.lit(0).alias("all")).applyInArrow(_fit_task(1 << log2_dim), "idx long, w double").toPandas()  # the few weights that are not zero
     return dict(zip(w["idx"].astype(int), w["w"].astype(float)))
 
 
