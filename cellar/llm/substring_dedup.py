@@ -20,7 +20,7 @@ from cellar.session import materialize
 SENTENCES = 3
 MIN_WORDS = 12
 LONG_SENTENCE = 16
-BITMAP_LOG2 = 26
+BITMAP_LOG2 = 24
 _ODD = np.uint64(0x2545F4914F6CDD1D)
 _INV = np.uint64(pow(0x2545F4914F6CDD1D, -1, 1 << 64))
 

@@ -66,10 +66,10 @@ def bitmap(df: DataFrame, column: str, log2_bits: int) -> np.ndarray:
         df.select(slot.alias("slot"), word.alias("word"))
         .groupBy("word")
         .agg(F.bit_or(bit).alias("bits"))
-        .toPandas()
+        .toArrow()
     )
     out = np.zeros(1 << (log2_bits - 6), dtype=np.int64)
-    out[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
+    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
     return out.view(np.uint8)
 
 
