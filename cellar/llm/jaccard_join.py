@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellar.llm.kernels import Words, as_long, chunks, grams, sequence_hashes, words
-from cellar.llm.support import connected_components, documents, with_text_key
+from cellar.llm.support import connected_components, documents, matching_texts, with_text_key
 from cellar.session import materialize
 
 NGRAM = 5
@@ -260,7 +260,8 @@ def _links(d: DataFrame, reps: DataFrame, groups: DataFrame, n: int, threshold:
     )
     member = materialize(member)
     texts = (
-        d.join(member, F.col("doc_id").eqNullSafe(F.col("rd")) & (F.col("th") == F.col("rt")))
+        matching_texts(d, member.select(F.col("rt").alias("th")))
+        .join(member, F.col("doc_id").eqNullSafe(F.col("rd")) & (F.col("th") == F.col("rt")))
         .dropDuplicates(["node"])
         .select("label", "node", "block", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
         .select("label", "node", "block", "text", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))

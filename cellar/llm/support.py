@@ -5,9 +5,11 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellar.llm.kernels import test_bits
 from cellar.session import materialize
 
 
@@ -73,6 +75,22 @@ def bitmap(df: DataFrame, column: str, log2_bits: int) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def matching_texts(docs: DataFrame, keys: DataFrame, log2_bits: int = 24) -> DataFrame:
+    """The rows of ``docs(doc_id, text, th)`` whose th may be in ``keys(th)``: a join on th must follow.
+
+    A fixed-size bitmap of the keys is broadcast, so texts without a partner
+    are left out before anything is shuffled.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(keys, "th", log2_bits))
+
+    def task(batches):
+        for b in batches:
+            th = b.column(b.schema.get_field_index("th")).to_numpy().view(np.uint64)
+            yield b.filter(pa.array(test_bits(bits.value, th)))
+
+    return docs.mapInArrow(task, docs.schema)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of ``edges(a, b)``: label is the least node it is connected to.
 
