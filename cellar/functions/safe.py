@@ -92,7 +92,9 @@ def round_num(c, decimals: int = 0) -> Column:
     """
     x = col(c).cast("double")
     p = float(10**decimals)
-    return F.signum(x) * F.floor(F.abs(x) * F.lit(p) + F.lit(0.5)) / F.lit(p)
+    # from 2^52 on a double has no fraction: nothing to round, and floor (a bigint) would saturate
+    scaled = F.abs(x) * F.lit(p)
+    return F.when(scaled < F.lit(float(2**52)), F.signum(x) * F.floor(scaled + F.lit(0.5)) / F.lit(p)).otherwise(x)
 
 
 def has_substring(c: Column, s: str) -> Column:

@@ -50,8 +50,8 @@ def scatter(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFram
     return df.select(*cols).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
 
 
-def trendline(df: DataFrame, x: str, y: str, min_rows: int = 10) -> DataFrame:
-    """ch_trendline: OLS slope, intercept and r^2, only when there are more than ``min_rows`` points."""
+def trendline(df: DataFrame, x: str, y: str) -> DataFrame:
+    """ch_trendline: OLS slope, intercept and r^2 with the number of points (null where there are too few)."""
     xs, ys = F.col(x).cast("double"), F.col(y).cast("double")
     agg = df.agg(
         F.regr_count(ys, xs).alias("n_points"),
@@ -59,7 +59,7 @@ def trendline(df: DataFrame, x: str, y: str, min_rows: int = 10) -> DataFrame:
         F.regr_intercept(ys, xs).alias("intercept"),
         F.regr_r2(ys, xs).alias("r2"),
     )
-    return agg.filter(F.col("n_points") > min_rows)
+    return agg
 
 
 def box(df: DataFrame, column: str, group: str | None = None, k: float = 1.5) -> DataFrame:

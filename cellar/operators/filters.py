@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from cellar.functions.safe import round_num, ne_keep_null, require_columns
 
-# Above this many literal values an IN-list is turned into a broadcast semi join.
-ISIN_LITERAL_LIMIT = 1000
 
 _NUM_OPS = {
     "gt": lambda c, v: c > v,
@@ -94,25 +92,22 @@ def text_regex(df: DataFrame, column: str, pattern: str, case_sensitive: bool =
 
 
 def isin(df: DataFrame, column: str, values: Sequence, include_null: bool = False) -> DataFrame:
-    """flt_isin: keep chosen values; optionally also nulls.
-
-    Short lists stay an IN predicate (pushed into the scan); long lists become a
-    broadcast left-semi join, whose size is the caller's list and so is known.
-    """
+    """flt_isin: keep chosen values; optionally also nulls. One IN predicate, pushed into the scan."""
     require_columns(df, [column])
     vals = [v for v in values if v is not None]
-    if len(vals) <= ISIN_LITERAL_LIMIT:
-        pred = F.col(column).isin(vals) if vals else F.lit(False)
-        if include_null:
-            pred = pred | F.col(column).isNull()
-        return df.filter(pred)
-    spark = df.sparkSession
-    dtype = df.schema[column].dataType
-    keys = spark.createDataFrame([(v,) for v in vals], f"__k {dtype.simpleString()}")
-    kept = df.join(F.broadcast(keys), F.col(column) == F.col("__k"), "left_semi")
-    if include_null:
-        kept = kept.unionByName(df.filter(F.col(column).isNull()))
-    return kept
+    pred = F.col(column).isin(vals) if vals else F.lit(False)
+    return df.filter(pred | F.col(column).isNull() if include_null else pred)
+
+
+def isin_table(df: DataFrame, column: str, keys: DataFrame, include_null: bool = False) -> DataFrame:
+    """flt_isin for values held in a table (first column of ``keys``): a semi join that Spark sizes by itself."""
+    require_columns(df, [column])
+    k = keys.select(keys[keys.columns[0]].alias("__key"))
+    match = F.col(column) == F.col("__key")
+    if not include_null:
+        return df.join(k, match, "left_semi")
+    k = k.unionAll(df.sparkSession.createDataFrame([(None,)], k.schema))
+    return df.join(k, F.col(column).eqNullSafe(F.col("__key")), "left_semi")
 
 
 def _as_date(d) -> _dt.date:

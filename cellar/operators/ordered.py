@@ -4,8 +4,10 @@
 row-order operators here use a *bucketed prefix scan* instead:
 
 1. Range cut points of the full order key (partition keys first, then order
-   keys, ending in a unique key) are taken from a bounded sample — a small
-   driver-side array, so every later evaluation assigns the same buckets.
+   keys, ending in a unique key) are taken from a Bernoulli sample whose rate
+   is set from the row count, so all tasks together send about
+   ``SAMPLE_PER_BUCKET`` rows a bucket to the driver, however many tasks there
+   are; every later evaluation assigns the same buckets.
 2. Each row gets ``bucket`` = number of cut points <= its key (binary CASE
    tree, O(log buckets) compares, stays in codegen). Because the key ends in a
    unique column, a hot value is split across buckets like any other range.
@@ -30,9 +32,11 @@ from pyspark.sql import types as T
 from cellar.functions.safe import round_num, require_columns
 
 SAMPLE_PER_BUCKET = 64
-MAX_SAMPLE_ROWS = 200_000
+# One bucket is one window task: buckets follow the number of rows.
+ROWS_PER_BUCKET = 1_000_000
 # Upper bound on range buckets: the CASE tree has log2(n) depth; beyond codegen
-# size limits Spark evaluates it interpreted, still O(log n) per row.
+# size limits Spark evaluates it interpreted, still O(log n) per row. Beyond
+# MAX_BUCKETS * ROWS_PER_BUCKET rows the buckets grow (windows sort with spill).
 MAX_BUCKETS = 16384
 
 _BUCKET = "__bkt"
@@ -47,10 +51,9 @@ class Scan:
     name: str
 
 
-def _default_buckets(df: DataFrame) -> int:
-    """One bucket per shuffle partition (the cluster sizes those to the data)."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    return max(1, min(MAX_BUCKETS, n))
+def _default_buckets(rows: int, slots: int) -> int:
+    """Enough buckets for the rows, and at small sizes enough for the session's cores."""
+    return max(1, min(MAX_BUCKETS, max(-(-rows // ROWS_PER_BUCKET), min(slots, -(-rows // 1000)))))
 
 
 def _zero(dt: T.DataType):
@@ -95,19 +98,20 @@ def _case_tree(key: Column, fields, cuts: list, lo: int, hi: int) -> Column:
 def with_buckets(df: DataFrame, key_cols: Sequence[str], n_buckets: int | None = None, seed: int = 17) -> DataFrame:
     """Add ``__bkt``: a range bucket of the composite key ``key_cols``.
 
-    Cut points come from one bounded sample collected to the driver
-    (<= SAMPLE_PER_BUCKET per bucket); the result is a literal expression, so
-    re-evaluating the DataFrame yields the same buckets.
+    Cut points come from one bounded sample collected to the driver (about
+    SAMPLE_PER_BUCKET rows per bucket over all tasks); the result is a literal
+    expression, so re-evaluating the DataFrame yields the same buckets.
     """
-    n = n_buckets or _default_buckets(df)
+    rows = df.count()  # no column is read beyond what the plan itself needs
+    n = n_buckets or _default_buckets(rows, df.sparkSession.sparkContext.defaultParallelism)
     fields = _key_fields(df, key_cols)
     key = _key_struct(fields)
     if n <= 1:
         return df.withColumn(_BUCKET, F.lit(0))
-    want = min(MAX_SAMPLE_ROWS, n * SAMPLE_PER_BUCKET)
-    # uniform sample of exactly `want` rows in one pass: the rows with the smallest
-    # random tags (TakeOrderedAndProject keeps `want` rows per task, no full sort)
-    sample = df.select(key.alias("k"), F.rand(seed).alias("__r")).orderBy("__r").limit(want)
+    rate = n * SAMPLE_PER_BUCKET / max(rows, 1)
+    sample = df.select(key.alias("k"))
+    if rate < 1:
+        sample = sample.where(F.rand(seed) < rate)
     keys = sorted(tuple(r["k"]) for r in sample.collect())
     if not keys:
         return df.withColumn(_BUCKET, F.lit(0))

@@ -156,11 +156,3 @@ def apply_overlay(base: DataFrame, changes: DataFrame, key: str, deleted_col: st
     j = base.join(ch, on=key, how="full_outer")
     out = j.filter(~F.coalesce(F.col("__del"), F.lit(False)))
     return out.select(key, *[F.coalesce(F.col(f"__new_{c}"), F.col(c)).alias(c) for c in cols])
-
-
-def fill_values(df: DataFrame, values: Mapping[str, object]) -> DataFrame:
-    return df.fillna(dict(values))
-
-
-def coerce_key(c: str | Column) -> Column:
-    return F.col(c).cast("string") if isinstance(c, str) else c.cast("string")

@@ -74,7 +74,7 @@ CERT_PATTERNS = [
     r"certification\s+in\s+[{w}\s]+",
     r"[{w}\s]+\s+certification",
 ]
-CERT_MAX_WORDS, CERT_MIN_CHARS, CERT_MAX_ITEMS = 5, 5, 10
+CERT_MAX_WORDS, CERT_MIN_CHARS = 5, 5
 # ---------------------------------------------------------------------------
 
 WORD = r"\p{L}\p{N}_"
@@ -146,7 +146,8 @@ def soft_skills(lower_text: Column, hits: Column | None = None) -> Column:
 def education_degrees(lower_text: Column, hits: Column | None = None) -> Column:
     """One entry per keyword hit, labelled by its level (the reference's list)."""
     found = [F.when(_has_term(lower_text, kw, hits), F.lit(level)) for level, kws in EDUCATION_LEVELS.items() for kw in kws]
-    return compact(F.array(*found))
+    # repeats stay: one keyword of a level more is one entry more
+    return F.array_remove(F.split(F.concat_ws(SEP, *found), SEP), "")
 
 
 def highest_level(degrees: Column) -> Column:
@@ -203,30 +204,27 @@ def certifications(lower_text: Column) -> Column:
     """txt_certifications: phrases around certified / certification.
 
     Distinct, stripped, title-cased, at most 5 words and more than 5 chars;
-    sorted (the reference's set order is arbitrary), first 10.
+    sorted, all of them. A phrase that ends in the key word starts where its run
+    of words starts (the look-behind; the greedy run reaches the last key word
+    anyway), so the search is linear in the text.
     """
     pats = [p.format(w=WORD) for p in CERT_PATTERNS]
+    run_start = rf"(?<![{WORD}\s])"
     has_cd = has_substring(lower_text, "certified")
     has_cn = has_substring(lower_text, "certification")
     empty = F.array().cast("array<string>")
     found = F.concat(
         F.when(has_cd, F.regexp_extract_all(lower_text, F.lit("(" + pats[0] + ")"), 1)).otherwise(empty),
-        F.when(has_cd, F.regexp_extract_all(lower_text, F.lit("(" + pats[1] + ")"), 1)).otherwise(empty),
+        F.when(has_cd, F.regexp_extract_all(lower_text, F.lit("(" + run_start + pats[1] + ")"), 1)).otherwise(empty),
         F.when(has_cn, F.regexp_extract_all(lower_text, F.lit("(" + pats[2] + ")"), 1)).otherwise(empty),
-        F.when(has_cn, F.regexp_extract_all(lower_text, F.lit("(" + pats[3] + ")"), 1)).otherwise(empty),
+        F.when(has_cn, F.regexp_extract_all(lower_text, F.lit("(" + run_start + pats[3] + ")"), 1)).otherwise(empty),
     )
-    # strip every phrase, title-case them all at once, then drop the phrases with
-    # more than 5 words or at most 5 characters — on the joined text, by regex
+    # strip every phrase and title-case them all at once; then count the words of each
     joined = F.regexp_replace(F.array_join(found, SEP), rf"\s*{SEP}\s*", SEP)
     joined = F.regexp_replace(joined, r"^\s+|\s+$", "")
-    titled = fn_title(joined)
-    item = rf"(?<=^|{SEP})"
-    end = rf"(?={SEP}|$)"
-    too_long = item + rf"(?:[^{SEP}\s]+\s+){{{CERT_MAX_WORDS},}}[^{SEP}\s]+" + end
-    too_short = item + rf"[^{SEP}]{{0,{CERT_MIN_CHARS}}}" + end
-    kept = F.regexp_replace(F.regexp_replace(titled, too_long, ""), too_short, "")
-    parts = F.array_remove(F.array_distinct(F.split(kept, SEP)), "")
-    return F.when(F.size(found) > 0, F.slice(F.sort_array(parts), 1, CERT_MAX_ITEMS)).otherwise(F.array().cast("array<string>"))
+    parts = F.array_distinct(F.split(fn_title(joined), SEP))
+    kept = F.filter(parts, lambda p: (F.size(F.split(p, r"\s+")) <= CERT_MAX_WORDS) & (F.length(p) > CERT_MIN_CHARS))
+    return F.when(F.size(found) > 0, F.sort_array(kept)).otherwise(F.array().cast("array<string>"))
 
 
 def all_skills(tech_map: Column, soft: Column) -> Column:

@@ -49,9 +49,9 @@ def q_drop_cols(spark, d):
     return CL.drop_empty_cols(o)
 
 
-_CLEAN_SQL = """substring(regexp_replace(
+_CLEAN_SQL = """regexp_replace(
      CASE WHEN regexp_replace({c}, '^\\s+|\\s+$', '', 'g') IN ('nan', 'None', '<NA>', 'null', 'NaT', '') THEN NULL
-          ELSE regexp_replace({c}, '^\\s+|\\s+$', '', 'g') END, '[^\\x00-\\x7F]+', '', 'g'), 1, 1000)"""
+          ELSE regexp_replace({c}, '^\\s+|\\s+$', '', 'g') END, '[^\\x00-\\x7F]+', '', 'g')"""
 
 
 @register("clean_strings", f"SELECT event_id, {_CLEAN_SQL.format(c='etype')} AS etype, value FROM {_DIRTY_EV_SQL}")
@@ -102,11 +102,11 @@ def _dates_df(spark, d):
 
 @register(
     "clean_detect_dates",
-    f"""SELECT o_orderkey, try_strptime(iso_txt, '%Y-%m-%d') AS iso_txt, try_strptime(us_txt, '%m/%d/%Y') AS us_txt,
+    f"""SELECT o_orderkey, iso_txt, try_strptime(us_txt, '%m/%d/%Y') AS us_txt,
                try_strptime(year_txt, '%Y') AS year_txt, o_orderpriority FROM {_DATES_SQL}""",
 )
 def q_dates(spark, d):
-    return CL.detect_dates(_dates_df(spark, d), ["o_orderkey"])
+    return CL.detect_dates(_dates_df(spark, d))
 
 
 @register(
@@ -115,7 +115,15 @@ def q_dates(spark, d):
         UNION ALL SELECT 'us_txt', 'MM/dd/yyyy', 0 UNION ALL SELECT 'year_txt', 'yyyy', 0""",
 )
 def q_lost(spark, d):
-    return CL.lost_date_values(_dates_df(spark, d), ["o_orderkey"])
+    return CL.lost_date_values(_dates_df(spark, d))
+
+
+@register(
+    "clean_detect_dates_ratio",
+    f"""SELECT o_orderkey, try_strptime(iso_txt, '%Y-%m-%d') AS iso_txt, CASE WHEN iso_txt = 'n/a' THEN iso_txt END AS iso_txt_text FROM {_DATES_SQL}""",
+)
+def q_dates_ratio(spark, d):
+    return CL.detect_dates(_dates_df(spark, d).select("o_orderkey", "iso_txt"), min_ratio=0.9)
 
 
 _NUMTXT_SQL = """(SELECT event_id,
@@ -159,6 +167,7 @@ _PIPE_SQL = """(SELECT event_id AS "Event ID",
    CASE WHEN event_id % 11 = 0 THEN 'null' ELSE '  ' || event_type || '  ' END AS "event type",
    CASE WHEN event_id % 13 = 0 THEN 'junk' ELSE CAST(value AS VARCHAR) END AS "value ($)",
    CASE WHEN event_id % 17 = 15 THEN 'bad' ELSE strftime(ts, '%Y-%m-%d') END AS "day",
+   strftime(ts, '%d/%m/%Y') AS us_day,
    CAST(NULL AS VARCHAR) AS empty_col,
    user_id FROM events)"""
 
@@ -168,7 +177,7 @@ _PIPE_SQL = """(SELECT event_id AS "Event ID",
     f"""SELECT CAST("Event ID" AS SMALLINT) AS "Event_ID",
         CASE WHEN trim("event type") IN ('nan','None','<NA>','null','NaT','') THEN NULL ELSE trim("event type") END AS event_type,
         CASE WHEN "value ($)" = 'junk' THEN NULL ELSE CAST("value ($)" AS DOUBLE) END AS value,
-        try_strptime("day", '%Y-%m-%d') AS "day",
+        "day", try_strptime(us_day, '%d/%m/%Y') AS us_day,
         CAST(user_id AS SMALLINT) AS user_id
         FROM {_PIPE_SQL}""",
 )
@@ -179,10 +188,11 @@ def q_pipeline(spark, d):
         F.when(F.col("event_id") % 11 == 0, F.lit("null")).otherwise(F.concat(F.lit("  "), F.col("event_type"), F.lit("  "))).alias("event type"),
         F.when(F.col("event_id") % 13 == 0, F.lit("junk")).otherwise(F.col("value").cast("string")).alias("value ($)"),
         F.when(F.col("event_id") % 17 == 15, F.lit("bad")).otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("day"),
+        F.date_format("ts", "dd/MM/yyyy").alias("us_day"),
         F.lit(None).cast("string").alias("empty_col"),
         "user_id",
     )
-    return CL.clean_pipeline(df, ["Event ID"])
+    return CL.clean_pipeline(df)
 
 
 @register("tool_trim_all", "SELECT event_id, regexp_replace(etype, '^\\s+|\\s+$', '', 'g') AS etype, value FROM " + _DIRTY_EV_SQL)

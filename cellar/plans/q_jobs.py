@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cellar.operators import jobmatch as JM
 from cellar.operators import textmine as TM
-from cellar.plans.q_text import sql_degrees, sql_experience, sql_highest, sql_terms, _job_edu_sql, _job_exp_sql, _title_sql
+from cellar.plans.q_text import _DOCS_SQL, _docs, sql_degrees, sql_experience, sql_highest, sql_terms, _job_edu_sql, _job_exp_sql, _title_sql
 from cellar.plans.registry import register
 from cellar.session import table
 from cellar.sources.jobs import DEFAULT_JOBS
@@ -93,9 +93,9 @@ def q_job_match(spark, d):
     return _flat(JM.match_default_jobs(TM.analyze(_pages(spark, d))))
 
 
-@register("jn_job_match_documents", _default_match_sql("documents"))
+@register("jn_job_match_documents", _default_match_sql(_DOCS_SQL))
 def q_job_match_docs(spark, d):
-    return _flat(JM.match_default_jobs(TM.analyze(table(spark, d, "documents").select("doc_id", "text"))))
+    return _flat(JM.match_default_jobs(TM.analyze(_docs(spark, d))))
 
 
 def _vocab_gt2_sql() -> str:
@@ -128,7 +128,7 @@ s3 AS (SELECT *, list_filter(job_skills, lambda s: list_contains(skills, s)) AS
 s4 AS (SELECT *, greatest(0.0, least(100.0, pct + CASE WHEN exp_ok THEN 10 ELSE -15 END + CASE WHEN edu_ok THEN 10 ELSE -10 END)) AS sc FROM s3),
 s5 AS (SELECT *, round(sc, 1) AS match_score FROM s4 WHERE sc >= 25 OR (pct >= 40 AND exp_ok)),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY match_score DESC, job_order) AS rank FROM s5)
-SELECT doc_id, job_order, title, company, array_to_string(list_sort(job_skills)[1:5], ',') AS requirements,
+SELECT doc_id, job_order, title, company, array_to_string(list_sort(job_skills), ',') AS requirements,
        experience_required, education_required, salary_range, match_score,
        array_to_string(list_sort(matched), ',') AS matched_skills, array_to_string(list_sort(missing), ',') AS missing_skills,
        concat_ws(', ', CASE WHEN pct >= 70 THEN 'Strong skill alignment' WHEN pct >= 40 THEN 'Good skill match' ELSE 'Partial skill match' END,

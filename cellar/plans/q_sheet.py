@@ -67,13 +67,16 @@ def q_vlookup(spark, d):
 
 @register(
     "jn_xlookup_default",
-    """SELECT s_suppkey, s_nationkey, coalesce(v, '#N/A') AS vlookup FROM supplier
-       LEFT JOIN (SELECT CAST(n_nationkey AS VARCHAR) AS k, arg_min(n_name, n_nationkey) AS v FROM nation WHERE n_regionkey IN (0, 1) GROUP BY 1)
+    """SELECT s_suppkey, s_nationkey, coalesce(v, '#N/A') AS vlookup FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_nationkey + 1000 ELSE s_nationkey END AS s_nationkey FROM supplier)
+       LEFT JOIN (SELECT CAST(n_nationkey AS VARCHAR) AS k, arg_min(n_name, n_nationkey) AS v FROM nation GROUP BY 1)
        ON CAST(s_nationkey AS VARCHAR) = k""",
 )
 def q_xlookup(spark, d):
-    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    n = table(spark, d, "nation").filter(F.col("n_regionkey").isin(0, 1))
+    # every third supplier asks for a key that no nation has
+    s = table(spark, d, "supplier").select(
+        "s_suppkey", F.when(F.col("s_suppkey") % 3 == 0, F.col("s_nationkey") + 1000).otherwise(F.col("s_nationkey")).alias("s_nationkey")
+    )
+    n = table(spark, d, "nation")
     return S.vlookup(s, "s_nationkey", n, "n_nationkey", "n_name", "n_nationkey", if_missing="#N/A")
 
 
@@ -91,11 +94,11 @@ def q_match(spark, d):
 
 @register(
     "jn_index",
-    """SELECT o_orderkey, o_custkey % 100 + 1 AS row_no, c_name AS "index" FROM orders
-       LEFT JOIN (SELECT c_name, row_number() OVER (ORDER BY c_custkey) AS p FROM customer) ON o_custkey % 100 + 1 = p""",
+    """SELECT o_orderkey, o_custkey * 2 AS row_no, c_name AS "index" FROM orders
+       LEFT JOIN (SELECT c_name, row_number() OVER (ORDER BY c_custkey) AS p FROM customer) ON o_custkey * 2 = p""",
 )
 def q_index(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 100 + 1).alias("row_no"))
+    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") * 2).alias("row_no"))
     return S.index(o, "row_no", table(spark, d, "customer"), "c_name", ["c_custkey"])
 
 

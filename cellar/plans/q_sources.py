@@ -25,7 +25,7 @@ from cellar.streaming import stateless as ST
 )
 def q_src_csv(spark, d):
     path = SF.write_csv(table(spark, d, "orders"), SF.scratch_dir(spark, "csv"))
-    out = SF.read_csv(spark, path, order_by=["o_orderkey"])
+    out = SF.read_csv(spark, path)
     return out.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
 
 
@@ -38,32 +38,33 @@ def q_src_csv_latin1(spark, d):
     n = table(spark, d, "nation").withColumn("n_name", F.concat("n_name", F.lit("é")))
     path = SF.scratch_dir(spark, "csv-latin1")
     n.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
-    out = SF.read_csv(spark, path, order_by=["n_nationkey"], clean=False)
+    out = SF.read_csv(spark, path, clean=False)
     return CL.narrow_types(out)
 
 
-@register("src_text_corpus", "SELECT doc_id, text FROM documents")
+@register("src_text_corpus", "SELECT doc_id, text || repeat(chr(10), (doc_id % 3)::INTEGER) AS text FROM documents")
 def q_src_text(spark, d):
-    docs = table(spark, d, "documents")
+    docs = table(spark, d, "documents").withColumn("text", F.expr("text || repeat('\\n', int(doc_id % 3))"))
     path = SF.write_documents(docs, SF.scratch_dir(spark, "corpus"))
-    return SF.read_text_corpus(spark, path, id_col="doc_id").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    return SF.read_text_corpus(spark, path, id_col="doc_id", record_end=True).withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
-@register("sink_csv", "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem WHERE l_quantity > 45")
+@register("sink_csv", "SELECT * FROM lineitem")
 def q_sink_csv(spark, d):
-    li = FL.num_filter(table(spark, d, "lineitem"), "l_quantity", "gt", 45).select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    li = table(spark, d, "lineitem")
     path = SF.write_csv(li, SF.scratch_dir(spark, "sink"))
     return spark.read.schema(li.schema).option("header", True).csv(path)
 
 
 @register(
     "sink_all_tables",
-    "SELECT 'nation' AS name, count(*) AS n FROM nation UNION ALL SELECT 'region_name_that_is_longer_than', count(*) FROM region",
+    "SELECT 'nation' AS name, count(*) AS n FROM nation UNION ALL SELECT 'region_name_that_is_longer_than_31_chars', count(*) FROM region UNION ALL SELECT 'region_name_that_is_longer_than_31_chars_too', count(*) FROM part",
 )
 def q_sink_all(spark, d):
     tables = {
         "nation": table(spark, d, "nation"),
         "region_name_that_is_longer_than_31_chars": table(spark, d, "region"),
+        "region_name_that_is_longer_than_31_chars_too": table(spark, d, "part"),
         "empty": table(spark, d, "region").filter(F.lit(False)),
     }
     base = SF.scratch_dir(spark, "tables")
@@ -93,9 +94,9 @@ def q_stream_filter(spark, d):
 
 @register(
     "stream_clean_strings",
-    """SELECT doc_id, substring(regexp_replace(
+    """SELECT doc_id, regexp_replace(
          CASE WHEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') IN ('nan', 'None', '<NA>', 'null', 'NaT', '') THEN NULL
-              ELSE regexp_replace(text, '^\\s+|\\s+$', '', 'g') END, '[^\\x00-\\x7F]+', '', 'g'), 1, 1000) AS text FROM documents""",
+              ELSE regexp_replace(text, '^\\s+|\\s+$', '', 'g') END, '[^\\x00-\\x7F]+', '', 'g') AS text FROM documents""",
 )
 def q_stream_clean(spark, d):
     return ST.run(spark, f"{d}/documents.parquet", lambda s: CL.clean_strings(s.select("doc_id", "text"), ["text"]))

@@ -80,11 +80,39 @@ def sql_certs(low: str) -> str:
     stripped = r"regexp_replace(m, '^\s+|\s+$', '', 'g')"
     titled = f"list_distinct(list_transform(flatten([{lists}]), lambda m: {sql_title(stripped)}))"
     kept = f"list_filter({titled}, lambda c: len(regexp_split_to_array(c, '\\s+')) <= {TM.CERT_MAX_WORDS} AND length(c) > {TM.CERT_MIN_CHARS})"
-    return f"array_to_string(list_sort({kept})[1:{TM.CERT_MAX_ITEMS}], '|')"
+    return f"array_to_string(list_sort({kept}), '|')"
+
+
+def _resume_lines() -> list[str]:
+    """Résumé lines that hold, between them, every term and form the extractors look for."""
+    tech = [t for terms in TM.TECHNICAL_SKILLS.values() for t in terms]
+    degrees = [k for kws in TM.EDUCATION_LEVELS.values() for k in kws]
+    titles = [" ".join((*any_of[:1], *(all_of or ()))) for any_of, all_of, _ in TM.TITLE_RULES]
+    tails = [
+        "certified scrum master. University of Springfield. over 7 years of experience. linkedin.com/in/jane-doe",
+        "certification in cloud security. MIT college. 12+ years experience in data. github.com/jdoe",
+        "jan 2015 - mar 2018, 2019 - present. Springfield institute of technology. jane.doe@example.org",
+        "project management certification. call (555) 123-4567. minimum 3 years, bachelor degree required",
+        "five certified things in a row and more words than allowed certified. phd preferred, 10 years required",
+        "years of experience: 4. Lake school of design. master degree, at least 6 years",
+    ]
+    n = max(len(tech), len(degrees), len(titles), len(TM.SOFT_SKILLS))
+    at = lambda xs, i: xs[i % len(xs)]
+    return [f"{at(titles, i)}: {at(tech, i)}, {at(tech, i * 7 + 3)} and {at(TM.SOFT_SKILLS, i)}. {at(degrees, i)}. {at(tails, i)}" for i in range(n)]
+
+
+def _with_resume() -> str:
+    """Each text with the résumé line of its doc_id (every eleventh has none): the same expression for both engines."""
+    lines = _resume_lines()
+    whens = " ".join(f"WHEN {i} THEN '{x.replace(chr(39), chr(39) * 2)}'" for i, x in enumerate(lines))
+    return f"text || CASE WHEN doc_id % 11 = 0 THEN '' ELSE ' ' || CASE doc_id % {len(lines)} {whens} END END"
+
+
+_DOCS_SQL = f"(SELECT doc_id, {_with_resume()} AS text FROM documents)"
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text")
+    return table(spark, d, "documents").select("doc_id", F.expr(_with_resume()).alias("text"))
 
 
 def _pages(spark, d):
@@ -103,7 +131,7 @@ def _tech_sql(src: str) -> str:
     return f"SELECT doc_id, {cols} FROM {src}"
 
 
-@register("txt_tech_skills", _tech_sql("documents"))
+@register("txt_tech_skills", _tech_sql(_DOCS_SQL))
 def q_tech(spark, d):
     a = TM.analyze(_docs(spark, d))
     return a.select("doc_id", *_tech_cols(a))
@@ -115,26 +143,26 @@ def q_tech_pages(spark, d):
     return a.select("doc_id", *_tech_cols(a))
 
 
-@register("txt_soft_skills", f"SELECT doc_id, {sql_terms('lower(text)', TM.SOFT_SKILLS)} AS soft_skills FROM documents")
+@register("txt_soft_skills", f"SELECT doc_id, {sql_terms('lower(text)', TM.SOFT_SKILLS)} AS soft_skills FROM {_DOCS_SQL}")
 def q_soft(spark, d):
     return TM.analyze(_docs(spark, d)).select("doc_id", F.array_join("soft_skills", ",").alias("soft_skills"))
 
 
 @register(
     "txt_education",
-    f"SELECT doc_id, {sql_degrees('lower(text)')} AS degrees, {sql_highest(sql_degrees('lower(text)'))} AS education_level FROM documents",
+    f"SELECT doc_id, {sql_degrees('lower(text)')} AS degrees, {sql_highest(sql_degrees('lower(text)'))} AS education_level FROM {_DOCS_SQL}",
 )
 def q_edu(spark, d):
     a = TM.analyze(_docs(spark, d))
     return a.select("doc_id", F.array_join("degrees", ",").alias("degrees"), "education_level")
 
 
-@register("txt_institutions", f"SELECT doc_id, {sql_institutions('lower(text)')} AS institutions FROM documents")
+@register("txt_institutions", f"SELECT doc_id, {sql_institutions('lower(text)')} AS institutions FROM {_DOCS_SQL}")
 def q_inst(spark, d):
     return TM.analyze(_docs(spark, d)).select("doc_id", F.array_join("institutions", "|").alias("institutions"))
 
 
-@register("txt_experience_years", f"SELECT doc_id, {sql_experience('text')} AS experience_years FROM documents")
+@register("txt_experience_years", f"SELECT doc_id, {sql_experience('text')} AS experience_years FROM {_DOCS_SQL}")
 def q_exp(spark, d):
     return TM.analyze(_docs(spark, d)).select("doc_id", "experience_years")
 
@@ -151,13 +179,13 @@ def q_exp_conv(spark, d):
 @register(
     "txt_contact",
     f"""SELECT doc_id, {SQL_EMAIL.format(t='text')} AS email, {SQL_PHONE.format(t='text')} AS phone,
-        {SQL_LINKEDIN.format(t='text')} AS linkedin, {SQL_GITHUB.format(t='text')} AS github FROM documents""",
+        {SQL_LINKEDIN.format(t='text')} AS linkedin, {SQL_GITHUB.format(t='text')} AS github FROM {_DOCS_SQL}""",
 )
 def q_contact(spark, d):
     return TM.analyze(_docs(spark, d)).select("doc_id", "contact.*")
 
 
-@register("txt_certifications", f"SELECT doc_id, {sql_certs('lower(text)')} AS certifications FROM documents")
+@register("txt_certifications", f"SELECT doc_id, {sql_certs('lower(text)')} AS certifications FROM {_DOCS_SQL}")
 def q_certs(spark, d):
     return TM.analyze(_docs(spark, d)).select("doc_id", F.array_join("certifications", "|").alias("certifications"))
 
@@ -170,9 +198,14 @@ def _analyze_sql(src: str) -> str:
         f"CASE WHEN {sql_terms('lower(text)', s)} <> '' THEN 1 ELSE 0 END" for s in TM.TECHNICAL_SKILLS.values()
     )
     soft = f"len(list_filter(string_split({sql_terms('lower(text)', TM.SOFT_SKILLS)}, ','), lambda x: x <> ''))"
+    all_sk = " || ',' || ".join([sql_terms("lower(text)", s) for s in TM.TECHNICAL_SKILLS.values()] + [sql_terms("lower(text)", TM.SOFT_SKILLS)])
     return f"""SELECT doc_id, CAST({tech_counts} AS INTEGER) AS total_technical_skills, CAST({soft} AS INTEGER) AS total_soft_skills,
                {sql_highest(sql_degrees('lower(text)'))} AS education_level, {sql_experience('text')} AS experience_years,
-               CAST({diversity} AS INTEGER) AS skills_diversity, {SQL_EMAIL.format(t='text')} AS email FROM {src}"""
+               CAST({diversity} AS INTEGER) AS skills_diversity, {SQL_EMAIL.format(t='text')} AS email,
+               {SQL_PHONE.format(t='text')} AS phone, {SQL_LINKEDIN.format(t='text')} AS linkedin, {SQL_GITHUB.format(t='text')} AS github,
+               {sql_degrees('lower(text)')} AS degrees, {sql_institutions('lower(text)')} AS institutions, {sql_certs('lower(text)')} AS certifications,
+               {sql_terms('lower(text)', TM.SOFT_SKILLS)} AS soft_skills,
+               array_to_string(list_filter(string_split({all_sk}, ','), lambda x: x <> ''), ',') AS all_skills FROM {src}"""
 
 
 def _analyze_cols(a):
@@ -183,11 +216,16 @@ def _analyze_cols(a):
         "education_level",
         "experience_years",
         "skills_diversity",
-        F.col("contact.email").alias("email"),
+        *[F.col(f"contact.{c}").alias(c) for c in ("email", "phone", "linkedin", "github")],
+        F.array_join("degrees", ",").alias("degrees"),
+        F.array_join("institutions", "|").alias("institutions"),
+        F.array_join("certifications", "|").alias("certifications"),
+        F.array_join("soft_skills", ",").alias("soft_skills"),
+        F.array_join("all_skills", ",").alias("all_skills"),
     )
 
 
-@register("txt_analyze", _analyze_sql("documents"))
+@register("txt_analyze", _analyze_sql(_DOCS_SQL))
 def q_analyze(spark, d):
     return _analyze_cols(TM.analyze(_docs(spark, d)))
 
@@ -282,7 +320,7 @@ def _job_edu_sql(t: str) -> str:
 
 @register(
     "txt_title_skills",
-    f"SELECT doc_id, array_to_string({_title_sql('text')}, ',') AS title_skills FROM documents",
+    f"SELECT doc_id, array_to_string({_title_sql('text')}, ',') AS title_skills FROM {_DOCS_SQL}",
 )
 def q_title_skills(spark, d):
     return _docs(spark, d).select("doc_id", F.array_join(TM.title_skills(F.col("text")), ",").alias("title_skills"))
@@ -290,7 +328,7 @@ def q_title_skills(spark, d):
 
 @register(
     "txt_job_experience",
-    f"SELECT doc_id, {_job_exp_sql('text')} AS experience_required FROM documents",
+    f"SELECT doc_id, {_job_exp_sql('text')} AS experience_required FROM {_DOCS_SQL}",
 )
 def q_job_exp(spark, d):
     return _docs(spark, d).select("doc_id", TM.job_experience(F.col("text")).alias("experience_required"))
@@ -298,7 +336,7 @@ def q_job_exp(spark, d):
 
 @register(
     "txt_job_education",
-    f"SELECT doc_id, {_job_edu_sql('text')} AS education_required FROM documents",
+    f"SELECT doc_id, {_job_edu_sql('text')} AS education_required FROM {_DOCS_SQL}",
 )
 def q_job_edu(spark, d):
     return _docs(spark, d).select("doc_id", TM.job_education(F.col("text")).alias("education_required"))

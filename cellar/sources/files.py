@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellar.operators.cleaning import clean_pipeline
-from cellar.session import ensure_checkpoint_dir
-
-SHEET_NAME_LIMIT = 31
+from cellar.session import scratch_path
 
 
 def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
-    """A fresh folder under the cluster's shared checkpoint folder (never machine-local)."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/cellar-{name}-{uuid.uuid4().hex}"
+    """A fresh folder under the cluster's shared checkpoint folder, deleted when the driver ends."""
+    return scratch_path(spark, name)
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
@@ -34,33 +30,33 @@ def detect_encoding(spark: SparkSession, path: str) -> str:
 def read_csv(
     spark: SparkSession,
     path: str,
-    order_by: Sequence[str] | None = None,
     clean: bool = True,
     encoding: str | None = None,
     schema: str | None = None,
 ) -> DataFrame:
-    """src_csv: header row, inferred (or given) types, then the cleaning pipeline.
-
-    ``order_by`` names a unique key used by date detection ("first 10 values");
-    without it the first column is used.
-    """
+    """src_csv: header row, inferred (or given) types, then the cleaning pipeline."""
     enc = encoding or detect_encoding(spark, path)
     reader = spark.read.option("header", True).option("encoding", enc).option("multiLine", False)
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
     df = reader.csv(path)
     if not clean:
         return df
-    return clean_pipeline(df, list(order_by or [df.columns[0]]))
+    return clean_pipeline(df)
 
 
-def read_text_corpus(spark: SparkSession, path: str, id_col: str | None = None) -> DataFrame:
+def read_text_corpus(spark: SparkSession, path: str, id_col: str | None = None, record_end: bool = False) -> DataFrame:
     """src_text_corpus: each file is one document (``wholetext``); many files at once.
 
     The key is ``id_col`` when the folder layout provides it (``key=value``
-    partition folders), else the file path from ``_metadata``.
+    partition folders), else the file path from ``_metadata``. The text is the
+    file's whole content; ``record_end`` takes off the one line break that
+    ``write_documents`` puts after each text, and no other.
     """
     df = spark.read.text(path, wholetext=True)
-    text = F.regexp_replace(F.col("value"), r"\n$", "").alias("text")
+    text = F.col("value")
+    if record_end:
+        text = F.when(F.endswith(text, F.lit("\n")), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+    text = text.alias("text")
     if id_col and id_col in df.columns:
         return df.select(F.col(id_col), text)
     return df.select(F.col("_metadata.file_path").alias("path"), text)
@@ -73,15 +69,20 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 
 
 def write_all_tables(tables: Mapping[str, DataFrame], path: str, fmt: str = "parquet") -> list[str]:
-    """sink_all_tables: one sub-folder per non-empty named table (names cut to 31 chars)."""
+    """sink_all_tables: one sub-folder, with its full name, per non-empty named table.
+
+    Names that differ only in case would share a folder on some file systems: an error.
+    """
+    low = [n.lower() for n in tables]
+    if len(set(low)) < len(low):
+        raise ValueError(f"table names are not distinct: {sorted(tables)}")
     written = []
     for name, df in tables.items():
         if df.isEmpty():
             continue
-        short = name[:SHEET_NAME_LIMIT]
         w = df.write.mode("overwrite")
-        (w.option("header", True).csv if fmt == "csv" else w.parquet)(f"{path.rstrip('/')}/{short}")
-        written.append(short)
+        (w.option("header", True).csv if fmt == "csv" else w.parquet)(f"{path.rstrip('/')}/{name}")
+        written.append(name)
     return written
 
 
@@ -92,7 +93,7 @@ def write_report(report: DataFrame, path: str) -> str:
 
 
 def write_documents(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> str:
-    """One file per document under ``key=<value>`` folders (the layout read_text_corpus reads).
+    """One file per document under ``key=<value>`` folders (read_text_corpus with ``record_end`` reads them back).
 
     Meant for round-trip checks and modest corpora: a file per document is the
     semantics of a document folder, but billions of tiny files are not a good

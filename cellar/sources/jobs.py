@@ -48,19 +48,23 @@ def default_jobs_column() -> F.Column:
 
 
 def load_job_table(spark: SparkSession, path: str, fmt: str = "csv", heading: str = "Job Title") -> DataFrame:
-    """src_job_table: read postings; if the second cell of the first row is the
+    """src_job_table: read postings; if the second cell of a file's first row is the
     title heading, that row holds the real column names.
 
-    The heading row is found by the file's row position (``_metadata`` file
-    name + the first row), promoted with ``toDF`` and filtered out.
+    Of each file exactly the first row, found by the file name and the row's
+    place in the read order, is taken out, and only if it is a heading; other
+    rows that hold the same word stay.
     """
     reader = spark.read.option("header", True) if fmt == "csv" else spark.read
     df = reader.format(fmt).load(path)
     if len(df.columns) < 2:
         return df
-    first = df.limit(1).collect()
-    if first and str(first[0][1]) == heading:
-        names = [str(v) if v is not None else f"column_{i}" for i, v in enumerate(first[0])]
-        second = df.columns[1]
-        return df.filter(F.col(second).isNull() | (F.col(second) != F.lit(heading))).toDF(*names)
+    second = df.columns[1]
+    tagged = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__row"))
+    first = tagged.groupBy("__file").agg(F.min_by(F.struct(*df.columns, "__row"), F.struct("__block", "__row")).alias("r"))
+    heads = first.where(F.col("r")[second] == heading).select("__file", "r").orderBy("__file").collect()  # a row for each file with a heading
+    if heads:
+        names = [str(v) if v is not None else f"column_{i}" for i, v in enumerate(heads[0]["r"][:-1])]
+        rows = [h["r"]["__row"] for h in heads]
+        return tagged.where(~F.col("__row").isin(rows)).select(*df.columns).toDF(*names)
     return df
