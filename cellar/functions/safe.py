@@ -82,6 +82,13 @@ def clean_nan(c: Column) -> Column:
     return F.when(F.isnan(c), F.lit(None)).otherwise(c)
 
 
+def nan_as_null(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+    """NaN -> NULL in the given (default: all) float columns: one notion of "missing" for an operator."""
+    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    floats &= set(df.columns if columns is None else columns)
+    return df.withColumns({c: clean_nan(F.col(c)) for c in floats}) if floats else df
+
+
 def round_num(c, decimals: int = 0) -> Column:
     """Round the binary value (scaled), half away from zero — DuckDB's rule.
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellar.functions.safe import numeric_columns, require_columns, round_num
+from cellar.functions.safe import clean_nan, numeric_columns, require_columns, round_num
 from cellar.operators.ordered import Scan, prefix_scan
 from cellar.operators.profile import corr_long, exact_quantiles, long_values, value_counts_long
 from cellar.session import materialize
@@ -26,7 +26,7 @@ def _bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
 def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     """ch_histogram: equal-width bins over [min, max] plus the column mean and median."""
     require_columns(df, [column])
-    x = F.col(column).cast("double")
+    x = clean_nan(F.col(column).cast("double"))
     # one aggregate for min / max / mean: a single struct-valued scalar subquery
     st = df.select(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"), F.avg(x).alias("m"))).scalar()
     lo, hi, mean = st["lo"], st["hi"], st["m"]

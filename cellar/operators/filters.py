@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellar.functions.safe import round_num, ne_keep_null, require_columns
+from cellar.functions.safe import clean_nan, round_num, ne_keep_null, require_columns
 
 
 _NUM_OPS = {
@@ -231,7 +231,7 @@ def outliers_iqr(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     from cellar.session import materialize
 
     require_columns(df, [column])
-    c = F.col(column)
+    c = clean_nan(F.col(column).cast("double"))  # a missing value is no outlier
     q = exact_quantiles(materialize(value_counts_long(df, [column])), [0.25, 0.75])
     quart = q.agg(
         F.struct(

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellar.functions.safe import round_num, require_columns
+from cellar.functions.safe import clean_nan, nan_as_null, round_num, require_columns
 
 SAMPLE_PER_BUCKET = 64
 # One bucket is one window task: buckets follow the number of rows.
@@ -226,7 +226,7 @@ def running_totals(
     average shows the mean so far (pandas ``expanding().mean()``); the
     contribution divides by the (partition) total from a grouped aggregate.
     """
-    x = F.col(value).cast("double")
+    x = clean_nan(F.col(value).cast("double"))
     s = prefix_scan(
         df,
         order_by,
@@ -244,7 +244,7 @@ def running_totals(
         s,
         df.columns,
         [
-            F.when(F.col(value).isNull(), F.lit(None))
+            F.when(x.isNull(), F.lit(None))
             .otherwise(F.col("__rs") if total_decimals is None else round_num("__rs", total_decimals))
             .alias(f"{value}_running_total"),
             round_num(F.try_divide(F.col("__rs"), F.col("__rc")), decimals).alias(f"{value}_running_avg"),
@@ -309,12 +309,15 @@ def _value_ranks(df: DataFrame, value: str, partition_by: Sequence[str], descend
     the raw rows are never sorted as one global sequence.
     """
     part = list(partition_by)
-    key = F.col(value).cast("double")
+    key = F.col(value)  # its own type: a double would tie integers above 2^53
+    if descending:
+        whole = isinstance(df.schema[value].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+        key = F.bitwise_not(key) if whole else -key
     vc = (
-        df.filter(F.col(value).isNotNull())
+        nan_as_null(df, [value]).filter(F.col(value).isNotNull())
         .groupBy(*part, value)
         .agg(F.count(F.lit(1)).alias("__cnt"))
-        .withColumn("__k", -key if descending else key)
+        .withColumn("__k", key)
     )
     s = prefix_scan(
         vc,

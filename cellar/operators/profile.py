@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from cellar.functions.safe import (
     numeric_columns,
+    nan_as_null,
     require_columns,
     round_num,
     text_columns,
@@ -446,44 +447,48 @@ def quality_issues(df: DataFrame) -> DataFrame:
     duplicates, missing_values, all_null, single_value, outliers (IQR, > 0),
     mixed_case (a text column with all-lower and all-upper values).
     """
-    spark = df.sparkSession
-    fields = df.schema.fields
-    num = numeric_columns(df)
-    txt = text_columns(df)
-    n_rows = df.select(F.count(F.lit(1))).scalar()
-    n_distinct = df.dropDuplicates().select(F.count(F.lit(1))).scalar()
-    nc = _null_counts(df)
-    # distinct non-null counts for single-value test: from the string value-count table
-    vc_all = value_counts_long(df, [f.name for f in fields], "string")
-    distinct = vc_all.groupBy("column").agg(F.count(F.lit(1)).alias("nd"))
-    per_col_rows = [
-        F.struct(F.lit(f.name).alias("column"), F.col(f"__m{i}").cast("bigint").alias("miss")) for i, f in enumerate(fields)
-    ]
-    per_col = nc.select("__rows", F.explode(F.array(*per_col_rows)).alias("r")).select("__rows", "r.*")
-    per_col = per_col.join(distinct, "column", "left")
-    issues = [
-        spark.range(1).select(F.lit("duplicates").alias("issue"), F.lit(None).cast("string").alias("column"), (n_rows - n_distinct).cast("bigint").alias("value")),
-        nc.select(F.lit("missing_values").alias("issue"), F.lit(None).cast("string").alias("column"), sum((F.col(f"__m{i}") for i in range(len(fields))), F.lit(0)).cast("bigint").alias("value")),
-        per_col.filter((F.col("miss") == F.col("__rows")) & (F.col("__rows") > 0)).select(F.lit("all_null").alias("issue"), "column", F.lit(1).cast("bigint").alias("value")),
-        per_col.filter(F.col("nd") == 1).select(F.lit("single_value").alias("issue"), "column", F.lit(1).cast("bigint").alias("value")),
+    df = nan_as_null(df)
+    fields, txt = df.schema.fields, text_columns(df)
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    for i, f in enumerate(fields):
+        c = F.col(f.name)
+        v = c.cast("string") if isinstance(f.dataType, T.MapType) else c
+        aggs += [F.count(c).alias(f"n{i}"), (F.min(v) == F.max(v)).alias(f"one{i}")]
+        if f.name in txt:
+            aggs.append((F.max(_is_lower(c).cast("int")) + F.max(_is_upper(c).cast("int")) == 2).alias(f"mix{i}"))
+    one = materialize(df.agg(*aggs))  # one scan gives every check but the next two
+    n_distinct = distinct_rows(df).select(F.count(F.lit(1))).scalar()
+
+    def issue(kind: str, column: str | None, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("issue"), F.lit(column).cast("string").alias("column"), value.cast("bigint").alias("value"))
+
+    rows, flag = F.col("rows"), lambda cond: F.when(cond, F.lit(1))
+    found = [
+        issue("duplicates", None, rows - n_distinct),
+        issue("missing_values", None, sum((rows - F.col(f"n{i}") for i in range(len(fields))), F.lit(0))),
     ]
+    for i, f in enumerate(fields):
+        found += [
+            issue("all_null", f.name, flag((F.col(f"n{i}") == 0) & (rows > 0))),
+            issue("single_value", f.name, flag(F.col(f"one{i}"))),
+        ]
+        if f.name in txt:
+            found.append(issue("mixed_case", f.name, flag(F.col(f"mix{i}"))))
+    out = one.select(F.explode(F.array(*found)).alias("r")).select("r.*").where("value IS NOT NULL")
+    num = numeric_columns(df)
     if num:
         oc = outlier_counts(df, num, "iqr").filter(F.col("outliers") > 0)
-        issues.append(oc.select(F.lit("outliers").alias("issue"), "column", F.col("outliers").alias("value")))
-    if txt:
-        aggs = []
-        for i, c in enumerate(txt):
-            aggs.append((F.max(_is_lower(F.col(c)).cast("int")) + F.max(_is_upper(F.col(c)).cast("int")) == 2).alias(f"x{i}"))
-        mixed = df.agg(*aggs)
-        rows = [F.struct(F.lit(c).alias("column"), F.coalesce(F.col(f"x{i}"), F.lit(False)).alias("mixed")) for i, c in enumerate(txt)]
-        mc = mixed.select(F.explode(F.array(*rows)).alias("r")).select("r.*").filter("mixed")
-        issues.append(mc.select(F.lit("mixed_case").alias("issue"), "column", F.lit(1).cast("bigint").alias("value")))
-    out = issues[0]
-    for x in issues[1:]:
-        out = out.unionByName(x)
+        out = out.unionByName(oc.select(F.lit("outliers").alias("issue"), "column", F.col("outliers").alias("value")))
     return out
 
 
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """One 128-bit digest per distinct row: counting them shuffles no wide values."""
+    cols = [F.col(f.name).cast("string") if isinstance(f.dataType, T.MapType) else F.col(f.name) for f in df.schema.fields]
+    nulls = [c.isNull() for c in cols]  # the hash skips nulls, so their places are hashed too
+    return df.select(*[F.xxhash64(F.lit(seed), *cols, *nulls).alias(f"h{seed}") for seed in (1, 2)]).distinct()
+
+
 def profile_metrics(df: DataFrame) -> DataFrame:
     """agg_profile_metrics: completeness %, uniqueness %, validity % per column.
 

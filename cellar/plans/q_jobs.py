@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cellar.operators import jobmatch as JM
 from cellar.operators import textmine as TM
-from cellar.plans.q_text import _DOCS_SQL, _docs, sql_degrees, sql_experience, sql_highest, sql_terms, _job_edu_sql, _job_exp_sql, _title_sql
+from cellar.plans.q_text import _DOCS_SQL, _PAGES_SQL, _docs, _pages, _with_resume, sql_degrees, sql_experience, sql_highest, sql_terms, _job_edu_sql, _job_exp_sql, _title_sql
 from cellar.plans.registry import register
 from cellar.session import table
 from cellar.sources.jobs import DEFAULT_JOBS
@@ -81,11 +81,8 @@ def _flat(df):
     )
 
 
-def _pages(spark, d):
-    return table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
-
-
-_PAGES_SQL = "(SELECT page_id AS doc_id, html AS text FROM pages)"
+# postings: the pages, each with a line that names a title, skills, years and a degree
+_JOBS_SQL = f"(SELECT page_id, url, {_with_resume('html', 'page_id')} AS html FROM pages)"
 
 
 @register("jn_job_match", _default_match_sql(_PAGES_SQL))
@@ -115,7 +112,7 @@ jobs AS (
          list_sort(list_distinct({_title_sql('trim(html)')})) AS title_skills,
          {_job_exp_sql(text)} AS experience_required, {_job_edu_sql(text)} AS education_required,
          'Industry not specified | Location not specified' AS salary_range
-  FROM pages WHERE html IS NOT NULL AND url IS NOT NULL),
+  FROM {_JOBS_SQL} WHERE html IS NOT NULL AND url IS NOT NULL),
 jr AS (SELECT *, {_rank_sql("education_required", JM.TABLE_EDUCATION_RANK, JM.UNKNOWN_JOB_RANK)} AS job_rank FROM jobs),
 pairs AS (SELECT cand.*, jr.* FROM cand, jr
           WHERE len(list_intersect(skills, list_concat(text_skills, title_skills))) > 0),
@@ -141,7 +138,7 @@ FROM r WHERE rank <= {top}"""
 @register("jn_job_table_match", _table_match_sql())
 def q_job_table(spark, d):
     cands = TM.analyze(_pages(spark, d))
-    jobs = table(spark, d, "pages")
+    jobs = table(spark, d, "pages").select("page_id", "url", F.expr(_with_resume("html", "page_id")).alias("html"))
     m = JM.match_job_table(cands, jobs, order_by="page_id")
     return m.select(
         "doc_id",

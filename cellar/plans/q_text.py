@@ -101,11 +101,11 @@ def _resume_lines() -> list[str]:
     return [f"{at(titles, i)}: {at(tech, i)}, {at(tech, i * 7 + 3)} and {at(TM.SOFT_SKILLS, i)}. {at(degrees, i)}. {at(tails, i)}" for i in range(n)]
 
 
-def _with_resume() -> str:
-    """Each text with the résumé line of its doc_id (every eleventh has none): the same expression for both engines."""
+def _with_resume(text: str = "text", key: str = "doc_id") -> str:
+    """Each text with the résumé line of its key (every eleventh has none): the same expression for both engines."""
     lines = _resume_lines()
     whens = " ".join(f"WHEN {i} THEN '{x.replace(chr(39), chr(39) * 2)}'" for i, x in enumerate(lines))
-    return f"text || CASE WHEN doc_id % 11 = 0 THEN '' ELSE ' ' || CASE doc_id % {len(lines)} {whens} END END"
+    return f"{text} || CASE WHEN {key} % 11 = 0 THEN '' ELSE ' ' || CASE {key} % {len(lines)} {whens} END END"
 
 
 _DOCS_SQL = f"(SELECT doc_id, {_with_resume()} AS text FROM documents)"
@@ -116,10 +116,10 @@ def _docs(spark, d):
 
 
 def _pages(spark, d):
-    return table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    return table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.expr(_with_resume("html", "page_id")).alias("text"))
 
 
-_PAGES_SQL = "(SELECT page_id AS doc_id, html AS text FROM pages)"
+_PAGES_SQL = f"(SELECT page_id AS doc_id, {_with_resume('html', 'page_id')} AS text FROM pages)"
 
 
 def _tech_cols(analysis):
