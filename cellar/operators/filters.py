@@ -106,7 +106,7 @@ def isin_table(df: DataFrame, column: str, keys: DataFrame, include_null: bool =
     match = F.col(column) == F.col("__key")
     if not include_null:
         return df.join(k, match, "left_semi")
-    k = k.unionAll(df.sparkSession.createDataFrame([(None,)], k.schema))
+    k = k.unionAll(df.sparkSession.range(1).select(F.lit(None).cast(k.schema["__key"].dataType)))
     return df.join(k, F.col(column).eqNullSafe(F.col("__key")), "left_semi")
 
 
