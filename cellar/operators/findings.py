@@ -159,9 +159,9 @@ def table_metrics(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return materialize(trow), materialize(cm), materialize(corr)
 
 
-def findings(df: DataFrame) -> DataFrame:
+def findings(df: DataFrame, metrics: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """ins_rows: (category, insight, priority, index) for the five finding groups."""
-    trow, cm, corr = table_metrics(df)
+    trow, cm, corr = metrics or table_metrics(df)
     n = F.col("n_rows")
     mp = F.col("missing_pct")
     rules: list[DataFrame] = []
@@ -288,8 +288,9 @@ def recommendations(rows: DataFrame) -> DataFrame:
 
 def report(df: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """ins_report: one-row Markdown report (counts + every finding), from one metrics pass."""
-    rows = rows if rows is not None else findings(df)
-    trow = table_metrics_row(df)
+    metrics = table_metrics(df)
+    rows = rows if rows is not None else findings(df, metrics)
+    trow = metrics[0].withColumn("n_cols", F.lit(len(df.columns)))
     lines = rows.groupBy("category", "category_order").agg(
         F.array_sort(F.collect_list(F.struct("index", F.concat(F.lit("- "), F.col("insight")).alias("t")))).alias("a")
     )
@@ -310,11 +311,3 @@ def report(df: DataFrame, rows: DataFrame | None = None) -> DataFrame:
         ).alias("head")
     )
     return head.select(F.concat(F.col("head"), body.select("body").scalar()).alias("report"))
-
-
-def table_metrics_row(df: DataFrame) -> DataFrame:
-    k = len(df.columns)
-    aggs = [F.count(F.lit(1)).alias("n_rows")] + [F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)]
-    w = df.agg(*aggs)
-    miss = sum((F.col(f"m{i}") for i in range(k)), F.lit(0).cast("bigint"))
-    return w.select("n_rows", F.lit(k).alias("n_cols"), F.try_divide(miss * 100.0, F.col("n_rows") * k).alias("missing_pct"))

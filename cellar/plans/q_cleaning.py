@@ -64,9 +64,15 @@ def q_clean_docs(spark, d):
     return CL.clean_strings(table(spark, d, "documents").select("doc_id", "text", "lang"), ["text"])
 
 
-@register("clean_stringify_nested")
+@register(
+    "clean_stringify_nested",
+    """SELECT o_orderkey, CAST(to_json({'key': o_custkey, 'status': o_orderstatus}) AS VARCHAR) AS s,
+              CAST(to_json([o_custkey, o_orderkey]) AS VARCHAR) AS a FROM orders""",
+)
 def q_stringify(spark, d):
-    return CL.stringify_nested(table(spark, d, "embeddings"))
+    o = table(spark, d, "orders")
+    s = F.struct(F.col("o_custkey").alias("key"), F.col("o_orderstatus").alias("status"))
+    return CL.stringify_nested(o.select("o_orderkey", s.alias("s"), F.array("o_custkey", "o_orderkey").alias("a")))
 
 
 _NAMES = ["Order Key", "total price ($)", "2nd-col", "  status  ", "status", "***"]

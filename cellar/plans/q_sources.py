@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from cellar.operators import cleaning as CL
 from cellar.operators import filters as FL
 from cellar.operators import textmine as TM
+from cellar.plans.q_findings import _CUST_COLS, _report_sql
 from cellar.plans.registry import register
 from cellar.session import table
 from cellar.sources import files as SF
+from cellar.sources import jobs as JO
 from cellar.streaming import stateless as ST
 
 
@@ -42,6 +44,23 @@ def q_src_csv_latin1(spark, d):
     return CL.narrow_types(out)
 
 
+@register(
+    "src_job_table",
+    """SELECT CAST(p_partkey AS VARCHAR) AS "#", p_name AS "Job Title", p_brand AS "Company Name" FROM part
+       UNION ALL SELECT 'x', 'Job Title', 'a row that is no heading'""",
+)
+def q_src_job_table(spark, d):
+    # four files, each with a heading row first; one row holds the heading's word and must stay
+    p = table(spark, d, "part").select(
+        (F.col("p_partkey") % 4).cast("int").alias("file"), F.lit(1).alias("body"),
+        F.col("p_partkey").cast("string").alias("a"), F.col("p_name").alias("b"), F.col("p_brand").alias("c"),
+    )
+    odd = spark.createDataFrame([(1, 1, "x", "Job Title", "a row that is no heading")], p.schema)
+    heads = spark.range(4).select(F.col("id").cast("int").alias("file"), F.lit(0).alias("body"), F.lit("#").alias("a"), F.lit("Job Title").alias("b"), F.lit("Company Name").alias("c"))
+    rows = p.unionAll(odd).unionAll(heads).repartitionById(4, F.col("file")).sortWithinPartitions("file", "body").drop("file", "body")
+    return JO.load_job_table(spark, SF.write_csv(rows, SF.scratch_dir(spark, "jobs")))
+
+
 @register("src_text_corpus", "SELECT doc_id, text || repeat(chr(10), (doc_id % 3)::INTEGER) AS text FROM documents")
 def q_src_text(spark, d):
     docs = table(spark, d, "documents").withColumn("text", F.expr("text || repeat('\\n', int(doc_id % 3))"))
@@ -76,7 +95,7 @@ def q_sink_all(spark, d):
     return out
 
 
-@register("sink_report")
+@register("sink_report", f"SELECT report || chr(10) AS value FROM ({_report_sql('customer', _CUST_COLS)})")
 def q_sink_report(spark, d):
     from cellar.operators.findings import report
 

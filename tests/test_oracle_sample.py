@@ -73,7 +73,7 @@ def _table_queries() -> set[str]:
 def test_every_query_has_an_oracle_or_is_documented():
     q, s = _table_queries(), entry.oracle_sql()
     assert set(s) <= set(entry.queries())
-    assert q - set(s) == {"clean_stringify_nested", "fn_today_now", "fn_today", "fn_now", "ins_report", "sink_report"}
+    assert q == set(s) & q
 
 
 @pytest.mark.parametrize("name", SAMPLE)
