@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cellar.functions.safe import clean_nan, numeric_columns, require_columns, round_num
 from cellar.operators.ordered import Scan, prefix_scan
 from cellar.operators.profile import corr_long, exact_quantiles, long_values, value_counts_long
+from cellar.operators.quantiles import column_quantiles
 from cellar.session import materialize
 
 
@@ -30,7 +31,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     # one aggregate for min / max / mean: a single struct-valued scalar subquery
     st = df.select(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"), F.avg(x).alias("m"))).scalar()
     lo, hi, mean = st["lo"], st["hi"], st["m"]
-    median = exact_quantiles(materialize(value_counts_long(df, [column])), [0.5]).select("q").scalar()
+    median = column_quantiles(df, [column], [0.5]).select("q").scalar()
     width = (hi - lo) / F.lit(bins)
     counts = df.filter(x.isNotNull()).groupBy(_bin(x, lo, hi, bins).alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     return counts.select(
@@ -80,8 +81,12 @@ def box(df: DataFrame, column: str, group: str | None = None, k: float = 1.5) ->
         # key on the unpivoted column name: it comes out of a generator, so the
         # optimizer cannot fold the key away and turn the joins into cross joins
         by = ["column"]
-        vc = value_counts_long(df, [column])
-    q = exact_quantiles(vc, [0.25, 0.5, 0.75], by=by, broadcast_targets=group is None)
+        vc = long_values(df, [column]).withColumn("cnt", F.lit(1))
+    if group:
+        vc = materialize(vc)  # read by the bucket sample, the quantiles and the whiskers
+        q = exact_quantiles(vc, [0.25, 0.5, 0.75], by=by, broadcast_targets=False)
+    else:
+        q = column_quantiles(df, [column], [0.25, 0.5, 0.75])
     quart = q.groupBy(*by).agg(
         F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
         F.max(F.when(F.col("p") == 0.5, F.col("q"))).alias("median"),
@@ -128,8 +133,7 @@ def distributions(df: DataFrame, columns: Sequence[str] | None = None, kind: str
     """ch_distributions: histogram (or box) of several columns in one long result."""
     cols = list(columns or numeric_columns(df))
     if kind == "box":
-        vc = value_counts_long(df, cols)
-        q = exact_quantiles(vc, [0.25, 0.5, 0.75])
+        q = column_quantiles(df, cols, [0.25, 0.5, 0.75])
         return q.groupBy("column").agg(
             F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
             F.max(F.when(F.col("p") == 0.5, F.col("q"))).alias("median"),

@@ -227,12 +227,11 @@ def outliers_iqr(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
     delivered as one struct-valued scalar subquery, so the big side is filtered
     in place with no join at all.
     """
-    from cellar.operators.profile import exact_quantiles, value_counts_long
-    from cellar.session import materialize
+    from cellar.operators.quantiles import column_quantiles
 
     require_columns(df, [column])
     c = clean_nan(F.col(column).cast("double"))  # a missing value is no outlier
-    q = exact_quantiles(materialize(value_counts_long(df, [column])), [0.25, 0.75])
+    q = column_quantiles(df, [column], [0.25, 0.75])
     quart = q.agg(
         F.struct(
             F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),

@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellar.functions.safe import require_columns
-from cellar.operators.profile import exact_quantiles, value_counts_long
-from cellar.session import materialize
+from cellar.operators.quantiles import column_quantiles
 
 
 def _stat(df: DataFrame, expr):
@@ -19,8 +18,7 @@ def _stat(df: DataFrame, expr):
 
 
 def _quantile(df: DataFrame, column: str, p: float):
-    vc = materialize(value_counts_long(df, [column]))  # read by the bucket sample and the query
-    return exact_quantiles(vc, [p]).select("q").scalar()
+    return column_quantiles(df, [column], [p]).select("q").scalar()
 
 
 def color_scale(df: DataFrame, column: str, reverse: bool = False, name: str | None = None) -> DataFrame:

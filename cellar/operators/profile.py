@@ -32,6 +32,7 @@ from cellar.functions.safe import (
     type_class,
 )
 from cellar.operators.ordered import _BUCKET, with_buckets
+from cellar.operators.quantiles import column_quantiles
 from cellar.session import materialize
 
 # Correlation strength labels by absolute r.
@@ -176,7 +177,11 @@ def exact_quantiles(
 
 
 def _wide_quantiles(vc: DataFrame, names: dict[float, str], by: Sequence[str] = ("column",), **kw) -> DataFrame:
-    q = exact_quantiles(vc, list(names), by=by, **kw)
+    return _wide(exact_quantiles(vc, list(names), by=by, **kw), names, by)
+
+
+def _wide(q: DataFrame, names: dict[float, str], by: Sequence[str] = ("column",)) -> DataFrame:
+    """One row per group with a column for each quantile."""
     return q.groupBy(*by).agg(*[F.max(F.when(F.col("p") == F.lit(p), F.col("q"))).alias(n) for p, n in names.items()])
 
 
@@ -275,8 +280,7 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """agg_describe: count, mean, std, min, 25%, 50%, 75%, max per numeric column."""
     cols = list(cols or numeric_columns(df))
     mom = _moments_long(df, cols)
-    vc = materialize(value_counts_long(df, cols))  # read by the bucket sample and the query
-    quart = _wide_quantiles(vc, {0.25: "q25", 0.5: "q50", 0.75: "q75"})
+    quart = _wide(column_quantiles(df, cols, [0.25, 0.5, 0.75]), {0.25: "q25", 0.5: "q50", 0.75: "q75"})
     return mom.join(quart, "column", "left").select(
         "column", F.col("count").cast("bigint").alias("count"), "mean", "std", "min", "q25", "q50", "q75", "max"
     )
@@ -370,13 +374,13 @@ def general_info(df: DataFrame) -> DataFrame:
 def outlier_counts(df: DataFrame, cols: Sequence[str] | None = None, method: str = "iqr") -> DataFrame:
     """agg_outlier_count_iqr / agg_outlier_count_zscore, one row per column."""
     cols = list(cols or numeric_columns(df))
-    vc = materialize(value_counts_long(df, cols))  # read by the bucket sample and the query
+    vc = long_values(df, cols).withColumn("cnt", F.lit(1))
     if method == "iqr":
-        quart = _wide_quantiles(vc, {0.25: "q1", 0.75: "q3"})
+        quart = _wide(column_quantiles(df, cols, [0.25, 0.75]), {0.25: "q1", 0.75: "q3"})
         return _iqr_outliers(vc, quart)
     if method == "zscore":
         mom = _moments_long(df, cols).select("column", "mean", "std_pop")
-        j = vc.join(F.broadcast(mom), "column")
+        j = vc.join(F.broadcast(mom), "column")  # one row per column; partial sums leave each task
         z = F.abs(F.try_divide(F.col("value") - F.col("mean"), F.col("std_pop")))
         return j.groupBy("column").agg(F.sum(F.when(z > 3, F.col("cnt")).otherwise(0)).cast("bigint").alias("outliers"))
     raise ValueError(f"unknown method {method!r}")

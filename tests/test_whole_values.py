@@ -110,3 +110,19 @@ def test_buckets_over_many_partitions(spark):
     df = spark.range(0, 40000, 1, 400).withColumn("v", F.rand(3))
     b = OR.with_buckets(df, ["v", "id"], 16).groupBy("__bkt").count().collect()
     assert len(b) == 16 and max(r["count"] for r in b) < 4 * 40000 / 16
+
+
+def test_quantiles_narrow_to_small_pieces(spark, monkeypatch):
+    import numpy as np
+
+    from cellar.operators import quantiles as QU
+
+    monkeypatch.setattr(QU, "PIECE_ROWS", 50)
+    rng = np.random.default_rng(8)
+    a = np.concatenate([rng.normal(0, 1, 4000), np.full(3000, 0.25), [1e300, -1e300]])
+    rows = [(float(x), float(i % 7), None if i % 3 else float("nan"), None) for i, x in enumerate(a)]
+    df = spark.createDataFrame(rows, "a double, b double, none double, nul double").repartition(9)
+    got = {(r["column"], r["p"]): r["q"] for r in QU.column_quantiles(df, ["a", "b", "none", "nul"], [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]).collect()}
+    assert set(c for c, _ in got) == {"a", "b"}
+    for p in (0.0, 0.1, 0.25, 0.5, 0.9, 1.0):
+        assert got["a", p] == pytest.approx(np.quantile(a, p)) and got["b", p] == pytest.approx(np.quantile([i % 7 for i in range(len(a))], p))
