@@ -52,8 +52,9 @@ class Scan:
 
 
 def _default_buckets(rows: int, slots: int) -> int:
-    """Enough buckets for the rows, and at small sizes enough for the session's cores."""
-    return max(1, min(MAX_BUCKETS, max(-(-rows // ROWS_PER_BUCKET), min(slots, -(-rows // 1000)))))
+    """Enough buckets for the rows, and at small sizes enough for the session's cores; at least two,
+    so that the bucket is never a constant the optimizer could fold out of a join key."""
+    return min(MAX_BUCKETS, max(2, -(-rows // ROWS_PER_BUCKET), min(slots, -(-rows // 1000))))
 
 
 def _zero(dt: T.DataType):
