@@ -1,20 +1,23 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 States are contexts of 0 to ``order`` preceding words. A context becomes a
-state if it is frequent enough and if its next-word counts diverge from its
-shorter suffix's by more than chance; each state's next-word distribution is
-smoothed with its suffix's, down to add-one unigram counts of all training
-words. A word is scored in the longest suffix state of the words before it.
-
-The tree is bounded: contexts need ``min_context`` and next words ``min_next``
-of all training tokens, so it has at most 1/min_context states a level and
-1/min_next listed next words a level, whatever the corpus. The unigram table
-has every training word, grows with the corpus, and is joined, not broadcast.
+state if it occurs ``min_context`` times and if its next-word counts diverge
+from its shorter suffix's by more than chance; each state lists the next words
+seen ``min_next`` times in it, smoothed with its suffix's distribution, down to
+add-one unigram counts of all training words. A word is scored in the longest
+suffix state of the words before it.
+
+The minimum counts are absolute, so a pattern that is modelled on a small
+corpus is modelled on a large one, and the tree grows with the corpus. States
+and listed next words are tables built by ``groupBy``; they are never gathered
+or broadcast. Each block of texts joins its distinct keys with them. Bitmaps of
+fixed size only leave out keys that cannot match; a join always follows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,17 +26,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellar.llm.kernels import INK, as_long, chunks, find, grams, grouped_sum, words
-from cellar.llm.support import documents
+from cellar.llm.kernels import INK, as_long, chunks, find, grams, grouped_sum, mix, test_bits, words
+from cellar.llm.support import bitmap
 from cellar.session import materialize
 
 ORDER = 2
-MIN_CONTEXT = 1e-4
-MIN_NEXT = 1e-5
+MIN_CONTEXT = 40
+MIN_NEXT = 4
 KAPPA = 20.0
 BLOCK_WORDS = 1 << 21
+BLOCK_BYTES = 64 << 20
+BITMAP_LOG2 = 24
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 BEGIN = np.uint64(0x0B0E0B0E0B0E0B0E)
+_ODD = np.uint64(0x2545F4914F6CDD1D)
 
 
 def _tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -63,45 +69,88 @@ def _contexts(t: np.ndarray, off: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
+def _state_key(c: np.ndarray, k: int) -> np.ndarray:
+    """Key of a context of length k in the model table."""
+    return mix(c + np.uint64(2 * k) * _ODD)
+
+
+def _entry_key(c: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
+    """Key of a next word w listed in a context of length k."""
+    return mix(mix(c + np.uint64(2 * k + 1)) + w * _ODD)
+
+
+def _log_probabilities(key: np.ndarray, value: np.ndarray, ctx: list[np.ndarray], tok: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """log10 probabilities from sorted model keys; ``out`` has each token's unigram value."""
+    for k, c in enumerate(ctx, 1):
+        i, state = find(key, _state_key(c, k))
+        state &= c != 0
+        j, listed = find(key, _entry_key(c, tok, k))
+        if len(key):
+            out = np.where(state, out + value[i], out)
+            out = np.where(state & listed, value[j], out)
+    return out
+
+
 @dataclass
 class Level:
-    """States of one context length and the next words listed in them."""
+    """States of one context length: tables (c, unlisted) and (c, w, logp)."""
+
+    states: DataFrame
+    entries: DataFrame
 
-    ctx: np.ndarray  # sorted hashes of the contexts
-    unlisted: np.ndarray  # factor on the suffix's probability for words not listed
-    key: np.ndarray  # sorted: context index * 2**32 + word index
-    logp: np.ndarray  # log10 probability of the listed words
+    @cached_property
+    def ctx(self) -> np.ndarray:
+        """Sorted hashes of the contexts, fetched: for looking into a small tree."""
+        return np.sort(self.states.toPandas()["c"].to_numpy(np.int64).view(np.uint64))
 
 
 @dataclass
 class Tree:
+    """``model(key, v)``: count of a word, log10 factor on the suffix's probability in a state, log10 probability of a listed word."""
+
     tokens: int  # N
     types: int  # V
-    word: np.ndarray  # sorted hashes of the frequent words
-    count: np.ndarray
-    levels: list[Level] = field(default_factory=list)
+    counts: DataFrame  # (h, n) of all training words
+    levels: list[Level]
+
+    @cached_property
+    def model(self) -> DataFrame:
+        out = self.counts.select(F.col("h").alias("key"), F.col("n").cast("double").alias("v"))
+        for k, lv in enumerate(self.levels, 1):
+            rows = lv.states.select("c", F.lit(None).cast("long").alias("w"), F.log10("unlisted").alias("v")).unionAll(lv.entries.select("c", "w", F.col("logp").alias("v")))
+            out = out.unionAll(rows.mapInArrow(_key_task(k), "key long, v double"))
+        return materialize(out)
+
+    @cached_property
+    def word(self) -> np.ndarray:
+        """Sorted hashes of all training words, fetched: for looking into a small tree."""
+        return np.sort(self.counts.toPandas()["h"].to_numpy(np.int64).view(np.uint64))
+
+    @cached_property
+    def _fetched(self) -> tuple[np.ndarray, np.ndarray]:
+        rows = self.model.toPandas()
+        key = rows["key"].to_numpy(np.int64).view(np.uint64)
+        by = np.argsort(key)
+        return key[by], rows["v"].to_numpy(np.float64)[by]
 
-    def parts(self) -> tuple:
-        """Plain arrays, for a broadcast."""
-        return self.tokens, self.types, self.word, self.count, [(x.ctx, x.unlisted, x.key, x.logp) for x in self.levels]
+    def score(self, ctx: list[np.ndarray], wi: np.ndarray, known: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """log10 probabilities of the words ``word[wi]`` in a small, fetched tree."""
+        tok = np.where(known, self.word[wi], np.uint64(0))
+        return _log_probabilities(*self._fetched, ctx, tok, out)
 
-    @staticmethod
-    def of(parts: tuple) -> Tree:
-        return Tree(*parts[:4], [Level(*x) for x in parts[4]])
 
-    def base(self) -> np.ndarray:
-        return np.log10((self.count + 1.0) / (self.tokens + self.types + 1.0))
+def _key_task(k: int):
+    """Model rows of the states (w null) and listed next words of one level."""
 
-    def score(self, ctx: list[np.ndarray], wi: np.ndarray, known: np.ndarray, out: np.ndarray) -> np.ndarray:
-        """log10 probabilities; ``out`` has each token's unigram value (tail words may add to it later)."""
-        for lv, c in zip(self.levels, ctx):
-            s, state = find(lv.ctx, c)
-            k, listed = find(lv.key, (s << 32) | wi)
-            listed &= state & known
-            out = np.where(state, out + np.log10(lv.unlisted)[s] if len(lv.ctx) else out, out)
-            if len(lv.key):
-                out = np.where(listed, lv.logp[k], out)
-        return out
+    def task(batches):
+        for b in batches:
+            c = b.column(0).to_numpy().view(np.uint64)
+            state = b.column(1).is_null().to_numpy(zero_copy_only=False)
+            w = b.column(1).fill_null(0).to_numpy().view(np.uint64)
+            key = np.where(state, _state_key(c, k), _entry_key(c, w, k))
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(key)), b.column(2)], names=["key", "v"])
+
+    return task
 
 
 def _count_task():
@@ -126,172 +175,168 @@ def _sums(held) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(as_long(u)), pa.array(n)], names=["h", "n"])
 
 
-def _pair_task(tree, ctx, k: int):
-    """Counts of (candidate context of length k, frequent next word)."""
+def _pair_task(k: int, ctx, word):
+    """Counts of (context of length k, next word), both maybe frequent enough."""
 
     def task(batches):
-        held, size, word = [], 0, tree.value[2]
+        held, size = [], 0
         for batch in batches:
-            for c in chunks(batch):
-                t, off = _tokens(c.column(0))
-                s, there = find(ctx.value, _contexts(t, off, k)[k - 1])
-                wi, known = find(word, t)
-                ok = there & known
-                held.append(np.unique(((s[ok] << 32) | wi[ok]).astype(np.uint64), return_counts=True))
-                size += len(held[-1][0])
-                if size >= 2 * BLOCK_WORDS:
-                    yield _sums(held)
+            for b in chunks(batch):
+                t, off = _tokens(b.column(0))
+                c = _contexts(t, off, k)[k - 1]
+                ok = (c != 0) & test_bits(ctx.value, c) & test_bits(word.value, t)
+                c, w = c[ok], t[ok]
+                _, i, n = np.unique(_entry_key(c, w, k), return_index=True, return_counts=True)
+                held.append((c[i], w[i], n))
+                size += len(i)
+                if size >= BLOCK_WORDS:
+                    yield _pair_sums(held, k)
                     held, size = [], 0
         if held:
-            yield _sums(held)
+            yield _pair_sums(held, k)
+
+    return task
+
+
+def _pair_sums(held, k: int) -> pa.RecordBatch:
+    c, w, n = (np.concatenate([x[i] for x in held]) for i in range(3))
+    _, i, inv = np.unique(_entry_key(c, w, k), return_index=True, return_inverse=True)
+    n = np.bincount(inv, weights=n, minlength=len(i)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(as_long(c[i])), pa.array(as_long(w[i])), pa.array(n)], names=["c", "w", "n"])
+
+
+def _longer_task():
+    """Contexts of two words (c, w): their hash, their suffix w and their count."""
+
+    def task(batches):
+        for b in batches:
+            cw = [b.column(i).to_numpy().view(np.uint64) for i in (0, 1)]
+            h = grams(np.stack(cw, axis=1).reshape(-1), 2, salt=2)[::2]
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(h)), b.column(1), b.column(2)], names=["c", "suffix", "total"])
 
     return task
 
 
-def _level(ctx, total, suffix_logp, key, cnt, kappa) -> tuple[Level, np.ndarray]:
-    """Divergence test and smoothing of one level; also which candidates stay."""
-    s, w = (key >> 32).astype(np.int64), (key & 0xFFFFFFFF).astype(np.int64)
-    below = 10**suffix_logp
-    n = len(ctx)
-    seen = np.bincount(s, weights=cnt, minlength=n)
-    mass = np.minimum(np.bincount(s, weights=below, minlength=n), 1 - 1e-9)
-    rest = np.maximum(total - seen, 0)
-    gain = np.bincount(s, weights=cnt * np.log(cnt / total[s] / below), minlength=n)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain += np.where(rest > 0, rest * np.log(rest / total / (1 - mass)), 0)
-    cells = np.bincount(s, minlength=n)
-    keep = gain > (cells + 1) / 2 * np.log(np.maximum(total, 2)) + 2
-    p = (cnt + kappa * below) / (total[s] + kappa)
-    unlisted = (rest / (1 - mass) + kappa) / (total + kappa)
-    new = np.cumsum(keep) - 1
-    ok = keep[s]
-    key = (new[s[ok]] << 32) | w[ok]
-    order = np.argsort(key)
-    return Level(ctx[keep], unlisted[keep], key[order], np.log10(p[ok])[order]), keep
+def _level(pairs: DataFrame, kappa: float) -> Level:
+    """Divergence test and smoothing of one level, from rows (c, w, n, total, below)."""
+    total, rest, mass = F.col("total"), F.col("rest"), F.col("mass")
+    sums = pairs.groupBy("c", "total").agg(
+        F.sum("n").alias("seen"), F.least(F.sum("below"), F.lit(1 - 1e-9)).alias("mass"), F.count(F.lit(1)).alias("cells"),
+        F.sum(F.col("n") * F.log(F.col("n") / total / F.col("below"))).alias("gain"),
+    ).withColumn("rest", F.greatest(total - F.col("seen"), F.lit(0)))
+    gain = F.col("gain") + F.when(rest > 0, rest * F.log(rest / total / (1 - mass))).otherwise(0.0)
+    kept = sums.where(gain > (F.col("cells") + 1) / 2 * F.log(F.greatest(total, F.lit(2))) + 2)
+    states = materialize(kept.select("c", ((rest / (1 - mass) + kappa) / (total + kappa)).alias("unlisted")))
+    p = (F.col("n") + kappa * F.col("below")) / (total + kappa)
+    return Level(states, materialize(pairs.join(states.select("c"), "c").select("c", "w", F.log10(p).alias("logp"))))
 
 
 def fit(train: DataFrame, order=ORDER, min_context=MIN_CONTEXT, min_next=MIN_NEXT, kappa=KAPPA) -> tuple[Tree, DataFrame]:
     """The tree and the table (h, n) of all training tokens; ``train`` has one column, text."""
     if order not in (1, 2):
         raise ValueError("order must be 1 or 2")
-    sc = train.sparkSession.sparkContext
+    share = train.sparkSession.sparkContext.broadcast
     counts = materialize(train.mapInArrow(_count_task(), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
-    texts = F.sum(F.when(F.col("h") == F.lit(int(END)), F.col("n")))
+    end, begin = F.lit(int(END)), F.lit(int(BEGIN))
+    texts = F.sum(F.when(F.col("h") == end, F.col("n")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(texts, F.lit(0)).alias("texts")).first()
-    top = counts.where(F.col("n") >= F.lit(min_next * total.n)).toPandas()  # at most 1/min_next rows
-    h = top["h"].to_numpy(np.int64).view(np.uint64)
-    by = np.argsort(h)
-    tree = Tree(int(total.n), int(total.v), h[by], top["n"].to_numpy(np.float64)[by])
+    tree = Tree(int(total.n), int(total.v), counts, [])
     if not total.n:
         return tree, counts
-    cand = (tree.count >= min_context * tree.tokens) & (tree.word != END)
-    toks = np.append(tree.word[cand], BEGIN)[:, None]  # the words of each candidate context
-    tot = np.append(tree.count[cand], max(float(total.texts), 1.0))
-    below = None
+    least = max(2, min_next)
+    frequent = counts.where(F.col("n") >= least)
+    word = share(bitmap(frequent, "h", BITMAP_LOG2))
+    base = frequent.select(F.col("h").alias("w"), ((F.col("n") + 1.0) / (total.n + total.v + 1.0)).alias("base"))
+    # a text's start is a context too
+    cand = counts.where((F.col("n") >= min_context) & (F.col("h") != end)).select(F.col("h").alias("c"), F.lit(None).cast("long").alias("suffix"), F.col("n").alias("total"))
+    starts = counts.where(F.col("h") == end).select(begin.alias("c"), F.lit(None).cast("long").alias("suffix"), F.col("n").alias("total"))
+    cand = materialize(cand.unionAll(starts))
     for k in range(1, order + 1):
-        ctx = _hash_contexts(toks)
-        by = np.argsort(ctx)
-        ctx, toks, tot = ctx[by], toks[by], tot[by]
-        pairs = train.mapInArrow(_pair_task(sc.broadcast(tree.parts()), sc.broadcast(ctx), k), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-        pairs = pairs.where(F.col("n") >= F.lit(max(2.0, min_next * tree.tokens))).toPandas()  # at most 1/min_next rows
-        key, cnt = pairs["h"].to_numpy(np.int64), pairs["n"].to_numpy(np.float64)
-        by = np.argsort(key)
-        key, cnt = key[by], cnt[by]
-        s, w = key >> 32, key & 0xFFFFFFFF
-        level, keep = _level(ctx, tot, _suffix_logp(tree, below, toks, s, w), key, cnt, kappa)
-        tree.levels.append(level)
-        below = level
+        task = _pair_task(k, share(bitmap(cand, "c", BITMAP_LOG2)), word)
+        pairs = train.mapInArrow(task, "c long, w long, n long").groupBy("c", "w").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        pairs = pairs.join(cand, "c").join(base, "w")
+        if k == 1:
+            pairs = pairs.withColumn("below", F.col("base"))
+        else:  # P(word | the context without its first word) in the tree built so far
+            up = tree.levels[-1]
+            pairs = pairs.join(up.states.withColumnRenamed("c", "suffix"), "suffix", "left").join(up.entries.withColumnRenamed("c", "suffix"), ["suffix", "w"], "left")
+            pairs = pairs.withColumn("below", F.coalesce(F.pow(F.lit(10.0), "logp"), F.col("base") * F.coalesce("unlisted", F.lit(1.0))))
+        pairs = materialize(pairs.select("c", "w", "n", "total", "below"))
+        tree.levels.append(_level(pairs, kappa))
         # a frequent (context, next word) is a candidate context of one more word
-        long = (cnt >= min_context * tree.tokens) & (tree.word[w] != END) & (toks[s, 0] != BEGIN)
-        toks, tot = np.concatenate([toks[s[long]], tree.word[w[long]][:, None]], axis=1), cnt[long]
-        if not len(toks):
-            break
+        if k < order:
+            long = pairs.where((F.col("n") >= min_context) & (F.col("w") != end) & (F.col("c") != begin)).select("c", "w", "n")
+            cand = materialize(long.mapInArrow(_longer_task(), "c long, suffix long, total long"))
     return tree, counts
 
 
-def _hash_contexts(toks: np.ndarray) -> np.ndarray:
-    h = toks[:, -1].copy()
-    for k in range(2, toks.shape[1] + 1):
-        h = grams(np.stack([toks[:, -k], h], axis=1).reshape(-1), 2, salt=k)[::2]
-    return h
-
-
-def _suffix_logp(tree: Tree, level: Level | None, toks, s, w) -> np.ndarray:
-    """log10 P(word | the context without its first word), in the tree built so far."""
-    out = tree.base()[w]
-    if level is None or not len(level.ctx):
-        return out
-    p, there = find(level.ctx, _hash_contexts(toks[:, 1:]))
-    i, listed = find(level.key, (p[s] << 32) | w)
-    out = np.where(there[s], out + np.log10(level.unlisted)[p[s]], out)
-    return np.where(listed & there[s], level.logp[i], out) if len(level.key) else out
-
-
-def _score_task(tree):
-    """Rows of each block of texts: one per text with its partial scores and the block's rare words, one with those words."""
+def _score_task(bits, order: int):
+    """The texts in numbered blocks, and a row per block with its distinct keys that the model may have."""
 
     def task(batches):
-        t = Tree.of(tree.value)
-        base, unseen = t.base(), -np.log10(t.tokens + t.types + 1.0)
-        block, no, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
+        block, no, keys, size, room = TaskContext.get().partitionId() << 32, 0, [], 0, 0
         for batch in batches:
             for c in chunks(batch):
-                tok, off = _tokens(c.column(c.schema.get_field_index("text")))
-                wi, known = find(t.word, tok)
-                uni = np.where(known, base[wi], unseen) if len(base) else np.full(len(tok), unseen)
-                lp = t.score(_contexts(tok, off, len(t.levels)), wi, known, uni) if t.levels else uni
-                held.append((c.select(["doc_id", "held_out"]), off, grouped_sum(uni, off), grouped_sum(lp, off), grouped_sum(known.astype(np.int64), off), grouped_sum((~known).astype(np.int64), off), tok[~known]))
-                size += len(held[-1][-1])
-                if size >= BLOCK_WORDS:
-                    yield from _block(block + no, held)
-                    no, held, size = no + 1, [], 0
-        if held:
-            yield from _block(block + no, held)
+                text = c.column(c.schema.get_field_index("text"))
+                tok, off = _tokens(text)
+                keys.append(_keys(tok, off, order, bits.value))
+                size, room = size + len(tok), room + text.nbytes
+                n = c.num_rows
+                cols = [c.column(c.schema.get_field_index(x)) for x in ("doc_id", "held_out")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block + no)), *cols, text.cast(pa.string()), pa.nulls(n, pa.list_(pa.int64()))], names=_NAMES)
+                if size >= BLOCK_WORDS or room >= BLOCK_BYTES:
+                    yield _vocab(block + no, keys, c.schema)
+                    no, keys, size, room = no + 1, [], 0, 0
+        if keys:
+            yield _vocab(block + no, keys, c.schema)
 
     return task
 
 
-def _block(block: int, held):
-    vocab, inv = np.unique(np.concatenate([x[-1] for x in held]), return_inverse=True)
-    at = 0
-    for c, off, uni, lp, known, n_tail, tail in held:
-        n = c.num_rows
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n_tail))).astype(np.int32)), pa.array(inv[at : at + len(tail)].astype(np.int32)))
-        at += len(tail)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, block)), c.column(c.schema.get_field_index("doc_id")), c.column(c.schema.get_field_index("held_out")), pa.array(np.diff(off)), pa.array(known), pa.array(uni), pa.array(lp), lists, pa.nulls(n, pa.list_(pa.int64()))],
-            names=_NAMES,
-        )
+def _keys(tok: np.ndarray, off: np.ndarray, order: int, bits: np.ndarray) -> np.ndarray:
+    out = [np.unique(tok)]
+    for k, c in enumerate(_contexts(tok, off, order) if order else [], 1):
+        there = c != 0
+        state = _state_key(c, k)
+        there &= test_bits(bits, state)
+        out += [np.unique(state[there]), np.unique(_entry_key(c[there], tok[there], k))]
+    h = np.concatenate(out)
+    return h[test_bits(bits, h)]
+
+
+def _vocab(block: int, keys, schema: pa.Schema) -> pa.RecordBatch:
+    vocab = np.unique(np.concatenate(keys))
     one = lambda t: pa.nulls(1, t)
-    c = held[0][0]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([block]), one(c.schema.field("doc_id").type), one(pa.bool_()), one(pa.int64()), one(pa.int64()), one(pa.float64()), one(pa.float64()), one(pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array([0, len(vocab)], pa.int32()), pa.array(as_long(vocab)))],
+    return pa.RecordBatch.from_arrays(
+        [pa.array([block]), one(schema.field("doc_id").type), one(pa.bool_()), one(pa.string()), pa.ListArray.from_arrays(pa.array([0, len(vocab)], pa.int32()), pa.array(as_long(vocab)))],
         names=_NAMES,
     )
 
 
-_NAMES = ["block", "doc_id", "held_out", "n_tokens", "known", "uni", "lp", "tail", "vocab"]
+_NAMES = ["block", "doc_id", "held_out", "text", "vocab"]
 
 
-def _finish(tokens: int):
-    """Adds the unigram counts of a block's rare words to its texts' partial scores."""
+def _finish(tokens: int, types: int, order: int):
+    """Scores a block's texts with the model rows found for the block."""
 
     def task(left, right):
-        idx, cnt = right.column("idx").to_numpy(), right.column("n").to_numpy()
-        tail = left.column("tail").combine_chunks()
-        off = np.concatenate(([0], np.cumsum(np.diff(tail.offsets.to_numpy()))))
-        flat = tail.flatten().to_numpy(zero_copy_only=False)
-        c = np.zeros(int(flat.max(initial=-1)) + 1 if len(flat) else 1)
-        ok = idx < len(c)
-        c[idx[ok]] = cnt[ok]
-        more = grouped_sum(np.log10(c[flat] + 1.0), off) if len(flat) else np.zeros(left.num_rows)
-        known = grouped_sum((c[flat] > 0).astype(np.int64), off) if len(flat) else np.zeros(left.num_rows, np.int64)
-        num = lambda n: left.column(n).to_numpy()
-        return pa.table({
-            "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": left.column("n_tokens"),
-            "n_known": pa.array(num("known") + known), "train_tokens": pa.array(np.full(left.num_rows, tokens)),
-            "base_score": pa.array(num("uni") + more), "score": pa.array(num("lp") + more),
-        })
+        key, value = right.column("key").to_numpy().view(np.uint64), right.column("v").to_numpy()
+        by = np.argsort(key)
+        key, value = key[by], value[by]
+        out = []
+        for b in left.select(["doc_id", "held_out", "text"]).combine_chunks().to_batches():
+            for c in chunks(b):
+                tok, off = _tokens(c.column(2))
+                i, known = find(key, tok)
+                n = np.where(known, value[i], 0.0) if len(key) else np.zeros(len(tok))
+                uni = np.log10((n + 1.0) / (tokens + types + 1.0))
+                lp = _log_probabilities(key, value, _contexts(tok, off, order), tok, uni) if order else uni
+                out.append(pa.table({
+                    "doc_id": c.column(0), "held_out": c.column(1), "n_tokens": pa.array(np.diff(off)),
+                    "n_known": pa.array(grouped_sum(known.astype(np.int64), off)), "train_tokens": pa.array(np.full(c.num_rows, tokens)),
+                    "base_score": pa.array(grouped_sum(uni, off)), "score": pa.array(grouped_sum(lp, off)),
+                }))
+        return pa.concat_tables(out)
 
     return task
 
@@ -305,18 +350,19 @@ def score_texts(docs: DataFrame, held_out: Column, id_col="doc_id", text_col="te
     token is the end. With no training rows every score is that of the empty
     model, log10(1) a token. Scores are log10 probabilities.
 
-    Texts are scored in blocks of about ``BLOCK_WORDS`` rare words. Frequent
-    words and contexts come from the broadcast tree; the counts of a block's
-    distinct rare words come from one join with the unigram table.
+    Texts are scored in blocks of about ``BLOCK_WORDS`` tokens: the words,
+    contexts and (context, next word) pairs of a block are joined once with the
+    model table, each distinct one alone.
     """
     id_type = docs.schema[id_col].dataType
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    tree, counts = fit(d.where(~F.col("held_out")).select("text"), **model)
-    sc = docs.sparkSession.sparkContext
-    schema = T.StructType.fromDDL(f"block long, doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, known long, uni double, lp double, tail array<int>, vocab array<long>")
-    blocks = materialize(d.mapInArrow(_score_task(sc.broadcast(tree.parts())), schema))
+    tree, _ = fit(d.where(~F.col("held_out")).select("text"), **model)
+    order = len(tree.levels)
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(tree.model, "key", BITMAP_LOG2))
+    schema = T.StructType.fromDDL(f"block long, doc_id {id_type.simpleString()}, held_out boolean, text string, vocab array<long>")
+    blocks = materialize(d.mapInArrow(_score_task(bits, order), schema))
     texts = blocks.where("vocab IS NULL").drop("vocab")
-    vocab = blocks.where("vocab IS NOT NULL").select(F.col("block").alias("part"), F.posexplode("vocab").alias("idx", "h"))
-    found = vocab.join(counts, "h").select("part", "idx", "n")
+    vocab = blocks.where("vocab IS NOT NULL").select(F.col("block").alias("part"), F.explode("vocab").alias("key"))
+    found = vocab.join(tree.model, "key").select("part", "key", "v")
     out = f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.groupBy("block").cogroup(found.groupBy("part")).applyInArrow(_finish(tree.tokens), out)
+    return texts.groupBy("block").cogroup(found.groupBy("part")).applyInArrow(_finish(tree.tokens, tree.types, order), out)

@@ -337,3 +337,22 @@ def test_pipeline_decisions(spark):
     items = {tuple(w[k : k + 10]) for w in (words(r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()) for k in range(len(w) - 9)}
     hit = {r.doc_id for r in steps[3].collect() if any(tuple(w[k : k + 10]) in items for w in [words(r.text)] for k in range(len(w) - 9))}
     assert {r.doc_id for r in steps[3].collect()} - hit == {r.doc_id for r in steps[4].collect()}
+
+
+def test_suffix_tree_models_the_same_pattern_on_a_larger_table(spark):
+    """A pair that is rare among all tokens is modelled as on a table without the others."""
+    pattern = [(i, "left right " * 3 + f"a{i}") for i in range(60)]
+    other = [(1000 + i, " ".join(f"w{i * 200 + j}" for j in range(200))) for i in range(9000)]
+    gain = []
+    for rows in (pattern, pattern + other):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = suffix_tree_lm.score_texts(df, F.lit(False)).where("doc_id < 1000").agg(F.avg(F.col("score") - F.col("base_score"))).first()[0]
+        gain.append(got)
+    assert gain[0] > 1 and gain[1] > gain[0]
+
+
+def test_suffix_tree_has_more_states_than_any_share_allows(spark):
+    """12,000 contexts of 50 occurrences each: more than the 10,000 that a share of 1e-4 leaves."""
+    df = spark.range(12000).select(F.expr("concat_ws(' ', array_repeat(concat('p', id, ' q', id), 50))").alias("text"))
+    tree, _ = suffix_tree_lm.fit(df)
+    assert tree.levels[0].states.count() >= 24000
