@@ -125,7 +125,7 @@ def _similar(sa, sb, threshold, same):
     order = np.argsort(col, kind="stable")
     col, who = col[order], who[order]
     na = len(sa)
-    inter = np.zeros((na, na if same else len(sb)), np.float32)
+    inter = np.zeros((na, na if same else len(sb)))
     step, top = 4096, int(col[-1]) + 1 if len(col) else 0
     for c0 in range(0, top, step):
         lo, hi = np.searchsorted(col, [c0, c0 + step])
@@ -133,8 +133,9 @@ def _similar(sa, sb, threshold, same):
         m[who[lo:hi], col[lo:hi] - c0] = 1
         inter += m[:na] @ (m if same else m[na:]).T
     sb_size = size if same else size[na:]
-    # inter / (a + b - inter) >= t, without a rounding error on exact ties
-    i, j = np.nonzero(inter * (1 + threshold) + 1e-6 >= threshold * (size[:na, None] + sb_size[None, :]))
+    # inter / (a + b - inter) >= t in float64, with room for rounding on exact ties
+    both = size[:na, None] + sb_size[None, :]
+    i, j = np.nonzero(inter * (1 + threshold) + 1e-9 * both >= threshold * both)
     ok = i < j if same else np.ones(len(i), bool)
     return i[ok], j[ok]
 

@@ -356,3 +356,15 @@ def test_suffix_tree_has_more_states_than_any_share_allows(spark):
     df = spark.range(12000).select(F.expr("concat_ws(' ', array_repeat(concat('p', id, ' q', id), 50))").alias("text"))
     tree, _ = suffix_tree_lm.fit(df)
     assert tree.levels[0].states.count() >= 24000
+
+
+@pytest.mark.parametrize("inter, union", [(24, 30), (88, 110), (400, 500), (4 * 2999, 5 * 2999)])
+def test_jaccard_exact_ties_are_links(inter, union):
+    a = np.arange(inter + (union - inter) // 2, dtype=np.uint64)
+    b = np.concatenate([a[:inter], np.arange(10**6, 10**6 + union - len(a), dtype=np.uint64)])
+    assert len(np.union1d(a, b)) == union and len(np.intersect1d(a, b)) == inter
+    for same in (True, False):
+        i, j = jaccard_join._similar([a, b] if same else [a], [] if same else [b], 0.8, same)
+        assert len(i) == 1
+    less = np.append(b, np.uint64(10**7))
+    assert len(jaccard_join._similar([a, less], [], 0.8, True)[0]) == 0
