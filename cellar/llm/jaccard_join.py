@@ -190,14 +190,16 @@ def _verify(n: int, threshold: float):
 
 
 def jaccard_join(docs: DataFrame, id_col="doc_id", text_col="text", n: int = NGRAM, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """One row per document row: doc_id, th, copy_id, n_copies, n_links, class_id.
+    """One row per document row: doc_id, th, copy_id, n_copies, n_links, class_id, class_th.
 
     copy_id is the least doc_id with the same words (A-Z lower-cased) and
     n_copies the number of rows that have them; n_links counts the *different*
     texts whose word n-gram sets have Jaccard similarity >= ``threshold``;
-    class_id is the least doc_id connected by copies or links. A text of fewer
+    class_id is the least doc_id connected by copies or links, and class_th the
+    least text hash that goes with it: together they name one text of the group,
+    also where ids are null or repeat. A text of fewer
     than ``n`` words has one shingle, all its words; a null or wordless text
-    has no links, is nobody's copy, and its class_id is its own doc_id. Rows
+    has no links, is nobody's copy, and its class_id and class_th are its own. Rows
     that repeat an id and text count as copies. A null doc_id sorts last.
 
     Copies are collapsed before anything is compared; groups of more than
@@ -229,11 +231,12 @@ def jaccard_join(docs: DataFrame, id_col="doc_id", text_col="text", n: int = NGR
     parts = connected_components(links.where("links = 0").select("a", "b"))
     named = (
         copies.join(counts, "node", "left").join(parts, "node", "left")
-        .select("node", "h2", F.col("m.doc_id").alias("copy_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("label", "node").alias("label"))
+        .select("node", "h2", F.col("m.doc_id").alias("copy_id"), F.col("m.th").alias("copy_th"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("label", "node").alias("label"))
     )
     named = materialize(named)
     first = materialize(
-        named.groupBy("label").agg(F.min(F.struct(F.col("copy_id").isNull().alias("nil"), "copy_id")).alias("f")).select("label", F.col("f.copy_id").alias("class_id"))
+        named.groupBy("label").agg(F.min(F.struct(F.col("copy_id").isNull().alias("nil"), "copy_id", "copy_th")).alias("f"))
+        .select("label", F.col("f.copy_id").alias("class_id"), F.col("f.copy_th").alias("class_th"))
     )
     named = materialize(named.join(first, "label").drop("label"))
     rows = signed.select("doc_id", "th", "n_words", "node", "h2")
@@ -244,6 +247,7 @@ def jaccard_join(docs: DataFrame, id_col="doc_id", text_col="text", n: int = NGR
         F.coalesce("n_copies", F.lit(1)).alias("n_copies"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.when(F.col("n_words") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.coalesce("class_th", "th").alias("class_th"),
     )
 
 

@@ -21,7 +21,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents")).drop("th")
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents")).drop("th", "class_th")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

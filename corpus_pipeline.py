@@ -22,13 +22,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, the least doc_id, of each group linked by copies or similarity.
+    """Keep one document, the least (doc_id, text hash), of each group linked by copies or similarity.
 
-    Wordless texts are nobody's copies and stay. Of rows that repeat both id
+    The group names it, so one stays also where ids are null or repeat. Wordless texts are nobody's copies and stay. Of rows that repeat both id
     and text one stays.
     """
     found = jaccard_join.jaccard_join(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
+    named = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("th") == F.col("class_th"))
+    keep = found.where(named).groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n"))
     keep = materialize(keep)
     rows = join_key(docs, keep.where("n = 1").drop("n"), "left_semi")
     repeated = keep.where("n > 1").drop("n")

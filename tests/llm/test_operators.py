@@ -368,3 +368,15 @@ def test_jaccard_exact_ties_are_links(inter, union):
         assert len(i) == 1
     less = np.append(b, np.uint64(10**7))
     assert len(jaccard_join._similar([a, less], [], 0.8, True)[0]) == 0
+
+
+def test_near_duplicates_without_unique_ids_keep_one(spark):
+    """Groups of different texts whose ids are all null, or all equal: one text stays of each."""
+    base = {k: " ".join(f"{k}{i}" for i in range(200)) for k in "abc"}
+    near = lambda k: [base[k], base[k].upper() + "!", base[k] + " end", base[k] + " other end"]
+    rows = [(None, t) for t in near("a")] + [(7, t) for t in near("b")] + [(None, near("c")[0]), (9, near("c")[1]), (9, near("c")[2])]
+    rows += [(None, base["a"]), (None, None), (7, "")]
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL).collect()
+    assert len(out) == 5
+    kind = collections.Counter((r.doc_id, (r.text or "-")[0].lower()) for r in out)
+    assert kind == {(None, "a"): 1, (7, "b"): 1, (9, "c"): 1, (None, "-"): 1, (7, "-"): 1}
