@@ -1,9 +1,16 @@
-"""Substring deduplication over sliding sentence spans.
-
-A span is a run of consecutive sentences starting at any sentence and holding
-at least ``sentences`` of them and ``min_words`` words. Spans are hashed, equal
-hashes are joined over the whole corpus, and sentences covered by a span that
-is not the first of its kind are removed.
+"""Substring deduplication over sliding spans of sentences and of words.
+
+A sentence span is a run of consecutive sentences starting at any sentence and
+holding at least ``sentences`` of them and ``min_words`` words. A word span
+starts at any cut and ends at the first cut ``RUN_WORDS`` or more words on; the
+cuts are the words of least hash in each ``WINDOW`` words, whatever stops and
+line breaks stand between them. Spans are hashed, equal hashes are joined over
+the whole corpus, and words covered by a span that is not the first of its kind
+are removed.
+
+Cuts at least ``WINDOW`` - 1 words inside a shared run depend on the run alone,
+and no ``WINDOW`` words are without one. So a shared run of 4 * ``WINDOW`` - 3 +
+``RUN_WORDS`` words, 49, has a common word span wherever it stands.
 """
 
 from __future__ import annotations
@@ -20,6 +27,8 @@ from cellar.session import materialize
 SENTENCES = 3
 MIN_WORDS = 12
 LONG_SENTENCE = 16
+WINDOW = 8
+RUN_WORDS = 20
 BITMAP_LOG2 = 24
 _ODD = np.uint64(0x2545F4914F6CDD1D)
 _INV = np.uint64(pow(0x2545F4914F6CDD1D, -1, 1 << 64))
@@ -54,7 +63,45 @@ def _sentences(w: Words, long_sentence: int) -> np.ndarray:
     return np.flatnonzero(first)
 
 
+def _cuts(w: Words) -> np.ndarray:
+    """Words that have the least hash (the first of equals) of some ``WINDOW`` consecutive words of their text."""
+    m = len(w.hash) - WINDOW + 1
+    if m <= 0:
+        return np.empty(0, np.int64)
+    least, at = w.hash[:m].copy(), np.zeros(m, np.int64)
+    for j in range(1, WINDOW):
+        c = w.hash[j : j + m]
+        at[c < least] = j
+        np.minimum(least, c, out=least)
+    start = np.arange(m)
+    cut = np.zeros(len(w.hash), bool)
+    cut[(start + at)[start + WINDOW <= w.text_end()[:m]]] = True
+    return np.flatnonzero(cut)
+
+
+def _word_spans(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, word after the last, and hash of each word span."""
+    cut = _cuts(w)
+    k = np.searchsorted(cut, cut + RUN_WORDS)
+    ok = k < len(cut)
+    a, b = cut[ok], cut[k[ok]]
+    inside = b <= w.text_end()[a]
+    a, b = a[inside], b[inside]
+    m = len(w.hash)
+    prefix = np.zeros(m + 1, np.uint64)
+    np.cumsum(mix(w.hash + _ODD) * powers(m, _ODD), out=prefix[1:])
+    return a, b, mix((prefix[b] - prefix[a]) * powers(m, _INV)[a] + (b - a).astype(np.uint64) * _ODD)
+
+
 def _spans(w: Words, sentences: int, min_words: int, long_sentence: int):
+    """First word, word after the last, and hash of each span of either kind."""
+    first, _, i, j, h = _sentence_spans(w, sentences, min_words, long_sentence)
+    edge = np.append(first, len(w.hash))
+    a, b, g = _word_spans(w)
+    return np.concatenate([edge[i], a]), np.concatenate([edge[j + 1], b]), np.concatenate([h, g])
+
+
+def _sentence_spans(w: Words, sentences: int, min_words: int, long_sentence: int):
     """Sentence starts, sentence offsets per text, and each span's first and last sentence and hash."""
     first = _sentences(w, long_sentence)
     m = len(first)
@@ -77,7 +124,7 @@ def _count_task(args):
     def task(batches):
         for batch in batches:
             for c in chunks(batch):
-                h = _spans(words(c.column(0)), *args)[4]
+                h = _spans(words(c.column(0)), *args)[2]
                 u, n = np.unique(h, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(as_long(u)), pa.array(n.astype(np.int32))], names=["h", "n"])
 
@@ -89,13 +136,14 @@ def _place_task(args, bits):
         for batch in batches:
             for c in chunks(batch):
                 col = lambda n: c.column(c.schema.get_field_index(n))  # noqa: B023, E731
-                _, soff, i, j, h = _spans(words(col("text")), *args)
+                w = words(col("text"))
+                i, j, h = _spans(w, *args)
                 ok = np.flatnonzero(test_bits(bits.value, h))
                 i, j, h = i[ok], j[ok], h[ok]
-                text = np.searchsorted(soff, i, "right") - 1
+                text = np.searchsorted(w.off, i, "right") - 1
                 take = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(as_long(h)), col("doc_id").take(take), col("th").take(take), pa.array((i - soff[text]).astype(np.int32)), pa.array((j - soff[text]).astype(np.int32))],
+                    [pa.array(as_long(h)), col("doc_id").take(take), col("th").take(take), pa.array((i - w.off[text]).astype(np.int32)), pa.array((j - w.off[text]).astype(np.int32))],
                     names=["h", "doc_id", "th", "i", "j"],
                 )
 
@@ -103,7 +151,7 @@ def _place_task(args, bits):
 
 
 def repeated_spans(docs: DataFrame, id_col="doc_id", text_col="text", sentences=SENTENCES, min_words=MIN_WORDS, long_sentence=LONG_SENTENCE) -> DataFrame:
-    """(doc_id, th, spans): the sentence ranges of each document that repeat an earlier span.
+    """(doc_id, th, spans): the word ranges i..j-1 of each document that repeat an earlier span.
 
     Spans are ordered by (doc_id, nulls last; text hash; position). Spans are
     first counted (a row per distinct span and chunk travels); only those that
@@ -127,7 +175,7 @@ def repeated_spans(docs: DataFrame, id_col="doc_id", text_col="text", sentences=
 
 
 def _remove_task(text_col, spans_col, report, long_sentence):
-    """Cut the covered sentences out of each text; a sentence runs up to the next one's first byte."""
+    """Cut the covered words out of each text; a word runs up to the next one's first byte."""
 
     def task(batches):
         for batch in batches:
@@ -140,22 +188,22 @@ def _remove_task(text_col, spans_col, report, long_sentence):
                 out = c.column(k).to_pylist()
                 gone = np.zeros(len(out), np.int64)
                 lost = np.zeros(len(out), np.int64)
-                edge = np.append(first, len(w.hash))
                 for r in np.flatnonzero(sp.is_valid().to_numpy(zero_copy_only=False)):
-                    a, b = soff[r], soff[r + 1]
+                    a, b = w.off[r], w.off[r + 1]
                     cover = np.zeros(b - a + 1, np.int64)
                     for s in sp[int(r)].as_py():
                         cover[s["i"]] += 1
-                        cover[s["j"] + 1] -= 1
+                        cover[s["j"]] -= 1
                     drop = np.cumsum(cover[:-1]) > 0
                     t0, t1 = w.text_off[r], w.text_off[r + 1]
-                    starts = w.start[first[a:b]].copy()
+                    starts = np.append(w.start[a:b], t1)
                     starts[0] = t0
-                    ends = np.append(starts[1:], t1)
+                    # runs of kept words
+                    turn = np.flatnonzero(np.diff(np.concatenate(([True], drop, [True]))))
                     raw = w.data
-                    out[r] = b"".join(raw[s:e].tobytes() for s, e, x in zip(starts, ends, drop) if not x).decode("utf-8", "replace")
-                    gone[r] = drop.sum()
-                    lost[r] = (edge[a + 1 : b + 1] - edge[a:b])[drop].sum()
+                    out[r] = b"".join(raw[starts[s] : starts[e]].tobytes() for s, e in zip(turn[::2], turn[1::2])).decode("utf-8", "replace")
+                    gone[r] = np.logical_and.reduceat(drop, first[soff[r] : soff[r + 1]] - a).sum()
+                    lost[r] = drop.sum()
                 cols = [x for n, x in enumerate(c.columns) if c.schema.names[n] != spans_col]
                 names = [x for x in c.schema.names if x != spans_col]
                 cols[names.index(text_col)] = pa.array(out, pa.string())
@@ -168,14 +216,14 @@ def _remove_task(text_col, spans_col, report, long_sentence):
 
 
 def remove_repeats(docs: DataFrame, id_col="doc_id", text_col="text", report: bool = False, sentences=SENTENCES, min_words=MIN_WORDS, long_sentence=LONG_SENTENCE) -> DataFrame:
-    """Every row of ``docs`` with the repeated sentences cut out of its text; all columns stay.
+    """Every row of ``docs`` with the repeated passages cut out of its text; all columns stay.
 
     The first place of a span keeps it; every other place, also in the same
-    document, loses the sentences it covers. Rows that repeat both id and text
+    document, loses the words it covers. Rows that repeat both id and text
     are one document and are cut alike. A null text stays null, an empty text
     empty; a text may become empty but no row is dropped. Words and case, not
-    punctuation, decide whether sentences are equal (A-Z lower-cased).
-    ``report`` adds n_sentences, n_removed and words_removed.
+    punctuation, decide whether spans are equal (A-Z lower-cased).
+    ``report`` adds n_sentences, n_removed (wholly removed) and words_removed.
     """
     (sp,) = free(docs.columns, "spans")
     spans = repeated_spans(docs, id_col, text_col, sentences, min_words, long_sentence).withColumnRenamed("spans", sp)

@@ -380,3 +380,28 @@ def test_near_duplicates_without_unique_ids_keep_one(spark):
     assert len(out) == 5
     kind = collections.Counter((r.doc_id, (r.text or "-")[0].lower()) for r in out)
     assert kind == {(None, "a"): 1, (7, "b"): 1, (9, "c"): 1, (None, "-"): 1, (7, "-"): 1}
+
+
+def test_substring_dedup_finds_every_run_of_50_words(spark):
+    """Passages of 50 words inside other prose: no, few or re-wrapped stops, over many seeds."""
+    rng = np.random.default_rng(17)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 14))
+
+    def prose(words, every, wrap):
+        return " ".join(x + "." * (every > 0 and i % every == every - 1) + "\n" * (wrap > 0 and i % wrap == wrap - 1) for i, x in enumerate(words))
+
+    rows, runs = [], []
+    for seed in range(150):
+        run = [word() for _ in range(50)]
+        for k, (every, wrap) in enumerate([(0, 0), (16, 0), (40, 0), (0, 9), (0, 13)]):
+            host = [word() for _ in range(60)]
+            rows.append((seed * 5 + k, prose(host[: 20 + k] + run + host[20 + k :], every, wrap)))
+            runs.append((run, host))
+    out = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), report=True).orderBy("doc_id").collect()
+    for (i, text), (run, host), r in zip(rows, runs, out):
+        left = re.findall("[a-h]+", r.text)
+        if i % 5 == 0:
+            assert r.text == text and r.words_removed == 0
+        else:
+            assert r.words_removed >= 20 and left == [x for x in host[: 20 + i % 5] + run + host[20 + i % 5 :] if x in set(left)]
+            assert set(host) <= set(left)
