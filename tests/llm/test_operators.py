@@ -405,3 +405,40 @@ def test_substring_dedup_finds_every_run_of_50_words(spark):
         else:
             assert r.words_removed >= 20 and left == [x for x in host[: 20 + i % 5] + run + host[20 + i % 5 :] if x in set(left)]
             assert set(host) <= set(left)
+
+
+def test_license_canonical_texts(spark):
+    """Wrapped and commented headers and licences, as they stand in files."""
+    import textwrap
+
+    apache = [
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+        "http://www.apache.org/licenses/LICENSE-2.0",
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    ]
+    mit = [
+        "MIT License",
+        "Copyright (c) 2020 Some One. All rights reserved.",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE.',
+    ]
+    bsd = [
+        "Copyright (c) 2020, Some One. All rights reserved.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ]
+    gpl = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    cases = [(apache, "Apache-2.0"), (mit, "MIT"), (bsd, "BSD-3-Clause"), (bsd[:-1], "BSD-2-Clause"), ([gpl.format(":", ",", 3)], "GPL-3.0"), ([gpl.format(";", ";", 2)], "GPL-2.0")]
+    rows, want = [], []
+    for paragraphs, name in cases:
+        for width in (40, 72, 5000):
+            for sign in ("", "# ", " * ", "// "):
+                lines = [x for p in paragraphs for x in (*textwrap.wrap(p, width), "")]
+                rows.append((len(rows), "\n".join((sign + x).rstrip() for x in lines)))
+                want.append(name)
+    rows.append((len(rows), "Nothing of the\nSoftware is licensed; not all\nrights reserved here."))
+    got = [r.license for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [*want, None]
