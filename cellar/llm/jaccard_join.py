@@ -1,10 +1,12 @@
-"""N-gram Jaccard similarity join by a MinHash LSH forest.
+"""N-gram Jaccard similarity join by MinHash banding.
 
 Texts with the same words are one class. Each class has ``trees`` signatures of
-``depth`` MinHash values over its word n-grams; a tree is the set of its
-signatures' prefixes, a trie. Matched prefixes are shortened from full depth
-until two texts at the threshold share a trie node in some tree with the target
-probability. Texts that share a node are gathered into connected groups, and
+``depth`` MinHash values over its word n-grams. One prefix length for all of
+them, the longest at which two texts at the threshold agree in some signature
+with the target probability, is computed from the parameters: by default 16
+bands of 5 values. It is not adapted to the data, no tries are built, and a
+pair at 0.8 that agrees in no band and is in no common group is lost. Texts
+that share a band's values, a node, are gathered into connected groups, and
 inside each group every pair is verified by its exact Jaccard similarity, in
 blocks: the groups hold all pairs that share a node, so nothing is capped.
 """
