@@ -99,8 +99,8 @@ class Words:
         return np.repeat(self.off[1:], self.counts)
 
 
-def words(arr: pa.Array, table: np.ndarray = WORD) -> Words:
-    """Maximal runs of ``table`` bytes, with a hash of their A-Z-lower-cased bytes."""
+def words(arr: pa.Array, table: np.ndarray = WORD, fold: np.ndarray = LOWER) -> Words:
+    """Maximal runs of ``table`` bytes, with a hash of their bytes as ``fold`` maps them (A-Z lower-cased)."""
     data, toff = text_bytes(arr)
     n = len(data)
     if n == 0:
@@ -123,7 +123,7 @@ def words(arr: pa.Array, table: np.ndarray = WORD) -> Words:
         return Words(np.empty(0, np.uint64), start, end, off, data, toff)
     lens = end - start
     begin = np.cumsum(lens) - lens
-    body = LOWER[data[ink]].astype(np.uint64)
+    body = fold[data[ink]].astype(np.uint64)
     body += np.uint64(1)
     rel = np.arange(len(body)) - np.repeat(begin, lens)
     body *= powers(int(lens.max()))[rel]

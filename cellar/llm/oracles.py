@@ -114,4 +114,63 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r)
 """
 
-ORACLES = {"op1_mix_sources": OP1, "op2_jaccard_join": OP2, "op8_license_scan": _op8(), "op9_pivot_topk": OP9, "op10_decontaminate": OP10}
+#: the rules, cutoffs and error levels of op11, written out anew: (rule, value, above, cutoffs from mild to strict)
+OP11_RULES = [
+    ("symbols", "n_symbols / n_words", ">", "2.0, 1.5, 1.0, 0.75, 0.5, 0.4, 0.3, 0.2, 0.1, 0.05"),
+    ("duplicate_lines", "n_dup_lines / n_lines", ">", "0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1"),
+    ("repeats", "n_repeat_words / n_words", ">", "0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1"),
+    ("capitals", "n_caps / word_chars", ">", "0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2"),
+    ("long_words", "word_chars / n_words", ">", "40.0, 30.0, 25.0, 20.0, 15.0, 12.0, 10.0, 9.0"),
+    ("short_words", "word_chars / n_words", "<", "1.5, 2.0, 2.5, 3.0, 3.5, 4.0"),
+]
+
+
+def _op11() -> str:
+    rules = " UNION ALL ".join(f"SELECT '{n}' AS rule, '{op}' AS op, [{c}]::DOUBLE[] AS cuts" for n, _, op, c in OP11_RULES)
+    values = ", ".join(f"{{'rule': '{n}', 'v': CASE WHEN {v.split(' / ')[1]} > 0 THEN ({v.split(' / ')[0]})::DOUBLE / {v.split(' / ')[1]} END}}" for n, v, _, _ in OP11_RULES)
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang AS stratum, coalesce(text, '') AS text FROM documents
+), s AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM d
+), g AS (
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS times
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM s)
+), r AS (
+  SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM g WHERE times >= 2) GROUP BY rid
+), m AS (
+  SELECT rid, doc_id, stratum, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines,
+         length(regexp_replace(text, '[^A-Z]', '', 'g'))::BIGINT AS n_caps
+  FROM s LEFT JOIN r USING (rid)
+), b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+rules AS ({rules}),
+v AS (SELECT rid, doc_id, stratum, base_failed, x.rule AS rule, x.v AS v FROM (SELECT *, unnest([{values}]) AS x FROM b)),
+good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+once AS (
+  SELECT v.doc_id, stratum, rule, CASE WHEN any_value(op) = '>' THEN max(v) ELSE min(v) END AS v
+  FROM v JOIN rules USING (rule) WHERE NOT base_failed AND v.doc_id IN (SELECT doc_id FROM good) GROUP BY ALL
+), pairs AS (SELECT stratum, rule, count(*) AS n FROM once GROUP BY ALL),
+steps AS (
+  SELECT p.stratum, p.rule, p.n, r.op, unnest(r.cuts) AS cut, generate_subscripts(r.cuts, 1) AS k FROM pairs p JOIN rules r USING (rule)
+), x AS (
+  SELECT s.stratum, s.rule, s.n, s.k, s.cut, count(CASE WHEN op = '>' THEN o.v > cut ELSE o.v < cut END OR NULL) AS x
+  FROM steps s JOIN once o ON o.rule = s.rule AND o.stratum IS NOT DISTINCT FROM s.stratum GROUP BY ALL
+), safe AS (
+  SELECT *, list_sum(list_transform(range(0, x + 1), lambda i: exp(lgamma(n + 1) - CASE WHEN i > 0 THEN lgamma(i + 1) ELSE 0 END
+           - CASE WHEN i < n THEN lgamma(n - i + 1) ELSE 0 END + i * ln(0.05 / 6) + (n - i) * ln(1 - 0.05 / 6)))) <= 0.05 / (SELECT count(*) FROM pairs) AS ok FROM x
+), chosen AS (
+  SELECT stratum, rule, max_by(cut, k) AS cut FROM (
+    SELECT *, bool_and(ok) OVER (PARTITION BY stratum, rule ORDER BY k) AS go FROM safe) WHERE go GROUP BY ALL
+), hit AS (
+  SELECT v.rid, list(v.rule ORDER BY list_position([{", ".join(f"'{n}'" for n, *_ in OP11_RULES)}], v.rule)) AS rejected_by
+  FROM v JOIN rules USING (rule) JOIN chosen c ON c.rule = v.rule AND c.stratum IS NOT DISTINCT FROM v.stratum
+  WHERE CASE WHEN op = '>' THEN v.v > cut ELSE v.v < cut END GROUP BY v.rid
+)
+SELECT b.* EXCLUDE (rid), coalesce(rejected_by, []) AS rejected_by, NOT base_failed AND rejected_by IS NULL AS kept FROM b LEFT JOIN hit USING (rid)
+"""
+
+
+ORACLES = {"op1_mix_sources": OP1, "op2_jaccard_join": OP2, "op8_license_scan": _op8(), "op9_pivot_topk": OP9, "op10_decontaminate": OP10, "op11_quality_rules": _op11()}
