@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellar.llm import decontaminate, jaccard_join, language_id, license_scan, mixing, quality_rules, substring_dedup, suffix_tree_lm, token_counts, topk_search, toxicity
+from cellar.llm import decontaminate, jaccard_join, language_id, license_scan, mixing, quality_rules, substring_dedup, suffix_tree_lm, token_alignment, token_counts, topk_search, toxicity
 from cellar.llm.oracles import ORACLES
 from cellar.llm.support import fold
 from cellar.session import materialize, table
@@ -74,6 +74,10 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_pivot_topk,
         op10_decontaminate,
         op11_quality_rules,
+        op12_token_alignment,
     )
 }
 __all__ = ["ORACLES", "QUERIES"]
