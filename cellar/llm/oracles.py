@@ -173,4 +173,38 @@ SELECT b.* EXCLUDE (rid), coalesce(rejected_by, []) AS rejected_by, NOT base_fai
 """
 
 
-ORACLES = {"op1_mix_sources": OP1, "op2_jaccard_join": OP2, "op8_license_scan": _op8(), "op9_pivot_topk": OP9, "op10_decontaminate": OP10, "op11_quality_rules": _op11()}
+#: one bit of the crc32 (reflected, polynomial EDB88320), eight times for a byte
+_CRC_BYTE = "lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, k: xor(x >> 1, (x & 1) * 3988292384))"
+
+OP13 = rf"""
+WITH RECURSIVE r AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS doc, unnest(regexp_extract_all({AZ.format("coalesce(text, '')")}, '[a-zÀ-ÿ]+')) AS run FROM documents
+), dr AS (SELECT doc, run, count(*) AS times, hex(encode(doc || ':' || run)) AS hx FROM r WHERE len(run) >= 5 GROUP BY doc, run),
+h AS (
+  SELECT run, times, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(len(hx) // 2),
+           lambda i: ('0x' || substr(hx, 2 * i + 1, 2))::BIGINT)), {_CRC_BYTE}), 4294967295::BIGINT) AS h FROM dr
+), v AS (
+  SELECT word, sum(times)::BIGINT AS n FROM (
+    SELECT times, CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % len(run))::INT) || substr(run, (h % len(run))::INT + 2) ELSE run END AS word FROM h)
+  WHERE len(word) >= 5 GROUP BY word HAVING sum(times) >= 3
+), x AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM v)),
+p AS (
+  SELECT DISTINCT a, b FROM (
+    SELECT x.word AS a, v.word AS b FROM x JOIN v ON x.less = v.word
+    UNION ALL SELECT v.word, x.word FROM x JOIN v ON x.less = v.word
+    UNION ALL SELECT x.word, y.word FROM x JOIN x y ON x.less = y.less AND x.i = y.i AND x.word <> y.word)
+), f AS (
+  SELECT a AS word, count(*)::BIGINT AS n_near, first(b ORDER BY w.n DESC, b) AS near, max(w.n) AS near_n FROM p JOIN v w ON w.word = b GROUP BY a
+), g AS (
+  SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n
+  FROM v LEFT JOIN f USING (word)
+), walk AS (
+  SELECT word, word AS at FROM g
+  UNION ALL
+  SELECT walk.word, g.form FROM walk JOIN g ON g.word = walk.at WHERE g.form IS NOT NULL
+)
+SELECT g.word, g.form, walk.at AS root, g.n, g.n_near, g.form_n
+FROM g JOIN walk USING (word) JOIN g e ON e.word = walk.at WHERE e.form IS NULL
+"""
+
+ORACLES = {"op1_mix_sources": OP1, "op2_jaccard_join": OP2, "op8_license_scan": _op8(), "op9_pivot_topk": OP9, "op10_decontaminate": OP10, "op11_quality_rules": _op11(), "op13_spelling_variants": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellar.llm import decontaminate, jaccard_join, language_id, license_scan, mixing, quality_rules, substring_dedup, suffix_tree_lm, token_alignment, token_counts, topk_search, toxicity
+from cellar.llm import decontaminate, jaccard_join, language_id, license_scan, mixing, quality_rules, spelling, substring_dedup, suffix_tree_lm, token_alignment, token_counts, topk_search, toxicity
 from cellar.llm.oracles import ORACLES
 from cellar.llm.support import fold
 from cellar.session import materialize, table
@@ -78,6 +78,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_tokens(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_decontaminate,
         op11_quality_rules,
         op12_token_alignment,
+        op13_spelling_variants,
     )
 }
 __all__ = ["ORACLES", "QUERIES"]
