@@ -29,7 +29,9 @@ from cellar.session import materialize
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 #: bytes of text in a block; a longer text is a block of its own
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: pieces of text whose tokens a task keeps, and bytes of pieces encoded in one call
+KEPT_ATOMS, JOINED_BYTES = 400_000, 1 << 12
 #: every so manieth end is sought from the text's start, those between from their neighbour's place
 STRIDE = 64
 LINK = "struct<index:array<int>,times:array<int>>"
@@ -55,8 +57,8 @@ class ByteBpe:
             piece = self.lib.id_to_token(i) or ""
             self.bytes.append(bytes(byte_of[c] for c in piece) if all(c in byte_of for c in piece) else piece.encode())
 
-    def encode(self, atoms: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.lib.encode_batch_fast(atoms, add_special_tokens=False)]
+    def encode(self, spaced: str) -> list[int]:
+        return self.lib.encode_batch_fast([spaced], add_special_tokens=False)[0].ids
 
 
 class PieceBpe:
@@ -71,8 +73,8 @@ class PieceBpe:
             piece = self.lib.id_to_piece(i)
             self.bytes.append(bytes([int(piece[3:5], 16)]) if self.lib.is_byte(i) else piece.replace("▁", " ").encode())
 
-    def encode(self, atoms: list[str]) -> list[list[int]]:
-        return self.lib.encode([a[1:] for a in atoms], num_threads=1)
+    def encode(self, spaced: str) -> list[int]:
+        return self.lib.encode(spaced[1:], num_threads=1)
 
     def crosses_words(self) -> bool:
         """Whether a piece holds a space after another character (texts could then not be cut before spaces)."""
@@ -182,9 +184,70 @@ def _gather(values: np.ndarray, off: np.ndarray, codes: np.ndarray) -> tuple[np.
     return values[at], out
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    off = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
-    return np.fromiter((i for x in lists for i in x), np.int64, off[-1]), off
+def _ends_in_ink(atom: bytes) -> bool:
+    """Whether the last character is surely no white space, so that another piece can follow."""
+    return 0x20 < atom[-1] < 0x7F or atom[-2:-1] == b"\xc3"
+
+
+class Encoder:
+    """Token ids of pieces of text, each encoded once and kept while fewer than KEPT_ATOMS are."""
+
+    def __init__(self, tokenizers: list):
+        self.tokenizers = tokenizers
+        self.sizes = [np.array([len(x) for x in t.bytes], np.int64) for t in tokenizers]
+        self._clear()
+
+    def _clear(self):
+        self.code: dict[str, int] = {}
+        self.fine = np.zeros(0, bool)
+        self.ids = [np.zeros(0, np.int64) for _ in self.tokenizers]
+        self.off = [np.zeros(1, np.int64) for _ in self.tokenizers]
+
+    def codes(self, atoms: list[str]) -> np.ndarray:
+        """Places of the pieces in ``fine``, ``ids`` and ``off``."""
+        if len(self.code) + len(atoms) > max(KEPT_ATOMS, len(atoms)):
+            self._clear()
+        new = [a for a in atoms if a not in self.code]
+        self.code.update(zip(new, range(len(self.code), len(self.code) + len(new))))
+        if new:
+            raw = [a.encode() for a in new]
+            fine = np.ones(len(new), bool)
+            for k, (tok, sizes) in enumerate(zip(self.tokenizers, self.sizes)):
+                ids, n = self._encode(tok, sizes, new, raw, fine)
+                self.ids[k] = np.concatenate([self.ids[k], ids])
+                self.off[k] = np.concatenate([self.off[k], self.off[k][-1] + np.cumsum(n)])
+            self.fine = np.concatenate([self.fine, fine])
+        return np.fromiter(map(self.code.__getitem__, atoms), np.int64, len(atoms))
+
+    @staticmethod
+    def _encode(tok, sizes, atoms, raw, fine) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces and their numbers of tokens; clears ``fine`` where the bytes are not reproduced.
+
+        Pieces that end in no white space are encoded joined, which gives the
+        same tokens, and parted by their lengths in bytes.
+        """
+        ids, counts, start = [], [], 0
+        while start < len(atoms):
+            stop, size = start, 0
+            while stop < len(atoms) and size < JOINED_BYTES:
+                size += len(raw[stop])
+                stop += 1
+                if not _ends_in_ink(raw[stop - 1]):
+                    break
+            got = tok.encode("".join(atoms[start:stop]))
+            if b"".join([tok.bytes[i] for i in got]) == b"".join(raw[start:stop]):
+                now = np.array(got, np.int64)
+                last = np.searchsorted(np.cumsum(sizes[now]), np.cumsum([len(r) for r in raw[start:stop]])) + 1
+                ids.append(now)
+                counts.append(np.diff(last, prepend=0))
+            else:
+                for i in range(start, stop):
+                    got = tok.encode(atoms[i])
+                    fine[i] &= b"".join([tok.bytes[t] for t in got]) == raw[i]
+                    ids.append(np.array(got, np.int64))
+                    counts.append(np.array([len(got)]))
+            start = stop
+        return np.concatenate(ids), np.concatenate(counts)
 
 
 class Aligner:
@@ -194,7 +257,8 @@ class Aligner:
         self.a, self.b = ByteBpe(raw_a), PieceBpe(raw_b)
         if self.b.crosses_words():
             raise ValueError("a piece of the second vocabulary holds a space inside: texts cannot be cut at spaces")
-        self.len_a, self.len_b = (np.array([len(x) for x in t.bytes], np.int64) for t in (self.a, self.b))
+        self.encoder = Encoder([self.a, self.b])
+        self.len_a, self.len_b = self.encoder.sizes
         most = max(len(self.len_a), len(self.len_b))
         # a token's id with what follows it: nothing, the next token, the other tokenizer's half, the next group
         self.written = pa.array([f"{i}{s}" for i in range(most) for s in ("", ",", "|", ";")], pa.large_string())
@@ -207,21 +271,16 @@ class Aligner:
         starts = cut_atoms(data, off[:-1])
         bounds = np.append(starts, len(data))
         atoms = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
-        code = atoms.indices.to_numpy().astype(np.int64)
-        words = atoms.dictionary.to_pylist()
-        whole = [w.encode() for w in words]
-        ids_a, ids_b = self.a.encode(words), self.b.encode(words)
-        fine = np.fromiter(
-            (b"".join([self.a.bytes[i] for i in x]) == w and b"".join([self.b.bytes[i] for i in y]) == w for x, y, w in zip(ids_a, ids_b, whole)), bool, len(words)
-        )
+        code = self.encoder.codes(atoms.dictionary.to_pylist())[atoms.indices.to_numpy()]
+        fine = self.encoder.fine
         first = np.searchsorted(starts, off)
         bad = np.concatenate(([0], np.cumsum(~fine[code])))
         ok = (bad[first[1:]] == bad[first[:-1]]) & (np.diff(off) > 1)
         code = code[np.repeat(ok, np.diff(first))]
         per_text = np.concatenate(([0], np.cumsum(np.where(ok, np.diff(first), 0))))
         out = []
-        for lists in (ids_a, ids_b):
-            ids, at = _gather(*_flat(lists), code)
+        for ids, at in zip(self.encoder.ids, self.encoder.off):
+            ids, at = _gather(ids, at, code)
             out += [ids, at[per_text]]
         return out
 
@@ -274,8 +333,12 @@ def _block_task(raw_a, raw_b):
         for batch in batches:
             for c in chunks(batch, limit=BLOCK_BYTES):
                 got = aligner.align(c.column(c.schema.get_field_index("text")))
-                pairs, index = np.unique(got["pair"], return_inverse=True)
-                key, times = np.unique(got["text"] * max(len(pairs), 1) + index, return_counts=True)
+                coded = pa.array(got["pair"]).dictionary_encode()
+                pairs, index = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+                tally = pa.array(got["text"] * max(len(pairs), 1) + index).value_counts()
+                key, times = (tally.field(k).to_numpy() for k in ("values", "counts"))
+                order = np.argsort(key)
+                key, times = key[order], times[order]
                 per_text = np.searchsorted(key // max(len(pairs), 1), np.arange(c.num_rows + 1))
 
                 def lists(values, kind):
@@ -300,7 +363,7 @@ def blocks(docs: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES) -> D
     """Aligned blocks of ``docs(doc_id, text)``: block, docs, pair, times.
 
     ``docs`` has per text its counts, its groups' digest and, as links, places
-    in the block's ascending ``pair`` list with how often; ``times`` are the
+    in the block's ``pair`` list with how often; ``times`` are the
     block's own counts. Written to the checkpoint folder, so that every later
     step sees the same blocks.
     """
