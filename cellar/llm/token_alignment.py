@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellar.llm.kernels import chunks, ranges, text_bytes
+from cellar.llm.kernels import chunks, grouped_sum, ranges, text_bytes
 from cellar.session import materialize
 
 BYTE_BPE = "/opt/tokenizers/byte_bpe_50k.json"
@@ -34,6 +34,7 @@ BLOCK_BYTES = 2 << 20
 KEPT_ATOMS, JOINED_BYTES = 400_000, 1 << 12
 #: every so manieth end is sought from the text's start, those between from their neighbour's place
 STRIDE = 64
+COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 LINK = "struct<index:array<int>,times:array<int>>"
 
 
@@ -92,7 +93,7 @@ def cut_atoms(data: np.ndarray, text_start: np.ndarray) -> np.ndarray:
     """Starts of the pieces in which the texts (each with its space in front) can be encoded on their own.
 
     A piece begins at a single space between two characters that are surely no
-    white space: both tokenizers always begin a token there.
+    white space: there both tokenizers always end a token and begin the next.
     """
     n = len(data)
     start = np.zeros(n, bool)
@@ -178,153 +179,139 @@ def common_ends(a: np.ndarray, a_off: np.ndarray, b: np.ndarray, b_off: np.ndarr
     return rank, same
 
 
-def _gather(values: np.ndarray, off: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The entries of lists ``codes`` one after the other, and the offsets of each."""
-    at, out = ranges(off[codes], off[codes + 1])
-    return values[at], out
-
-
 def _ends_in_ink(atom: bytes) -> bool:
     """Whether the last character is surely no white space, so that another piece can follow."""
     return 0x20 < atom[-1] < 0x7F or atom[-2:-1] == b"\xc3"
 
 
-class Encoder:
-    """Token ids of pieces of text, each encoded once and kept while fewer than KEPT_ATOMS are."""
+class Aligner:
+    """Both tokenizers, and the alignment of every piece of text met so far.
+
+    Tokens of both end where a piece ends, so the alignment of a text is that of
+    its pieces, one after the other. A piece is encoded and aligned once; pieces
+    are kept while they are fewer than KEPT_ATOMS.
+    """
 
-    def __init__(self, tokenizers: list):
-        self.tokenizers = tokenizers
-        self.sizes = [np.array([len(x) for x in t.bytes], np.int64) for t in tokenizers]
+    def __init__(self, raw_a: bytes, raw_b: bytes):
+        self.a, self.b = ByteBpe(raw_a), PieceBpe(raw_b)
+        if self.b.crosses_words():
+            raise ValueError("a piece of the second vocabulary holds a space inside: texts cannot be cut at spaces")
+        self.len_a, self.len_b = (np.array([len(x) for x in t.bytes], np.int64) for t in (self.a, self.b))
+        most = max(len(self.len_a), len(self.len_b))
+        # a token's id with what follows it: the next token, the other tokenizer's half, the next group
+        self.written = pa.array([f"{i}{s}" for i in range(most) for s in (",", "|", ";")], pa.large_string())
         self._clear()
 
     def _clear(self):
         self.code: dict[str, int] = {}
         self.fine = np.zeros(0, bool)
-        self.ids = [np.zeros(0, np.int64) for _ in self.tokenizers]
-        self.off = [np.zeros(1, np.int64) for _ in self.tokenizers]
+        self.counts = np.zeros((len(COUNTS), 0), np.int64)
+        self.pair, self.pair_off = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.groups: list[pa.Array] = []
 
     def codes(self, atoms: list[str]) -> np.ndarray:
-        """Places of the pieces in ``fine``, ``ids`` and ``off``."""
+        """Places of the (distinct) pieces in the kept arrays; new ones are encoded and aligned."""
         if len(self.code) + len(atoms) > max(KEPT_ATOMS, len(atoms)):
             self._clear()
         new = [a for a in atoms if a not in self.code]
         self.code.update(zip(new, range(len(self.code), len(self.code) + len(new))))
         if new:
-            raw = [a.encode() for a in new]
-            fine = np.ones(len(new), bool)
-            for k, (tok, sizes) in enumerate(zip(self.tokenizers, self.sizes)):
-                ids, n = self._encode(tok, sizes, new, raw, fine)
-                self.ids[k] = np.concatenate([self.ids[k], ids])
-                self.off[k] = np.concatenate([self.off[k], self.off[k][-1] + np.cumsum(n)])
-            self.fine = np.concatenate([self.fine, fine])
+            self._add(new)
         return np.fromiter(map(self.code.__getitem__, atoms), np.int64, len(atoms))
 
-    @staticmethod
-    def _encode(tok, sizes, atoms, raw, fine) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces and their numbers of tokens; clears ``fine`` where the bytes are not reproduced.
-
-        Pieces that end in no white space are encoded joined, which gives the
-        same tokens, and parted by their lengths in bytes.
-        """
-        ids, counts, start = [], [], 0
-        while start < len(atoms):
-            stop, size = start, 0
-            while stop < len(atoms) and size < JOINED_BYTES:
-                size += len(raw[stop])
-                stop += 1
-                if not _ends_in_ink(raw[stop - 1]):
-                    break
-            got = tok.encode("".join(atoms[start:stop]))
-            if b"".join([tok.bytes[i] for i in got]) == b"".join(raw[start:stop]):
-                now = np.array(got, np.int64)
-                last = np.searchsorted(np.cumsum(sizes[now]), np.cumsum([len(r) for r in raw[start:stop]])) + 1
-                ids.append(now)
-                counts.append(np.diff(last, prepend=0))
-            else:
-                for i in range(start, stop):
-                    got = tok.encode(atoms[i])
-                    fine[i] &= b"".join([tok.bytes[t] for t in got]) == raw[i]
-                    ids.append(np.array(got, np.int64))
-                    counts.append(np.array([len(got)]))
-            start = stop
-        return np.concatenate(ids), np.concatenate(counts)
-
-
-class Aligner:
-    """Both tokenizers, with the tables needed to align their tokens."""
-
-    def __init__(self, raw_a: bytes, raw_b: bytes):
-        self.a, self.b = ByteBpe(raw_a), PieceBpe(raw_b)
-        if self.b.crosses_words():
-            raise ValueError("a piece of the second vocabulary holds a space inside: texts cannot be cut at spaces")
-        self.encoder = Encoder([self.a, self.b])
-        self.len_a, self.len_b = self.encoder.sizes
-        most = max(len(self.len_a), len(self.len_b))
-        # a token's id with what follows it: nothing, the next token, the other tokenizer's half, the next group
-        self.written = pa.array([f"{i}{s}" for i in range(most) for s in ("", ",", "|", ";")], pa.large_string())
-
-    def tokens(self, texts: pa.Array):
-        """Token ids of both tokenizers with their offsets per text, for texts that both reproduce (else none), and the texts' bytes."""
-        nothing, space = (pa.scalar(x, pa.large_string()) for x in ("", " "))
-        spaced = pc.binary_join_element_wise(nothing, texts.fill_null("").cast(pa.large_string()), space)
-        data, off = text_bytes(spaced)
-        starts = cut_atoms(data, off[:-1])
-        bounds = np.append(starts, len(data))
-        atoms = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
-        code = self.encoder.codes(atoms.dictionary.to_pylist())[atoms.indices.to_numpy()]
-        fine = self.encoder.fine
-        first = np.searchsorted(starts, off)
-        bad = np.concatenate(([0], np.cumsum(~fine[code])))
-        ok = (bad[first[1:]] == bad[first[:-1]]) & (np.diff(off) > 1)
-        code = code[np.repeat(ok, np.diff(first))]
-        per_text = np.concatenate(([0], np.cumsum(np.where(ok, np.diff(first), 0))))
-        out = []
-        for ids, at in zip(self.encoder.ids, self.encoder.off):
-            ids, at = _gather(ids, at, code)
-            out += [ids, at[per_text]]
-        return out
-
-    def align(self, texts: pa.Array) -> dict[str, np.ndarray]:
-        """Counts, group digests and linked id pairs of each text."""
-        a, a_off, b, b_off = self.tokens(texts)
-        n = len(texts)
+    def _add(self, new: list[str]):
+        raw = [a.encode() for a in new]
+        fine = np.ones(len(new), bool)
+        a, a_off = _encode(self.a, self.len_a, new, raw, fine)
+        b, b_off = _encode(self.b, self.len_b, new, raw, fine)
+        a, a_off = _only(a, a_off, fine)
+        b, b_off = _only(b, b_off, fine)
         end_a, end_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
         rank, same = common_ends(end_a, a_off, end_b, b_off) if len(a) else (np.zeros(0, np.int64), np.zeros(0, bool))
         low = np.concatenate(([0], (rank + same)[:-1])) if len(a) else rank
         other, link_off = ranges(low, rank + 1)
         pair = np.repeat(a, rank + 1 - low) * len(self.len_b) + b[other]
-        text = np.repeat(np.arange(n), link_off[a_off[1:]] - link_off[a_off[:-1]])
-        return {
-            "n_a": np.diff(a_off),
-            "n_b": np.diff(b_off),
-            "n_groups": np.diff(np.concatenate(([0], np.cumsum(same)))[a_off]),
-            "n_links": np.diff(link_off[a_off]),
-            "groups_sha256": self._digests(a, a_off, b, b_off, rank, same),
-            "pair": pair,
-            "text": text,
-        }
-
-    def _digests(self, a, a_off, b, b_off, rank, same) -> list[str]:
+        groups = np.concatenate(([0], np.cumsum(same)))[a_off]
+        self.fine = np.concatenate([self.fine, fine])
+        self.counts = np.concatenate([self.counts, np.diff([a_off, b_off, groups, link_off[a_off]])], axis=1)
+        self.pair = np.concatenate([self.pair, pair])
+        self.pair_off = np.concatenate([self.pair_off, self.pair_off[-1] + link_off[a_off[1:]]])
+        self.groups = [pa.concat_arrays([*self.groups, self._groups(a, a_off, b, b_off, rank, same)])]
+
+    def _groups(self, a, a_off, b, b_off, rank, same) -> pa.Array:
+        """The groups of each piece written out, each ended by a semicolon."""
         last_a = np.flatnonzero(same)
         last_b = rank[last_a]
-        sep = np.ones(len(a) + len(b), np.int64)
+        follows = np.zeros(len(a) + len(b), np.int64)
         group_a = np.concatenate(([0], np.cumsum(same)[:-1])) if len(a) else rank
         ends = np.zeros(len(b), bool)
         ends[last_b] = True
         group_b = np.concatenate(([0], np.cumsum(ends)[:-1])) if len(b) else rank
         at_a = np.arange(len(a)) + np.concatenate(([0], last_b + 1))[group_a]
         at_b = np.arange(len(b)) + (last_a + 1)[group_b]
-        sep[at_a[last_a]] = 2
-        sep[at_b[last_b]] = 3
-        sep[(a_off[1:] + b_off[1:])[np.diff(a_off) > 0] - 1] = 0
-        ids = np.empty(len(sep), np.int64)
+        follows[at_a[last_a]] = 1
+        follows[at_b[last_b]] = 2
+        ids = np.empty(len(follows), np.int64)
         ids[at_a], ids[at_b] = a, b
-        chars, off = text_bytes(self.written.take(pa.array(ids * 4 + sep)))
-        off = off[a_off + b_off]
-        return [hashlib.sha256(chars[x:y]).hexdigest() if x < y else "" for x, y in zip(off[:-1], off[1:])]
+        data, off = text_bytes(self.written.take(pa.array(ids * 3 + follows)))
+        return pa.LargeStringArray.from_buffers(len(a_off) - 1, pa.py_buffer(off[a_off + b_off]), pa.py_buffer(data))
 
+    def align(self, texts: pa.Array) -> dict[str, np.ndarray]:
+        """Counts and group digests of each text, and with ``pair`` and ``text`` all linked id pairs."""
+        nothing, space = (pa.scalar(x, pa.large_string()) for x in ("", " "))
+        data, off = text_bytes(pc.binary_join_element_wise(nothing, texts.fill_null("").cast(pa.large_string()), space))
+        starts = cut_atoms(data, off[:-1])
+        bounds = np.append(starts, len(data))
+        atoms = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        code = self.codes(atoms.dictionary.to_pylist())[atoms.indices.to_numpy()]
+        first = np.searchsorted(starts, off)
+        ok = (grouped_sum((~self.fine[code]).astype(np.int64), first) == 0) & (np.diff(off) > 1)
+        n = np.where(ok, np.diff(first), 0)
+        code, first = code[np.repeat(ok, np.diff(first))], np.concatenate(([0], np.cumsum(n)))
+        chars, char_off = text_bytes(self.groups[0].take(pa.array(code))) if self.groups else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        ends = char_off[first]
+        out = {k: grouped_sum(self.counts[i][code], first) for i, k in enumerate(COUNTS)}
+        out["groups_sha256"] = [hashlib.sha256(chars[x : y - 1]).hexdigest() if x < y else "" for x, y in zip(ends[:-1], ends[1:])]
+        at, _ = ranges(self.pair_off[code], self.pair_off[code + 1])
+        out["pair"] = self.pair[at]
+        out["text"] = np.repeat(np.arange(len(texts)), out["n_links"])
+        return out
 
-COUNTS = ("n_a", "n_b", "n_groups", "n_links")
+
+def _only(ids: np.ndarray, n: np.ndarray, fine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of the fine pieces, and the offsets of all pieces (the others have none)."""
+    kept = np.where(fine, n, 0)
+    return ids[np.repeat(fine, n)], np.concatenate(([0], np.cumsum(kept)))
+
+
+def _encode(tok, sizes: np.ndarray, atoms: list[str], raw: list[bytes], fine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all pieces and their numbers of tokens; clears ``fine`` where the bytes are not reproduced.
+
+    Pieces that end in no white space are encoded joined, which gives the same
+    tokens, and parted by their lengths in bytes.
+    """
+    ids, counts, start = [], [], 0
+    while start < len(atoms):
+        stop, size = start, 0
+        while stop < len(atoms) and size < JOINED_BYTES:
+            size += len(raw[stop])
+            stop += 1
+            if not _ends_in_ink(raw[stop - 1]):
+                break
+        got = tok.encode("".join(atoms[start:stop]))
+        if b"".join(map(tok.bytes.__getitem__, got)) == b"".join(raw[start:stop]):
+            now = np.array(got, np.int64)
+            last = np.searchsorted(np.cumsum(sizes[now]), np.cumsum([len(r) for r in raw[start:stop]])) + 1
+            ids.append(now)
+            counts.append(np.diff(last, prepend=0))
+        else:
+            for i in range(start, stop):
+                got = tok.encode(atoms[i])
+                fine[i] &= b"".join(map(tok.bytes.__getitem__, got)) == raw[i]
+                ids.append(np.array(got, np.int64))
+                counts.append(np.array([len(got)]))
+        start = stop
+    return np.concatenate(ids), np.concatenate(counts)
 
 
 def _block_task(raw_a, raw_b):
