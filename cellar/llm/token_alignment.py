@@ -314,11 +314,11 @@ def _encode(tok, sizes: np.ndarray, atoms: list[str], raw: list[bytes], fine: np
     return np.concatenate(ids), np.concatenate(counts)
 
 
-def _block_task(raw_a, raw_b):
+def _block_task(raw_a, raw_b, block_bytes: int):
     def task(batches):
         aligner = Aligner(raw_a.value, raw_b.value)
         for batch in batches:
-            for c in chunks(batch, limit=BLOCK_BYTES):
+            for c in chunks(batch, limit=block_bytes):
                 got = aligner.align(c.column(c.schema.get_field_index("text")))
                 coded = pa.array(got["pair"]).dictionary_encode()
                 pairs, index = coded.dictionary.to_numpy(), coded.indices.to_numpy()
@@ -346,7 +346,7 @@ def _block_task(raw_a, raw_b):
     return task
 
 
-def blocks(docs: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES) -> DataFrame:
+def blocks(docs: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Aligned blocks of ``docs(doc_id, text)``: block, docs, pair, times.
 
     ``docs`` has per text its counts, its groups' digest and, as links, places
@@ -358,7 +358,7 @@ def blocks(docs: DataFrame, byte_bpe: str = BYTE_BPE, pieces: str = PIECES) -> D
     raw_a, raw_b = sc.broadcast(read_file(byte_bpe)), sc.broadcast(read_file(pieces))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     doc = f"struct<doc_id:{id_type},n_a:bigint,n_b:bigint,n_groups:bigint,n_links:bigint,groups_sha256:string,links:{LINK}>"
-    rows = docs.mapInArrow(_block_task(raw_a, raw_b), f"docs array<{doc}>, pair array<bigint>, times array<bigint>")
+    rows = docs.mapInArrow(_block_task(raw_a, raw_b, block_bytes), f"docs array<{doc}>, pair array<bigint>, times array<bigint>")
     return materialize(rows.withColumn("block", F.monotonically_increasing_id()))
 
 
@@ -391,7 +391,7 @@ def _sum_task(batches):
             yield pa.RecordBatch.from_arrays([*(docs.field(n) for n in names), sums(best), sums(count)], names=[*names, "n_best", "count_sum"])
 
 
-def align_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", byte_bpe: str = BYTE_BPE, pieces: str = PIECES) -> DataFrame:
+def align_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", byte_bpe: str = BYTE_BPE, pieces: str = PIECES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_a, n_b, n_groups, n_links, groups_sha256, n_best, count_sum.
 
     A null or empty text, or one that a tokenizer does not reproduce byte for
@@ -401,7 +401,7 @@ def align_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of the whole text.
     """
     d = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    b = blocks(d, byte_bpe, pieces)
+    b = blocks(d, byte_bpe, pieces, block_bytes)
     counts = pair_counts(b.select("pair", "times"), len(PieceBpe(read_file(pieces)).bytes))
     asked = b.select("block", F.posexplode("pair").alias("place", "pair"))
     found = asked.join(counts, "pair").groupBy("block").agg(F.collect_list(F.struct("place", "count", "best")).alias("found"))
