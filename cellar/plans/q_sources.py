@@ -31,6 +31,14 @@ def q_src_csv(spark, d):
     return out.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
 
 
+@register("src_csv_line_breaks", "SELECT doc_id, text, '\"' || text || '\",' || chr(10) || chr(10) || 'x' AS quoted, lang, n_chars FROM documents")
+def q_src_csv_line_breaks(spark, d):
+    # whole texts with line breaks, separators and quotes go through the sink and come back row for row
+    docs = table(spark, d, "documents").withColumn("quoted", F.expr("""'"' || text || '",\\n\\nx'""")).select("doc_id", "text", "quoted", "lang", "n_chars")
+    path = SF.write_csv(docs, SF.scratch_dir(spark, "csv-lines"))
+    return SF.read_csv(spark, path, clean=False, schema="doc_id long, text string, quoted string, lang string, n_chars long")
+
+
 @register(
     "src_csv_latin1",
     """SELECT CAST(n_nationkey AS TINYINT) AS n_nationkey, n_name || 'é' AS n_name, CAST(n_regionkey AS TINYINT) AS n_regionkey FROM nation""",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cellar.operators.cleaning import clean_pipeline
 from cellar.session import scratch_path
+from cellar.sources.csvtext import RFC4180, read_records
 
 
 def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
@@ -34,11 +35,12 @@ def read_csv(
     encoding: str | None = None,
     schema: str | None = None,
 ) -> DataFrame:
-    """src_csv: header row, inferred (or given) types, then the cleaning pipeline."""
-    enc = encoding or detect_encoding(spark, path)
-    reader = spark.read.option("header", True).option("encoding", enc).option("multiLine", False)
-    reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-    df = reader.csv(path)
+    """src_csv: header row, inferred (or given) types, then the cleaning pipeline.
+
+    Quoted cells may hold separators, doubled quotes and line breaks; an empty
+    cell, quoted or not, is missing.
+    """
+    df = read_records(spark, path, encoding or detect_encoding(spark, path), schema)
     if not clean:
         return df
     return clean_pipeline(df)
@@ -63,8 +65,8 @@ def read_text_corpus(spark: SparkSession, path: str, id_col: str | None = None,
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """sink_csv: header, no index column; one file per task (distributed write)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """sink_csv: header, no index column, quotes doubled; one file per task (distributed write)."""
+    df.write.mode(mode).option("header", True).options(**RFC4180).csv(path)
     return path
 
 
@@ -81,7 +83,7 @@ def write_all_tables(tables: Mapping[str, DataFrame], path: str, fmt: str = "par
         if df.isEmpty():
             continue
         w = df.write.mode("overwrite")
-        (w.option("header", True).csv if fmt == "csv" else w.parquet)(f"{path.rstrip('/')}/{name}")
+        (w.option("header", True).options(**RFC4180).csv if fmt == "csv" else w.parquet)(f"{path.rstrip('/')}/{name}")
         written.append(name)
     return written
 
