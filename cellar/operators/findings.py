@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellar.functions.safe import datetime_columns, numeric_columns, text_columns
-from cellar.operators.profile import _wide_quantiles, corr_long, moments_from_counts, value_counts_long
+from cellar.operators.frequent import text_summary
+from cellar.operators.profile import _moments_long, corr_long, distinct_rows, outlier_counts
 from cellar.session import materialize
 
 # ---------------------------------------------------------------------------
@@ -105,7 +106,7 @@ def table_metrics(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         aggs.append(F.count(F.col(c)).alias(f"tn{i}"))
         aggs.append(F.count(F.col(c).try_cast("double")).alias(f"tp{i}"))
     wide = df.agg(*aggs)
-    n_distinct = df.dropDuplicates().select(F.count(F.lit(1))).scalar()
+    n_distinct = distinct_rows(df).select(F.count(F.lit(1))).scalar()
     k = len(fields)
     trow = wide.select(
         "n_rows",
@@ -127,26 +128,14 @@ def table_metrics(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     cm = base
     if txt:
         tflags = wide.select(F.explode(F.array(*text_rows)).alias("r")).select("r.*")
-        vc = value_counts_long(df, txt, "string")
-        top = vc.groupBy("column").agg(
-            F.count(F.lit(1)).alias("nunique"),
-            F.min(F.struct((-F.col("cnt")).alias("n"), F.col("value").alias("v"))).alias("t"),
-        ).select("column", "nunique", F.col("t.v").alias("top_value"), (-F.col("t.n")).alias("top_count"))
+        top = text_summary(df, txt).select("column", F.col("unique").alias("nunique"), "top_value", "top_count")
         cm = cm.join(tflags, "column", "left").join(top, "column", "left")
     else:
         cm = cm.select("*", F.lit(None).cast("boolean").alias("all_numeric"), F.lit(None).cast("bigint").alias("nunique"),
                        F.lit(None).cast("string").alias("top_value"), F.lit(None).cast("bigint").alias("top_count"))
     if num:
-        # one pass over the raw rows: value counts with the null group feed the
-        # moments, the bucket sample, the quartiles and the outlier counts
-        vc_all = materialize(value_counts_long(df, num, keep_nulls=True))
-        mom = moments_from_counts(vc_all).select("column", F.col("count").alias("n_num"), "mean", "std", "skewness")
-        vcn = vc_all.filter(F.col("value").isNotNull())
-        quart = _wide_quantiles(vcn, {0.25: "q1", 0.75: "q3"})
-        fences = quart.select("column", (F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))).alias("lf"), (F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))).alias("hf"))
-        outl = vcn.join(F.broadcast(fences), "column").groupBy("column").agg(
-            F.sum(F.when((F.col("value") < F.col("lf")) | (F.col("value") > F.col("hf")), F.col("cnt")).otherwise(0)).alias("outliers")
-        )
+        mom = _moments_long(df, num).where("count > 0").select("column", F.col("count").alias("n_num"), "mean", "std", "skewness")
+        outl = outlier_counts(df, num, "iqr")
         cm = cm.join(mom, "column", "left").join(outl, "column", "left")
     else:
         for c, t in [("n_num", "bigint"), ("mean", "double"), ("std", "double"), ("skewness", "double"), ("outliers", "bigint")]:

@@ -3,14 +3,12 @@
 Plan shape used throughout:
 
 * one ``agg`` over the wide table for counts and moments of every column;
-* one long *value-count* table ``(column, value, cnt)`` built by unpivoting
-  the columns and grouping on (column, value) — partial aggregation happens
-  map-side, so a value that fills a third of the table costs one counter per
-  task. Distinct counts, modes, top values, exact quantiles and IQR outlier
-  counts are all read off this table, never off the raw rows again;
-* exact quantiles range-bucket the distinct values (``ordered.with_buckets``),
-  locate the buckets that hold the target ranks from per-bucket counts, and
-  sort only those buckets (no task ever holds a whole column).
+* exact quantiles of columns by narrowing value ranges (``quantiles``), modes by
+  hash slots and text columns by digests (``frequent``): neither a column's
+  values nor its texts are shuffled;
+* quantiles of groups range-bucket the (group, value) counts
+  (``ordered.with_buckets``), locate the buckets that hold the target ranks from
+  per-bucket counts, and sort only those buckets.
 
 Results are small (one row per column) and are joined on ``column``.
 """
@@ -31,6 +29,7 @@ from cellar.functions.safe import (
     text_columns,
     type_class,
 )
+from cellar.operators.frequent import column_modes, distinct_counts, text_summary
 from cellar.operators.ordered import _BUCKET, with_buckets
 from cellar.operators.quantiles import column_quantiles
 from cellar.session import materialize
@@ -244,17 +243,16 @@ def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None, decimals:
     """agg_numeric_profile: one row per numeric column (3 dp like the reference).
 
     std is the sample std; skewness and kurtosis are the population (biased)
-    forms, kurtosis in excess (Fisher) form — SciPy's defaults.
+    forms, kurtosis in excess (Fisher) form — SciPy's defaults. Moments, ranges,
+    slots and outliers are counted where the rows are: no value is shuffled
+    unless it may be the mode or lies next to a quartile.
     """
-    cols = list(cols or numeric_columns(df))
-    # one pass over the raw rows: value counts with the null group, read by the
-    # moments, the bucket sample, quantiles, mode and outliers
-    vcn = materialize(value_counts_long(df, cols, keep_nulls=True))
-    mom = moments_from_counts(vcn)
-    vc = vcn.filter(F.col("value").isNotNull())
-    quart = _wide_quantiles(vc, {0.25: "q1", 0.5: "median", 0.75: "q3"})
-    mode = _mode(vc, "mode")
-    outl = _iqr_outliers(vc, quart)
+    cols = list(numeric_columns(df) if cols is None else cols)
+    mom = _moments_long(df, cols)
+    quart = _wide(column_quantiles(df, cols, [0.25, 0.5, 0.75]), {0.25: "q1", 0.5: "median", 0.75: "q3"})
+    found = [(c, float(v)) for c, (v, n) in column_modes(df, cols, "double").items() if n]
+    mode = df.sparkSession.createDataFrame(found, "column string, mode double")
+    outl = _iqr_outliers(long_values(df, cols).withColumn("cnt", F.lit(1)), quart)
     j = mom.join(quart, "column", "left").join(mode, "column", "left").join(outl, "column", "left")
     r = lambda c: round_num(F.col(c), decimals)
     return j.filter(F.col("count") > 0).select(
@@ -291,22 +289,16 @@ def categorical_profile(df: DataFrame, cols: Sequence[str] | None = None) -> Dat
 
     Ties for the top value go to the smallest value.
     """
-    cols = list(cols or text_columns(df))
-    vc = value_counts_long(df, cols, "string")
+    cols = list(text_columns(df) if cols is None else cols)
     rows = df.select(F.count(F.lit(1))).scalar()
-    per = vc.groupBy("column").agg(
-        F.sum("cnt").alias("count"),
-        F.count(F.lit(1)).alias("unique"),
-        F.min(F.struct((-F.col("cnt")).alias("n"), F.col("value").alias("v"))).alias("__top"),
-    )
-    return per.select(
+    return text_summary(df, cols).select(
         "column",
-        F.col("count").cast("bigint").alias("count"),
+        "count",
         (rows - F.col("count")).cast("bigint").alias("missing"),
-        F.col("unique").cast("bigint").alias("unique"),
-        F.col("__top.v").alias("top_value"),
-        (-F.col("__top.n")).cast("bigint").alias("top_frequency"),
-        round_num(F.try_divide(-F.col("__top.n") * 100.0, F.col("count")), 3).alias("top_percentage"),
+        "unique",
+        "top_value",
+        F.col("top_count").alias("top_frequency"),
+        round_num(F.try_divide(F.col("top_count") * 100.0, F.col("count")), 3).alias("top_percentage"),
     )
 
 
@@ -512,8 +504,7 @@ def profile_metrics(df: DataFrame) -> DataFrame:
         for i, f in enumerate(fields)
     ]
     per = wide.select("__rows", F.explode(F.array(*rows)).alias("r")).select("__rows", "r.*")
-    vc = value_counts_long(df, [f.name for f in fields], "string")
-    nd = vc.groupBy("column").agg(F.count(F.lit(1)).alias("nd"))
+    nd = distinct_counts(df, [f.name for f in fields]).withColumnRenamed("n", "nd")
     j = per.join(nd, "column", "left")
     return j.select(
         "column",
@@ -548,8 +539,7 @@ def dataset_overview(df: DataFrame) -> DataFrame:
         for i, f in enumerate(fields)
     ]
     per = wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-    vc = value_counts_long(df, [f.name for f in fields], "string")
-    nd = vc.groupBy("column").agg(F.count(F.lit(1)).cast("bigint").alias("n_unique"))
+    nd = distinct_counts(df, [f.name for f in fields]).withColumnRenamed("n", "n_unique")
     return per.join(nd, "column", "left").select(
         "column", "data_type", "non_null", F.coalesce("n_unique", F.lit(0).cast("bigint")).alias("n_unique"), "min", "max", "mean"
     )

@@ -206,9 +206,11 @@ def certifications(lower_text: Column) -> Column:
     Distinct, stripped, title-cased, at most 5 words and more than 5 chars;
     sorted, all of them. A phrase that ends in the key word starts where its run
     of words starts (the look-behind; the greedy run reaches the last key word
-    anyway), so the search is linear in the text.
+    anyway). Of a run of white space 20 characters are searched, so that the
+    patterns do not try every part of a long one and the search is linear.
     """
     pats = [p.format(w=WORD) for p in CERT_PATTERNS]
+    lower_text = F.regexp_replace(lower_text, r"(\s{20})\s+", "$1")
     run_start = rf"(?<![{WORD}\s])"
     has_cd = has_substring(lower_text, "certified")
     has_cn = has_substring(lower_text, "certification")
@@ -221,7 +223,7 @@ def certifications(lower_text: Column) -> Column:
     )
     # strip every phrase and title-case them all at once; then count the words of each
     joined = F.regexp_replace(F.array_join(found, SEP), rf"\s*{SEP}\s*", SEP)
-    joined = F.regexp_replace(joined, r"^\s+|\s+$", "")
+    joined = F.btrim(joined, F.lit(" \t\n\x0b\f\r"))
     parts = F.array_distinct(F.split(fn_title(joined), SEP))
     kept = F.filter(parts, lambda p: (F.size(F.split(p, r"\s+")) <= CERT_MAX_WORDS) & (F.length(p) > CERT_MIN_CHARS))
     return F.when(F.size(found) > 0, F.sort_array(kept)).otherwise(F.array().cast("array<string>"))

@@ -151,7 +151,8 @@ def _numtxt_df(spark, d):
 @register(
     "clean_coerce_numeric",
     f"""SELECT event_id, CASE WHEN v66 = 'junk' THEN NULL ELSE CAST(v66 AS DOUBLE) END AS v66, v40,
-               CASE WHEN v75 = 'nan' THEN NULL ELSE CAST(trim(v75) AS DOUBLE) END AS v75 FROM {_NUMTXT_SQL}""",
+               CASE WHEN v75 = 'nan' THEN NULL ELSE CAST(trim(v75) AS DOUBLE) END AS v75,
+               CASE WHEN v66 = 'junk' THEN v66 END AS v66_text, CASE WHEN v75 = 'nan' THEN v75 END AS v75_text FROM {_NUMTXT_SQL}""",
 )
 def q_coerce(spark, d):
     return CL.coerce_numeric(_numtxt_df(spark, d), ["v66", "v40", "v75"])
@@ -184,7 +185,7 @@ _PIPE_SQL = """(SELECT event_id AS "Event ID",
         CASE WHEN trim("event type") IN ('nan','None','<NA>','null','NaT','') THEN NULL ELSE trim("event type") END AS event_type,
         CASE WHEN "value ($)" = 'junk' THEN NULL ELSE CAST("value ($)" AS DOUBLE) END AS value,
         "day", try_strptime(us_day, '%d/%m/%Y') AS us_day,
-        CAST(user_id AS SMALLINT) AS user_id
+        CAST(user_id AS SMALLINT) AS user_id, CASE WHEN "value ($)" = 'junk' THEN 'junk' END AS value_text
         FROM {_PIPE_SQL}""",
 )
 def q_pipeline(spark, d):
