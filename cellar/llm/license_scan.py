@@ -85,7 +85,8 @@ CANONICAL_RULES = (
 )
 _WORD = r"a-z0-9\x{80}-\x{10FFFF}"
 #: a line without a word (blank, or a comment sign alone), or a stop before white space: always a sentence end
-HARD = rf"\n(?:[^A-Z{_WORD}\n]*\n)+|[.!?](?=[ \t\r\f\x0B]|$)|[.!?]\n"
+#: (one character class and no repeated group, which the pattern engine would follow on its stack, line by line)
+HARD = rf"\n[^A-Z{_WORD}]*\n|[.!?](?=[ \t\r\f\x0B]|$)|[.!?]\n"
 
 
 def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES | CANONICAL) -> Column:
@@ -128,7 +129,8 @@ def match_rules(ids: Column, rules=RULES, first=()) -> tuple[Column, Column]:
 def scan(docs: DataFrame, id_col="doc_id", text_col="text", sentences=SENTENCES | CANONICAL, rules=RULES, first=CANONICAL_RULES) -> DataFrame:
     """One row per document row: doc_id, sentence_ids (joined by |), n_sentences found, license, rule.
 
-    Null, empty and licence-free texts have no identifiers and a null license.
+    Null, empty and licence-free texts have no identifiers and a null license;
+    any number of blank or sign-only lines in a row is one sentence end.
     Repeated sentences repeat their identifier; a rule matches consecutive
     identifiers, other text between their sentences does not matter.
     """
