@@ -10,6 +10,7 @@ bytes, the earlier of equals (rule ``most``).
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,10 @@ from cellar.llm.kernels import chunks, text_bytes
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RULES = ("first", "most")
+# Fixed value: the characters that Unicode calls white space.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: longer runs of white space are encoded on their own: the pattern's look-ahead gives up on very long ones
+LONG_RUN = 1000
 
 
 def load_ranks(path: str = VOCABULARY) -> bytes:
@@ -36,7 +41,22 @@ def _encoder(raw: bytes, pattern: str):
     size = np.zeros(max(ranks.values()) + 1, np.int64)
     for tok, i in ranks.items():
         size[i] = len(tok)
-    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), size
+    enc = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    if pattern != PATTERN:
+        return enc.encode_to_numpy, size
+    runs = tiktoken.Encoding("runs", pat_str=rf"[{SPACE}]+", mergeable_ranks=ranks, special_tokens={})
+    long_run = re.compile(f"[{SPACE}]{{{LONG_RUN},}}")
+
+    def encode(text: str) -> np.ndarray:
+        """The pattern takes a run of white space but its last character as one piece, at the text's end the whole run."""
+        ids, at = [], 0
+        for m in long_run.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            ids += [enc.encode_to_numpy(text[at : m.start()]), runs.encode_to_numpy(text[m.start() : end])]
+            at = end
+        return np.concatenate([*ids, enc.encode_to_numpy(text[at:])]) if ids else enc.encode_to_numpy(text)
+
+    return encode, size
 
 
 def _attribute(tok_end: np.ndarray, sec_end: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +86,7 @@ def _lines(raw: np.ndarray) -> np.ndarray:
 
 def _count_task(raw_ranks, pattern: str, rule: str):
     def task(batches):
-        enc, size = _encoder(raw_ranks.value, pattern)
+        encode, size = _encoder(raw_ranks.value, pattern)
         for batch in batches:
             for c in chunks(batch):
                 col = c.column(c.schema.get_field_index("text"))
@@ -75,7 +95,7 @@ def _count_task(raw_ranks, pattern: str, rule: str):
                 for r, text in enumerate(col.to_pylist()):
                     if not text:
                         continue
-                    ids = enc.encode_to_numpy(text)
+                    ids = encode(text)
                     own = data[off[r] : off[r + 1]]
                     ends = _lines(own)
                     t, x = _attribute(np.cumsum(size[ids]), ends, rule)
@@ -101,7 +121,8 @@ def section_tokens(docs: DataFrame, id_col="doc_id", text_col="text", rule: str
     n_tokens sums to the tokens of the whole text, encoded once; n_crossing
     counts the tokens that begin in the section and end in a later one. A line
     break belongs to the line it ends. A null or empty text has no sections;
-    repeated rows have their sections repeated.
+    repeated rows have their sections repeated. Runs of white space of any
+    length have the tokens that the pattern gives them.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
@@ -113,7 +134,7 @@ def section_tokens(docs: DataFrame, id_col="doc_id", text_col="text", rule: str
 
 def _field_task(raw_ranks, pattern: str, rule: str, fields: list[str]):
     def task(batches):
-        enc, size = _encoder(raw_ranks.value, pattern)
+        encode, size = _encoder(raw_ranks.value, pattern)
         for batch in batches:
             rows = []
             for rec in batch.to_pylist():
@@ -121,7 +142,7 @@ def _field_task(raw_ranks, pattern: str, rule: str, fields: list[str]):
                 if not parts:
                     continue
                 ends = np.cumsum([len(p) for _, p in parts])
-                ids = enc.encode_to_numpy(b"".join(p for _, p in parts).decode())
+                ids = encode(b"".join(p for _, p in parts).decode())
                 t, x = _attribute(np.cumsum(size[ids]), ends, rule)
                 rows += [(rec["id"], f, int(a), int(b)) for (f, _), a, b in zip(parts, t, x)]
             if rows:
