@@ -254,6 +254,22 @@ def running_totals(
     )
 
 
+def pct_contribution(df: DataFrame, value: str, partition_by: Sequence[str] = (), decimals: int = 2) -> DataFrame:
+    """win_pct_contribution on its own: each value's share of the (partition) total in percent.
+
+    One sum; nothing is ordered. The sums of partitions are joined by key, where
+    null keys are one partition.
+    """
+    x = clean_nan(F.col(value).cast("double"))
+    out = f"{value}_pct_contribution"
+    if not partition_by:
+        total = df.select(F.sum(x)).scalar()
+        return df.withColumn(out, round_num(F.try_divide(x * 100.0, total), decimals))
+    tot = df.groupBy(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(partition_by)]).agg(F.sum(x).alias("__tot"))
+    on = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(partition_by)]
+    return df.join(tot, on, "left").select(*df.columns, round_num(F.try_divide(x * 100.0, F.col("__tot")), decimals).alias(out))
+
+
 def row_position(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (), name: str = "row_pos") -> DataFrame:
     """win_row_position: 1-based row number in (partition, order)."""
     s = prefix_scan(df, order_by, [Scan("count", F.lit(1), name)], partition_by=partition_by)

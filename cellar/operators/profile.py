@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellar.functions.safe import (
+    datetime_columns,
     numeric_columns,
     nan_as_null,
     require_columns,
@@ -29,6 +30,7 @@ from cellar.functions.safe import (
     text_columns,
     type_class,
 )
+from cellar.operators.crossproduct import blocked_correlations
 from cellar.operators.frequent import column_modes, distinct_counts, text_summary
 from cellar.operators.ordered import _BUCKET, with_buckets
 from cellar.operators.quantiles import column_quantiles
@@ -37,6 +39,8 @@ from cellar.session import materialize
 # Correlation strength labels by absolute r.
 STRENGTH_LADDER = ((0.9, "Very Strong"), (0.7, "Strong"), (0.5, "Moderate"), (0.3, "Weak"))
 WEAKEST_LABEL = "Very Weak"
+#: more pairs than this do not fit one aggregate well
+WIDE_PAIRS = 66
 
 
 # --------------------------------------------------------------------------
@@ -284,6 +288,20 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     )
 
 
+def describe_datetimes(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """agg_describe of date and timestamp columns: count, mean, min, 25%, 50%, 75%, max as timestamps.
+
+    Worked on microseconds since 1970 (exact between the years 1684 and 2255),
+    with the numeric columns' narrowing of ranges.
+    """
+    cols = list(datetime_columns(df) if cols is None else cols)
+    require_columns(df, cols)
+    micros = df.select(*[F.unix_micros(F.col(c).cast("timestamp_ntz").cast("timestamp")).alias(c) for c in cols])
+    out = describe(micros, cols)
+    back = lambda c: F.timestamp_micros(F.round(c).cast("long")).cast("timestamp_ntz")
+    return out.select("column", "count", *[back(F.col(c)).alias(c) for c in ("mean", "min", "q25", "q50", "q75", "max")])
+
+
 def categorical_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """agg_categorical_profile: count, missing, distinct, top value/frequency/%.
 
@@ -388,13 +406,17 @@ def _pair_corr(x: Column, y: Column) -> Column:
 def corr_long(df: DataFrame, cols: Sequence[str] | None = None, decimals: int | None = 3) -> DataFrame:
     """agg_corr_matrix long form (var1, var2, corr) for var1 before var2.
 
-    All pairs are aggregates of one ``agg`` (d(d-1)/2 expressions).
+    Up to WIDE_PAIRS pairs are aggregates of one ``agg``; more come from blocked
+    cross products.
     """
-    cols = list(cols or numeric_columns(df))
+    cols = list(numeric_columns(df) if cols is None else cols)
     dcols = {c: F.col(c).cast("double") for c in cols}
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
     if not pairs:
         return df.sparkSession.createDataFrame([], "var1 string, var2 string, corr double")
+    if len(pairs) > WIDE_PAIRS:
+        out = blocked_correlations(df, cols)
+        return out if decimals is None else out.withColumn("corr", round_num("corr", decimals))
     wide = df.agg(*[_pair_corr(dcols[a], dcols[b]).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
     rows = [F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(f"p{i}").alias("corr")) for i, (a, b) in enumerate(pairs)]
     out = wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
@@ -405,7 +427,7 @@ def corr_long(df: DataFrame, cols: Sequence[str] | None = None, decimals: int |
 
 def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None, decimals: int | None = 3) -> DataFrame:
     """Square form: one row per variable, one column per variable, 1.0 on the diagonal."""
-    cols = list(cols or numeric_columns(df))
+    cols = list(numeric_columns(df) if cols is None else cols)
     lg = corr_long(df, cols, decimals)
     both = lg.unionByName(lg.select(F.col("var2").alias("var1"), F.col("var1").alias("var2"), "corr"))
     diag = df.sparkSession.createDataFrame([(c, c, 1.0) for c in cols], "var1 string, var2 string, corr double")

@@ -54,8 +54,15 @@ def q_running_avg(spark, d):
     """SELECT o_orderkey, round(o_totalprice * 100.0 / sum(o_totalprice) OVER (), 2) AS o_totalprice_pct_contribution FROM orders""",
 )
 def q_pct_contrib(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
-    return O.running_totals(o, "o_totalprice", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "o_totalprice_pct_contribution")
+    return O.pct_contribution(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice").drop("o_totalprice")
+
+
+@register(
+    "win_pct_contribution_by_user",
+    f"""SELECT event_id, user_id, round(value * 100.0 / sum(value) OVER (PARTITION BY user_id), 8) AS value_pct_contribution FROM {_EV}""",
+)
+def q_pct_contrib_user(spark, d):
+    return O.pct_contribution(_events(spark, d).select("event_id", "user_id", "value"), "value", ["user_id"], decimals=8).drop("value")
 
 
 @register(

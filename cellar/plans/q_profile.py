@@ -225,6 +225,55 @@ def q_corr(spark, d):
     return P.corr_long(_corr_df(spark, d), _CORR_COLS)
 
 
+_PIVOT = ", ".join(f"max(CASE WHEN var2 = '{c}' THEN corr END) AS {c}" for c in _CORR_COLS)
+
+
+@register(
+    "agg_corr_matrix_square",
+    f"""WITH l AS ({_corr_sql(_CORR_VIEW, _CORR_COLS)}),
+        b AS (SELECT * FROM l UNION ALL SELECT var2, var1, corr FROM l UNION ALL SELECT c, c, 1.0 FROM (SELECT unnest([{", ".join(f"'{c}'" for c in _CORR_COLS)}]) AS c))
+        SELECT var1 AS variable, {_PIVOT} FROM b GROUP BY var1""",
+)
+def q_corr_square(spark, d):
+    return P.corr_matrix(_corr_df(spark, d), _CORR_COLS)
+
+
+# lineitem's measures and their products: 16 columns, 120 pairs, every third discount and tax missing
+_MANY = {
+    f"{a}_{k}": e.format(a=c)
+    for a, c in (("qty", "l_quantity"), ("price", "l_extendedprice"), ("disc", "CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE l_discount END"), ("tax", "CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE l_tax END"))
+    for k, e in (("one", "({a})"), ("sq", "({a}) * ({a})"), ("by_line", "({a}) * l_linenumber"), ("by_qty", "({a}) * l_quantity"))
+}
+_MANY_VIEW = f"(SELECT {', '.join(f'CAST({e} AS DOUBLE) AS {n}' for n, e in _MANY.items())} FROM lineitem)"
+
+
+@register("agg_corr_matrix_many", _corr_sql(_MANY_VIEW, list(_MANY)))
+def q_corr_many(spark, d):
+    li = table(spark, d, "lineitem")
+    return P.corr_long(li.select(*[F.expr(e).cast("double").alias(n) for n, e in _MANY.items()]), list(_MANY))
+
+
+_DATES_VIEW = "(SELECT CAST(l_shipdate AS TIMESTAMP) AS shipped, CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE CAST(l_shipdate AS TIMESTAMP) + to_hours(CAST(l_linenumber AS BIGINT)) END AS seen FROM lineitem)"
+
+
+def _describe_dates_sql(cols):
+    us = lambda x: f"make_timestamp(CAST(round({x}) AS BIGINT))"
+    return "\nUNION ALL\n".join(
+        f"""SELECT '{c}' AS "column", count({c}) AS count, {us(f"avg(epoch_us({c}))")} AS mean, min({c}) AS min,
+        {us(f"quantile_cont(epoch_us({c})::DOUBLE, 0.25)")} AS q25, {us(f"quantile_cont(epoch_us({c})::DOUBLE, 0.5)")} AS q50,
+        {us(f"quantile_cont(epoch_us({c})::DOUBLE, 0.75)")} AS q75, max({c}) AS max FROM {_DATES_VIEW}"""
+        for c in cols
+    )
+
+
+@register("agg_describe_datetime", _describe_dates_sql(["shipped", "seen"]))
+def q_describe_dates(spark, d):
+    li = table(spark, d, "lineitem")
+    shipped = F.col("l_shipdate").cast("timestamp_ntz")
+    seen = F.when(F.col("l_orderkey") % 7 != 0, shipped + F.make_dt_interval(hours=F.col("l_linenumber").cast("int")))
+    return P.describe_datetimes(li.select(shipped.alias("shipped"), seen.alias("seen")))
+
+
 @register(
     "agg_strong_corr",
     f"""SELECT var1, var2, round(r, 3) AS corr,
