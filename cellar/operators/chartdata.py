@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from cellar.functions.safe import clean_nan, numeric_columns, require_columns, round_num
 from cellar.operators.ordered import Scan, prefix_scan
-from cellar.operators.profile import corr_long, exact_quantiles, long_values, value_counts_long
+from cellar.operators.group_quantiles import group_quantiles
+from cellar.operators.profile import corr_long, long_values
 from cellar.operators.quantiles import column_quantiles
-from cellar.session import materialize
 
 
 def _bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
@@ -66,43 +66,30 @@ def trendline(df: DataFrame, x: str, y: str) -> DataFrame:
 def box(df: DataFrame, column: str, group: str | None = None, k: float = 1.5) -> DataFrame:
     """ch_box: quartiles, whiskers within k*IQR of the box, outlier count; optionally per group.
 
-    Quartiles come from the exact distributed quantiles of the (group, value)
-    count table; whiskers and outliers are read from the same table.
+    Quartiles are exact (``column_quantiles``, ``group_quantiles``); whiskers and
+    outliers are counted where the rows are, against the fences of their group.
+    Rows with a null group are left out.
     """
-    x = F.col(column).cast("double")
+    probs = [0.25, 0.5, 0.75]
     if group:
-        by = [group]
-        vc = (
-            df.filter(x.isNotNull() & ~F.isnan(x) & F.col(group).isNotNull())
-            .groupBy(group, x.alias("value"))
-            .agg(F.count(F.lit(1)).alias("cnt"))
-        )
+        q = group_quantiles(df, [group], column, probs)
+        quart = q.select(F.col(group).alias("__g"), *[F.col("qs")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])
+        rows = df.select(F.col(group).alias("__g"), clean_nan(F.col(column).cast("double")).alias("value")).na.drop()
     else:
         # key on the unpivoted column name: it comes out of a generator, so the
-        # optimizer cannot fold the key away and turn the joins into cross joins
-        by = ["column"]
-        vc = long_values(df, [column]).withColumn("cnt", F.lit(1))
-    if group:
-        vc = materialize(vc)  # read by the bucket sample, the quantiles and the whiskers
-        q = exact_quantiles(vc, [0.25, 0.5, 0.75], by=by, broadcast_targets=False)
-    else:
-        q = column_quantiles(df, [column], [0.25, 0.5, 0.75])
-    quart = q.groupBy(*by).agg(
-        F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
-        F.max(F.when(F.col("p") == 0.5, F.col("q"))).alias("median"),
-        F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q3"),
-    )
+        # optimizer cannot fold the key away and turn the join into a cross join
+        q = column_quantiles(df, [column], probs).groupBy(F.col("column").alias("__g"))
+        quart = q.agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n) for p, n in zip(probs, ("q1", "median", "q3"))])
+        rows = long_values(df, [column]).withColumnRenamed("column", "__g")
     iqr = F.col("q3") - F.col("q1")
-    fences = quart.withColumn("__lf", F.col("q1") - F.lit(k) * iqr).withColumn("__hf", F.col("q3") + F.lit(k) * iqr)
-    j = vc.join(fences, on=by, how="inner")
-    inside = (F.col("value") >= F.col("__lf")) & (F.col("value") <= F.col("__hf"))
-    out = j.groupBy(*by, "q1", "median", "q3").agg(
+    inside = (F.col("value") >= F.col("q1") - F.lit(k) * iqr) & (F.col("value") <= F.col("q3") + F.lit(k) * iqr)
+    out = rows.join(quart, "__g").groupBy("__g", "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("value"))).alias("lower_whisker"),
         F.max(F.when(inside, F.col("value"))).alias("upper_whisker"),
-        F.sum(F.when(~inside, F.col("cnt")).otherwise(0)).cast("bigint").alias("n_outliers"),
-        F.sum("cnt").cast("bigint").alias("n"),
+        F.count_if(~inside).alias("n_outliers"),
+        F.count(F.lit(1)).alias("n"),
     )
-    return out if group else out.drop("column")
+    return out.withColumnRenamed("__g", group) if group else out.drop("__g")
 
 
 def series(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFrame:

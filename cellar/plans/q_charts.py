@@ -145,6 +145,13 @@ def q_box(spark, d):
     return b.select("o_orderpriority", *[round_num(c, 6).alias(c) for c in ["q1", "median", "q3"]], "lower_whisker", "upper_whisker", "n_outliers", "n")
 
 
+@register("ch_box_by_customer", _BOX_SQL.replace("o_orderpriority", "o_custkey"))
+def q_box_many(spark, d):
+    # a group for every customer
+    b = C.box(_orders(spark, d), "o_totalprice", "o_custkey")
+    return b.select("o_custkey", *[round_num(c, 6).alias(c) for c in ["q1", "median", "q3"]], "lower_whisker", "upper_whisker", "n_outliers", "n")
+
+
 @register(
     "ch_box_all",
     """WITH q AS (SELECT quantile_cont(value, 0.25) q1, quantile_cont(value, 0.5) med, quantile_cont(value, 0.75) q3 FROM events)

@@ -13,6 +13,7 @@ from cellar.operators import aggregate as A
 from cellar.operators import filters as FL
 from cellar.operators import flags as FG
 from cellar.operators import profile as P
+from cellar.operators.quantiles import column_quantiles
 from cellar.functions.safe import round_num
 
 
@@ -79,9 +80,8 @@ def test_exact_quantiles_match_numpy_with_heavy_ties(spark):
     rng = np.random.default_rng(7)
     vals = np.concatenate([rng.normal(size=3000), np.full(2000, 0.25), rng.integers(0, 5, 1000).astype(float)])
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
-    vc = P.value_counts_long(df, ["x"])
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = {r["p"]: r["q"] for r in P.exact_quantiles(vc, probs).collect()}
+    got = {r["p"]: r["q"] for r in column_quantiles(df, ["x"], probs).collect()}
     for p in probs:
         assert got[p] == pytest.approx(float(np.quantile(vals, p)), rel=1e-12, abs=1e-12)
 
