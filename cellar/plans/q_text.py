@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellar.operators import textmine as TM
+from cellar.operators import vocabulary as V
 from cellar.plans.registry import register
 from cellar.session import table
 
@@ -340,3 +341,30 @@ def q_job_exp(spark, d):
 )
 def q_job_edu(spark, d):
     return _docs(spark, d).select("doc_id", TM.job_education(F.col("text")).alias("education_required"))
+
+
+# every pair of neighbouring words of the benchmark items, some thousand terms, sought in whole documents
+_TERMS_SQL = f"""SELECT DISTINCT w[i] || ' ' || w[i + 1] AS term FROM (
+        SELECT w, unnest(range(1, len(w))) AS i FROM (SELECT list_filter(regexp_split_to_array(lower(text), '{NW}+'), lambda x: x <> '') AS w FROM benchmark))"""
+# a pair occurs as whole words where exactly one blank parts two neighbouring words
+_FOUND_SQL = f"""SELECT DISTINCT doc_id, term FROM (
+        SELECT doc_id, w[i] || ' ' || w[i + 1] AS term FROM (
+          SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM (
+            SELECT doc_id, string_split(unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_ ]+| {{2,}}')), ' ') AS w FROM documents)))
+        JOIN ({_TERMS_SQL}) USING (term)"""
+
+
+def _terms(spark, d):
+    w = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
+    pairs = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1)))
+    return V.read_terms(table(spark, d, "benchmark").select(F.explode(pairs).alias("term")), "term")
+
+
+@register("txt_vocabulary_rows", _FOUND_SQL)
+def q_vocabulary_rows(spark, d):
+    return V.vocabulary_rows(table(spark, d, "documents"), "doc_id", "text", _terms(spark, d))
+
+
+@register("txt_vocabulary_totals", f"SELECT term, count(*) AS n_texts FROM ({_FOUND_SQL}) GROUP BY term")
+def q_vocabulary_totals(spark, d):
+    return V.vocabulary_totals(table(spark, d, "documents"), "text", _terms(spark, d))
