@@ -309,3 +309,19 @@ def q_fill_zero(spark, d):
 def q_dedupe(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey", "o_orderstatus")
     return CL.clean_names(o.toDF("total", "total", " total ", "status"))
+
+
+# one column of mixed shapes (day first, as some days are above 12), one that a 12-hour clock and month names make
+_SHAPED_SQL = """SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS TIMESTAMP) AS loose,
+       CAST(l_shipdate AS TIMESTAMP) + to_minutes(CAST(l_linenumber * 97 AS BIGINT)) AS clock FROM lineitem"""
+
+
+@register("clean_detect_dates_shapes", _SHAPED_SQL)
+def q_date_shapes(spark, d):
+    li = table(spark, d, "lineitem")
+    day, k = F.col("l_shipdate").cast("timestamp_ntz"), F.col("l_orderkey") % 4
+    at = day + F.make_dt_interval(mins=(F.col("l_linenumber") * 97).cast("int"))
+    loose = F.when(k == 0, F.date_format(day, "d/M/yyyy")).when(k == 1, F.date_format(day, "dd/MM/yyyy")).when(k == 2, F.date_format(day, "EEEE, d MMMM yyyy")).otherwise(F.date_format(day, "yyyy-MM-dd"))
+    clock = F.when(k == 0, F.date_format(at, "MMM d, yyyy h:mm a")).when(k == 1, F.date_format(at, "MMMM d, yyyy hh:mm:ss a")).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS"))
+    out = CL.detect_dates(li.select("l_orderkey", "l_linenumber", loose.alias("loose"), clock.alias("clock")))
+    return out.select("l_orderkey", "l_linenumber", F.col("loose").cast("timestamp_ntz").alias("loose"), F.col("clock").cast("timestamp_ntz").alias("clock"))
