@@ -17,9 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellar.functions.safe import clean_nan, require_columns
-from cellar.operators.quantiles import CUTS, PIECE_ROWS
+from cellar.operators.quantiles import CUTS
 from cellar.session import materialize
 
+#: rows of a group that an exact aggregate holds, and of a range that is sorted
+PIECE_ROWS = 200_000
 GRID = [(i + 0.5) / CUTS for i in range(CUTS)]
 
 

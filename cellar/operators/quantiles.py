@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from cellar.functions.safe import clean_nan, require_columns
 
 CUTS = 64
-PIECE_ROWS = 200_000
+PIECE_ROWS = 1_000_000
 
 
 @dataclass
