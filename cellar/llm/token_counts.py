@@ -34,29 +34,37 @@ def load_ranks(path: str = VOCABULARY) -> bytes:
         return f.read()
 
 
-def _encoder(raw: bytes, pattern: str):
-    import tiktoken
+class _Encoder:
+    """An encoding whose pattern may meet runs of white space of any length."""
 
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a}
-    size = np.zeros(max(ranks.values()) + 1, np.int64)
-    for tok, i in ranks.items():
-        size[i] = len(tok)
-    enc = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    if pattern != PATTERN:
-        return enc.encode_to_numpy, size
-    runs = tiktoken.Encoding("runs", pat_str=rf"[{SPACE}]+", mergeable_ranks=ranks, special_tokens={})
-    long_run = re.compile(f"[{SPACE}]{{{LONG_RUN},}}")
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        import tiktoken
+
+        self.enc = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.runs = tiktoken.Encoding("runs", pat_str=rf"[{SPACE}]+", mergeable_ranks=ranks, special_tokens={})
+        # how a run is parted is known of the default pattern only; with another the text is encoded as it is
+        self.long_run = re.compile(f"[{SPACE}]{{{LONG_RUN},}}") if pattern == PATTERN else None
 
-    def encode(text: str) -> np.ndarray:
+    def encode_to_numpy(self, text: str) -> np.ndarray:
         """The pattern takes a run of white space but its last character as one piece, at the text's end the whole run."""
         ids, at = [], 0
-        for m in long_run.finditer(text):
+        for m in self.long_run.finditer(text) if self.long_run else ():
             end = m.end() - (m.end() < len(text))
-            ids += [enc.encode_to_numpy(text[at : m.start()]), runs.encode_to_numpy(text[m.start() : end])]
+            ids += [self.enc.encode_to_numpy(text[at : m.start()]), self.runs.encode_to_numpy(text[m.start() : end])]
             at = end
-        return np.concatenate([*ids, enc.encode_to_numpy(text[at:])]) if ids else enc.encode_to_numpy(text)
+        return np.concatenate([*ids, self.enc.encode_to_numpy(text[at:])]) if ids else self.enc.encode_to_numpy(text)
+
+    def encode_ordinary(self, text: str) -> list[int]:
+        return self.encode_to_numpy(text).tolist()
 
-    return encode, size
+
+def _encoder(raw: bytes, pattern: str) -> tuple[_Encoder, np.ndarray]:
+    """The encoding, and the size of each token in bytes."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a}
+    size = np.zeros(max(ranks.values()) + 1, np.int64)
+    for tok, i in ranks.items():
+        size[i] = len(tok)
+    return _Encoder(ranks, pattern), size
 
 
 def _attribute(tok_end: np.ndarray, sec_end: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +94,7 @@ def _lines(raw: np.ndarray) -> np.ndarray:
 
 def _count_task(raw_ranks, pattern: str, rule: str):
     def task(batches):
-        encode, size = _encoder(raw_ranks.value, pattern)
+        enc, size = _encoder(raw_ranks.value, pattern)
         for batch in batches:
             for c in chunks(batch):
                 col = c.column(c.schema.get_field_index("text"))
@@ -95,7 +103,7 @@ def _count_task(raw_ranks, pattern: str, rule: str):
                 for r, text in enumerate(col.to_pylist()):
                     if not text:
                         continue
-                    ids = encode(text)
+                    ids = enc.encode_to_numpy(text)
                     own = data[off[r] : off[r + 1]]
                     ends = _lines(own)
                     t, x = _attribute(np.cumsum(size[ids]), ends, rule)
@@ -134,7 +142,7 @@ def section_tokens(docs: DataFrame, id_col="doc_id", text_col="text", rule: str
 
 def _field_task(raw_ranks, pattern: str, rule: str, fields: list[str]):
     def task(batches):
-        encode, size = _encoder(raw_ranks.value, pattern)
+        enc, size = _encoder(raw_ranks.value, pattern)
         for batch in batches:
             rows = []
             for rec in batch.to_pylist():
@@ -142,7 +150,7 @@ def _field_task(raw_ranks, pattern: str, rule: str, fields: list[str]):
                 if not parts:
                     continue
                 ends = np.cumsum([len(p) for _, p in parts])
-                ids = encode(b"".join(p for _, p in parts).decode())
+                ids = enc.encode_to_numpy(b"".join(p for _, p in parts).decode())
                 t, x = _attribute(np.cumsum(size[ids]), ends, rule)
                 rows += [(rec["id"], f, int(a), int(b)) for (f, _), a, b in zip(parts, t, x)]
             if rows:
