@@ -3,9 +3,13 @@
 Vectors are lifted by one coordinate so that larger inner products are smaller
 Euclidean distances. Each is keyed by its nearest pivot and its distance to it;
 a pivot's distances are cut into annuli, and an annulus with many rows into
-pieces. A query first searches the annulus it would itself lie in, which bounds
-its k-th best score; then it visits the other annuli, except those that the
-triangle inequality puts beyond that bound. The result is exact.
+pieces of about ``piece_rows``. A query first searches the annulus it would
+itself lie in, which bounds its k-th best score; then it visits the other
+annuli, except those that the triangle inequality puts beyond that bound. The
+result is exact.
+
+An annulus is sent out once for each ``query_group`` queries that visit it, and
+not at all if none does: a task holds one piece and one group of queries.
 """
 
 from __future__ import annotations
@@ -19,7 +23,6 @@ from cellar.session import materialize
 
 SCALE = 64
 PIECE_ROWS = 2048
-MAX_PIECES = 65_536
 MAX_PIVOTS = 256
 SAMPLE = 8192
 QUERY_GROUP = 4096
@@ -115,40 +118,41 @@ def _search(dim: int, k: int):
                 for lst, val in zip(got, (own[a : a + 512][i], who, s)):
                     lst.append(val)
         cat = lambda z, t: np.concatenate(z).astype(t) if z else np.empty(0, t)
-        return pa.table({"query_id": cat(got[0], np.int64), "vec_id": cat(got[1], np.int64), "score": cat(got[2], np.int64)})
+        return pa.table({x: cat(got[i], np.int64) for i, x in enumerate(["query_id", "vec_id", "score"])})
 
     return task
 
 
-def _plan_task(model, pieces, dim: int, home: bool):
-    """The pieces that each query visits: its home annulus, or all others within its bound."""
+def _plan_task(model, rings, dim: int, home: bool, narrow: bool):
+    """The annuli that each query visits: the one it lies in, or all within its bound; ``narrow``: their numbers alone."""
 
     def task(batches):
         pivots, norm2 = model.value
-        p = pieces.value
+        p = rings.value
         for b in batches:
             for a in range(0, b.num_rows, 256):
                 c = b.slice(a, 256)
-                q = _matrix(c.column(c.schema.get_field_index("v")), dim)
+                col = lambda x, c=c: c.column(c.schema.get_field_index(x))
+                q = _matrix(col("v"), dim)
                 d = _distances(q, np.zeros(len(q)), pivots)[:, p["pivot"]]
                 away = np.maximum(np.maximum(p["near"][None, :] - d, d - p["far"][None, :]), 0.0)
-                if home:
-                    # the annulus nearest to the query (all its pieces); ties: the first
-                    best = away + 1e-9 * d
-                    first = best.argmin(axis=1)
-                    i, j = np.nonzero(p["annulus"][None, :] == p["annulus"][first][:, None])
+                least = np.full(len(q), -np.inf) if home else col("least").to_numpy(zero_copy_only=False)
+                if home:  # the annulus nearest to the query; ties: the first
+                    i, j = np.arange(len(q)), (away + 1e-9 * d).argmin(axis=1)
                 else:
-                    least = c.column(c.schema.get_field_index("least")).to_numpy(zero_copy_only=False)
                     # |q - v|^2 = |q|^2 + norm2 - 2 score: beyond this distance every score is below the bound
                     reach2 = np.einsum("ij,ij->i", q, q) + norm2 - 2 * least
                     with np.errstate(invalid="ignore"):
                         reach = np.where(np.isfinite(least), np.sqrt(np.maximum(reach2, 0)) * (1 + 1e-9) + 1e-6, np.inf)
                     i, j = np.nonzero(away <= reach[:, None])
+                ring = pa.array(p["annulus"][j], pa.int32())
+                if narrow:
+                    yield pa.RecordBatch.from_arrays([ring], names=["annulus"])
+                    continue
                 take = pa.array(i)
-                low = pa.array(np.full(len(i), -np.inf)) if home else c.column(c.schema.get_field_index("least")).take(take)
                 yield pa.RecordBatch.from_arrays(
-                    [c.column(c.schema.get_field_index("id")).take(take), c.column(c.schema.get_field_index("v")).take(take), low, pa.array(p["piece"][j])],
-                    names=["id", "v", "least", "piece"],
+                    [col("id").take(take), col("v").take(take), pa.array(least[i]), ring],
+                    names=["id", "v", "least", "annulus"],
                 )
 
     return task
@@ -156,22 +160,25 @@ def _plan_task(model, pieces, dim: int, home: bool):
 
 def _rank(hits: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col="vec_id", vector_col="embedding", scale: int = SCALE, piece_rows: int = PIECE_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col="vec_id", vector_col="embedding", scale: int = SCALE, piece_rows: int = PIECE_ROWS, query_group: int = QUERY_GROUP) -> DataFrame:
     """Each query's k best rows by integer inner product: query_id, rank, vec_id, score.
 
     Components are floor(scale * x). Queries are the rows for which
     ``is_query`` holds, candidates all rows but the query's own id. Ties go to
     the smaller id; with fewer than k candidates all are returned. Rows with a
     null id, a null vector, or a null or non-finite component take no part;
-    shorter vectors are filled with zeros; repeated rows count once. Inner
-    products are exact below 2**53.
-
-    The pivots are fitted on a bounded sample; every row is indexed. The
-    directory of pieces, which is broadcast, is held under ``MAX_PIECES`` by
-    making pieces larger; queries of one piece are split into groups.
+    shorter vectors are filled with zeros; rows that repeat id and vector count
+    once. Different vectors under one id are candidates of their own; as queries
+    they share one ranking of the scores of all of them. Inner products are
+    exact below 2**53.
+
+    The pivots are fitted on a bounded sample; every row is indexed. What is
+    broadcast is a row per annulus, at most ``MAX_PIVOTS * ANNULI`` whatever the
+    table; the pieces of an annulus are numbered, so their number is not bounded
+    and their size is.
     """
     spark = vectors.sparkSession
     t = vectors.where(F.col(id_col).isNotNull() & _valid(F.col(vector_col)))
@@ -194,35 +201,35 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col="vec_id", ve
     pivots = _choose_pivots(x, int(min(MAX_PIVOTS, max(1, round((n / piece_rows) ** 0.5 * 2)))))
     model = spark.sparkContext.broadcast((pivots, norm2))
     keyed = materialize(rows.mapInArrow(_key_task(model, dim), "id long, v array<long>, pivot int, dist double"))
-    per_piece = max(piece_rows, -(-4 * n // MAX_PIECES))
     cuts = keyed.groupBy("pivot").agg(
         F.percentile_approx("dist", [i / ANNULI for i in range(1, ANNULI)], 1000).alias("cut"), F.count(F.lit(1)).alias("n")
     ).toPandas()  # a row for each pivot
     # fewer rows, fewer annuli: about a piece each
-    ladder = {int(r.pivot): sorted(set(np.asarray(r.cut)[:: max(1, round(ANNULI * per_piece / max(r.n, 1)))].tolist())) if r.n > per_piece else [] for r in cuts.itertuples()}
+    ladder = {int(r.pivot): sorted(set(np.asarray(r.cut)[:: max(1, round(ANNULI * piece_rows / max(r.n, 1)))].tolist())) if r.n > piece_rows else [] for r in cuts.itertuples()}
     at = F.create_map(*[y for p, c in ladder.items() for y in (F.lit(p), F.array(*map(F.lit, c)).cast("array<double>"))])[F.col("pivot")]
     ring = F.size(F.filter(at, lambda c: c < F.col("dist")))
     ringed = keyed.withColumn("annulus", F.col("pivot") * 1000 + ring)
     rings = ringed.groupBy("annulus").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("near"), F.max("dist").alias("far")).toPandas()
-    rings["pieces"] = np.maximum(1, -(-rings["n"] // per_piece))
-    parts = F.create_map(*[F.lit(int(y)) for r in rings.itertuples() for y in (r.annulus, r.pieces)])[F.col("annulus")]
-    index = ringed.select("id", "v", (F.col("annulus").cast("long") * (1 << 20) + F.pmod(F.xxhash64("id"), parts.cast("long"))).alias("piece"))
-    index = materialize(index)
-    p = rings.loc[rings.index.repeat(rings["pieces"])].reset_index(drop=True)
-    p["no"] = p.groupby("annulus").cumcount()
-    directory = {
-        "pivot": (p["annulus"] // 1000).to_numpy(), "annulus": p["annulus"].to_numpy(), "near": p["near"].to_numpy() - 1e-6, "far": p["far"].to_numpy() + 1e-6,
-        "piece": (p["annulus"].astype(np.int64) * (1 << 20) + p["no"]).to_numpy(),
-    }
-    pieces = spark.sparkContext.broadcast(directory)
-    groups = max(1, -(-size.nq // QUERY_GROUP))
-    queries = t.where("q").select("id", "v").withColumn("least", F.lit(float("-inf")))
+    rings["pieces"] = np.maximum(1, -(-rings["n"] // piece_rows))
+    directory = spark.sparkContext.broadcast({
+        "pivot": (rings["annulus"] // 1000).to_numpy(), "annulus": rings["annulus"].to_numpy(), "near": rings["near"].to_numpy() - 1e-6, "far": rings["far"].to_numpy() + 1e-6,
+    })
+    index = materialize(ringed.select("id", "v", "annulus"))
+    queries = t.where("q").select("id", "v", F.lit(float("-inf")).alias("least"))
 
     def visit(q: DataFrame, home: bool) -> DataFrame:
-        visits = q.mapInArrow(_plan_task(model, pieces, dim, home), "id long, v array<long>, least double, piece long")
-        visits = visits.withColumn("grp", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(groups)))
-        copies = index.withColumn("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-        return copies.groupBy("piece", "grp").cogroup(visits.groupBy("piece", "grp")).applyInArrow(_search(dim, k), "query_id long, vec_id long, score long")
+        q = q.select("id", "v", "least")
+        load = q.mapInArrow(_plan_task(model, directory, dim, home, True), "annulus int").groupBy("annulus").agg(F.count(F.lit(1)).alias("visits")).toPandas()
+        load = load.merge(rings[["annulus", "pieces"]], on="annulus")
+        load["groups"] = -(-load["visits"] // query_group)
+        # a row for each visited annulus
+        shape = F.broadcast(spark.createDataFrame([(int(r.annulus), int(r.pieces), int(r.groups)) for r in load.itertuples()], "annulus int, pieces long, groups long"))
+        visits = q.mapInArrow(_plan_task(model, directory, dim, home, False), "id long, v array<long>, least double, annulus int").join(shape, "annulus")
+        visits = visits.select("id", "v", "least", "annulus", F.pmod(F.xxhash64("id", F.lit(3)), F.col("groups")).alias("grp"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
+        parts = index.join(shape, "annulus")
+        parts = parts.select("id", "v", "annulus", F.pmod(F.xxhash64("id", "v", F.lit(3)), F.col("pieces")).alias("piece"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("grp"))
+        at = ["annulus", "piece", "grp"]
+        return parts.groupBy(*at).cogroup(visits.groupBy(*at)).applyInArrow(_search(dim, k), "query_id long, vec_id long, score long")
 
     first = materialize(_rank(visit(queries, True), k))
     bound = first.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("least"))

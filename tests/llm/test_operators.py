@@ -299,6 +299,22 @@ def test_topk_against_brute_force(spark):
     assert topk_search.top_k(df.where("false"), F.col("vec_id") == 0, 20).count() == 0
 
 
+def test_topk_with_several_query_groups_and_repeated_ids(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(0, 0.3, (600, 8))
+    ids = [*range(500), *range(100)]  # a hundred ids have two vectors
+    df = spark.createDataFrame([(i, [float(x) for x in a]) for i, a in zip(ids, v)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in topk_search.top_k(df, F.col("vec_id") % 3 == 0, 7, piece_rows=40, query_group=60).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    x = np.floor(64 * v).astype(int)
+    for q in range(0, 500, 3):
+        own = [k for k, i in enumerate(ids) if i == q]
+        want = sorted((-int(x[a] @ x[b]), ids[b]) for a in own for b in range(600) if ids[b] != q)[:7]
+        assert got[q] == [(i, -s) for s, i in want]
+    assert set(got) == set(range(0, 500, 3))
+
+
 def test_decontaminate_awkward(spark, odd, empty):
     bench = spark.createDataFrame([(1, "same row twice all"), (2, None), (3, "..."), (None, "word " * 12), (1, "same row twice all")], "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.contamination(odd, bench).collect()}
