@@ -1,7 +1,7 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-States are contexts of 0 to ``order`` preceding words. A context becomes a
-state if it occurs ``min_context`` times and if its next-word counts diverge
+States are contexts of 0 to ``order`` preceding words (any number; contexts
+are lengthened until none is frequent). A context becomes a state if it occurs ``min_context`` times and if its next-word counts diverge
 from its shorter suffix's by more than chance; each state lists the next words
 seen ``min_next`` times in it, smoothed with its suffix's distribution, down to
 add-one unigram counts of all training words. A word is scored in the longest
@@ -10,8 +10,10 @@ suffix state of the words before it.
 The minimum counts are absolute, so a pattern that is modelled on a small
 corpus is modelled on a large one, and the tree grows with the corpus. States
 and listed next words are tables built by ``groupBy``; they are never gathered
-or broadcast. Each block of texts joins its distinct keys with them. Bitmaps of
-fixed size only leave out keys that cannot match; a join always follows.
+or broadcast. Each block of texts joins its distinct keys with them, but for the
+``HEAD`` most used rows, which nearly every block needs: those are broadcast, a
+number that does not grow. Bitmaps of fixed size only leave out keys that
+cannot match; a join always follows.
 """
 
 from __future__ import annotations
@@ -26,20 +28,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellar.llm.kernels import INK, as_long, chunks, find, grams, grouped_sum, mix, test_bits, words
+from cellar.llm.kernels import INK, as_long, chunks, find, grouped_sum, mix, test_bits, words
 from cellar.llm.support import bitmap
 from cellar.session import materialize
 
-ORDER = 2
+ORDER = 3
 MIN_CONTEXT = 40
 MIN_NEXT = 4
 KAPPA = 20.0
 BLOCK_WORDS = 1 << 21
 BLOCK_BYTES = 64 << 20
 BITMAP_LOG2 = 24
+HEAD = 1 << 20
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 BEGIN = np.uint64(0x0B0E0B0E0B0E0B0E)
 _ODD = np.uint64(0x2545F4914F6CDD1D)
+_BASE = np.uint64(0x9E6C63D0876A9A63)
 
 
 def _tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -49,23 +53,23 @@ def _tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _contexts(t: np.ndarray, off: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each token the hash of its 1..order preceding tokens (a begin mark before the text; 0: none)."""
-    n, first = len(t), np.zeros(len(t), bool)
+    """For each token the hash of its 1..order preceding tokens (a begin mark before the text; 0: none).
+
+    The i-th word back weighs ``_BASE ** (i - 1)``: a context followed by a word
+    is, as a context, its hash times ``_BASE`` plus the word's.
+    """
+    first = np.zeros(len(t), bool)
     first[off[:-1][off[:-1] < len(t)]] = True
-    prev = np.empty(n, np.uint64)
-    prev[1:] = t[:-1]
-    prev[first] = BEGIN
-    out = [prev]
-    back = prev
+    back = np.empty(len(t), np.uint64)
+    back[1:] = t[:-1]
+    back[first] = BEGIN
+    out = [back]
     for k in range(2, order + 1):
-        older = np.zeros(n, np.uint64)
+        older = np.zeros(len(t), np.uint64)
         older[1:] = back[:-1]
-        inner = np.ones(n, bool)
-        inner[first] = False
-        back = np.where(inner, older, 0)
-        prev_hash = out[-1]
-        h = grams(np.stack([back, prev_hash], axis=1).reshape(-1), 2, salt=k)[::2] if n else prev_hash
-        out.append(np.where((back == 0) | (prev_hash == 0), np.uint64(0), h))
+        older[first] = 0
+        back, power = older, np.uint64(pow(int(_BASE), k - 1, 1 << 64))
+        out.append(np.where(back == 0, np.uint64(0), out[-1] + back * power))
     return out
 
 
@@ -93,20 +97,15 @@ def _log_probabilities(key: np.ndarray, value: np.ndarray, ctx: list[np.ndarray]
 
 @dataclass
 class Level:
-    """States of one context length: tables (c, unlisted) and (c, w, logp)."""
+    """States of one context length: tables (c, total, unlisted) and (c, w, n, logp)."""
 
     states: DataFrame
     entries: DataFrame
 
-    @cached_property
-    def ctx(self) -> np.ndarray:
-        """Sorted hashes of the contexts, fetched: for looking into a small tree."""
-        return np.sort(self.states.toPandas()["c"].to_numpy(np.int64).view(np.uint64))
-
 
 @dataclass
 class Tree:
-    """``model(key, v)``: count of a word, log10 factor on the suffix's probability in a state, log10 probability of a listed word."""
+    """``model(key, v, n)``: count of a word, log10 factor on the suffix's probability in a state, log10 probability of a listed word; n: how often it was seen."""
 
     tokens: int  # N
     types: int  # V
@@ -115,28 +114,26 @@ class Tree:
 
     @cached_property
     def model(self) -> DataFrame:
-        out = self.counts.select(F.col("h").alias("key"), F.col("n").cast("double").alias("v"))
+        out = self.counts.select(F.col("h").alias("key"), F.col("n").cast("double").alias("v"), "n")
         for k, lv in enumerate(self.levels, 1):
-            rows = lv.states.select("c", F.lit(None).cast("long").alias("w"), F.log10("unlisted").alias("v")).unionAll(lv.entries.select("c", "w", F.col("logp").alias("v")))
-            out = out.unionAll(rows.mapInArrow(_key_task(k), "key long, v double"))
+            states = lv.states.select("c", F.lit(None).cast("long").alias("w"), F.log10("unlisted").alias("v"), F.col("total").alias("n"))
+            rows = states.unionAll(lv.entries.select("c", "w", F.col("logp").alias("v"), "n"))
+            out = out.unionAll(rows.mapInArrow(_key_task(k), "key long, v double, n long"))
         return materialize(out)
 
-    @cached_property
-    def word(self) -> np.ndarray:
-        """Sorted hashes of all training words, fetched: for looking into a small tree."""
-        return np.sort(self.counts.toPandas()["h"].to_numpy(np.int64).view(np.uint64))
-
-    @cached_property
-    def _fetched(self) -> tuple[np.ndarray, np.ndarray]:
-        rows = self.model.toPandas()
-        key = rows["key"].to_numpy(np.int64).view(np.uint64)
+    def split(self, head: int = HEAD) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame]:
+        """The most used rows, at most ``head`` of them, as sorted arrays; and the table of all others."""
+        step = F.floor(8 * F.log2(F.greatest("n", F.lit(1)))).cast("int")
+        # a row for each eighth of a power of two
+        steps = self.model.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows")).toPandas().sort_values("step", ascending=False)
+        whole = steps["step"][steps["rows"].cumsum() <= head]
+        least = int(whole.min()) if len(whole) else None
+        if least is None:
+            return (np.empty(0, np.uint64), np.empty(0)), self.model
+        rows = self.model.where(step >= least).select("key", "v").toArrow()
+        key = rows["key"].to_numpy().view(np.uint64)
         by = np.argsort(key)
-        return key[by], rows["v"].to_numpy(np.float64)[by]
-
-    def score(self, ctx: list[np.ndarray], wi: np.ndarray, known: np.ndarray, out: np.ndarray) -> np.ndarray:
-        """log10 probabilities of the words ``word[wi]`` in a small, fetched tree."""
-        tok = np.where(known, self.word[wi], np.uint64(0))
-        return _log_probabilities(*self._fetched, ctx, tok, out)
+        return (key[by], rows["v"].to_numpy()[by]), self.model.where(step < least)
 
 
 def _key_task(k: int):
@@ -148,7 +145,7 @@ def _key_task(k: int):
             state = b.column(1).is_null().to_numpy(zero_copy_only=False)
             w = b.column(1).fill_null(0).to_numpy().view(np.uint64)
             key = np.where(state, _state_key(c, k), _entry_key(c, w, k))
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(key)), b.column(2)], names=["key", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(key)), b.column(2), b.column(3)], names=["key", "v", "n"])
 
     return task
 
@@ -206,19 +203,22 @@ def _pair_sums(held, k: int) -> pa.RecordBatch:
 
 
 def _longer_task():
-    """Contexts of two words (c, w): their hash, their suffix w and their count."""
+    """Contexts of one word more, from (c, suffix of c, next word w, n): their hash, their suffix and their count."""
 
     def task(batches):
         for b in batches:
-            cw = [b.column(i).to_numpy().view(np.uint64) for i in (0, 1)]
-            h = grams(np.stack(cw, axis=1).reshape(-1), 2, salt=2)[::2]
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(h)), b.column(1), b.column(2)], names=["c", "suffix", "total"])
+            c, suffix, w = (b.column(i).to_numpy().view(np.uint64) for i in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(c * _BASE + w)), pa.array(as_long(suffix * _BASE + w)), b.column(3)], names=["c", "suffix", "total"])
 
     return task
 
 
-def _level(pairs: DataFrame, kappa: float) -> Level:
-    """Divergence test and smoothing of one level, from rows (c, w, n, total, below)."""
+def _level(pairs: DataFrame, kappa: float) -> tuple[Level, DataFrame]:
+    """Divergence test and smoothing of one level, from rows (c, suffix, w, n, total, below).
+
+    Also the rows (c, suffix, w, n, p) of all pairs with the tree's probability
+    of w after c, be c a state or not.
+    """
     total, rest, mass = F.col("total"), F.col("rest"), F.col("mass")
     sums = pairs.groupBy("c", "total").agg(
         F.sum("n").alias("seen"), F.least(F.sum("below"), F.lit(1 - 1e-9)).alias("mass"), F.count(F.lit(1)).alias("cells"),
@@ -226,15 +226,17 @@ def _level(pairs: DataFrame, kappa: float) -> Level:
     ).withColumn("rest", F.greatest(total - F.col("seen"), F.lit(0)))
     gain = F.col("gain") + F.when(rest > 0, rest * F.log(rest / total / (1 - mass))).otherwise(0.0)
     kept = sums.where(gain > (F.col("cells") + 1) / 2 * F.log(F.greatest(total, F.lit(2))) + 2)
-    states = materialize(kept.select("c", ((rest / (1 - mass) + kappa) / (total + kappa)).alias("unlisted")))
-    p = (F.col("n") + kappa * F.col("below")) / (total + kappa)
-    return Level(states, materialize(pairs.join(states.select("c"), "c").select("c", "w", F.log10(p).alias("logp"))))
+    states = materialize(kept.select("c", "total", ((rest / (1 - mass) + kappa) / (total + kappa)).alias("unlisted")))
+    state = F.col("unlisted").isNotNull()
+    p = F.when(state, (F.col("n") + kappa * F.col("below")) / (total + kappa)).otherwise(F.col("below"))
+    scored = materialize(pairs.join(states.select("c", "unlisted"), "c", "left").select("c", "suffix", "w", "n", state.alias("listed"), p.alias("p")))
+    return Level(states, scored.where("listed").select("c", "w", "n", F.log10("p").alias("logp"))), scored
 
 
-def fit(train: DataFrame, order=ORDER, min_context=MIN_CONTEXT, min_next=MIN_NEXT, kappa=KAPPA) -> tuple[Tree, DataFrame]:
-    """The tree and the table (h, n) of all training tokens; ``train`` has one column, text."""
-    if order not in (1, 2):
-        raise ValueError("order must be 1 or 2")
+def fit(train: DataFrame, order=ORDER, min_context=MIN_CONTEXT, min_next=MIN_NEXT, kappa=KAPPA) -> Tree:
+    """The tree of ``train(text)``, with contexts of at most ``order`` words."""
+    if order < 1:
+        raise ValueError("order must be at least 1")
     share = train.sparkSession.sparkContext.broadcast
     counts = materialize(train.mapInArrow(_count_task(), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     end, begin = F.lit(int(END)), F.lit(int(BEGIN))
@@ -242,35 +244,36 @@ def fit(train: DataFrame, order=ORDER, min_context=MIN_CONTEXT, min_next=MIN_NEX
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(texts, F.lit(0)).alias("texts")).first()
     tree = Tree(int(total.n), int(total.v), counts, [])
     if not total.n:
-        return tree, counts
+        return tree
     least = max(2, min_next)
     frequent = counts.where(F.col("n") >= least)
     word = share(bitmap(frequent, "h", BITMAP_LOG2))
-    base = frequent.select(F.col("h").alias("w"), ((F.col("n") + 1.0) / (total.n + total.v + 1.0)).alias("base"))
-    # a text's start is a context too
-    cand = counts.where((F.col("n") >= min_context) & (F.col("h") != end)).select(F.col("h").alias("c"), F.lit(None).cast("long").alias("suffix"), F.col("n").alias("total"))
-    starts = counts.where(F.col("h") == end).select(begin.alias("c"), F.lit(None).cast("long").alias("suffix"), F.col("n").alias("total"))
-    cand = materialize(cand.unionAll(starts))
+    base = frequent.select(F.col("h").alias("w"), ((F.col("n") + 1.0) / (total.n + total.v + 1.0)).alias("below"))
+    # a text's start is a context too; the suffix of one word is empty
+    empty = F.lit(0).cast("long").alias("suffix")
+    cand = counts.where((F.col("n") >= min_context) & (F.col("h") != end)).select(F.col("h").alias("c"), empty, F.col("n").alias("total"))
+    cand = materialize(cand.unionAll(counts.where(F.col("h") == end).select(begin.alias("c"), empty, F.col("n").alias("total"))))
     for k in range(1, order + 1):
         task = _pair_task(k, share(bitmap(cand, "c", BITMAP_LOG2)), word)
         pairs = train.mapInArrow(task, "c long, w long, n long").groupBy("c", "w").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        pairs = pairs.join(cand, "c").join(base, "w")
+        pairs = pairs.join(cand, "c")
         if k == 1:
-            pairs = pairs.withColumn("below", F.col("base"))
-        else:  # P(word | the context without its first word) in the tree built so far
-            up = tree.levels[-1]
-            pairs = pairs.join(up.states.withColumnRenamed("c", "suffix"), "suffix", "left").join(up.entries.withColumnRenamed("c", "suffix"), ["suffix", "w"], "left")
-            pairs = pairs.withColumn("below", F.coalesce(F.pow(F.lit(10.0), "logp"), F.col("base") * F.coalesce("unlisted", F.lit(1.0))))
-        pairs = materialize(pairs.select("c", "w", "n", "total", "below"))
-        tree.levels.append(_level(pairs, kappa))
+            pairs = pairs.join(base, "w")
+        else:
+            # a pair is seen no more often than its suffix's, so that one was counted a level up
+            pairs = pairs.join(scored.select(F.col("c").alias("suffix"), "w", F.col("p").alias("below")), ["suffix", "w"])
+        level, scored = _level(materialize(pairs.select("c", "suffix", "w", "n", "total", "below")), kappa)
+        tree.levels.append(level)
         # a frequent (context, next word) is a candidate context of one more word
         if k < order:
-            long = pairs.where((F.col("n") >= min_context) & (F.col("w") != end) & (F.col("c") != begin)).select("c", "w", "n")
+            long = scored.where((F.col("n") >= min_context) & (F.col("w") != end)).select("c", "suffix", "w", "n")
             cand = materialize(long.mapInArrow(_longer_task(), "c long, suffix long, total long"))
-    return tree, counts
+            if cand.isEmpty():
+                break
+    return tree
 
 
-def _score_task(bits, order: int):
+def _score_task(any_bits, bits, head, order: int):
     """The texts in numbered blocks, and a row per block with its distinct keys that the model may have."""
 
     def task(batches):
@@ -279,7 +282,7 @@ def _score_task(bits, order: int):
             for c in chunks(batch):
                 text = c.column(c.schema.get_field_index("text"))
                 tok, off = _tokens(text)
-                keys.append(_keys(tok, off, order, bits.value))
+                keys.append(_keys(tok, off, order, any_bits.value, bits.value, head.value[0]))
                 size, room = size + len(tok), room + text.nbytes
                 n = c.num_rows
                 cols = [c.column(c.schema.get_field_index(x)) for x in ("doc_id", "held_out")]
@@ -293,15 +296,17 @@ def _score_task(bits, order: int):
     return task
 
 
-def _keys(tok: np.ndarray, off: np.ndarray, order: int, bits: np.ndarray) -> np.ndarray:
+def _keys(tok: np.ndarray, off: np.ndarray, order: int, any_bits: np.ndarray, bits: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """The distinct keys of a block that the model may have (``any_bits``) outside its most used rows (``bits``)."""
     out = [np.unique(tok)]
     for k, c in enumerate(_contexts(tok, off, order) if order else [], 1):
-        there = c != 0
         state = _state_key(c, k)
-        there &= test_bits(bits, state)
-        out += [np.unique(state[there]), np.unique(_entry_key(c[there], tok[there], k))]
+        there = (c != 0) & test_bits(any_bits, state)
+        state, entry = state[there], _entry_key(c[there], tok[there], k)
+        out += [np.unique(x[test_bits(bits, x)]) for x in (state, entry)]
     h = np.concatenate(out)
-    return h[test_bits(bits, h)]
+    h = h[test_bits(bits, h)]
+    return h[~find(head, h)[1]]
 
 
 def _vocab(block: int, keys, schema: pa.Schema) -> pa.RecordBatch:
@@ -316,12 +321,13 @@ def _vocab(block: int, keys, schema: pa.Schema) -> pa.RecordBatch:
 _NAMES = ["block", "doc_id", "held_out", "text", "vocab"]
 
 
-def _finish(tokens: int, types: int, order: int):
-    """Scores a block's texts with the model rows found for the block."""
+def _finish(tokens: int, types: int, order: int, head):
+    """Scores a block's texts with the model rows found for the block and the most used ones."""
 
     def task(left, right):
-        key, value = right.column("key").to_numpy().view(np.uint64), right.column("v").to_numpy()
-        by = np.argsort(key)
+        key = np.concatenate([head.value[0], right.column("key").to_numpy().view(np.uint64)])
+        value = np.concatenate([head.value[1], right.column("v").to_numpy()])
+        by = np.argsort(key, kind="stable")
         key, value = key[by], value[by]
         out = []
         for b in left.select(["doc_id", "held_out", "text"]).combine_chunks().to_batches():
@@ -341,7 +347,7 @@ def _finish(tokens: int, types: int, order: int):
     return task
 
 
-def score_texts(docs: DataFrame, held_out: Column, id_col="doc_id", text_col="text", **model) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, id_col="doc_id", text_col="text", head: int = HEAD, **model) -> DataFrame:
     """One row per document row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``held_out`` marks the rows that nothing is learnt from (null: learnt
@@ -352,17 +358,21 @@ def score_texts(docs: DataFrame, held_out: Column, id_col="doc_id", text_col="te
 
     Texts are scored in blocks of about ``BLOCK_WORDS`` tokens: the words,
     contexts and (context, next word) pairs of a block are joined once with the
-    model table, each distinct one alone.
+    model table, each distinct one alone, but for the at most ``head`` most used
+    rows of the model, which every task has.
     """
     id_type = docs.schema[id_col].dataType
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    tree, _ = fit(d.where(~F.col("held_out")).select("text"), **model)
+    tree = fit(d.where(~F.col("held_out")).select("text"), **model)
     order = len(tree.levels)
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(tree.model, "key", BITMAP_LOG2))
+    share = docs.sparkSession.sparkContext.broadcast
+    head, tail = tree.split(head)
+    any_bits, bits = (share(bitmap(rows, "key", BITMAP_LOG2)) for rows in (tree.model, tail))
+    head = share(head)
     schema = T.StructType.fromDDL(f"block long, doc_id {id_type.simpleString()}, held_out boolean, text string, vocab array<long>")
-    blocks = materialize(d.mapInArrow(_score_task(bits, order), schema))
+    blocks = materialize(d.mapInArrow(_score_task(any_bits, bits, head, order), schema))
     texts = blocks.where("vocab IS NULL").drop("vocab")
     vocab = blocks.where("vocab IS NOT NULL").select(F.col("block").alias("part"), F.explode("vocab").alias("key"))
-    found = vocab.join(tree.model, "key").select("part", "key", "v")
+    found = vocab.join(tail, "key").select("part", "key", "v")
     out = f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.groupBy("block").cogroup(found.groupBy("part")).applyInArrow(_finish(tree.tokens, tree.types, order), out)
+    return texts.groupBy("block").cogroup(found.groupBy("part")).applyInArrow(_finish(tree.tokens, tree.types, order, head), out)

@@ -191,18 +191,77 @@ def test_suffix_tree_base_scores(spark):
     assert gain > 0
 
 
+class CountedTree:
+    """A suffix tree from dictionaries of counts, for small corpora."""
+
+    def __init__(self, texts, order, min_context, min_next, kappa):
+        self.order, n, least = order, collections.Counter(w for t in texts for w in t), max(2, min_next)
+        self.total, self.types, self.count, self.state = sum(n.values()), len(n), n, {}
+        cand = {(w,): c for w, c in n.items() if c >= min_context and w != "\0end"}
+        cand[("\0begin",)] = len(texts)
+        for k in range(1, order + 1):
+            following = collections.defaultdict(collections.Counter)
+            for t in texts:
+                t = ["\0begin", *t]
+                for i in range(k, len(t)):
+                    c = tuple(t[i - k : i])
+                    if c in cand:
+                        following[c][t[i]] += 1
+            # what is listed one word shorter is settled before this level's states join the tree
+            found, longer = {}, {}
+            for c, nx in following.items():
+                nx = {w: m for w, m in nx.items() if m >= least}
+                below = {w: self.p(c[1:], w) for w in nx}
+                if nx:
+                    whole = cand[c]
+                    rest, mass = max(whole - sum(nx.values()), 0), min(sum(below.values()), 1 - 1e-9)
+                    gain = sum(m * math.log(m / whole / below[w]) for w, m in nx.items()) + (rest * math.log(rest / whole / (1 - mass)) if rest else 0)
+                    if gain > (len(nx) + 1) / 2 * math.log(max(whole, 2)) + 2:
+                        found[c] = ((rest / (1 - mass) + kappa) / (whole + kappa), {w: (m + kappa * below[w]) / (whole + kappa) for w, m in nx.items()})
+                longer.update({(*c, w): m for w, m in nx.items() if m >= min_context and w != "\0end"})
+            self.state.update(found)
+            cand = longer
+
+    def p(self, context, w):
+        out = (self.count[w] + 1) / (self.total + self.types + 1)
+        for k in range(1, len(context) + 1):
+            if context[-k:] in self.state:
+                unlisted, listed = self.state[context[-k:]]
+                out = listed.get(w, out * unlisted)
+        return out
+
+    def score(self, tokens):
+        t = ["\0begin", *tokens]
+        return sum(math.log10(self.p(tuple(t[max(0, i - self.order) : i]), t[i])) for i in range(1, len(t)))
+
+
+@pytest.mark.parametrize("order,head", [(2, 0), (4, 500), (4, 1 << 20)])
+def test_suffix_tree_scores_equal_a_dictionary_of_counts(spark, order, head):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    kw = {"min_context": 12, "min_next": 3, "kappa": 5.0}
+    held = fold(F.col("doc_id"), 7) == 2
+    rows = suffix_tree_lm.score_texts(docs, held, order=order, head=head, **kw).collect()
+    toks = {r.doc_id: [*re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").translate({c: c + 32 for c in range(65, 91)})), "\0end"] for r in docs.collect()}
+    tree = CountedTree([t for i, t in toks.items() if zlib.crc32(str(i).encode()) % 7 != 2], order, **kw)
+    assert max(map(len, tree.state)) >= min(order, 3) and len(tree.state) > 100
+    assert len(rows) == len(toks)
+    for r in rows:
+        assert r.score == pytest.approx(tree.score(toks[r.doc_id]), rel=1e-9)
+
+
 def test_suffix_tree_is_a_distribution(spark):
     """In every state the probabilities of all words sum to at most one."""
     docs = spark.read.parquet(f"{MID}/documents.parquet")
-    tree, counts = suffix_tree_lm.fit(docs.select("text"))
-    h = np.array(sorted(np.int64(r.h) for r in counts.collect())).view(np.uint64)
-    n = {np.int64(r.h): r.n for r in counts.collect()}
-    h = np.sort(h)
-    wi, known = suffix_tree_lm.find(tree.word, h)
+    tree = suffix_tree_lm.fit(docs.select("text"))
+    (key, value), rest = tree.split()
+    assert rest.count() == 0
+    n = {np.int64(r.h): r.n for r in tree.counts.collect()}
+    h = np.sort(np.array(list(n)).view(np.uint64))
     uni = np.log10((np.array([n[x] for x in h.view(np.int64)]) + 1.0) / (tree.tokens + tree.types + 1.0))
-    assert tree.levels and len(tree.levels[0].ctx)
-    for c in tree.levels[0].ctx[:10]:
-        lp = tree.score([np.full(len(h), c)], wi, known, uni)
+    ctx = sorted(r.c for r in tree.levels[0].states.collect())[:10]
+    assert ctx
+    for c in ctx:
+        lp = suffix_tree_lm._log_probabilities(key, value, [np.full(len(h), np.int64(c)).view(np.uint64)], h, uni)
         assert 0.9 < (10**lp).sum() <= 1 + 1e-9
 
 
@@ -370,7 +429,7 @@ def test_suffix_tree_models_the_same_pattern_on_a_larger_table(spark):
 def test_suffix_tree_has_more_states_than_any_share_allows(spark):
     """12,000 contexts of 50 occurrences each: more than the 10,000 that a share of 1e-4 leaves."""
     df = spark.range(12000).select(F.expr("concat_ws(' ', array_repeat(concat('p', id, ' q', id), 50))").alias("text"))
-    tree, _ = suffix_tree_lm.fit(df)
+    tree = suffix_tree_lm.fit(df)
     assert tree.levels[0].states.count() >= 24000
 
 
