@@ -83,15 +83,17 @@ def _entry_key(c: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
     return mix(mix(c + np.uint64(2 * k + 1)) + w * _ODD)
 
 
-def _log_probabilities(key: np.ndarray, value: np.ndarray, ctx: list[np.ndarray], tok: np.ndarray, out: np.ndarray) -> np.ndarray:
-    """log10 probabilities from sorted model keys; ``out`` has each token's unigram value."""
+def _log_probabilities(key: np.ndarray, value: np.ndarray, ctx: list[np.ndarray], tok: np.ndarray, out: np.ndarray, bits: np.ndarray | None = None) -> np.ndarray:
+    """log10 probabilities from sorted model keys; ``out`` has each token's unigram value, ``bits`` rules out contexts that are no states."""
+    out = out.copy()
     for k, c in enumerate(ctx, 1):
-        i, state = find(key, _state_key(c, k))
-        state &= c != 0
-        j, listed = find(key, _entry_key(c, tok, k))
-        if len(key):
-            out = np.where(state, out + value[i], out)
-            out = np.where(state & listed, value[j], out)
+        state = _state_key(c, k)
+        at = np.flatnonzero(c != 0 if bits is None else (c != 0) & test_bits(bits, state))
+        i, there = find(key, state[at])
+        at = at[there]
+        out[at] += value[i[there]]
+        j, listed = find(key, _entry_key(c[at], tok[at], k))
+        out[at[listed]] = value[j[listed]]
     return out
 
 
@@ -321,7 +323,7 @@ def _vocab(block: int, keys, schema: pa.Schema) -> pa.RecordBatch:
 _NAMES = ["block", "doc_id", "held_out", "text", "vocab"]
 
 
-def _finish(tokens: int, types: int, order: int, head):
+def _finish(tokens: int, types: int, order: int, any_bits, head):
     """Scores a block's texts with the model rows found for the block and the most used ones."""
 
     def task(left, right):
@@ -336,7 +338,7 @@ def _finish(tokens: int, types: int, order: int, head):
                 i, known = find(key, tok)
                 n = np.where(known, value[i], 0.0) if len(key) else np.zeros(len(tok))
                 uni = np.log10((n + 1.0) / (tokens + types + 1.0))
-                lp = _log_probabilities(key, value, _contexts(tok, off, order), tok, uni) if order else uni
+                lp = _log_probabilities(key, value, _contexts(tok, off, order), tok, uni, any_bits.value) if order else uni
                 out.append(pa.table({
                     "doc_id": c.column(0), "held_out": c.column(1), "n_tokens": pa.array(np.diff(off)),
                     "n_known": pa.array(grouped_sum(known.astype(np.int64), off)), "train_tokens": pa.array(np.full(c.num_rows, tokens)),
@@ -375,4 +377,4 @@ def score_texts(docs: DataFrame, held_out: Column, id_col="doc_id", text_col="te
     vocab = blocks.where("vocab IS NOT NULL").select(F.col("block").alias("part"), F.explode("vocab").alias("key"))
     found = vocab.join(tail, "key").select("part", "key", "v")
     out = f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.groupBy("block").cogroup(found.groupBy("part")).applyInArrow(_finish(tree.tokens, tree.types, order, head), out)
+    return texts.groupBy("block").cogroup(found.groupBy("part")).applyInArrow(_finish(tree.tokens, tree.types, order, any_bits, head), out)

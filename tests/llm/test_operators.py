@@ -235,7 +235,7 @@ class CountedTree:
         return sum(math.log10(self.p(tuple(t[max(0, i - self.order) : i]), t[i])) for i in range(1, len(t)))
 
 
-@pytest.mark.parametrize("order,head", [(2, 0), (4, 500), (4, 1 << 20)])
+@pytest.mark.parametrize("order,head", [(2, 0), (4, 500)])
 def test_suffix_tree_scores_equal_a_dictionary_of_counts(spark, order, head):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     kw = {"min_context": 12, "min_next": 3, "kappa": 5.0}
