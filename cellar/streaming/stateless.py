@@ -9,6 +9,7 @@ restarted query resumes exactly where it stopped.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,10 +23,11 @@ def stream_of(spark: SparkSession, path: str, max_files_per_trigger: int | None
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    if path.rstrip("/").endswith(".parquet"):
-        # a single-file table: stream the folder, keep only that file name
-        folder, name = path.rstrip("/").rsplit("/", 1)
-        return reader.option("pathGlobFilter", name).parquet(folder)
+    whole = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not whole.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(whole).isDirectory():
+        # a single-file table: stream the folder, keep only that file name; a table of part files is a folder itself
+        folder, name = path.rsplit("/", 1)
+        return reader.option("pathGlobFilter", re.sub(r"([\\\[\]{}*?])", r"\\\1", name)).parquet(folder)
     return reader.parquet(path)
 
 

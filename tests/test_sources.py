@@ -55,6 +55,13 @@ def test_stream_runs_stateless_operator(spark):
     assert out.count() == spark.read.parquet(f"{SF_SMALL}/events.parquet").count()
 
 
+def test_stream_reads_a_table_of_part_files(spark):
+    path = SF.scratch_dir(spark, "stream-parts") + "/documents.parquet"
+    spark.createDataFrame([(1, " a "), (2, None), (3, "b@c.org")], "doc_id long, text string").repartition(3).write.parquet(path)
+    out = ST.run(spark, path, lambda s: CL.clean_strings(s, ["text"]))
+    assert sorted(out.collect()) == [(1, "a"), (2, None), (3, "b@c.org")]
+
+
 def test_sink_all_tables_skips_empty_and_keeps_whole_names(spark):
     base = SF.scratch_dir(spark, "tables-t")
     names = SF.write_all_tables(
