@@ -151,7 +151,10 @@ def prefix_scan(
     grp = part + [_BUCKET]
     w_local = Window.partitionBy(*grp).orderBy("__ord")
     upto = w_local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = w_local.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    if any(s.kind == "next" for s in scans):
+        # read backwards from the same places: Spark evaluates a frame up to the last row anew for every row
+        b = b.withColumn("__at", F.row_number().over(w_local))
+    from_end = Window.partitionBy(*grp).orderBy(F.col("__at").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     totals_aggs = []
     for i, s in enumerate(scans):
@@ -166,15 +169,15 @@ def prefix_scan(
             b = b.withColumn(f"__l{i}", F.last(x, ignorenulls=True).over(upto))
             totals_aggs.append(F.max(F.when(x.isNotNull(), F.struct(F.col("__ord").alias("o"), x.alias("x")))).getField("x").alias(f"__t{i}"))
         elif s.kind == "next":
-            b = b.withColumn(f"__l{i}", F.first(x, ignorenulls=True).over(after))
+            b = b.withColumn(f"__l{i}", F.last(x, ignorenulls=True).over(from_end))
             totals_aggs.append(F.min(F.when(x.isNotNull(), F.struct(F.col("__ord").alias("o"), x.alias("x")))).getField("x").alias(f"__t{i}"))
         else:
             raise ValueError(f"unknown scan kind {s.kind}")
 
     totals = b.groupBy(*grp).agg(*totals_aggs)
-    w_tot = Window.partitionBy(*part).orderBy(_BUCKET) if part else Window.orderBy(_BUCKET)
-    before = w_tot.rowsBetween(Window.unboundedPreceding, -1)
-    later = w_tot.rowsBetween(1, Window.unboundedFollowing)
+    w_tot = Window.partitionBy(*part)
+    before = w_tot.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    later = w_tot.orderBy(F.col(_BUCKET).desc()).rowsBetween(Window.unboundedPreceding, -1)
     offs = []
     for i, s in enumerate(scans):
         t = F.col(f"__t{i}")
@@ -183,7 +186,7 @@ def prefix_scan(
         elif s.kind == "last":
             offs.append(F.last(t, ignorenulls=True).over(before).alias(f"__o{i}"))
         else:
-            offs.append(F.first(t, ignorenulls=True).over(later).alias(f"__o{i}"))
+            offs.append(F.last(t, ignorenulls=True).over(later).alias(f"__o{i}"))
     # totals has one row per (partition, bucket): about buckets + groups rows.
     offsets = totals.select(*grp, *offs)
     if not part:  # at most one row per bucket: a proven bound, broadcast it

@@ -106,3 +106,12 @@ def test_ranks_with_a_hot_value_match_pandas(spark):
     assert all(got[i][0] == dense[i] for i in range(len(vals)))
     # exact .x5 ties: pandas rounds half to even, cellar (like DuckDB) half away from zero
     assert all(abs(got[i][1] - pct[i]) <= 0.1 + 1e-9 for i in range(len(vals)))
+
+
+def test_backward_fill_reads_no_frame_to_the_last_row(spark):
+    # Spark evaluates such a frame anew for every row: quadratic in the rows of a bucket
+    df = spark.createDataFrame([(i, 5.0 if i in (3, 8) else None) for i in range(12)], "id long, v double")
+    out = O.fill_backward(df, ["v"], ["id"])
+    assert "unboundedfollowing" not in out._jdf.queryExecution().executedPlan().toString().lower()
+    got = {r["id"]: r["v"] for r in out.collect()}
+    assert got == {i: 5.0 if i <= 8 else None for i in range(12)}
