@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellar.session import materialize
+
 #: a longer value is no date; a column with more shapes has no dates only
 MAX_LENGTH, MAX_SHAPES = 45, 200
 # English names of months and weekdays.
@@ -31,19 +33,25 @@ LONG_MONTH, SHORT_MONTH, HALF, T_MARK, ZONE = "\u0001", "\u0002", "\u0003", "\u0
 
 def plain(value: Column) -> Column:
     """The value without white space at its ends, doubled blanks and a weekday in front."""
-    v = F.regexp_replace(F.btrim(value, F.lit(" \t\n\x0b\f\r")), " {2,}", " ")
-    return F.regexp_replace(v, rf"(?i)^(?:{_DAY})[,.]? ", "")
+    v = F.btrim(value, F.lit(" \t\n\x0b\f\r"))
+    v = F.when(F.contains(v, F.lit("  ")), F.regexp_replace(v, " {2,}", " ")).otherwise(v)
+    return F.regexp_replace(v, rf"(?i)^(?=[mtwfs])(?:{_DAY})[,.]? ", "")
 
 
 def shape(v: Column) -> Column:
-    """The shape of a ``plain`` value; null for one that holds no digit or is too long."""
-    s = F.regexp_replace(v, rf"(?i)(?<!\p{{L}})(?:{_LONG})(?!\p{{L}})", LONG_MONTH)
-    s = F.regexp_replace(s, rf"(?i)(?<!\p{{L}})(?:{_SHORT})(?!\p{{L}})", SHORT_MONTH)
+    """The shape of a ``plain`` value; null for one that holds no digit or is too long.
+
+    Only a value with a letter is searched for names.
+    """
+    nines = lambda s: F.translate(s, "0123456789", "9" * 10)
+    s = F.regexp_replace(v, rf"(?i)(?<!\p{{L}})(?=[jfmasond])(?:{_LONG})(?!\p{{L}})", LONG_MONTH)
+    s = F.regexp_replace(s, rf"(?i)(?<!\p{{L}})(?=[jfmasond])(?:{_SHORT})(?!\p{{L}})", SHORT_MONTH)
     s = F.regexp_replace(s, r"(?i)(?<!\p{L})[ap]m$", HALF)
     s = F.regexp_replace(s, r"(?<=\d)T(?=\d)", T_MARK)
     s = F.regexp_replace(s, r"(?<=\d) ?(?:Z|[+-]\d{2}:?\d{2})$", ZONE)
-    s = F.regexp_replace(F.regexp_replace(s, r"\d", "9"), r"\p{L}", "a")
-    return F.when(v.rlike(r"\d") & (F.length(v) <= MAX_LENGTH), s)
+    s = F.regexp_replace(nines(s), r"\p{L}", "a")
+    plain_numbers = nines(F.regexp_replace(v, r"(?<=\d) ?[+-]\d{2}:?\d{2}$", ZONE))
+    return F.when(v.rlike(r"\d") & (F.length(v) <= MAX_LENGTH), F.when(v.rlike(r"\p{L}"), s).otherwise(plain_numbers))
 
 
 _NUMERIC = re.compile(r"(9{1,4})([-/. ])(9{1,2})\2(9{1,4})")
@@ -124,10 +132,11 @@ class Shapes:
 
 
 def _counted(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, shape, n, first, second): shapes of non-null values with their largest first two numbers."""
+    """(column, shape, n, first, second): shapes of non-null values, those in an open order with their largest first two numbers."""
     items = [F.struct(F.lit(c).alias("column"), plain(F.col(c)).alias("v")) for c in columns]
     rows = df.select(F.explode(F.array(*items)).alias("s")).select("s.*").where("v is not null")
-    number = lambda i: F.regexp_extract("v", r"^\D*(\d+)" + r"\D+(\d+)" * i, i + 1).try_cast("int")
+    # only an ``open_order`` shape is asked for its numbers, and it starts with them
+    number = lambda i: F.when(F.col("v").rlike(r"^\d{1,2}[-/. ]\d"), F.regexp_extract("v", r"^(\d+)" + r"\D+(\d+)" * i, i + 1).try_cast("int"))
     rows = rows.select("column", shape(F.col("v")).alias("shape"), number(0).alias("a"), number(1).alias("b"))
     return rows.groupBy("column", "shape").agg(F.count(F.lit(1)).alias("n"), F.max("a").alias("first"), F.max("b").alias("second"))
 
@@ -136,7 +145,7 @@ def infer_shapes(df: DataFrame, columns: Sequence[str], day_first: bool | None =
     """Patterns per column, for columns whose every shape is a date; at most MAX_SHAPES rows a column reach the driver."""
     if not columns:
         return {}
-    counted = _counted(df, columns)
+    counted = materialize(_counted(df, columns))  # read twice
     sizes = counted.groupBy("column").agg(F.count(F.lit(1)).alias("k"), F.count("shape").alias("known"))
     few = sizes.where((F.col("k") <= MAX_SHAPES) & (F.col("k") == F.col("known"))).select("column")
     by_column: dict[str, list] = {}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from cellar.operators import cleaning as CL
 from cellar.operators import dateshapes as DS
@@ -66,3 +67,27 @@ def test_shapes_that_are_no_dates(s):
 def test_many_shapes_are_never_gathered(spark):
     df = spark.range(3000).selectExpr("concat(repeat('1', cast(id % 40 as int) + 1), repeat('-', cast(id / 100 as int))) as t")
     assert DS.infer_shapes(df, ["t"]) == {}
+
+
+def test_shapes_of_values_with_and_without_letters(spark):
+    given = {
+        "05/11/2021": "99/99/9999", "2021-01-05 10:00:00 +01:00": "9999-99-99 99:99:99" + DS.ZONE, "2021-01-05T10:00:00Z": "9999-99-99" + DS.T_MARK + "99:99:99" + DS.ZONE,
+        "Monday, 3  May 2021": "9 " + DS.SHORT_MONTH + " 9999", "january 3, 2021 4:05 pm": DS.LONG_MONTH + " 9, 9999 9:99 " + DS.HALF, "x1": "a9", "no digit": None,
+    }
+    df = spark.createDataFrame([(t,) for t in given], "t string").select("t", DS.plain(F.col("t")).alias("v"))
+    assert {r["t"]: r["s"] for r in df.select("t", DS.shape(F.col("v")).alias("s")).collect()} == given
+
+
+def test_shapes_are_counted_in_one_pass_over_the_rows(spark):
+    # the shapes were counted anew for each of the two uses of their table
+    read = spark.sparkContext.accumulator(0)
+
+    def task(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([("05/11/2021",), ("25/1/2021",)], "t string").mapInArrow(task, "t string")
+    found = DS.infer_shapes(df, ["t"])
+    assert set(found["t"].patterns.values()) == {"dd/MM/yyyy", "dd/M/yyyy"} and not found["t"].ambiguous
+    assert read.value == 2
