@@ -8,10 +8,12 @@ Few terms are tested one by one in the JVM instead, which is faster for them.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from cellar.functions.safe import compact, has_substring, require_columns
 
 #: up to so many terms are tested one by one; a vocabulary has at most MAX_TERMS terms
 FEW_TERMS, MAX_TERMS = 100, 1_000_000
+#: so many texts of a batch are held as Python strings at once
+SLICE = 64
 WORD = r"\p{L}\p{N}_"
 
 
@@ -50,6 +54,17 @@ def _found(automaton, text: str, whole: bool) -> list[int]:
     return sorted(seen)
 
 
+def _found_names(automaton, names: pa.Array, texts: pa.Array, whole: bool) -> pa.Array:
+    """The terms in each text of an Arrow batch; SLICE texts at a time are Python strings, found terms are numbers."""
+    ends, found = array("i", [0]), array("i")
+    for at in range(0, len(texts), SLICE):
+        for t in texts.slice(at, SLICE).to_pylist():
+            if t:
+                found.extend(_found(automaton, t, whole))
+            ends.append(len(found))
+    return pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), names.take(pa.array(np.array(found, np.int32))))
+
+
 def check_terms(terms: Sequence[str]) -> list[str]:
     """The distinct non-empty terms in their order; more than MAX_TERMS are refused."""
     out = list(dict.fromkeys(t for t in terms if t))
@@ -75,11 +90,11 @@ def find_terms(df: DataFrame, text: Column, terms: Sequence[str], whole_words: b
         return compact(F.array(*tests)) if tests else F.array().cast("array<string>")
     shared = df.sparkSession.sparkContext.broadcast(tuple(terms))
 
-    @F.pandas_udf("array<string>")
-    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton, names = _automaton(shared.value), shared.value
+    @F.arrow_udf("array<string>")
+    def search(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        automaton, names = _automaton(shared.value), pa.array(shared.value, pa.string())
         for texts in batches:
-            yield pd.Series([[names[i] for i in _found(automaton, t, whole_words)] if t else [] for t in texts], dtype=object)
+            yield _found_names(automaton, names, texts, whole_words)
 
     return search(text)
 

@@ -6,6 +6,7 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +69,24 @@ def test_job_table_with_a_large_vocabulary_equals_a_small_one(spark):
     many = few + [f"term{i}" for i in range(5000)]
     a, b = (JM.prepare_job_table(jobs, "n", v).select("job_order", "text_skills").orderBy("job_order").collect() for v in (few, many))
     assert a == b and a[0]["text_skills"] == ["spark", "kafka"]
+
+
+def test_texts_of_a_batch_become_strings_a_slice_at_a_time():
+    # whole batches of strings and of found terms were held at once
+    class Texts:
+        def __init__(self, texts):
+            self.texts = texts
+
+        def __len__(self):
+            return len(self.texts)
+
+        def slice(self, at, n):
+            part = self.texts.slice(at, n)
+            assert len(part) <= V.SLICE
+            return part
+
+    terms = ("a b", "b", "é")
+    texts = pa.array((["a b", None, "", "xb b", "é"] * V.SLICE)[: 3 * V.SLICE + 1])
+    out = V._found_names(V._automaton(terms), pa.array(terms), Texts(texts), True)
+    assert out.type == pa.list_(pa.string())
+    assert out.to_pylist() == ([["a b", "b"], [], [], ["b"], ["é"]] * V.SLICE)[: 3 * V.SLICE + 1]
