@@ -375,6 +375,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col="doc_id", text_col="te
     blocks = materialize(d.mapInArrow(_score_task(any_bits, bits, head, order), schema))
     texts = blocks.where("vocab IS NULL").drop("vocab")
     vocab = blocks.where("vocab IS NOT NULL").select(F.col("block").alias("part"), F.explode("vocab").alias("key"))
-    found = vocab.join(tail, "key").select("part", "key", "v")
+    # written before the texts are dealt, so that the shuffles of both never lie on disk together
+    found = materialize(vocab.join(tail, "key").select("part", "key", "v"))
     out = f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return texts.groupBy("block").cogroup(found.groupBy("part")).applyInArrow(_finish(tree.tokens, tree.types, order, any_bits, head), out)

@@ -78,3 +78,15 @@ def test_materialize_uses_the_session_checkpoint_folder(spark):
     m = materialize(spark.range(10).withColumn("x", F.col("id") * 2))
     assert m.count() == 10
     assert all(folder.rstrip("/") in f for f in m.inputFiles())
+
+
+def test_materialize_frees_the_shuffles_behind_it(spark):
+    from cellar.session import materialize
+
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    kept = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager
+    files = lambda: sum(1 for f in kept().getAllBlocks().mkString("|").split("|") if f.startswith("shuffle_"))
+    n = files()
+    m = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert files() <= n and m.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
