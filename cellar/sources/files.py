@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import itertools
+from collections.abc import Iterator, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs as pafs
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from cellar.operators.cleaning import clean_pipeline
 from cellar.session import scratch_path
 from cellar.sources.csvtext import RFC4180, read_records
 
+# what Spark escapes in the names of partition folders
+_ESCAPES = {ord(c): f"%{ord(c):02X}" for c in [*map(chr, range(1, 32)), *"\"#%'*/:=?\\\x7f{[]^"]}
+
 
 def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
     """A fresh folder under the cluster's shared checkpoint folder, deleted when the driver ends."""
@@ -101,5 +106,24 @@ def write_documents(df: DataFrame, path: str, key: str = "doc_id", text: str = "
     semantics of a document folder, but billions of tiny files are not a good
     storage layout — keep large corpora as Parquet ``(doc_id, text)`` tables.
     """
-    df.select(key, F.col(text).alias("value")).repartition(key).write.mode("overwrite").partitionBy(key).text(path)
+    spark, escapes = df.sparkSession, _ESCAPES
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.delete(root, True)
+    store.mkdirs(root)
+    uri = store.makeQualified(root).toUri()
+    local, base = uri.getScheme() == "file", uri.getPath() if uri.getScheme() == "file" else uri.toString()
+
+    def write(rows: Iterator[Row]) -> None:
+        # Spark's own writer starts several processes a file on a local disk and moves each file in the driver
+        fs, at = (pafs.LocalFileSystem(), base) if local else pafs.FileSystem.from_uri(base)
+        for k, texts in itertools.groupby(rows, lambda r: r[0]):
+            folder = f"{at}/{key.translate(escapes)}={k.translate(escapes) if k else '__HIVE_DEFAULT_PARTITION__'}"
+            fs.create_dir(folder, recursive=True)
+            with fs.open_output_stream(f"{folder}/part.txt") as out:
+                for r in texts:
+                    out.write((r[1] or "").encode() + b"\n")
+
+    named = df.select(F.col(key).cast("string").alias("k"), F.col(text).cast("string").alias("v"))
+    named.repartition("k").sortWithinPartitions("k").foreachPartition(write)
     return path

@@ -55,6 +55,21 @@ def test_stream_runs_stateless_operator(spark):
     assert out.count() == spark.read.parquet(f"{SF_SMALL}/events.parquet").count()
 
 
+def test_documents_are_written_by_the_tasks_alone(spark):
+    # a commit by the driver moved every file
+    given = [("a", "x"), ("b/c=d%", "two\nlines\n"), (None, "no key"), ("e", None), ("a", "y")]
+    path = SF.write_documents(spark.createDataFrame(given, "doc_id string, text string"), SF.scratch_dir(spark, "docs"))
+    assert not any(f.getPath().getName().startswith("_") for f in _files(spark, path))
+    back = SF.read_text_corpus(spark, path, id_col="doc_id", record_end=True)
+    got = sorted(((r[0] or "", r[1]) for r in back.collect()))
+    assert got in ([("", "no key"), ("a", a), ("b/c=d%", "two\nlines\n"), ("e", "")] for a in ("x\ny", "y\nx"))
+
+
+def _files(spark, path):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+
+
 def test_stream_reads_a_table_of_part_files(spark):
     path = SF.scratch_dir(spark, "stream-parts") + "/documents.parquet"
     spark.createDataFrame([(1, " a "), (2, None), (3, "b@c.org")], "doc_id long, text string").repartition(3).write.parquet(path)
