@@ -134,7 +134,7 @@ def table_metrics(df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         cm = cm.select("*", F.lit(None).cast("boolean").alias("all_numeric"), F.lit(None).cast("bigint").alias("nunique"),
                        F.lit(None).cast("string").alias("top_value"), F.lit(None).cast("bigint").alias("top_count"))
     if num:
-        mom = _moments_long(df, num).where("count > 0").select("column", F.col("count").alias("n_num"), "mean", "std", "skewness")
+        mom = _moments_long(df, num, ("count", "mean", "std", "skewness")).where("count > 0").select("column", F.col("count").alias("n_num"), "mean", "std", "skewness")
         outl = outlier_counts(df, num, "iqr")
         cm = cm.join(mom, "column", "left").join(outl, "column", "left")
     else:

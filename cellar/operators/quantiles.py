@@ -1,7 +1,7 @@
 """Exact quantiles of whole columns without shuffling their values.
 
 The target ranks are narrowed to small value ranges by counting: cut points
-from a mergeable sketch split a range, one partially aggregated count per range
+from a mergeable sketch split a range, one count per range, added up in each task,
 finds the piece that holds each rank, and the pieces are split again until they
 hold few rows. A value equal to a cut point is a piece of its own, so a hot value
 needs no sorting at all. Only the rows of the last pieces are sorted. What
@@ -14,6 +14,8 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,16 +45,25 @@ class _Range:
         return cond
 
 
-def _piece(x: Column, cuts: list[float], lo: int, hi: int) -> Column:
-    """2 * (cuts below x), plus 1 when x is not itself the next cut: even pieces are cut points."""
-    if lo >= hi:
-        return F.lit(2 * lo)
-    mid = (lo + hi) // 2
-    return (
-        F.when(x < F.lit(cuts[mid]), _piece(x, cuts, lo, mid))
-        .when(x > F.lit(cuts[mid]), _piece(x, cuts, mid + 1, hi))
-        .otherwise(F.lit(2 * mid + 1))
-    )
+def _count_task(ranges: list[_Range], cuts: list[list[float]]):
+    """Rows (r, p, n): values of range r in piece p. p is twice the number of cuts below a value, plus 1 where it is a cut."""
+
+    def task(batches):
+        total = [np.zeros(2 * len(c) + 1, np.int64) for c in cuts]
+        for b in batches:
+            for i, (r, c) in enumerate(zip(ranges, cuts)):
+                x = b.column(i).drop_null().to_numpy(zero_copy_only=False)
+                x = x[~np.isnan(x)]
+                if r.lo != -math.inf:
+                    x = x[x > r.lo]
+                if r.hi != math.inf:
+                    x = x[x < r.hi]
+                total[i] += np.bincount(np.searchsorted(c, x, "left") + np.searchsorted(c, x, "right"), minlength=len(total[i]))
+        for i, n in enumerate(total):
+            p = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), i, np.int32)), pa.array(p.astype(np.int32)), pa.array(n[p])], names=["r", "p", "n"])
+
+    return task
 
 
 def _split(df: DataFrame, ranges: list[_Range], known: dict[tuple[str, int], float]) -> list[_Range]:
@@ -61,11 +72,8 @@ def _split(df: DataFrame, ranges: list[_Range], known: dict[tuple[str, int], flo
     grid = [(i + 0.5) / CUTS for i in range(CUTS)]
     row = df.agg(*[F.percentile_approx(F.when(r.inside(x[r.column]), x[r.column]), grid, 1000).alias(f"c{i}") for i, r in enumerate(ranges)]).first()
     cuts = [sorted(set(row[f"c{i}"])) for i in range(len(ranges))]
-    pieces = [
-        F.struct(F.lit(i).alias("r"), F.when(r.inside(x[r.column]), _piece(x[r.column], cuts[i], 0, len(cuts[i]))).alias("p"))
-        for i, r in enumerate(ranges)
-    ]
-    counted = df.select(F.explode(F.array(*pieces)).alias("s")).select("s.*").where("p IS NOT NULL").groupBy("r", "p").agg(F.count(F.lit(1)).alias("n"))
+    values = df.select(*[x[r.column].alias(f"x{i}") for i, r in enumerate(ranges)])
+    counted = values.mapInArrow(_count_task(ranges, cuts), "r int, p int, n long").groupBy("r", "p").agg(F.sum("n").alias("n"))
     by_range: dict[int, list[tuple[int, int]]] = {}
     for c in counted.collect():  # at most 2 * CUTS + 1 rows a range
         by_range.setdefault(c["r"], []).append((c["p"], c["n"]))
