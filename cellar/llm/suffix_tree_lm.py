@@ -10,10 +10,12 @@ suffix state of the words before it.
 The minimum counts are absolute, so a pattern that is modelled on a small
 corpus is modelled on a large one, and the tree grows with the corpus. States
 and listed next words are tables built by ``groupBy``; they are never gathered
-or broadcast. Each block of texts joins its distinct keys with them, but for the
+or broadcast. Each block of texts asks for its distinct keys, but for the
 ``HEAD`` most used rows, which nearly every block needs: those are broadcast, a
-number that does not grow. Bitmaps of fixed size only leave out keys that
-cannot match; a join always follows.
+number that does not grow. The keys go to the model by ranges and only values
+come back, in the order of the keys, which the block works out again. Bitmaps of
+bounded size (at most 32 MB) only leave out keys that cannot match; a join
+always follows.
 """
 
 from __future__ import annotations
@@ -26,11 +28,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cellar.llm.kernels import INK, as_long, chunks, find, grouped_sum, mix, test_bits, words
 from cellar.llm.support import bitmap
-from cellar.session import materialize
+from cellar.session import discard, materialize
 
 ORDER = 3
 MIN_CONTEXT = 40
@@ -39,11 +40,20 @@ KAPPA = 20.0
 BLOCK_WORDS = 1 << 21
 BLOCK_BYTES = 64 << 20
 BITMAP_LOG2 = 24
+LARGE_LOG2 = 28
+BUCKET_BYTES = 4 << 20
 HEAD = 1 << 20
+WORD, STATE, LISTED = range(3)
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
 BEGIN = np.uint64(0x0B0E0B0E0B0E0B0E)
 _ODD = np.uint64(0x2545F4914F6CDD1D)
 _BASE = np.uint64(0x9E6C63D0876A9A63)
+_MODEL = "key long, v double, n long, kind int"
+
+
+def _log2_bits(rows: int) -> int:
+    """Size of a bitmap with eight slots a row, within bounds."""
+    return min(max(BITMAP_LOG2, (8 * rows).bit_length()), LARGE_LOG2)
 
 
 def _tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +117,7 @@ class Level:
 
 @dataclass
 class Tree:
-    """``model(key, v, n)``: count of a word, log10 factor on the suffix's probability in a state, log10 probability of a listed word; n: how often it was seen."""
+    """``model(key, v, n, kind)``: count of a word, log10 factor on the suffix's probability in a state, log10 probability of a listed word; n: how often it was seen."""
 
     tokens: int  # N
     types: int  # V
@@ -116,11 +126,11 @@ class Tree:
 
     @cached_property
     def model(self) -> DataFrame:
-        out = self.counts.select(F.col("h").alias("key"), F.col("n").cast("double").alias("v"), "n")
+        out = self.counts.select(F.col("h").alias("key"), F.col("n").cast("double").alias("v"), "n", F.lit(WORD).alias("kind"))
         for k, lv in enumerate(self.levels, 1):
             states = lv.states.select("c", F.lit(None).cast("long").alias("w"), F.log10("unlisted").alias("v"), F.col("total").alias("n"))
             rows = states.unionAll(lv.entries.select("c", "w", F.col("logp").alias("v"), "n"))
-            out = out.unionAll(rows.mapInArrow(_key_task(k), "key long, v double, n long"))
+            out = out.unionAll(rows.mapInArrow(_key_task(k), _MODEL))
         return materialize(out)
 
     def split(self, head: int = HEAD) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame]:
@@ -147,7 +157,8 @@ def _key_task(k: int):
             state = b.column(1).is_null().to_numpy(zero_copy_only=False)
             w = b.column(1).fill_null(0).to_numpy().view(np.uint64)
             key = np.where(state, _state_key(c, k), _entry_key(c, w, k))
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(key)), b.column(2), b.column(3)], names=["key", "v", "n"])
+            kind = np.where(state, STATE, LISTED).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(as_long(key)), b.column(2), b.column(3), pa.array(kind)], names=["key", "v", "n", "kind"])
 
     return task
 
@@ -174,16 +185,19 @@ def _sums(held) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(as_long(u)), pa.array(n)], names=["h", "n"])
 
 
-def _pair_task(k: int, ctx, word):
-    """Counts of (context of length k, next word), both maybe frequent enough."""
+def _pair_task(k: int, ctx, word, shorter=None):
+    """Counts of (context of length k, next word), both maybe frequent enough, as their pair a word shorter (``shorter``)."""
 
     def task(batches):
         held, size = [], 0
         for batch in batches:
             for b in chunks(batch):
                 t, off = _tokens(b.column(0))
-                c = _contexts(t, off, k)[k - 1]
-                ok = (c != 0) & test_bits(ctx.value, c) & test_bits(word.value, t)
+                ctxs = _contexts(t, off, k)
+                c = ctxs[k - 1]
+                ok = np.flatnonzero((c != 0) & test_bits(ctx.value, c) & test_bits(word.value, t))
+                if shorter is not None:
+                    ok = ok[test_bits(shorter.value, _entry_key(ctxs[k - 2][ok], t[ok], k - 1))]
                 c, w = c[ok], t[ok]
                 _, i, n = np.unique(_entry_key(c, w, k), return_index=True, return_counts=True)
                 held.append((c[i], w[i], n))
@@ -255,8 +269,9 @@ def fit(train: DataFrame, order=ORDER, min_context=MIN_CONTEXT, min_next=MIN_NEX
     empty = F.lit(0).cast("long").alias("suffix")
     cand = counts.where((F.col("n") >= min_context) & (F.col("h") != end)).select(F.col("h").alias("c"), empty, F.col("n").alias("total"))
     cand = materialize(cand.unionAll(counts.where(F.col("h") == end).select(begin.alias("c"), empty, F.col("n").alias("total"))))
+    shorter = None
     for k in range(1, order + 1):
-        task = _pair_task(k, share(bitmap(cand, "c", BITMAP_LOG2)), word)
+        task = _pair_task(k, share(bitmap(cand, "c", BITMAP_LOG2)), word, shorter)
         pairs = train.mapInArrow(task, "c long, w long, n long").groupBy("c", "w").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         pairs = pairs.join(cand, "c")
         if k == 1:
@@ -272,78 +287,108 @@ def fit(train: DataFrame, order=ORDER, min_context=MIN_CONTEXT, min_next=MIN_NEX
             cand = materialize(long.mapInArrow(_longer_task(), "c long, suffix long, total long"))
             if cand.isEmpty():
                 break
+            keys = scored.select("c", "w", F.col("p").alias("v"), "n").mapInArrow(_key_task(k), _MODEL).select("key")
+            shorter = share(bitmap(keys, "key", _log2_bits(scored.count())))
     return tree
 
 
-def _score_task(any_bits, bits, head, order: int):
-    """The texts in numbered blocks, and a row per block with its distinct keys that the model may have."""
+def _block_task(states, listed, head, order: int, log2_buckets: int):
+    """The texts in numbered blocks, and what each block asks the model for: a row for each range of keys."""
 
     def task(batches):
-        block, no, keys, size, room = TaskContext.get().partitionId() << 32, 0, [], 0, 0
+        block, held, n_words, n_bytes = TaskContext.get().partitionId() << 32, [], 0, 0
         for batch in batches:
             for c in chunks(batch):
-                text = c.column(c.schema.get_field_index("text"))
-                tok, off = _tokens(text)
-                keys.append(_keys(tok, off, order, any_bits.value, bits.value, head.value[0]))
-                size, room = size + len(tok), room + text.nbytes
-                n = c.num_rows
+                n, text = c.num_rows, c.column(c.schema.get_field_index("text"))
                 cols = [c.column(c.schema.get_field_index(x)) for x in ("doc_id", "held_out")]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block + no)), *cols, text.cast(pa.string()), pa.nulls(n, pa.list_(pa.int64()))], names=_NAMES)
-                if size >= BLOCK_WORDS or room >= BLOCK_BYTES:
-                    yield _vocab(block + no, keys, c.schema)
-                    no, keys, size, room = no + 1, [], 0, 0
-        if keys:
-            yield _vocab(block + no, keys, c.schema)
+                none = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), *cols, text.cast(pa.string()), *none], names=_NAMES)
+                tok, off = _tokens(text)
+                held.append(_keys(tok, off, order, states.value, listed.value))
+                n_words, n_bytes = n_words + len(tok), n_bytes + text.nbytes
+                if n_words >= BLOCK_WORDS or n_bytes >= BLOCK_BYTES:
+                    yield _requests(block, _asked(held, head.value[0]), c.schema, log2_buckets)
+                    block, held, n_words, n_bytes = block + 1, [], 0, 0
+        if held:
+            yield _requests(block, _asked(held, head.value[0]), c.schema, log2_buckets)
 
     return task
 
 
-def _keys(tok: np.ndarray, off: np.ndarray, order: int, any_bits: np.ndarray, bits: np.ndarray, head: np.ndarray) -> np.ndarray:
-    """The distinct keys of a block that the model may have (``any_bits``) outside its most used rows (``bits``)."""
-    out = [np.unique(tok)]
+_NAMES = ["block", "doc_id", "held_out", "text", "bucket", "keys"]
+
+
+def _keys(tok: np.ndarray, off: np.ndarray, order: int, states: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """The distinct words, contexts that may be states, and next words that may be listed in them."""
+    out = [tok]
     for k, c in enumerate(_contexts(tok, off, order) if order else [], 1):
         state = _state_key(c, k)
-        there = (c != 0) & test_bits(any_bits, state)
-        state, entry = state[there], _entry_key(c[there], tok[there], k)
-        out += [np.unique(x[test_bits(bits, x)]) for x in (state, entry)]
-    h = np.concatenate(out)
-    h = h[test_bits(bits, h)]
-    return h[~find(head, h)[1]]
+        there = (c != 0) & test_bits(states, state)
+        entry = _entry_key(c[there], tok[there], k)
+        out += [state[there], entry[test_bits(listed, entry)]]
+    return np.unique(np.concatenate(out))
+
+
+def _asked(held: list[np.ndarray], head: np.ndarray) -> np.ndarray:
+    """A block's keys outside the most used rows, sorted: the same list when asking and when the answers come."""
+    key = np.unique(np.concatenate(held))
+    return key[~find(head, key)[1]]
+
+
+def _requests(block: int, key: np.ndarray, schema: pa.Schema, log2_buckets: int) -> pa.RecordBatch:
+    bucket, first = np.unique(key >> np.uint64(64 - log2_buckets), return_index=True)
+    n, packed = len(bucket), [_pack(x) for x in np.split(key, first[1:])] if len(key) else []
+    none = [pa.nulls(n, schema.field("doc_id").type), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.string())]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), *none, pa.array(as_long(bucket)), pa.array(packed, pa.binary())], names=_NAMES)
+
+
+def _pack(a: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second ones and so on: like bytes lie together and compress."""
+    return a.view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def _vocab(block: int, keys, schema: pa.Schema) -> pa.RecordBatch:
-    vocab = np.unique(np.concatenate(keys))
-    one = lambda t: pa.nulls(1, t)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([block]), one(schema.field("doc_id").type), one(pa.bool_()), one(pa.string()), pa.ListArray.from_arrays(pa.array([0, len(vocab)], pa.int32()), pa.array(as_long(vocab)))],
-        names=_NAMES,
-    )
+def _unpack(column: pa.ChunkedArray, dtype) -> np.ndarray:
+    parts = [np.frombuffer(x.as_buffer(), np.uint8).reshape(8, -1).T.copy().view(dtype).ravel() for x in column]
+    return np.concatenate([np.empty(0, dtype), *parts])
 
 
-_NAMES = ["block", "doc_id", "held_out", "text", "vocab"]
+def _look_up(requests: pa.Table, model: pa.Table) -> pa.Table:
+    """A value for each key that a block asks for in one range of keys, in their order (NaN: not in the model)."""
+    key = model.column("key").to_numpy().view(np.uint64)
+    by = np.argsort(key)
+    key, value = key[by], model.column("v").to_numpy()[by]
+    out = []
+    for packed in requests.column("keys"):
+        i, there = find(key, _unpack([packed], np.uint64))
+        out.append(_pack(np.where(there, value[i], np.nan) if len(key) else np.full(len(i), np.nan)))
+    return pa.table([requests.column("block"), requests.column("bucket"), pa.array(out, pa.binary())], names=["part", "bucket", "v"])
 
 
-def _finish(tokens: int, types: int, order: int, any_bits, head):
+def _finish(tokens: int, types: int, order: int, states, listed, head):
     """Scores a block's texts with the model rows found for the block and the most used ones."""
 
     def task(left, right):
-        key = np.concatenate([head.value[0], right.column("key").to_numpy().view(np.uint64)])
-        value = np.concatenate([head.value[1], right.column("v").to_numpy()])
+        parts = [c for b in left.select(["doc_id", "held_out", "text"]).combine_chunks().to_batches() for c in chunks(b)]
+        toks = [_tokens(c.column(2)) for c in parts]
+        key = _asked([_keys(tok, off, order, states.value, listed.value) for tok, off in toks], head.value[0])
+        value = _unpack(right.sort_by("bucket").column("v"), np.float64)
+        if len(key) != len(value):
+            raise ValueError(f"{len(value)} answers to {len(key)} keys")
+        found = ~np.isnan(value)
+        key, value = np.concatenate([head.value[0], key[found]]), np.concatenate([head.value[1], value[found]])
         by = np.argsort(key, kind="stable")
         key, value = key[by], value[by]
         out = []
-        for b in left.select(["doc_id", "held_out", "text"]).combine_chunks().to_batches():
-            for c in chunks(b):
-                tok, off = _tokens(c.column(2))
-                i, known = find(key, tok)
-                n = np.where(known, value[i], 0.0) if len(key) else np.zeros(len(tok))
-                uni = np.log10((n + 1.0) / (tokens + types + 1.0))
-                lp = _log_probabilities(key, value, _contexts(tok, off, order), tok, uni, any_bits.value) if order else uni
-                out.append(pa.table({
-                    "doc_id": c.column(0), "held_out": c.column(1), "n_tokens": pa.array(np.diff(off)),
-                    "n_known": pa.array(grouped_sum(known.astype(np.int64), off)), "train_tokens": pa.array(np.full(c.num_rows, tokens)),
-                    "base_score": pa.array(grouped_sum(uni, off)), "score": pa.array(grouped_sum(lp, off)),
-                }))
+        for c, (tok, off) in zip(parts, toks):
+            i, known = find(key, tok)
+            n = np.where(known, value[i], 0.0) if len(key) else np.zeros(len(tok))
+            uni = np.log10((n + 1.0) / (tokens + types + 1.0))
+            lp = _log_probabilities(key, value, _contexts(tok, off, order), tok, uni, states.value) if order else uni
+            out.append(pa.table({
+                "doc_id": c.column(0), "held_out": c.column(1), "n_tokens": pa.array(np.diff(off)),
+                "n_known": pa.array(grouped_sum(known.astype(np.int64), off)), "train_tokens": pa.array(np.full(c.num_rows, tokens)),
+                "base_score": pa.array(grouped_sum(uni, off)), "score": pa.array(grouped_sum(lp, off)),
+            }))
         return pa.concat_tables(out)
 
     return task
@@ -369,13 +414,20 @@ def score_texts(docs: DataFrame, held_out: Column, id_col="doc_id", text_col="te
     order = len(tree.levels)
     share = docs.sparkSession.sparkContext.broadcast
     head, tail = tree.split(head)
-    any_bits, bits = (share(bitmap(rows, "key", BITMAP_LOG2)) for rows in (tree.model, tail))
+    listed = tail.where(F.col("kind") == LISTED)
+    states, listed = share(bitmap(tree.model.where(F.col("kind") == STATE), "key", BITMAP_LOG2)), share(bitmap(listed, "key", _log2_bits(listed.count())))
     head = share(head)
-    schema = T.StructType.fromDDL(f"block long, doc_id {id_type.simpleString()}, held_out boolean, text string, vocab array<long>")
-    blocks = materialize(d.mapInArrow(_score_task(any_bits, bits, head, order), schema))
-    texts = blocks.where("vocab IS NULL").drop("vocab")
-    vocab = blocks.where("vocab IS NOT NULL").select(F.col("block").alias("part"), F.explode("vocab").alias("key"))
+    # ranges of keys that a task can hold: about as many keys each, however many texts there are
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    log2_buckets = max(4, (size // BUCKET_BYTES).bit_length())
+    schema = f"block long, doc_id {id_type.simpleString()}, held_out boolean, text string, bucket long, keys binary"
+    blocks = materialize(d.mapInArrow(_block_task(states, listed, head, order, log2_buckets), schema))
+    texts = blocks.where("keys IS NULL").select("block", "doc_id", "held_out", "text")
+    requests = blocks.where("keys IS NOT NULL").select("bucket", "block", "keys")
+    rows = tail.select(F.shiftrightunsigned("key", 64 - log2_buckets).alias("bucket"), "key", "v")
     # written before the texts are dealt, so that the shuffles of both never lie on disk together
-    found = materialize(vocab.join(tail, "key").select("part", "key", "v"))
+    found = materialize(requests.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInArrow(_look_up, "part long, bucket long, v binary"))
+    discard(tree.model, tree.counts, *(t for lv in tree.levels for t in (lv.states, lv.entries)))
     out = f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.groupBy("block").cogroup(found.groupBy("part")).applyInArrow(_finish(tree.tokens, tree.types, order, any_bits, head), out)
+    finish = _finish(tree.tokens, tree.types, order, states, listed, head)
+    return texts.groupBy("block").cogroup(found.groupBy("part")).applyInArrow(finish, out)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import math
+import os
 import re
 import zlib
 
@@ -265,6 +266,21 @@ def test_suffix_tree_is_a_distribution(spark):
         assert 0.9 < (10**lp).sum() <= 1 + 1e-9
 
 
+def test_suffix_tree_leaves_only_what_scoring_reads_on_disk(spark, monkeypatch):
+    """The model's tables are deleted once every block has its answers, and the answers hold no keys."""
+    docs, made, write = spark.read.parquet(f"{SMALL}/documents.parquet"), [], suffix_tree_lm.materialize
+
+    def recorded(df):
+        made.append(write(df))
+        return made[-1]
+
+    monkeypatch.setattr(suffix_tree_lm, "materialize", recorded)
+    out = suffix_tree_lm.score_texts(docs, fold(F.col("doc_id"), 7) == 2, head=0, order=2, min_context=12, min_next=3)
+    there = [df for df in made if any(os.path.exists(f.removeprefix("file://")) for f in df.inputFiles())]
+    assert len(made) > 4 and len(there) <= 2
+    assert out.count() == docs.count()
+
+
 def test_suffix_tree_awkward(odd, empty):
     held = fold(F.col("doc_id"), 7) == 2
     rows = suffix_tree_lm.score_texts(odd, held).collect()
