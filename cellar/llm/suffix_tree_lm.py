@@ -279,13 +279,16 @@ def fit(train: DataFrame, order=ORDER, min_context=MIN_CONTEXT, min_next=MIN_NEX
         else:
             # a pair is seen no more often than its suffix's, so that one was counted a level up
             pairs = pairs.join(scored.select(F.col("c").alias("suffix"), "w", F.col("p").alias("below")), ["suffix", "w"])
-        level, scored = _level(materialize(pairs.select("c", "suffix", "w", "n", "total", "below")), kappa)
+        pairs = materialize(pairs.select("c", "suffix", "w", "n", "total", "below"))
+        level, scored = _level(pairs, kappa)
+        discard(pairs, cand)
         tree.levels.append(level)
         # a frequent (context, next word) is a candidate context of one more word
         if k < order:
             long = scored.where((F.col("n") >= min_context) & (F.col("w") != end)).select("c", "suffix", "w", "n")
             cand = materialize(long.mapInArrow(_longer_task(), "c long, suffix long, total long"))
             if cand.isEmpty():
+                discard(cand)
                 break
             keys = scored.select("c", "w", F.col("p").alias("v"), "n").mapInArrow(_key_task(k), _MODEL).select("key")
             shorter = share(bitmap(keys, "key", _log2_bits(scored.count())))
