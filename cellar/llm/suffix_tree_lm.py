@@ -10,7 +10,9 @@ suffix state of the words before it.
 The minimum counts are absolute, so a pattern that is modelled on a small
 corpus is modelled on a large one, and the tree grows with the corpus. States
 and listed next words are tables built by ``groupBy``; they are never gathered
-or broadcast. Each block of texts asks for its distinct keys, but for the
+or broadcast. The pairs that tasks counted go packed by ranges of both hashes and
+are summed a range at a time. Texts are scored in blocks, each one row of
+compressed texts. A block asks for its distinct keys, but for the
 ``HEAD`` most used rows, which nearly every block needs: those are broadcast, a
 number that does not grow. The keys go to the model by ranges and only values
 come back, in the order of the keys, which the block works out again. Bitmaps of
@@ -29,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellar.llm.kernels import INK, as_long, chunks, find, grouped_sum, mix, test_bits, words
+from cellar.llm.kernels import INK, Directory, as_long, chunks, distinct, find, grouped_sum, mix, sums, test_bits, words
 from cellar.llm.support import bitmap
 from cellar.session import discard, materialize
 
@@ -38,10 +40,11 @@ MIN_CONTEXT = 40
 MIN_NEXT = 4
 KAPPA = 20.0
 BLOCK_WORDS = 1 << 21
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 16 << 20
 BITMAP_LOG2 = 24
 LARGE_LOG2 = 28
 BUCKET_BYTES = 4 << 20
+BUCKET_TOKENS = 1 << 21
 HEAD = 1 << 20
 WORD, STATE, LISTED = range(3)
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
@@ -93,20 +96,41 @@ def _entry_key(c: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
     return mix(mix(c + np.uint64(2 * k + 1)) + w * _ODD)
 
 
-def _log_probabilities(key: np.ndarray, value: np.ndarray, ctx: list[np.ndarray], tok: np.ndarray, out: np.ndarray, bits: np.ndarray | None = None) -> np.ndarray:
-    """log10 probabilities from sorted model keys; ``out`` has each token's unigram value, ``bits`` rules out contexts that are no states."""
-    out = out.copy()
+def _probes(tok: np.ndarray, ctx: list[np.ndarray], bits: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length the tokens whose context may be a state (``bits`` rules out others), and the keys of context and next word."""
+    out = []
     for k, c in enumerate(ctx, 1):
         state = _state_key(c, k)
         at = np.flatnonzero(c != 0 if bits is None else (c != 0) & test_bits(bits, state))
-        i, there = find(key, state[at])
-        at = at[there]
-        out[at] += value[i[there]]
-        j, listed = find(key, _entry_key(c[at], tok[at], k))
-        out[at[listed]] = value[j[listed]]
+        out.append((at, state[at], _entry_key(c[at], tok[at], k)))
+    return out
+
+
+def _in_states(index: Directory, value: np.ndarray, probes, out: np.ndarray) -> np.ndarray:
+    """log10 probabilities from model rows; ``out`` has each token's unigram value.
+
+    From the longest context down, as a listed next word makes all shorter ones
+    superfluous; the factors are then added from the shortest up.
+    """
+    out, unlisted, steps = out.copy(), np.ones(len(out), bool), []
+    for at, state, entry in reversed(probes):
+        on = unlisted[at]
+        at, state, entry = at[on], state[on], entry[on]
+        j, listed = index.find(entry)
+        unlisted[at[listed]] = False
+        i, there = index.find(state[~listed])
+        steps.append((at[listed], value[j[listed]], at[~listed][there], value[i[there]]))
+    for listed, p, others, factor in reversed(steps):
+        out[listed] = p
+        out[others] += factor
     return out
 
 
+def _log_probabilities(key: np.ndarray, value: np.ndarray, ctx: list[np.ndarray], tok: np.ndarray, out: np.ndarray, bits: np.ndarray | None = None) -> np.ndarray:
+    """log10 probabilities from sorted model keys; ``out`` has each token's unigram value, ``bits`` rules out contexts that are no states."""
+    return _in_states(Directory(key), value, _probes(tok, ctx, bits), out)
+
+
 @dataclass
 class Level:
     """States of one context length: tables (c, total, unlisted) and (c, w, n, logp)."""
@@ -180,12 +204,12 @@ def _count_task():
 
 
 def _sums(held) -> pa.RecordBatch:
-    u, inv = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-    n = np.bincount(inv, weights=np.concatenate([y for _, y in held]), minlength=len(u)).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(as_long(u)), pa.array(n)], names=["h", "n"])
+    h, n = (np.concatenate(x) for x in zip(*held))
+    i, n = sums(h, n)
+    return pa.RecordBatch.from_arrays([pa.array(as_long(h[i])), pa.array(n)], names=["h", "n"])
 
 
-def _pair_task(k: int, ctx, word, shorter=None):
+def _pair_task(k: int, log2_buckets: int, ctx, word, shorter=None):
     """Counts of (context of length k, next word), both maybe frequent enough, as their pair a word shorter (``shorter``)."""
 
     def task(batches):
@@ -198,24 +222,66 @@ def _pair_task(k: int, ctx, word, shorter=None):
                 ok = np.flatnonzero((c != 0) & test_bits(ctx.value, c) & test_bits(word.value, t))
                 if shorter is not None:
                     ok = ok[test_bits(shorter.value, _entry_key(ctxs[k - 2][ok], t[ok], k - 1))]
-                c, w = c[ok], t[ok]
-                _, i, n = np.unique(_entry_key(c, w, k), return_index=True, return_counts=True)
-                held.append((c[i], w[i], n))
-                size += len(i)
+                held.append((c[ok], t[ok]))
+                size += len(ok)
                 if size >= BLOCK_WORDS:
-                    yield _pair_sums(held, k)
+                    yield _pair_rows(held, log2_buckets)
                     held, size = [], 0
-        if held:
-            yield _pair_sums(held, k)
+        if size:
+            yield _pair_rows(held, log2_buckets)
 
     return task
 
 
-def _pair_sums(held, k: int) -> pa.RecordBatch:
-    c, w, n = (np.concatenate([x[i] for x in held]) for i in range(3))
-    _, i, inv = np.unique(_entry_key(c, w, k), return_index=True, return_inverse=True)
-    n = np.bincount(inv, weights=n, minlength=len(i)).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(as_long(c[i])), pa.array(as_long(w[i])), pa.array(n)], names=["c", "w", "n"])
+def _pair_rows(held, log2_buckets: int) -> pa.RecordBatch:
+    """The counted pairs packed, a row for each range of context and next word; a row names each context and each word once.
+
+    A third of the bits are of the next word, so that the pairs of a context as
+    frequent as a text's start go to many ranges.
+    """
+    c, w = (np.concatenate(x) for x in zip(*held))
+    u64 = np.uint64
+    of_w, bits = u64(log2_buckets // 3), u64(log2_buckets)
+    of_c, rest = bits - of_w, u64(64) - bits
+    bucket = (c >> (u64(64) - of_c) << of_w) | (w >> (u64(64) - of_w))
+    # by range, context and word; where the bits kept of both agree by chance, a pair may get two rows
+    half = rest // u64(2)
+    order = (bucket << rest) | (c << of_c >> (u64(64) - half) << (rest - half)) | (w << of_w >> (u64(64) - rest + half))
+    by = np.argsort(order)
+    c, w = c[by], w[by]
+    new = np.ones(len(c), bool)
+    np.logical_or(c[1:] != c[:-1], w[1:] != w[:-1], out=new[1:])
+    at = np.flatnonzero(new)
+    bucket, c, w, n = bucket[by[at]], c[at], w[at], np.diff(at, append=len(c))
+    first = np.flatnonzero(np.diff(bucket, prepend=~bucket[0]))
+    cols = [[], [], [], [], []]
+    for i, j in zip(first, [*first[1:], len(c)]):
+        run = np.flatnonzero(np.append(True, c[i + 1 : j] != c[i : j - 1]))
+        name, index = np.unique(w[i:j], return_inverse=True)
+        for col, x in zip(cols, (c[i:j][run], np.diff(run, append=j - i), name, index, n[i:j])):
+            col.append(_pack(x if x.dtype == np.uint64 else x.astype(np.uint32)))
+    return pa.RecordBatch.from_arrays([pa.array(as_long(bucket[first])), *(pa.array(x, pa.binary()) for x in cols)], names=["bucket", "c", "runs", "words", "w", "n"])
+
+
+_PAIRS = "bucket long, c binary, runs binary, words binary, w binary, n binary"
+
+
+def _add_task(k: int, least: int):
+    """The pairs of one range that are seen ``least`` times in all."""
+
+    def task(packed: pa.Table) -> pa.Table:
+        c, w, n = [], [], []
+        for row in zip(*(packed.column(x) for x in ("c", "runs", "words", "w", "n"))):
+            name, runs, words_, index, seen = (_unpack([x], kind) for x, kind in zip(row, (np.uint64, np.uint32, np.uint64, np.uint32, np.uint32)))
+            c.append(np.repeat(name, runs))
+            w.append(words_[index])
+            n.append(seen.astype(np.int64))
+        c, w, n = (np.concatenate(x) for x in (c, w, n))
+        i, n = sums(_entry_key(c, w, k), n)
+        i, n = i[n >= least], n[n >= least]
+        return pa.table([pa.array(as_long(c[i])), pa.array(as_long(w[i])), pa.array(n)], names=["c", "w", "n"])
+
+    return task
 
 
 def _longer_task():
@@ -269,10 +335,10 @@ def fit(train: DataFrame, order=ORDER, min_context=MIN_CONTEXT, min_next=MIN_NEX
     empty = F.lit(0).cast("long").alias("suffix")
     cand = counts.where((F.col("n") >= min_context) & (F.col("h") != end)).select(F.col("h").alias("c"), empty, F.col("n").alias("total"))
     cand = materialize(cand.unionAll(counts.where(F.col("h") == end).select(begin.alias("c"), empty, F.col("n").alias("total"))))
-    shorter = None
+    shorter, log2_buckets = None, max(4, (int(total.n) // BUCKET_TOKENS).bit_length())
     for k in range(1, order + 1):
-        task = _pair_task(k, share(bitmap(cand, "c", BITMAP_LOG2)), word, shorter)
-        pairs = train.mapInArrow(task, "c long, w long, n long").groupBy("c", "w").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        task = _pair_task(k, log2_buckets, share(bitmap(cand, "c", BITMAP_LOG2)), word, shorter)
+        pairs = train.mapInArrow(task, _PAIRS).groupBy("bucket").applyInArrow(_add_task(k, least), "c long, w long, n long")
         pairs = pairs.join(cand, "c")
         if k == 1:
             pairs = pairs.join(base, "w")
@@ -295,64 +361,85 @@ def fit(train: DataFrame, order=ORDER, min_context=MIN_CONTEXT, min_next=MIN_NEX
     return tree
 
 
-def _block_task(states, listed, head, order: int, log2_buckets: int):
-    """The texts in numbered blocks, and what each block asks the model for: a row for each range of keys."""
+def _block_task():
+    """The texts in numbered blocks, each one row of compressed texts."""
 
     def task(batches):
-        block, held, n_words, n_bytes = TaskContext.get().partitionId() << 32, [], 0, 0
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             for c in chunks(batch):
-                n, text = c.num_rows, c.column(c.schema.get_field_index("text"))
-                cols = [c.column(c.schema.get_field_index(x)) for x in ("doc_id", "held_out")]
-                none = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), *cols, text.cast(pa.string()), *none], names=_NAMES)
-                tok, off = _tokens(text)
-                held.append(_keys(tok, off, order, states.value, listed.value))
-                n_words, n_bytes = n_words + len(tok), n_bytes + text.nbytes
-                if n_words >= BLOCK_WORDS or n_bytes >= BLOCK_BYTES:
-                    yield _requests(block, _asked(held, head.value[0]), c.schema, log2_buckets)
-                    block, held, n_words, n_bytes = block + 1, [], 0, 0
+                held.append(c)
+                size += c.nbytes
+                if size >= BLOCK_BYTES:
+                    yield _block(block, held)
+                    block, held, size = block + 1, [], 0
         if held:
-            yield _requests(block, _asked(held, head.value[0]), c.schema, log2_buckets)
+            yield _block(block, held)
 
     return task
 
 
-_NAMES = ["block", "doc_id", "held_out", "text", "bucket", "keys"]
+def _block(block: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        for c in held:
+            out.write_batch(c)
+    return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "texts"])
+
 
+def _parts(texts: pa.BinaryScalar) -> list[pa.RecordBatch]:
+    """The texts of a block, chunk by chunk."""
+    return list(pa.ipc.open_stream(texts.as_buffer()))
 
-def _keys(tok: np.ndarray, off: np.ndarray, order: int, states: np.ndarray, listed: np.ndarray) -> np.ndarray:
+
+def _ask_task(order: int, states, listed, head, log2_buckets: int):
+    """What each block asks the model for: a row for each range of keys."""
+
+    def task(batches):
+        for batch in batches:
+            for block, texts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held = []
+                for c in _parts(texts):
+                    tok, off = _tokens(c.column("text"))
+                    held.append(_keys(tok, _probes(tok, _contexts(tok, off, order) if order else [], states.value), listed.value))
+                yield _requests(block, _asked(held, head.value[0]), log2_buckets)
+
+    return task
+
+
+def _keys(tok: np.ndarray, probes, listed: np.ndarray) -> np.ndarray:
     """The distinct words, contexts that may be states, and next words that may be listed in them."""
     out = [tok]
-    for k, c in enumerate(_contexts(tok, off, order) if order else [], 1):
-        state = _state_key(c, k)
-        there = (c != 0) & test_bits(states, state)
-        entry = _entry_key(c[there], tok[there], k)
-        out += [state[there], entry[test_bits(listed, entry)]]
-    return np.unique(np.concatenate(out))
+    for _, state, entry in probes:
+        out += [state, entry[test_bits(listed, entry)]]
+    return distinct(np.concatenate(out))
 
 
 def _asked(held: list[np.ndarray], head: np.ndarray) -> np.ndarray:
     """A block's keys outside the most used rows, sorted: the same list when asking and when the answers come."""
-    key = np.unique(np.concatenate(held))
+    key = distinct(np.concatenate(held))
     return key[~find(head, key)[1]]
 
 
-def _requests(block: int, key: np.ndarray, schema: pa.Schema, log2_buckets: int) -> pa.RecordBatch:
+def _requests(block: int, key: np.ndarray, log2_buckets: int) -> pa.RecordBatch:
     bucket, first = np.unique(key >> np.uint64(64 - log2_buckets), return_index=True)
-    n, packed = len(bucket), [_pack(x) for x in np.split(key, first[1:])] if len(key) else []
-    none = [pa.nulls(n, schema.field("doc_id").type), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.string())]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), *none, pa.array(as_long(bucket)), pa.array(packed, pa.binary())], names=_NAMES)
+    packed = [_pack(x) for x in np.split(key, first[1:])] if len(key) else []
+    return pa.RecordBatch.from_arrays([pa.array(as_long(bucket)), pa.array(np.full(len(bucket), block)), pa.array(packed, pa.binary())], names=["bucket", "block", "keys"])
 
 
 def _pack(a: np.ndarray) -> bytes:
-    """The first bytes of all numbers, then the second ones and so on: like bytes lie together and compress."""
-    return a.view(np.uint8).reshape(-1, 8).T.tobytes()
+    """The first bytes of all numbers, then the second ones and so on: like bytes lie together and compress. Their length goes before."""
+    planes = a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def _unpack(column: pa.ChunkedArray, dtype) -> np.ndarray:
-    parts = [np.frombuffer(x.as_buffer(), np.uint8).reshape(8, -1).T.copy().view(dtype).ravel() for x in column]
-    return np.concatenate([np.empty(0, dtype), *parts])
+def _unpack(column, dtype) -> np.ndarray:
+    parts = [np.empty(0, dtype)]
+    for x in column:
+        x = x.as_buffer()
+        planes = pa.decompress(x[8:], int.from_bytes(x[:8].to_pybytes(), "little"), codec="zstd")
+        parts.append(np.frombuffer(planes, np.uint8).reshape(parts[0].itemsize, -1).T.copy().view(dtype).ravel())
+    return np.concatenate(parts)
 
 
 def _look_up(requests: pa.Table, model: pa.Table) -> pa.Table:
@@ -371,24 +458,27 @@ def _finish(tokens: int, types: int, order: int, states, listed, head):
     """Scores a block's texts with the model rows found for the block and the most used ones."""
 
     def task(left, right):
-        parts = [c for b in left.select(["doc_id", "held_out", "text"]).combine_chunks().to_batches() for c in chunks(b)]
-        toks = [_tokens(c.column(2)) for c in parts]
-        key = _asked([_keys(tok, off, order, states.value, listed.value) for tok, off in toks], head.value[0])
+        parts, probes, held = [c for x in left.column("texts") for c in _parts(x)], [], []
+        toks = [_tokens(c.column("text")) for c in parts]
+        for tok, off in toks:
+            probes.append(_probes(tok, _contexts(tok, off, order) if order else [], states.value))
+            held.append(_keys(tok, probes[-1], listed.value))
+        key = _asked(held, head.value[0])
         value = _unpack(right.sort_by("bucket").column("v"), np.float64)
         if len(key) != len(value):
             raise ValueError(f"{len(value)} answers to {len(key)} keys")
         found = ~np.isnan(value)
         key, value = np.concatenate([head.value[0], key[found]]), np.concatenate([head.value[1], value[found]])
         by = np.argsort(key, kind="stable")
-        key, value = key[by], value[by]
+        index, value = Directory(key[by]), value[by]
         out = []
-        for c, (tok, off) in zip(parts, toks):
-            i, known = find(key, tok)
+        for c, (tok, off), asked in zip(parts, toks, probes):
+            i, known = index.find(tok)
             n = np.where(known, value[i], 0.0) if len(key) else np.zeros(len(tok))
             uni = np.log10((n + 1.0) / (tokens + types + 1.0))
-            lp = _log_probabilities(key, value, _contexts(tok, off, order), tok, uni, states.value) if order else uni
+            lp = _in_states(index, value, asked, uni)
             out.append(pa.table({
-                "doc_id": c.column(0), "held_out": c.column(1), "n_tokens": pa.array(np.diff(off)),
+                "doc_id": c.column("doc_id"), "held_out": c.column("held_out"), "n_tokens": pa.array(np.diff(off)),
                 "n_known": pa.array(grouped_sum(known.astype(np.int64), off)), "train_tokens": pa.array(np.full(c.num_rows, tokens)),
                 "base_score": pa.array(grouped_sum(uni, off)), "score": pa.array(grouped_sum(lp, off)),
             }))
@@ -406,7 +496,7 @@ def score_texts(docs: DataFrame, held_out: Column, id_col="doc_id", text_col="te
     token is the end. With no training rows every score is that of the empty
     model, log10(1) a token. Scores are log10 probabilities.
 
-    Texts are scored in blocks of about ``BLOCK_WORDS`` tokens: the words,
+    Texts are scored in blocks of about ``BLOCK_BYTES``: the words,
     contexts and (context, next word) pairs of a block are joined once with the
     model table, each distinct one alone, but for the at most ``head`` most used
     rows of the model, which every task has.
@@ -423,14 +513,13 @@ def score_texts(docs: DataFrame, held_out: Column, id_col="doc_id", text_col="te
     # ranges of keys that a task can hold: about as many keys each, however many texts there are
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     log2_buckets = max(4, (size // BUCKET_BYTES).bit_length())
-    schema = f"block long, doc_id {id_type.simpleString()}, held_out boolean, text string, bucket long, keys binary"
-    blocks = materialize(d.mapInArrow(_block_task(states, listed, head, order, log2_buckets), schema))
-    texts = blocks.where("keys IS NULL").select("block", "doc_id", "held_out", "text")
-    requests = blocks.where("keys IS NOT NULL").select("bucket", "block", "keys")
+    discard(tree.counts, *(t for lv in tree.levels for t in (lv.states, lv.entries)))
+    blocks = materialize(d.mapInArrow(_block_task(), "block long, texts binary"))
+    requests = blocks.mapInArrow(_ask_task(order, states, listed, head, log2_buckets), "bucket long, block long, keys binary")
     rows = tail.select(F.shiftrightunsigned("key", 64 - log2_buckets).alias("bucket"), "key", "v")
-    # written before the texts are dealt, so that the shuffles of both never lie on disk together
+    # written before the texts are dealt, so that the shuffles of both never lie on disk together; the requests are never written
     found = materialize(requests.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInArrow(_look_up, "part long, bucket long, v binary"))
-    discard(tree.model, tree.counts, *(t for lv in tree.levels for t in (lv.states, lv.entries)))
+    discard(tree.model)
     out = f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     finish = _finish(tree.tokens, tree.types, order, states, listed, head)
-    return texts.groupBy("block").cogroup(found.groupBy("part")).applyInArrow(finish, out)
+    return blocks.groupBy("block").cogroup(found.groupBy("part")).applyInArrow(finish, out)

@@ -10,12 +10,13 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from cellar.llm import decontaminate, jaccard_join, language_id, license_scan, mixing, substring_dedup, suffix_tree_lm, token_counts, topk_search, toxicity
+from cellar.llm import decontaminate, jaccard_join, kernels, language_id, license_scan, mixing, substring_dedup, suffix_tree_lm, token_counts, topk_search, toxicity
 from cellar.llm.support import connected_components, fold
 
 SMALL, MID = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -281,6 +282,52 @@ def test_suffix_tree_leaves_only_what_scoring_reads_on_disk(spark, monkeypatch):
     assert out.count() == docs.count()
 
 
+def test_suffix_tree_ships_pairs_packed():
+    """Counted pairs take a few bytes each on their way to be summed, and come out as plain counts."""
+    rng = np.random.default_rng(5)
+    names = suffix_tree_lm.mix(np.arange(1, 3000, dtype=np.uint64))
+    names[0] = suffix_tree_lm.BEGIN
+    held = [(names[rng.zipf(1.3, n) % 300], names[rng.zipf(1.3, n) % len(names)]) for n in (60000, 1, 20000)]
+    want = collections.Counter(zip(*(np.concatenate(x).tolist() for x in zip(*held))))
+    for log2_buckets in (4, 7):
+        rows = suffix_tree_lm._pair_rows(held, log2_buckets)
+        assert rows.num_rows == len(set(rows.column(0).to_pylist())) <= 1 << log2_buckets
+        if log2_buckets == 4:
+            assert rows.nbytes < 8 * len(want)
+        got = {}
+        for i in range(rows.num_rows):
+            twice = pa.Table.from_batches([rows.slice(i, 1)] * 2)
+            out = suffix_tree_lm._add_task(1, 6)(twice).to_pydict()
+            got.update({(c % 2**64, w % 2**64): n for c, w, n in zip(out["c"], out["w"], out["n"])})
+        assert got == {p: 2 * n for p, n in want.items() if 2 * n >= 6}
+
+
+def test_suffix_tree_writes_texts_once_as_blocks(spark, monkeypatch):
+    """Scoring leaves one row of compressed texts a block on disk, not the texts and the keys asked for row by row."""
+    docs, made, write = spark.read.parquet(f"{SMALL}/documents.parquet"), [], suffix_tree_lm.materialize
+
+    def recorded(df):
+        made.append(write(df))
+        return made[-1]
+
+    monkeypatch.setattr(suffix_tree_lm, "materialize", recorded)
+    out = suffix_tree_lm.score_texts(docs, fold(F.col("doc_id"), 7) == 2, head=0, order=2, min_context=12, min_next=3)
+    blocks = [df for df in made if "texts" in df.columns]
+    assert len(blocks) == 1 and blocks[0].count() < docs.count() / 4
+    assert not any("keys" in df.columns for df in made)
+    assert out.count() == docs.count()
+
+
+@pytest.mark.parametrize("keys", [[], [7], [0, 1, 2**64 - 1], range(5000), None])
+def test_directory_finds_what_a_search_finds(keys):
+    rng = np.random.default_rng(6)
+    key = np.unique(rng.integers(0, 2**64, 9000, dtype=np.uint64)) if keys is None else np.array(keys, np.uint64)
+    x = np.concatenate([key, key + np.uint64(1), rng.integers(0, 2**64, 1000, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+    i, there = kernels.Directory(key).find(x)
+    assert (there == np.isin(x, key)).all() and (key[i[there]] == x[there]).all()
+    assert (kernels.distinct(x) == np.unique(x)).all()
+
+
 def test_suffix_tree_awkward(odd, empty):
     held = fold(F.col("doc_id"), 7) == 2
     rows = suffix_tree_lm.score_texts(odd, held).collect()
