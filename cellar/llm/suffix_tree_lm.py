@@ -40,7 +40,8 @@ MIN_CONTEXT = 40
 MIN_NEXT = 4
 KAPPA = 20.0
 BLOCK_WORDS = 1 << 21
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
+PART_BYTES = 1 << 19
 BITMAP_LOG2 = 24
 LARGE_LOG2 = 28
 BUCKET_BYTES = 4 << 20
@@ -215,7 +216,7 @@ def _pair_task(k: int, log2_buckets: int, ctx, word, shorter=None):
     def task(batches):
         held, size = [], 0
         for batch in batches:
-            for b in chunks(batch):
+            for b in chunks(batch, limit=PART_BYTES):
                 t, off = _tokens(b.column(0))
                 ctxs = _contexts(t, off, k)
                 c = ctxs[k - 1]
@@ -367,7 +368,7 @@ def _block_task():
     def task(batches):
         block, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            for c in chunks(batch):
+            for c in chunks(batch, limit=PART_BYTES):
                 held.append(c)
                 size += c.nbytes
                 if size >= BLOCK_BYTES:
@@ -387,9 +388,9 @@ def _block(block: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "texts"])
 
 
-def _parts(texts: pa.BinaryScalar) -> list[pa.RecordBatch]:
-    """The texts of a block, chunk by chunk."""
-    return list(pa.ipc.open_stream(texts.as_buffer()))
+def _parts(texts: pa.BinaryScalar):
+    """The texts of a block, part by part."""
+    return pa.ipc.open_stream(texts.as_buffer())
 
 
 def _ask_task(order: int, states, listed, head, log2_buckets: int):
@@ -398,11 +399,7 @@ def _ask_task(order: int, states, listed, head, log2_buckets: int):
     def task(batches):
         for batch in batches:
             for block, texts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                held = []
-                for c in _parts(texts):
-                    tok, off = _tokens(c.column("text"))
-                    held.append(_keys(tok, _probes(tok, _contexts(tok, off, order) if order else [], states.value), listed.value))
-                yield _requests(block, _asked(held, head.value[0]), log2_buckets)
+                yield _requests(block, _asked(texts, order, states.value, listed.value, head.value[0]), log2_buckets)
 
     return task
 
@@ -415,8 +412,17 @@ def _keys(tok: np.ndarray, probes, listed: np.ndarray) -> np.ndarray:
     return distinct(np.concatenate(out))
 
 
-def _asked(held: list[np.ndarray], head: np.ndarray) -> np.ndarray:
+def _asked(texts: pa.BinaryScalar, order: int, states: np.ndarray, listed: np.ndarray, head: np.ndarray) -> np.ndarray:
     """A block's keys outside the most used rows, sorted: the same list when asking and when the answers come."""
+    held, size, most = [], 0, BLOCK_WORDS
+    for c in _parts(texts):
+        tok, off = _tokens(c.column("text"))
+        held.append(_keys(tok, _probes(tok, _contexts(tok, off, order) if order else [], states), listed))
+        size += len(held[-1])
+        if size > most:
+            held = [distinct(np.concatenate(held))]
+            size = len(held[0])
+            most = max(BLOCK_WORDS, 2 * size)
     key = distinct(np.concatenate(held))
     return key[~find(head, key)[1]]
 
@@ -458,12 +464,8 @@ def _finish(tokens: int, types: int, order: int, states, listed, head):
     """Scores a block's texts with the model rows found for the block and the most used ones."""
 
     def task(left, right):
-        parts, probes, held = [c for x in left.column("texts") for c in _parts(x)], [], []
-        toks = [_tokens(c.column("text")) for c in parts]
-        for tok, off in toks:
-            probes.append(_probes(tok, _contexts(tok, off, order) if order else [], states.value))
-            held.append(_keys(tok, probes[-1], listed.value))
-        key = _asked(held, head.value[0])
+        texts = left.column("texts")[0]
+        key = _asked(texts, order, states.value, listed.value, head.value[0])
         value = _unpack(right.sort_by("bucket").column("v"), np.float64)
         if len(key) != len(value):
             raise ValueError(f"{len(value)} answers to {len(key)} keys")
@@ -471,12 +473,14 @@ def _finish(tokens: int, types: int, order: int, states, listed, head):
         key, value = np.concatenate([head.value[0], key[found]]), np.concatenate([head.value[1], value[found]])
         by = np.argsort(key, kind="stable")
         index, value = Directory(key[by]), value[by]
+        del key, by, found
         out = []
-        for c, (tok, off), asked in zip(parts, toks, probes):
+        for c in _parts(texts):
+            tok, off = _tokens(c.column("text"))
             i, known = index.find(tok)
-            n = np.where(known, value[i], 0.0) if len(key) else np.zeros(len(tok))
+            n = np.where(known, value[i], 0.0) if len(value) else np.zeros(len(tok))
             uni = np.log10((n + 1.0) / (tokens + types + 1.0))
-            lp = _in_states(index, value, asked, uni)
+            lp = _in_states(index, value, _probes(tok, _contexts(tok, off, order) if order else [], states.value), uni)
             out.append(pa.table({
                 "doc_id": c.column("doc_id"), "held_out": c.column("held_out"), "n_tokens": pa.array(np.diff(off)),
                 "n_known": pa.array(grouped_sum(known.astype(np.int64), off)), "train_tokens": pa.array(np.full(c.num_rows, tokens)),
