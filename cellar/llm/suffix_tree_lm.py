@@ -11,7 +11,7 @@ The minimum counts are absolute, so a pattern that is modelled on a small
 corpus is modelled on a large one, and the tree grows with the corpus. States
 and listed next words are tables built by ``groupBy``; they are never gathered
 or broadcast. The pairs that tasks counted go packed by ranges of both hashes and
-are summed a range at a time. Texts are scored in blocks, each one row of
+are summed a range at a time. Texts are scored in blocks, each some rows of
 compressed texts. A block asks for its distinct keys, but for the
 ``HEAD`` most used rows, which nearly every block needs: those are broadcast, a
 number that does not grow. The keys go to the model by ranges and only values
@@ -40,7 +40,7 @@ MIN_CONTEXT = 40
 MIN_NEXT = 4
 KAPPA = 20.0
 BLOCK_WORDS = 1 << 21
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 PART_BYTES = 1 << 19
 BITMAP_LOG2 = 24
 LARGE_LOG2 = 28
@@ -363,43 +363,44 @@ def fit(train: DataFrame, order=ORDER, min_context=MIN_CONTEXT, min_next=MIN_NEX
 
 
 def _block_task():
-    """The texts in numbered blocks, each one row of compressed texts."""
+    """The texts in numbered blocks of numbered parts, a row of compressed texts for each part."""
 
     def task(batches):
-        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+        block, part, size = TaskContext.get().partitionId() << 32, 0, 0
         for batch in batches:
             for c in chunks(batch, limit=PART_BYTES):
-                held.append(c)
-                size += c.nbytes
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, c.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(c)
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([part]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "part", "texts"])
+                part, size = part + 1, size + c.nbytes
                 if size >= BLOCK_BYTES:
-                    yield _block(block, held)
-                    block, held, size = block + 1, [], 0
-        if held:
-            yield _block(block, held)
+                    block, part, size = block + 1, 0, 0
 
     return task
 
 
-def _block(block: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        for c in held:
-            out.write_batch(c)
-    return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "texts"])
-
-
-def _parts(texts: pa.BinaryScalar):
-    """The texts of a block, part by part."""
-    return pa.ipc.open_stream(texts.as_buffer())
+def _texts(part: pa.BinaryScalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(part.as_buffer()).read_next_batch()
 
 
 def _ask_task(order: int, states, listed, head, log2_buckets: int):
-    """What each block asks the model for: a row for each range of keys."""
+    """What each block asks the model for: a row for each range of keys.
+
+    Named by the block and the first part seen here; a block of which two tasks read parts asks twice.
+    """
 
     def task(batches):
+        asked = None
         for batch in batches:
-            for block, texts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                yield _requests(block, _asked(texts, order, states.value, listed.value, head.value[0]), log2_buckets)
+            for block, part, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if asked and asked.block != block:
+                    yield _requests(asked, log2_buckets)
+                    asked = None
+                asked = asked or _Asked(order, states.value, listed.value, head.value[0], block, part)
+                asked.add(texts)
+        if asked:
+            yield _requests(asked, log2_buckets)
 
     return task
 
@@ -412,25 +413,33 @@ def _keys(tok: np.ndarray, probes, listed: np.ndarray) -> np.ndarray:
     return distinct(np.concatenate(out))
 
 
-def _asked(texts: pa.BinaryScalar, order: int, states: np.ndarray, listed: np.ndarray, head: np.ndarray) -> np.ndarray:
-    """A block's keys outside the most used rows, sorted: the same list when asking and when the answers come."""
-    held, size, most = [], 0, BLOCK_WORDS
-    for c in _parts(texts):
-        tok, off = _tokens(c.column("text"))
-        held.append(_keys(tok, _probes(tok, _contexts(tok, off, order) if order else [], states), listed))
-        size += len(held[-1])
-        if size > most:
-            held = [distinct(np.concatenate(held))]
-            size = len(held[0])
-            most = max(BLOCK_WORDS, 2 * size)
-    key = distinct(np.concatenate(held))
-    return key[~find(head, key)[1]]
+class _Asked:
+    """The keys of some parts outside the most used rows, sorted: the same list when asking and when the answers come."""
+
+    def __init__(self, order: int, states: np.ndarray, listed: np.ndarray, head: np.ndarray, block: int = 0, part: int = 0):
+        self.order, self.states, self.listed, self.head, self.block, self.part = order, states, listed, head, block, part
+        self.held, self.size, self.most = [np.empty(0, np.uint64)], 0, BLOCK_WORDS
+
+    def add(self, texts: pa.BinaryScalar) -> None:
+        tok, off = _tokens(_texts(texts).column("text"))
+        self.held.append(_keys(tok, _probes(tok, _contexts(tok, off, self.order) if self.order else [], self.states), self.listed))
+        self.size += len(self.held[-1])
+        if self.size > self.most:
+            self.held = [distinct(np.concatenate(self.held))]
+            self.size = len(self.held[0])
+            self.most = max(BLOCK_WORDS, 2 * self.size)
+
+    def keys(self) -> np.ndarray:
+        key = distinct(np.concatenate(self.held))
+        return key[~find(self.head, key)[1]]
 
 
-def _requests(block: int, key: np.ndarray, log2_buckets: int) -> pa.RecordBatch:
+def _requests(asked: _Asked, log2_buckets: int) -> pa.RecordBatch:
+    key = asked.keys()
     bucket, first = np.unique(key >> np.uint64(64 - log2_buckets), return_index=True)
     packed = [_pack(x) for x in np.split(key, first[1:])] if len(key) else []
-    return pa.RecordBatch.from_arrays([pa.array(as_long(bucket)), pa.array(np.full(len(bucket), block)), pa.array(packed, pa.binary())], names=["bucket", "block", "keys"])
+    block, part = (pa.array(np.full(len(bucket), x)) for x in (asked.block, asked.part))
+    return pa.RecordBatch.from_arrays([pa.array(as_long(bucket)), block, part, pa.array(packed, pa.binary())], names=["bucket", "block", "part", "keys"])
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -457,16 +466,23 @@ def _look_up(requests: pa.Table, model: pa.Table) -> pa.Table:
     for packed in requests.column("keys"):
         i, there = find(key, _unpack([packed], np.uint64))
         out.append(_pack(np.where(there, value[i], np.nan) if len(key) else np.full(len(i), np.nan)))
-    return pa.table([requests.column("block"), requests.column("bucket"), pa.array(out, pa.binary())], names=["part", "bucket", "v"])
+    return pa.table([*(requests.column(x) for x in ("block", "part", "bucket")), pa.array(out, pa.binary())], names=["of", "part", "bucket", "v"])
 
 
 def _finish(tokens: int, types: int, order: int, states, listed, head):
     """Scores a block's texts with the model rows found for the block and the most used ones."""
 
     def task(left, right):
-        texts = left.column("texts")[0]
-        key = _asked(texts, order, states.value, listed.value, head.value[0])
-        value = _unpack(right.sort_by("bucket").column("v"), np.float64)
+        parts, texts = left.column("part").to_numpy(), left.column("texts")
+        by = np.argsort(parts)
+        texts, key = [texts[int(i)] for i in by], []
+        for some in np.split(np.arange(len(by)), np.searchsorted(parts[by], np.unique(right.column("part").to_numpy()))):
+            asked = _Asked(order, states.value, listed.value, head.value[0])
+            for i in some:
+                asked.add(texts[i])
+            key.append(asked.keys())
+        key = np.concatenate(key)
+        value = _unpack(right.sort_by([("part", "ascending"), ("bucket", "ascending")]).column("v"), np.float64)
         if len(key) != len(value):
             raise ValueError(f"{len(value)} answers to {len(key)} keys")
         found = ~np.isnan(value)
@@ -475,7 +491,7 @@ def _finish(tokens: int, types: int, order: int, states, listed, head):
         index, value = Directory(key[by]), value[by]
         del key, by, found
         out = []
-        for c in _parts(texts):
+        for c in map(_texts, texts):
             tok, off = _tokens(c.column("text"))
             i, known = index.find(tok)
             n = np.where(known, value[i], 0.0) if len(value) else np.zeros(len(tok))
@@ -518,12 +534,12 @@ def score_texts(docs: DataFrame, held_out: Column, id_col="doc_id", text_col="te
     size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     log2_buckets = max(4, (size // BUCKET_BYTES).bit_length())
     discard(tree.counts, *(t for lv in tree.levels for t in (lv.states, lv.entries)))
-    blocks = materialize(d.mapInArrow(_block_task(), "block long, texts binary"))
-    requests = blocks.mapInArrow(_ask_task(order, states, listed, head, log2_buckets), "bucket long, block long, keys binary")
+    blocks = materialize(d.mapInArrow(_block_task(), "block long, part long, texts binary"))
+    requests = blocks.mapInArrow(_ask_task(order, states, listed, head, log2_buckets), "bucket long, block long, part long, keys binary")
     rows = tail.select(F.shiftrightunsigned("key", 64 - log2_buckets).alias("bucket"), "key", "v")
     # written before the texts are dealt, so that the shuffles of both never lie on disk together; the requests are never written
-    found = materialize(requests.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInArrow(_look_up, "part long, bucket long, v binary"))
+    found = materialize(requests.groupBy("bucket").cogroup(rows.groupBy("bucket")).applyInArrow(_look_up, "of long, part long, bucket long, v binary"))
     discard(tree.model)
     out = f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     finish = _finish(tree.tokens, tree.types, order, states, listed, head)
-    return blocks.groupBy("block").cogroup(found.groupBy("part")).applyInArrow(finish, out)
+    return blocks.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(finish, out)

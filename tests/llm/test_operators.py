@@ -303,7 +303,7 @@ def test_suffix_tree_ships_pairs_packed():
 
 
 def test_suffix_tree_writes_texts_once_as_blocks(spark, monkeypatch):
-    """Scoring leaves one row of compressed texts a block on disk, not the texts and the keys asked for row by row."""
+    """Scoring leaves few rows of compressed texts on disk, not the texts and the keys asked for row by row."""
     docs, made, write = spark.read.parquet(f"{SMALL}/documents.parquet"), [], suffix_tree_lm.materialize
 
     def recorded(df):
