@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import gzip
 
+import pytest
 from pyspark.sql import functions as F
 
 from cellar.operators import cleaning as CL
@@ -65,6 +67,45 @@ def test_documents_are_written_by_the_tasks_alone(spark):
     assert got in ([("", "no key"), ("a", a), ("b/c=d%", "two\nlines\n"), ("e", "")] for a in ("x\ny", "y\nx"))
 
 
+def test_documents_are_listed_and_read_by_the_tasks(spark):
+    # the driver kept an entry for every file, and its reader took a few files a task
+    docs = spark.range(300).select((F.col("id") * 7).alias("doc_id"), F.expr("concat('text ', id, repeat('\\n', int(id % 3)))").alias("text"))
+    path = SF.write_documents(docs, SF.scratch_dir(spark, "docs"))
+    back = SF.read_text_corpus(spark, path, id_col="doc_id", record_end=True)
+    assert not any("doc_id=" in f for f in back.inputFiles())
+    assert back.schema.simpleString() == "struct<doc_id:int,text:string>"
+    assert _rows(back) == _rows(docs)
+
+
+@pytest.mark.parametrize(
+    ("files", "by_tasks"),
+    [
+        ({"k=007/a.txt": b"x\n", "k=-2/b.txt": b"\n\n", "k=3/c.txt": b"", "k=5/.c.txt": b"no", "_SUCCESS": b""}, True),
+        ({"k=1/a.txt": b"\xff\x00\xe2\x82", "k=9999999999/a.txt": b"\xef\xbb\xbfb", "k=__HIVE_DEFAULT_PARTITION__/a.txt": b"c"}, True),
+        ({"k=1/a.txt": b"1", "k=1/b.txt": b"2", "k=a%2Fb%%41/c.txt": b"3", "k=a=b/c.txt": b"4"}, True),
+        ({"k=2020-01-01/a.txt": b"x"}, False),
+        ({"k=1/a.txt": b"x", "k=1.5/a.txt": b"y"}, False),
+        ({"k=__HIVE_DEFAULT_PARTITION__/a.txt": b"x"}, False),
+        ({"k=1/a.txt": b"x", "k=2/b.txt.gz": gzip.compress(b"packed")}, False),
+        ({"k=1/j=2/a.txt": b"x"}, False),
+        ({"K=1/a.txt": b"x"}, False),
+        ({"a.txt": b"x", "b.txt": b"y"}, False),
+    ],
+)
+def test_document_folders_read_as_by_spark(spark, tmp_path, files, by_tasks):
+    for name, content in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    back = SF.read_text_corpus(spark, str(tmp_path), id_col="k")
+    plain = spark.read.text(str(tmp_path), wholetext=True)
+    key = F.col("k") if "k" in plain.columns else F.col("_metadata.file_path").alias("path")
+    plain = plain.select(key, F.col("value").alias("text"))
+    exact = lambda df: sorted(map(repr, df.withColumn("text", F.hex("text")).collect()))
+    assert back.schema.simpleString() == plain.schema.simpleString()
+    assert exact(back) == exact(plain)
+    assert any(f"/{n}" in f for n in files for f in back.inputFiles()) != by_tasks
+
+
 def _files(spark, path):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
